@@ -65,3 +65,13 @@ def with_flag(df: DataFrame, bitmap: DataFrame, key: Column, log2_bits: int, fla
     bit = F.call_function("shiftright", byte, F.pmod(F.col("_at"), F.lit(8)).cast("int")).bitwiseAND(1)
     hit = F.coalesce(bit == 1, F.lit(False))
     return keyed.join(F.broadcast(bits), "_slot", "left").withColumn(flag, hit).drop("_slot", "_at", "_bits")
+
+
+def salted_left_join(rows: DataFrame, groups: DataFrame, key: str, spread: str, salts: int = 16) -> DataFrame:
+    """`rows` left join `groups` on `key`, each key's rows dealt to `salts` tasks by their `spread` column.
+
+    `groups` has one row for a key, so copying it `salts` times costs little beside a hot key's rows.
+    """
+    left = rows.withColumn("_salt", F.pmod(F.xxhash64(spread), F.lit(salts)))
+    right = groups.withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(salts - 1).cast("bigint"))))
+    return left.join(right, [key, "_salt"], "left").drop("_salt")

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup
+from . import exact_dedup, line_dedup, warc
+from .common import staged
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -17,7 +18,17 @@ def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), "keep_id", "group_size", "kept", F.col("sha256").alias("text_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op4_exact_dedup,)}
+def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    chunks = staged(warc.archive(spark.read.parquet(f"{sf_dir}/pages.parquet")))
+    return warc.read_archive(chunks).drop("valid")
+
+
+def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = line_dedup.dedup_lines(_documents(spark, sf_dir))
+    return done.select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("kept_text").cast("binary"), 256).alias("kept_sha256"))
+
+
+QUERIES = {f.__name__: f for f in (op4_exact_dedup, op6_warc, op10_line_dedup)}
 
 SQL = {
     "op4_exact_dedup": r"""
@@ -27,4 +38,26 @@ SQL = {
                           count(*) OVER (PARTITION BY text_sha256) AS group_size FROM d)
         SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, text_sha256 FROM g
     """,
+    "op6_warc": """
+        WITH p AS (SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes, sha1(coalesce(html, '')) AS hex FROM pages),
+             v AS (SELECT *, list_transform(range(8), lambda i: ('0x' || substr(hex, CAST(5 * i + 1 AS BIGINT), 5))::BIGINT) AS v,
+                          min(page_id) OVER (PARTITION BY hex) AS first FROM p)
+        SELECT page_id, payload_bytes,
+               array_to_string(list_transform(v, lambda x: array_to_string(list_transform([15, 10, 5, 0], lambda s:
+                   substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', CAST(((x >> s) & 31) + 1 AS BIGINT), 1)), '')), '') AS payload_digest,
+               CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
+               CASE WHEN page_id <> first THEN first END AS refers_to
+        FROM v
+    """,
+    "op10_line_dedup": r"""
+        WITH l AS (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line,
+                          generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS i FROM documents),
+             k AS (SELECT *, translate(regexp_replace(regexp_replace(line, '^[\x20\x09-\x0D]+', ''), '[\x20\x09-\x0D]+$', ''),
+                                       'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key FROM l),
+             r AS (SELECT key, max(doc_id) AS keeper FROM k WHERE length(key) >= 20 GROUP BY key HAVING count(DISTINCT doc_id) >= 3),
+             m AS (SELECT k.*, r.keeper IS NOT NULL AND k.doc_id <> r.keeper AS gone FROM k LEFT JOIN r USING (key))
+        SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped,
+               sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (NOT gone), '')) AS kept_sha256
+        FROM m GROUP BY doc_id
+    """,
 }
