@@ -75,3 +75,21 @@ def salted_left_join(rows: DataFrame, groups: DataFrame, key: str, spread: str,
     left = rows.withColumn("_salt", F.pmod(F.xxhash64(spread), F.lit(salts)))
     right = groups.withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(salts - 1).cast("bigint"))))
     return left.join(right, [key, "_salt"], "left").drop("_salt")
+
+
+class Remembered(dict):
+    """The values of a function by argument, `2 * size` at most; those not asked for lately go first."""
+
+    def __init__(self, make, size: int):
+        super().__init__()
+        self.make, self.size, self.old = make, size, {}
+
+    def __missing__(self, key):
+        if len(self) >= self.size:
+            self.old = self.copy()
+            self.clear()
+        found = self.old.get(key)
+        if found is None:
+            found = self.make(key)
+        self[key] = found
+        return found

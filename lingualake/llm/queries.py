@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, line_dedup, warc
+from . import exact_dedup, line_dedup, packing, pieces, warc
 from .common import staged
 
 
@@ -18,17 +19,25 @@ def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), "keep_id", "group_size", "kept", F.col("sha256").alias("text_sha256"))
 
 
+def op5_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.digests(_documents(spark, sf_dir), public_tokenizers.path("piece_bpe_32k.model")).withColumnRenamed("id", "doc_id")
+
+
 def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     chunks = staged(warc.archive(spark.read.parquet(f"{sf_dir}/pages.parquet")))
     return warc.read_archive(chunks).drop("valid")
 
 
+def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(_documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"))
+
+
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     done = line_dedup.dedup_lines(_documents(spark, sf_dir))
     return done.select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("kept_text").cast("binary"), 256).alias("kept_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op4_exact_dedup, op6_warc, op10_line_dedup)}
+QUERIES = {f.__name__: f for f in (op4_exact_dedup, op5_pieces, op6_warc, op9_packing, op10_line_dedup)}
 
 SQL = {
     "op4_exact_dedup": r"""
