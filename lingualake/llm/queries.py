@@ -3,10 +3,10 @@
 from __future__ import annotations
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, line_dedup, packing, pieces, warc
+from . import exact_dedup, line_dedup, packing, pieces, quality, toxicity, warc
 from .common import staged
 
 
@@ -14,6 +14,22 @@ def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def _held_out(parts: int, part: int) -> Column:
+    return F.crc32(F.col("doc_id").cast("string").cast("binary")) % parts == part
+
+
+def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, held = _documents(spark, sf_dir).select("doc_id", "text"), F.coalesce(_held_out(5, 0), F.lit(False))
+    model = quality.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet").filter(~_held_out(5, 0)))
+    return quality.scored(docs, model).select("doc_id", held.alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, held = _documents(spark, sf_dir).select("doc_id", "text"), F.coalesce(_held_out(3, 1), F.lit(False))
+    model = toxicity.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet").filter(~_held_out(3, 1)))
+    return toxicity.scored(docs, model).select("doc_id", held.alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = exact_dedup.exact_groups(_documents(spark, sf_dir), hash_all=True)
     return found.select(F.col("id").alias("doc_id"), "keep_id", "group_size", "kept", F.col("sha256").alias("text_sha256"))
@@ -37,7 +53,7 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("kept_text").cast("binary"), 256).alias("kept_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op4_exact_dedup, op5_pieces, op6_warc, op9_packing, op10_line_dedup)}
+QUERIES = {f.__name__: f for f in (op2_quality, op3_toxicity, op4_exact_dedup, op5_pieces, op6_warc, op9_packing, op10_line_dedup)}
 
 SQL = {
     "op4_exact_dedup": r"""
