@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE, key_bitmap, staged, text_or_empty, with_flag
+from .common import SPACE, key_bitmap, salted_left_join, staged, text_or_empty, with_flag
 
 PREFIX = 64
 #: The filters of surviving keys take 2**FILTER_BITS / 8 = 4 MiB; beyond that many keys more rows are read in full, none is lost.
@@ -46,7 +46,7 @@ def exact_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     best = F.max(F.struct("n_chars", F.bitwise_not(F.col("id").cast("bigint")).alias("rank")))
     groups = hashed.filter("open").groupBy("sha256").agg(best.alias("best"), F.count("*").alias("group_size"))
     groups = groups.select("sha256", F.bitwise_not(F.col("best.rank")).alias("keep_id"), "group_size")
-    opened = hashed.filter("open").join(groups, "sha256")
+    opened = salted_left_join(hashed.filter("open"), groups, "sha256", "id")
     alone = hashed.filter("not open").withColumns({"keep_id": F.col("id").cast("bigint"), "group_size": F.lit(1).cast("bigint")})
     out = opened.select("id", "keep_id", "group_size", "sha256").unionByName(alone.select("id", "keep_id", "group_size", "sha256"))
     return out.select("id", "keep_id", "group_size", F.col("id").eqNullSafe(F.col("keep_id")).alias("kept"), "sha256")
