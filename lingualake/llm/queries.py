@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, line_dedup, packing, pieces, quality, toxicity, warc
+from . import exact_dedup, imatch, line_dedup, packing, pieces, quality, toxicity, warc
 from .common import staged
 
 
@@ -18,6 +18,12 @@ def _held_out(parts: int, part: int) -> Column:
     return F.crc32(F.col("doc_id").cast("string").cast("binary")) % parts == part
 
 
+def op1_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = imatch.fingerprints(_documents(spark, sf_dir))
+    digest = F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256")
+    return found.select(F.col("id").alias("doc_id"), "n_chars", digest, "fingerprint", "edited_fingerprint", "near_edited", "near_next")
+
+
 def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, held = _documents(spark, sf_dir).select("doc_id", "text"), F.coalesce(_held_out(5, 0), F.lit(False))
     model = quality.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet").filter(~_held_out(5, 0)))
@@ -53,7 +59,7 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("kept_text").cast("binary"), 256).alias("kept_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op2_quality, op3_toxicity, op4_exact_dedup, op5_pieces, op6_warc, op9_packing, op10_line_dedup)}
+QUERIES = {f.__name__: f for f in (op1_fingerprints, op2_quality, op3_toxicity, op4_exact_dedup, op5_pieces, op6_warc, op9_packing, op10_line_dedup)}
 
 SQL = {
     "op4_exact_dedup": r"""
