@@ -15,6 +15,7 @@ Other columns are ignored.
 
 from __future__ import annotations
 
+import re
 import zlib
 from array import array
 from collections.abc import Iterator
@@ -29,22 +30,61 @@ from .common import Remembered, staged, text_or_empty
 CAPACITY = 2048
 #: Rows of one length that one group numbers, about.
 GROUP_ROWS = 4096
-#: Words that a worker remembers, twice.
+#: Texts whose unknown words are tokenised together.
+BLOCK = 500
+#: Parts of words that a worker remembers, twice.
 MEMORY = 300_000
-_WORKER: dict[str, Remembered] = {}
+#: Texts of these characters are their own normal form but for case, so their parts can be looked up one by one.
+_PLAIN = re.compile(r"[\t-\r -~\u00c0-\u00ff]*")
+_LETTERS = r"[a-z\u00df-\u00f6\u00f8-\u00ff]+"
+_PARTS = re.compile(rf"{_LETTERS}|'(?:s|t|re|ve|m|ll|d)|[0-9]|[^\t-\r a-z0-9\u00df-\u00f6\u00f8-\u00ff]+")
+_WORD = re.compile(_LETTERS)
 
 
-def _words(path: str) -> Remembered:
-    """The ids of a word, as bytes, under the tokenizer file at `path`; no merge spans ASCII white space."""
-    if path not in _WORKER:
+class Words:
+    """The ids of texts, as little-endian bytes, under the tokenizer file at `path`.
+
+    No merge spans ASCII white space, nor the parts that the tokenizer cuts words into. Plain texts are
+    cut the same way here and their parts looked up; words of other texts go to the tokenizer whole.
+    """
+
+    def __init__(self, path: str):
         from tokenizers import Tokenizer
 
-        tokenizer = Tokenizer.from_file(path)
+        self.tokenizer = Tokenizer.from_file(path)
+        self.parts = Remembered(self._ids, MEMORY)
+
+    def _ids(self, text: str) -> bytes:
+        return np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+
+    def _split(self, text: str) -> list[str]:
+        if "<|" not in text and _PLAIN.fullmatch(text):
+            return _PARTS.findall(text.lower())
+        return [p for w in text.encode().split() for p in self._word(w.decode())]
 
-        def ids(word: bytes) -> bytes:
-            return np.asarray(tokenizer.encode(word.decode("utf-8", "replace"), add_special_tokens=False).ids, "<u4").tobytes()
+    def _word(self, word: str) -> list[str]:
+        return _PARTS.findall(word.lower()) if "<|" not in word and _PLAIN.fullmatch(word) else [word]
 
-        _WORKER[path] = Remembered(ids, MEMORY)
+    def ids(self, texts: list[str]) -> Iterator[bytes]:
+        """The ids of each text; unknown parts of letters are tokenised together."""
+        split = [self._split(t) for t in texts]
+        order = sorted(p for p in set().union(*split) - self.parts.keys() if _WORD.fullmatch(p))
+        if order:
+            found = self.tokenizer.encode(" ".join(order), add_special_tokens=False)
+            ids, owner = np.asarray(found.ids, "<u4").tobytes(), np.asarray(found.word_ids)
+            edges = (4 * np.searchsorted(owner, np.arange(len(order) + 1))).tolist()
+            self.parts.update(zip(order, (ids[a:b] for a, b in zip(edges, edges[1:])), strict=True))
+        known = self.parts.__getitem__
+        for own in split:
+            yield b"".join(map(known, own))
+
+
+_WORKER: dict[str, Words] = {}
+
+
+def _words(path: str) -> Words:
+    if path not in _WORKER:
+        _WORKER[path] = Words(path)
     return _WORKER[path]
 
 
@@ -53,18 +93,20 @@ def _cut(path: str, capacity: int, separator: int):
     size = 4 * capacity
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = _words(path).__getitem__
+        words = _words(path)
         for batch in batches:
             rows, piece, start, length, crc = (array("q") for _ in range(5))
-            for row, text in enumerate(batch.column("_text").to_pylist()):
-                ids = b"".join(map(known, text.split())) + end
-                for k, at in enumerate(range(0, len(ids), size)):
-                    part = ids[at : at + size]
-                    rows.append(row)
-                    piece.append(k)
-                    start.append(at // 4)
-                    length.append(len(part) // 4)
-                    crc.append(zlib.crc32(part))
+            texts = batch.column("_text")
+            for first in range(0, len(texts), BLOCK):
+                for row, ids in enumerate(words.ids(texts[first : first + BLOCK].to_pylist()), first):
+                    ids += end
+                    for k, at in enumerate(range(0, len(ids), size)):
+                        part = ids[at : at + size]
+                        rows.append(row)
+                        piece.append(k)
+                        start.append(at // 4)
+                        length.append(len(part) // 4)
+                        crc.append(zlib.crc32(part))
             numbers = [pa.array(np.frombuffer(x, np.int64)) for x in (start, length, crc)]
             owner = batch.column("_id").take(pa.array(np.frombuffer(rows, np.int64)))
             yield pa.RecordBatch.from_arrays([owner, pa.array(np.frombuffer(piece, np.int64), pa.int32(), safe=False), *numbers], ["id", "piece", "start", "length", "ids_crc32"])
@@ -138,7 +180,7 @@ def _place(places: tuple[np.ndarray, np.ndarray, np.ndarray]):
 
 def pieces(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, separator: int = 0) -> DataFrame:
     """Rows (id, piece, start, length, ids_crc32) of each text's ids followed by `separator`."""
-    rows = df.select(F.col(id_col).cast("bigint").alias("_id"), text_or_empty(text_col).cast("binary").alias("_text"))
+    rows = df.select(F.col(id_col).cast("bigint").alias("_id"), text_or_empty(text_col).alias("_text"))
     return rows.mapInArrow(_cut(path, capacity, separator), "id bigint, piece int, start bigint, length bigint, ids_crc32 bigint")
 
 
