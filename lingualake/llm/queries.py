@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, imatch, line_dedup, near_dedup, packing, pieces, quality, toxicity, warc
+from . import exact_dedup, imatch, licenses, line_dedup, near_dedup, packing, pieces, quality, toxicity, warc
 from .common import staged
 
 
@@ -54,6 +54,10 @@ def op7_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(_documents(spark, sf_dir)).withColumnRenamed("id", "doc_id")
 
 
+def op8_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(_documents(spark, sf_dir)).withColumnRenamed("id", "doc_id")
+
+
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(_documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"))
 
@@ -63,7 +67,7 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("kept_text").cast("binary"), 256).alias("kept_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op1_fingerprints, op2_quality, op3_toxicity, op4_exact_dedup, op5_pieces, op6_warc, op7_near_dedup, op9_packing, op10_line_dedup)}
+QUERIES = {f.__name__: f for f in (op1_fingerprints, op2_quality, op3_toxicity, op4_exact_dedup, op5_pieces, op6_warc, op7_near_dedup, op8_licenses, op9_packing, op10_line_dedup)}
 
 SQL = {
     "op4_exact_dedup": r"""
@@ -95,4 +99,5 @@ SQL = {
                sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (NOT gone), '')) AS kept_sha256
         FROM m GROUP BY doc_id
     """,
+    "op8_licenses": licenses.sql(),
 }
