@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import key_bitmap, staged, text_or_empty, with_flag
+from .common import key_bitmap, salted_left_join, staged, text_or_empty, with_flag
 
 #: Bits of a filter: 16 MiB each whatever the input. When they fill up, more lines are confirmed by the shuffle, none is lost.
 FILTER_BITS = 27
@@ -176,7 +176,7 @@ def dedup_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", c
     shared = _Shared(spark, {r["slot"]: bytes(r["bits"]) for r in merged})
     suspects = staged(known.mapInArrow(_suspects(shared, min_chars), "_id bigint, key binary"))
     repeated = suspects.groupBy("key").agg(F.count_distinct("_id").alias("docs"), F.max("_id").alias("keeper")).filter(F.col("docs") >= min_docs)
-    lost = suspects.distinct().join(repeated, "key").filter("_id <> keeper")
+    lost = salted_left_join(suspects.distinct(), repeated, "key", "_id").filter("_id <> keeper")
     drops = staged(lost.groupBy("_id").agg(F.collect_list("key").alias("_drops")))
     flagged = with_flag(rows, key_bitmap(drops, F.col("_id"), DOC_BITS), F.col("_id"), DOC_BITS, "_loses")
     out = T.StructType([T.StructField("_id", T.LongType()), *(T.StructField(f"_carry_{c}", df.schema[c].dataType) for c in carry), T.StructField("kept_text", T.StringType()), T.StructField("n_lines", T.LongType()), T.StructField("n_dropped", T.LongType())])
