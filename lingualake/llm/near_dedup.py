@@ -145,7 +145,7 @@ def _pairs(pairs: list[tuple[int, int]]) -> pa.RecordBatch:
 
 
 def _covers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of each bucket's chunk, coarse links (node, leader), and (leader, null) for each leader.
+    """Of each bucket's chunk, coarse links (node, smallest node that it is connected to), and (leader, null) for each leader.
 
     A node that a leader covers stands for nothing of its own: what is linked to the node is coarsely
     linked to the leader, too.
@@ -155,12 +155,16 @@ def _covers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         nodes, sizes, regs = table.column("node").to_numpy(), table.column("n").to_numpy(), _registers(table)
         lead = np.empty(len(nodes), np.int64)
         count = 0
-        for k in range(len(nodes)):
+        root = list(range(len(nodes)))
+        for k in range(len(nodes)):  # in order of nodes, so the smallest index is the smallest node
             rows, found = _near(regs[k], sizes[k], regs[lead[:count]], sizes[lead[:count]], COARSE)
-            out += [(key, int(nodes[k]), int(nodes[lead[r]])) for r in rows]
+            tops = {_top(root, k), *(_top(root, int(lead[r])) for r in rows)}
+            for top in tops:
+                root[top] = min(tops)
             if not (found >= COVERED).any():
                 lead[count] = k
                 count += 1
+        out += [(key, int(nodes[k]), int(nodes[top])) for k in range(len(nodes)) if (top := _top(root, k)) != k]
         out += [(key, int(nodes[k]), None) for k in lead[:count]]
         if len(out) > 20_000:
             yield _covered(out)
@@ -168,6 +172,14 @@ def _covers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield _covered(out)
 
 
+def _top(root: list[int], x: int) -> int:
+    """The root of `x`, the way there halved."""
+    while root[x] != x:
+        root[x] = root[root[x]]
+        x = root[x]
+    return x
+
+
 def _covered(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], pa.int64()) for k in range(3)], ["key", "node", "leader"])
 
@@ -197,12 +209,6 @@ def _confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         apart = len(set(chunk.tolist())) > 1
         root = list(range(len(nodes)))
 
-        def find(x: int, root: list[int] = root) -> int:
-            while root[x] != x:
-                root[x] = root[root[x]]
-                x = root[x]
-            return x
-
         found = []
         for k in range(1, len(nodes)):
             if regs is None:
@@ -211,8 +217,8 @@ def _confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 rows, likely = _near(regs[k], sizes[k], regs[:k], sizes[:k], CLOSE)
                 rows = rows[np.argsort(-likely, kind="stable")]
             for r in rows.tolist():
-                if (not apart or chunk[r] != chunk[k]) and find(r) != find(k) and _linked(sets[r], sets[k]):
-                    root[find(r)] = find(k)
+                if (not apart or chunk[r] != chunk[k]) and _top(root, r) != _top(root, k) and _linked(sets[r], sets[k]):
+                    root[_top(root, r)] = _top(root, k)
                     found.append((int(nodes[r]), int(nodes[k])))
         if found:
             yield _pairs(found)

@@ -115,6 +115,6 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
 
 
 def scored(df: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
-    """`df` with a `score` from 0 to 1: the likelihood that its text has label 1."""
-    kept = [F.col(c) for c in df.columns]
-    return with_statistics(df, text_col).select(*kept, model.score().alias("score"))
+    """`df` with a `score` from 0 to 1, in place of any it has: the likelihood that its text has label 1."""
+    kept = F.struct(*(F.col(f"`{c}`") for c in df.columns if c != "score")).alias("_row")
+    return with_statistics(df.select(kept, F.col(text_col).alias("_scored")), "_scored").select("_row.*", model.score().alias("score"))

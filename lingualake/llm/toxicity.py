@@ -37,8 +37,9 @@ SAMPLE_TOXIC, SAMPLE_CLEAN = 5_000, 15_000
 LANDMARKS = 64
 ORDER, DECAY = 3, 0.7
 WINDOW = 8
-NEAR = 0.3
-MEMORY = 400_000
+NEAR = 0.45
+MEMORY = 300_000
+_PUNCTUATION = ".,;:!?\"'()[]{}#$%&*|-"
 _EDGE = re.compile(r"^\W+|\W+$")
 _INSIDE = re.compile(r"[\W_]+")
 _SPACED = re.compile(r"(?<!\w)\w(?:[ .*_-]\w){3,}(?!\w)")
@@ -94,10 +95,10 @@ def _pair_bits(codes: np.ndarray, gaps: int) -> np.ndarray:
 
 def windows(token: str) -> list[str]:
     """The strings that stand for a token: its letters, read through inserted and look-alike characters, in windows of WINDOW."""
-    bare = _EDGE.sub("", token)
-    forms = [bare]
-    if not bare.isalpha():
-        forms += [_INSIDE.sub("", bare), _INSIDE.sub("", bare.translate(_LEET))]
+    forms = [token]
+    if not token.isalpha():
+        bare = _EDGE.sub("", token)
+        forms = [bare] if bare.isalpha() else [bare, _INSIDE.sub("", bare), _INSIDE.sub("", bare.translate(_LEET))]
     out: list[str] = []
     for form in dict.fromkeys(forms):
         if len(form) >= ORDER:
@@ -115,15 +116,24 @@ class _Hits:
     def __init__(self, landmarks: list[str]):
         self.codes = _codes(landmarks)
         self.bits = _pair_bits(self.codes, 1)
-        self.need = np.ceil(0.6 * np.bitwise_count(self.bits)).astype(np.uint8)
+        self.need = np.ceil(0.7 * np.bitwise_count(self.bits)).astype(np.uint8)
         self.selves = kernel(self.codes, self.codes)
         self.known: dict[str, tuple | None] = {}
-
-    def learn(self, new: list[str]) -> None:
-        """Remembers for each token its hits as (landmark, similarity) pairs, or None."""
-        self.known.update(dict.fromkeys(new))
-        owners, parts = [], []
-        for k, token in enumerate(new):
+        self.old: dict[str, tuple | None] = {}
+
+    def learn(self, tokens: set[str]) -> None:
+        """Remembers for each token its hits as (landmark, similarity) pairs, or None. Tokens not asked for lately go."""
+        if len(self.known) > MEMORY:
+            self.old, self.known = self.known, {}
+        new = tokens - self.known.keys()
+        again = new & self.old.keys()
+        self.known.update((t, self.old[t]) for t in again)
+        forms: dict[str, list[str]] = {}
+        for token in sorted(new - again):
+            forms.setdefault(token.strip(_PUNCTUATION), []).append(token)
+        self.known.update(dict.fromkeys(new - again))
+        owners, parts, bare = [], [], list(forms)
+        for k, token in enumerate(bare):
             for w in windows(token):
                 owners.append(k)
                 parts.append(w)
@@ -141,16 +151,14 @@ class _Hits:
             found = best.setdefault(owners[rows[k]], {})
             found[int(marks[k])] = max(found.get(int(marks[k]), 0.0), float(values[k]))
         for k, found in best.items():
-            self.known[new[k]] = tuple(found.items())
+            self.known.update(dict.fromkeys(forms[bare[k]], tuple(found.items())))
 
     def of(self, texts: list[str]) -> Iterator[list[np.ndarray]]:
         """For each text, the similarities of its sentences that have a hit."""
         for start in range(0, len(texts), 1000):
             split = [tokens(t) for t in texts[start : start + 1000]]
             distinct = [set(t) for t in split]
-            if len(self.known) > MEMORY:
-                self.known.clear()
-            self.learn(sorted(set().union(*distinct) - self.known.keys()))
+            self.learn(set().union(*distinct))
             for words, own in zip(split, distinct, strict=True):
                 yield self._sentences(words) if any(map(self.known.get, own)) else []
 
@@ -227,9 +235,9 @@ def _scores(model: Model):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            margins = [model.bias + max([0.0, *(float(weights @ r) for r in rows)]) for rows in _hits(model.landmarks).of(_texts(batch))] if model.landmarks else [0.0] * batch.num_rows
-            rest = [n for n in batch.schema.names if n != "_text"]
-            yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in rest), pa.array([model.likelihood(m) for m in margins], pa.float64())], [*rest, "score"])
+            texts = [t.lower() for t in batch.column(0).to_pylist()]
+            margins = [model.bias + max([0.0, *(float(weights @ r) for r in rows)]) for rows in _hits(model.landmarks).of(texts)] if model.landmarks else [0.0] * len(texts)
+            yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array([model.likelihood(m) for m in margins], pa.float64())], [*batch.schema.names[1:], "score"])
 
     return run
 
@@ -315,6 +323,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
 
 
 def scored(df: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
-    """`df` with a `score` from 0 to 1: the likelihood that its text has label 1."""
-    schema = T.StructType([*(T.StructField(f.name, f.dataType) for f in df.schema), T.StructField("score", T.DoubleType())])
-    return df.withColumn("_text", text_or_empty(text_col)).mapInArrow(_scores(model), schema)
+    """`df` with a `score` from 0 to 1, in place of any it has: the likelihood that its text has label 1."""
+    kept = [f for f in df.schema if f.name != "score"]
+    schema = T.StructType([*(T.StructField(f.name, f.dataType) for f in kept), T.StructField("score", T.DoubleType())])
+    return df.select(text_or_empty(text_col).alias("_scored"), *(F.col(f"`{f.name}`") for f in kept)).mapInArrow(_scores(model), schema)
