@@ -2,19 +2,31 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import staged
 
 
+def _contracted(links: DataFrame) -> DataFrame:
+    """Links (a, b) that connect the same nodes: the smaller neighbours of a node meet the smallest of them, not the node.
+
+    A node that many of its buckets link to different leaders keeps one link, and the links between leaders
+    repeat from node to node, so few distinct ones are left. The window holds a node's smaller neighbours.
+    """
+    down = links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a <> b")
+    low = staged(down.withColumn("low", F.min("b").over(Window.partitionBy("a"))))
+    return low.select("a", F.col("low").alias("b")).union(low.filter("b <> low").select(F.col("b").alias("a"), F.col("low").alias("b"))).distinct()
+
+
 def components(links: DataFrame) -> DataFrame:
     """Rows (node, label) for each node of `links` (a, b): the smallest node it is connected to.
 
     Labels are lowered to the smallest among neighbours, then to their label's label, until none changes,
     so the rounds grow with the logarithm of a component's width.
     """
-    both = staged(links.select("a", "b").union(links.select("b", "a")).filter("a <> b").distinct())
+    links = staged(_contracted(links))
+    both = staged(links.select("a", "b").union(links.select("b", "a")))
     labels = staged(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("label")))
     while True:
         around = both.join(labels.select(F.col("node").alias("b"), "label"), "b").groupBy(F.col("a").alias("node")).agg(F.min("label").alias("near"))
