@@ -2,13 +2,13 @@
 
 The gap-weighted subsequence kernel compares a word with a landmark by their shared subsequences of
 three characters, each weighing less the more it is stretched, so insults with inserted characters stay
-close. A sentence's similarity to a landmark is that of its closest word window. Landmarks are words and
+close. A landmark that occurs whole, with a few letters put in between, counts as near by its stretch. A sentence's similarity to a landmark is that of its closest word window. Landmarks are words and
 word beginnings that a bounded sample of labelled rows ties to toxic texts beyond chance. The sample's
 sentences train a linear machine in the space that the landmarks span (Nyström), which folds into one
 weight for each landmark; a document scores as its worst sentence, mapped to a likelihood.
 
-Windows that share too few character pairs with a landmark, gapped ones counted, are not compared with
-it: their similarity counts as none. Each worker remembers a bounded number of words.
+A similarity under NEAR counts as none. An index of the landmarks' subsequences finds all that reach it. Each
+worker remembers a bounded number of words.
 
 Cases: a null or empty text has no words and scores as a text without any hit. Labels other than 0 and 1
 or without a document are left out; of repeated labels the greater counts. Without both labels, or with
@@ -23,6 +23,7 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -36,13 +37,15 @@ from .common import text_or_empty
 SAMPLE_TOXIC, SAMPLE_CLEAN = 5_000, 15_000
 LANDMARKS = 64
 ORDER, DECAY = 3, 0.7
-WINDOW = 8
+#: Windows of a token: of a landmark's length, and wide enough for twice of it.
+WINDOW, WIDE = 8, 20
 NEAR = 0.45
 MEMORY = 300_000
 _PUNCTUATION = ".,;:!?\"'()[]{}#$%&*|-"
 _EDGE = re.compile(r"^\W+|\W+$")
 _INSIDE = re.compile(r"[\W_]+")
 _SPACED = re.compile(r"(?<!\w)\w(?:[ .*_-]\w){3,}(?!\w)")
+_REPEATED = re.compile(r"(.)\1+", re.S)
 _LEET = str.maketrans("013457@$", "oleastas")
 
 
@@ -63,8 +66,8 @@ def kernel(left: np.ndarray, right: np.ndarray, order: int = ORDER, decay: float
     return decay**2 * (same * prefix[:, :n, :m]).sum((1, 2))
 
 
-def _codes(words: list[str]) -> np.ndarray:
-    return np.array(words, f"<U{WINDOW}").view(np.uint32).reshape(len(words), -1)
+def _codes(words: list[str], width: int = WINDOW) -> np.ndarray:
+    return np.array(words, f"<U{width}").view(np.uint32).reshape(len(words), -1)
 
 
 def _likeness(left: np.ndarray, right: np.ndarray, left_self: np.ndarray, right_self: np.ndarray) -> np.ndarray:
@@ -80,29 +83,89 @@ def similarities(words: list[str], landmarks: list[str]) -> np.ndarray:
     return _likeness(a[i], b[j], kernel(a, a)[i], kernel(b, b)[j]).reshape(len(words), -1)
 
 
-def _pair_bits(codes: np.ndarray, gaps: int) -> np.ndarray:
-    """A 64-bit set for each row: a hashed bit for each pair of characters at most `gaps` places apart."""
-    wide = codes.astype(np.uint64)
-    bits = np.zeros(len(codes), np.uint64)
-    for gap in range(1, gaps + 1):
-        if codes.shape[1] > gap:
-            a, b = wide[:, :-gap], wide[:, gap:]
-            at = ((a * np.uint64(0x9E3779B97F4A7C15) + b * np.uint64(0xC2B2AE3D27D4EB4F)) >> np.uint64(58)) & np.uint64(63)
-            found = np.where((a > 0) & (b > 0), np.uint64(1) << at, np.uint64(0))
-            bits |= np.bitwise_or.reduce(found, axis=1)
-    return bits
+def _selves(codes: np.ndarray) -> np.ndarray:
+    return np.concatenate([kernel(codes[i : i + 4_000], codes[i : i + 4_000]) for i in range(0, len(codes), 4_000)] + [np.zeros(0)])
+
+
+class _Index:
+    """The subsequences of ORDER characters of landmarks, to find the kernel of many words with all of them at once."""
+
+    def __init__(self, landmarks: list[str]):
+        weights: dict[int, Counter] = {}
+        pairs = set()
+        for mark, word in enumerate(landmarks):
+            for i, j, k in combinations(range(len(word)), ORDER):
+                a, b, c = map(ord, (word[i], word[j], word[k]))
+                pairs.add((a << 42) | (b << 21))
+                weights.setdefault((a << 42) | (b << 21) | c, Counter())[mark] += DECAY ** (k - i + 1)
+        self.marks = len(landmarks)
+        self.keys = np.array(sorted(weights), np.uint64)
+        self.first = np.zeros(1 << 16, bool)
+        self.first[self._slot(np.array(sorted(pairs), np.uint64), 16)] = True
+        self.whole = np.zeros(1 << 18, bool)
+        self.whole[self._slot(self.keys, 18)] = True
+        found = [weights[int(key)] for key in self.keys]
+        self.counts = np.array([len(x) for x in found], np.int64)
+        self.starts = np.cumsum(self.counts) - self.counts
+        self.mark = np.array([m for x in found for m in x], np.int64)
+        self.weight = np.array([w for x in found for w in x.values()])
+
+    @staticmethod
+    def _slot(keys: np.ndarray, bits: int) -> np.ndarray:
+        return (keys * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - bits)
+
+    def dots(self, codes: np.ndarray) -> np.ndarray:
+        """The kernel, not normalised, of each row with each landmark."""
+        if not len(self.keys):
+            return np.zeros((len(codes), self.marks))
+        wide = codes.astype(np.uint64)
+        i, j = np.triu_indices(wide.shape[1], 1)
+        heads = (wide[:, i] << np.uint64(42)) | (wide[:, j] << np.uint64(21))
+        row, pair = np.nonzero(self.first[self._slot(heads, 16)])
+        head, start, end = heads[row, pair], i[pair], j[pair]
+        cells, values = [], []
+        for k in range(2, wide.shape[1]):
+            at = np.flatnonzero(end < k)
+            keys = head[at] | wide[row[at], k]
+            may = np.flatnonzero(self.whole[self._slot(keys, 18)])
+            at, keys = at[may], keys[may]
+            place = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
+            same = self.keys[place] == keys
+            at, place = at[same], place[same]
+            counts = self.counts[place]
+            entry = np.repeat(self.starts[place] - np.cumsum(counts) + counts, counts) + np.arange(counts.sum())
+            cells.append(np.repeat(row[at], counts) * self.marks + self.mark[entry])
+            values.append(np.repeat(DECAY ** (k - start[at] + 1.0), counts) * self.weight[entry])
+        size = len(codes) * self.marks
+        return np.bincount(np.concatenate(cells), np.concatenate(values), size).reshape(len(codes), self.marks)
+
+
+#: No word of so many characters has a smaller kernel with itself.
+_LEAST = np.array([sum(DECAY ** (2 * (k - i + 1)) for i, _, k in combinations(range(n), ORDER)) for n in range(WIDE + 1)])
+
+
+def _stretched(landmark: str) -> re.Pattern:
+    """The landmark with up to two letters in each place between its own."""
+    return re.compile(r"(?=(" + r"[^\W\d_]{0,2}?".join(map(re.escape, landmark)) + "))")
+
+
+def _most_inserted(landmark: str) -> int:
+    return len(landmark) // 2
 
 
 def windows(token: str) -> list[str]:
-    """The strings that stand for a token: its letters, read through inserted and look-alike characters, in windows of WINDOW."""
+    """The strings that stand for a token: its letters, read through inserted, repeated and look-alike characters, in windows of WINDOW and, if longer, of WIDE."""
     forms = [token]
     if not token.isalpha():
         bare = _EDGE.sub("", token)
         forms = [bare] if bare.isalpha() else [bare, _INSIDE.sub("", bare), _INSIDE.sub("", bare.translate(_LEET))]
+    forms += [_REPEATED.sub(r"\1", form) for form in forms]
     out: list[str] = []
     for form in dict.fromkeys(forms):
         if len(form) >= ORDER:
             out += [form[i : i + WINDOW] for i in range(0, max(1, len(form) - ORDER), WINDOW // 2)]
+        if len(form) > WINDOW:
+            out += [form[i : i + WIDE] for i in range(0, max(1, len(form) - WIDE + WINDOW // 2), WINDOW // 2)]
     return out
 
 
@@ -115,9 +178,11 @@ class _Hits:
 
     def __init__(self, landmarks: list[str]):
         self.codes = _codes(landmarks)
-        self.bits = _pair_bits(self.codes, 1)
-        self.need = np.ceil(0.7 * np.bitwise_count(self.bits)).astype(np.uint8)
         self.selves = kernel(self.codes, self.codes)
+        self.index = _Index(landmarks)
+        self.most = np.array([_most_inserted(x) for x in landmarks])
+        self.lengths = np.array([len(x) for x in landmarks])
+        self.stretched = [_stretched(x) for x in landmarks]
         self.known: dict[str, tuple | None] = {}
         self.old: dict[str, tuple | None] = {}
 
@@ -139,20 +204,34 @@ class _Hits:
                 parts.append(w)
         if not parts:
             return
-        codes = _codes(parts)
-        bits = _pair_bits(codes, 3)
-        near = [np.flatnonzero(np.bitwise_count(bits & own) >= need) for own, need in zip(self.bits, self.need, strict=True)]
-        rows, marks = np.concatenate(near), np.repeat(np.arange(len(near)), [len(x) for x in near])
-        parts_at, back = np.unique(rows, return_inverse=True)
-        selves = np.concatenate([kernel(codes[parts_at[i : i + 20_000]], codes[parts_at[i : i + 20_000]]) for i in range(0, len(parts_at), 20_000)] + [np.zeros(0)])
-        values = _likeness(codes[rows], self.codes[marks], selves[back], self.selves[marks])
         best: dict[int, dict[int, float]] = {}
-        for k in np.flatnonzero(values >= NEAR).tolist():
-            found = best.setdefault(owners[rows[k]], {})
-            found[int(marks[k])] = max(found.get(int(marks[k]), 0.0), float(values[k]))
+        for width in (WINDOW, WIDE):
+            at = [k for k, w in enumerate(parts) if (len(w) > WINDOW) == (width == WIDE)]
+            for start in range(0, len(at), 4_000):
+                block = at[start : start + 4_000]
+                for k, mark, value in self._near([parts[x] for x in block], width):
+                    found = best.setdefault(owners[block[k]], {})
+                    found[mark] = max(found.get(mark, 0.0), value)
         for k, found in best.items():
             self.known.update(dict.fromkeys(forms[bare[k]], tuple(found.items())))
 
+    def _near(self, words: list[str], width: int) -> Iterator[tuple[int, int, float]]:
+        """(word, landmark, similarity) wherever the similarity is at least NEAR."""
+        codes = _codes(words, width)
+        dots = self.index.dots(codes)
+        least = _LEAST[(codes > 0).sum(1)]
+        rows, marks = np.nonzero(dots >= (NEAR - 1e-4) * np.sqrt(np.maximum(least[:, None] * self.selves, 1e-12)))
+        different, back = np.unique(rows, return_inverse=True)
+        values = dots[rows, marks] / np.sqrt(np.maximum(_selves(codes[different])[back] * self.selves[marks], 1e-12))
+        for k in np.flatnonzero(values >= NEAR).tolist():
+            yield int(rows[k]), int(marks[k]), float(values[k])
+        # each subsequence of a landmark with n letters put in weighs DECAY ** n of its own weight at least
+        rows, marks = np.nonzero(dots >= 0.999 * DECAY**self.most * self.selves)
+        for k, mark in zip(rows.tolist(), marks.tolist(), strict=True):
+            spans = [len(m.group(1)) - self.lengths[mark] for m in self.stretched[mark].finditer(words[k])]
+            if spans and (put := int(min(spans))) <= self.most[mark]:
+                yield k, mark, DECAY ** (put / int(self.lengths[mark]))
+
     def of(self, texts: list[str]) -> Iterator[list[np.ndarray]]:
         """For each text, the similarities of its sentences that have a hit."""
         for start in range(0, len(texts), 1000):
@@ -166,7 +245,7 @@ class _Hits:
         out, row = [], None
         for word in words:
             for j, value in self.known[word] or ():
-                row = np.zeros(len(self.bits), np.float32) if row is None else row
+                row = np.zeros(len(self.codes), np.float32) if row is None else row
                 row[j] = max(row[j], value)
             if row is not None and word[-1] in ".!?":
                 out.append(row)
