@@ -3,8 +3,8 @@
 The lexicon holds the terms that occur in a share of the documents between LOW and HIGH, so it has at most
 (mean distinct terms of a document) / LOW terms whatever the corpus, and never more than LEXICON. It is
 packed into one row and handed to every task. A fingerprint is the hash of all of a text's lexicon terms
-and, for several scales, of its terms in each of some randomised lexicon subsets of one in 8, 64, 256 or
-1024 terms. Likeness is the share of agreeing subsets, at the finest scale that the two texts populate.
+and, for several scales, of its terms in each of some randomised lexicon subsets of one in 8 to
+65536 terms; the sparsest serves texts of any size. Likeness is the share of agreeing subsets, at the finest scale that the two texts populate.
 
 Documents are put in order of their ids in blocks: each block also gets the first row of the block that
 follows, so one shuffle of the texts serves and no window spans the table. Everything is DataFrame
@@ -26,9 +26,11 @@ from .common import key_bitmap, staged, text_or_empty, with_flag
 LOW, HIGH = 0.002, 0.05
 LEXICON = 200_000
 #: (one in so many terms, so many subsets), coarse to fine.
-SCALES = ((8, 8), (64, 16), (256, 32), (1024, 32))
-#: A scale serves texts of at most so many times as many terms.
+SCALES = ((8, 8), (64, 16), (256, 32), (1024, 32), (4096, 32), (16384, 32), (65536, 32))
+#: A scale serves texts of at most so many times as many terms; the last one has no limit.
 DENSE = 8
+#: The scales from LARGE on serve only texts of at least one term for so many of theirs: smaller ones can't populate them.
+LARGE, SPARSE = 4, 64
 #: Subsets that two texts must populate for a scale to tell.
 POPULATED = 6
 EMPTY = "d41d"  # the start of the hash of no terms
@@ -58,10 +60,12 @@ def lexicon(rows: DataFrame, text: Column) -> DataFrame:
 
 
 def _inside(s: int) -> Column:
-    """(subset, term) of the hashed terms in the subsets that scale `s` uses; none if the text has too many terms for it."""
+    """(subset, term) of the hashed terms in the subsets that scale `s` uses; none if the text has too many or few terms for it."""
     every, subsets = SCALES[s]
     parts = F.transform("_hashed", lambda x: F.struct(F.pmod(F.shiftright(x["h"], 5 * s), F.lit(every)).cast("int").alias("p"), x["t"].alias("t")))
-    return F.when(F.size("_hashed") <= DENSE * every, F.filter(parts, lambda x: x["p"] < subsets)).otherwise(F.array().cast("array<struct<p:int,t:string>>"))
+    served = F.size("_hashed") <= DENSE * every if s < len(SCALES) - 1 else F.lit(True)
+    served = served & (F.size("_hashed") * SPARSE >= every) if s >= LARGE else served
+    return F.when(served, F.filter(parts, lambda x: x["p"] < subsets)).otherwise(F.array().cast("array<struct<p:int,t:string>>"))
 
 
 def _hashes(s: int) -> Column:
@@ -71,20 +75,22 @@ def _hashes(s: int) -> Column:
 
 
 def with_fingerprint(df: DataFrame, text: str, name: str, words: DataFrame) -> DataFrame:
-    """`df` with `name`, under the lexicon `words`: an array of arrays of hash beginnings, one for each of SCALES, and `name`_all, the hash over all terms."""
+    """`df` with `name`, under the lexicon `words`: an array of arrays of hash beginnings, one for each of SCALES (empty if one from LARGE on is not populated), and `name`_all, the hash over all terms."""
     inside = lambda t: F.array_contains(F.element_at(F.col("_lexicon"), (F.pmod(F.xxhash64(t), F.lit(BUCKETS)) + 1).cast("int")), F.xxhash64(t))
     out = df.withColumn("_terms", terms(F.col(text)))
     out = out.withColumn("_lexicon", words.scalar()).withColumn("_band", F.filter("_terms", inside)).drop("_lexicon")
     out = out.withColumn("_kept", F.sort_array(F.when(F.size("_band") > 0, F.col("_band")).otherwise(F.col("_terms")))).drop("_terms", "_band")
-    out = out.withColumn("_hashed", F.transform("_kept", lambda t: F.struct(F.conv(F.substring(F.md5(t.cast("binary")), 1, 8), 16, 10).cast("bigint").alias("h"), t.alias("t"))))
+    out = out.withColumn("_hashed", F.transform("_kept", lambda t: F.struct(F.conv(F.substring(F.md5(t.cast("binary")), 1, 15), 16, 10).cast("bigint").alias("h"), t.alias("t"))))
     out = out.withColumns({f"_scale{s}": _inside(s) for s in range(len(SCALES))})
-    parts = [F.when(F.size(f"_scale{s}") > 0, _hashes(s)).otherwise(F.array_repeat(F.lit(EMPTY), SCALES[s][1])) for s in range(len(SCALES))]
+    parts = [F.when(F.size(f"_scale{s}") > 0, _hashes(s)).otherwise(F.array_repeat(F.lit(EMPTY), SCALES[s][1] if s < LARGE else 0)) for s in range(len(SCALES))]
     whole = F.md5(F.array_join("_kept", " ").cast("binary"))
     return out.withColumns({name: F.array(*parts), f"{name}_all": whole}).drop("_kept", "_hashed", *(f"_scale{s}" for s in range(len(SCALES))))
 
 
 def as_text(name: str) -> Column:
-    return F.concat(F.col(f"{name}_all"), F.array_join(F.flatten(name), ""))
+    empty = F.array(*(F.lit(EMPTY * subsets) for _, subsets in SCALES))
+    parts = F.zip_with(name, empty, lambda x, e: F.when(F.size(x) > 0, F.array_join(x, "")).otherwise(e))
+    return F.concat(F.col(f"{name}_all"), F.array_join(parts, ""))
 
 
 def likeness(left: str, right: str) -> Column:
@@ -93,7 +99,7 @@ def likeness(left: str, right: str) -> Column:
     for s in range(len(SCALES)):
         a, b = F.col(left)[s], F.col(right)[s]
         agree = F.size(F.filter(F.zip_with(a, b, lambda x, y: (x == y) & (x != EMPTY)), lambda x: x)).cast("double")
-        used = F.size(F.filter(F.zip_with(a, b, lambda x, y: (x != EMPTY) | (y != EMPTY)), lambda x: x))
+        used = F.size(F.filter(F.zip_with(a, b, lambda x, y: (F.coalesce(x, F.lit(EMPTY)) != EMPTY) | (F.coalesce(y, F.lit(EMPTY)) != EMPTY)), lambda x: x))
         share = agree / F.greatest(used, F.lit(1))
         out = share if out is None else F.when(used >= POPULATED, share).otherwise(out)
     return F.when(F.col(f"{left}_all") == F.col(f"{right}_all"), 1.0).otherwise(out)

@@ -55,6 +55,15 @@ def test_odd_rows_and_empty_tables(spark, name):
     assert empty.collect() == [] and empty.dtypes == found.dtypes
 
 
+@pytest.mark.parametrize("n, more", [(20_000, 20_000), (8190, 8200)])
+def test_fingerprints_of_very_long_texts(spark, n, more):
+    words = [f"t{i}" for i in range(more)]
+    edit = [w if i % 100 else f"e{i}" for i, w in enumerate(words)]
+    found = table(imatch.fingerprints(docs(spark, [(2, " ".join(words[:n])), (1, " ".join(edit))])), "id")
+    assert found[2]["near_next"] >= 0.75 and found[2]["near_edited"] > 0.1
+    assert len({len(found[k][c]) for k in (1, 2) for c in ("fingerprint", "edited_fingerprint")}) == 1
+
+
 def test_fingerprints_follow_the_next_document(spark):
     rng = random.Random(4)
     words = [f"w{i}" for i in range(400)]
