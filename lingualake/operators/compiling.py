@@ -6,10 +6,16 @@ leaves nothing, `drop` takes the whole section away.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..sources import json_files
+
+_CUT = "\x00cut\x00"  # no JSON string has raw control characters
 
 
 def _joined(rows: DataFrame, part: Column, separator: str, *carry: Column) -> DataFrame:
@@ -75,28 +81,61 @@ def clean_commas(text: Column) -> Column:
     return F.regexp_replace(once, r",(\s*,)+", ",")
 
 
-def _ancestors(path: Column) -> Column:
-    """The paths that a path may lie in: its beginnings up to each dot that is not escaped."""
-    parts = F.split(path, r"(?<!\\)\.")
-    return F.transform(F.filter(F.sequence(F.lit(0), F.size(parts)), lambda i: i < F.size(parts) - 1), lambda i: F.array_join(F.slice(parts, F.lit(1), i + 1), "."))
+def _cuts(items: list[tuple[int, int, bool]]) -> Iterator[tuple[int, int]]:
+    """The spans to cut for the removed ones of a container's items (start, end, removed), each with one comma."""
+    kept = False
+    for k, (start, end, gone) in enumerate(items):
+        if gone and kept:
+            yield items[k - 1][1], end
+        elif gone:
+            yield start, items[k + 1][0] if k + 1 < len(items) else end
+        kept = kept or not gone
+
+
+def _pruned(text: str) -> str:
+    """JSON text without the strings _CUT, and without the containers other than the root that hold nothing else, at any depth."""
+    cuts: list[tuple[int, int]] = []
+    stack: list[list] = []  # [kind, start of its item, items, start of the key at hand]
+    for m in json_files.TOKEN.finditer(text):
+        token, start = m.group(), m.start()
+        if token in ":,":
+            continue
+        if token in "}]":
+            if not stack:
+                break
+            _, start, items, _ = stack.pop()
+            gone = bool(items) and all(x[2] for x in items) and bool(stack)
+            if not gone:
+                cuts += _cuts(items)
+        else:
+            top = stack[-1] if stack else None
+            if top and top[0] == "{" and top[3] is None:
+                top[3] = start
+                continue
+            start = top[3] if top and top[0] == "{" else start
+            if token in "{[":
+                stack.append([token, start, [], None])
+                continue
+            gone = token == f'"{_CUT}"'
+        if stack:
+            stack[-1][2].append((start, m.end(), gone))
+            stack[-1][3] = None
+    out, last = [], 0
+    for start, end in sorted(cuts):
+        out.append(text[last:start])
+        last = end
+    return "".join([*out, text[last:]])
+
+
+def _prune(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        contents = [t if t is None or _CUT not in t else _pruned(t) for t in batch.column("content").to_pylist()]
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(contents, pa.string())], ["doc_id", "content"])
 
 
 def compile_members(files: DataFrame, nodes: DataFrame, units: DataFrame, translations: DataFrame) -> DataFrame:
-    """JSON documents with translations in place; members without one go, and containers that lose all their members too."""
+    """JSON documents with translations in place; members and list items without one go, and containers that lose all they hold too, at any depth. The root stays."""
     known = units.join(translations.select("doc_id", "placeholder", "text"), ["doc_id", "placeholder"], "left")
-    kept = known.filter("text is not null")
-    gone = known.filter("text is null")
-    parents = nodes.filter("kind in ('dict', 'list') and path is not null").select("doc_id", F.col("path").alias("holder"))
-    holders = lambda rows: rows.select("doc_id", F.explode(_ancestors(F.col("key"))).alias("path")).distinct()
-    had = holders(gone).join(holders(kept), ["doc_id", "path"], "left_anti").join(parents.withColumnRenamed("holder", "path"), ["doc_id", "path"], "left_semi")
-    removed = gone.select("doc_id", F.col("key").alias("path")).union(had).distinct()
-    spans = nodes.join(removed, ["doc_id", "path"]).select("doc_id", "start", "end", "kind")
-    cut = spans.withColumns({"placeholder": F.lit("\x00cut\x00")})
-    put = known.filter("text is not null").select("doc_id", "start", "end", "placeholder")
-    leaf = cut.filter("kind = 'string'").select("doc_id", "start", "end", "placeholder")
-    marked = compile_slots(files, put.unionByName(leaf), translations.withColumn("ord", F.lit(0)))
-    member = F.regexp_replace("content", r'"(?:[^"\\]|\\.)*"\s*:\s*"\x00cut\x00"', "")
-    emptied = clean_commas(member)
-    for _ in range(3):  # an emptied object leaves its own member, up to three levels up
-        emptied = clean_commas(F.regexp_replace(emptied, r'"(?:[^"\\]|\\.)*"\s*:\s*\{\s*\}', ""))
-    return marked.select("doc_id", emptied.alias("content"))
+    put = known.select("doc_id", "start", "end", F.when(F.col("text").isNull(), _CUT).otherwise(F.col("placeholder")).alias("placeholder"))
+    marked = compile_slots(files, put, translations.withColumn("ord", F.lit(0)))
+    return marked.select("doc_id", "content").mapInArrow(_prune, marked.select("doc_id", "content").schema)

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 
 NODES = "seq int, path string, parent string, name string, kind string, value string, start int, end int, line int"
-_TOKEN = re.compile(r'"(?:[^"\\]|\\.)*"|[{}\[\],:]|[^\s{}\[\],:"]+', re.S)
+TOKEN = re.compile(r'"(?:[^"\\]|\\.)*"|[{}\[\],:]|[^\s{}\[\],:"]+', re.S)
 _PLURAL = r"^\s*\{\s*([A-Za-z_\d-]+)\s*,\s*plural\s*,\s*(.*)\}\s*$"
 _FORM = r"(\S+?)\s*(\{(?:[^{}]|\{(?:[^{}]|\{[^{}]*\})*\})*\})"
 
@@ -25,7 +25,7 @@ _FORM = r"(\S+?)\s*(\{(?:[^{}]|\{(?:[^{}]|\{[^{}]*\})*\})*\})"
 def _nodes_of(text: str) -> Iterator[tuple]:
     """The nodes of one document, containers before what they hold."""
     stack: list[list] = []  # [kind, path, next index, key]
-    for seq, m in enumerate(_TOKEN.finditer(text)):
+    for seq, m in enumerate(TOKEN.finditer(text)):
         token = m.group()
         if token in ":,":
             if token == ",":

@@ -104,3 +104,11 @@ def test_scalar_functions(spark):
     assert one(spark, T.unescape_po_key(T.escape_po_key(F.lit("a\\:b")))) == "a\\:b"
     assert one(spark, T.escape_ampersands(F.lit("a & b &amp; &#12;"))) == "a &amp; b &amp; &#12;"
     assert one(spark, compiling.serialize_plural(F.create_map(F.lit(5), F.lit("b"), F.lit(1), F.lit("a")))) == "one {a} other {b}"
+
+
+def test_pruning_at_any_depth_and_in_lists(spark):
+    docs = files(spark, '{"a": {"b": {"c": {"d": {"e": "x"}}}}, "l": ["x", "y", {"m": ["x"]}, "x"], "n": [["x"], {"o": "x"}], "p": {}, "q": "y, , {, z"}', '{"a": ["x", 1, "x"], "b": {"c": "x", "d": 2}}', '{"a": {"b": ["x"]}}')
+    units = json_files.key_value_units(docs)
+    told = units.filter("value <> 'x'").select("doc_id", "placeholder", F.upper("value").alias("text"))
+    found = rows(compiling.compile_members(docs, json_files.nodes(docs), units, told), "doc_id", "content")
+    assert found == [(0, '{"l": ["Y"], "p": {}, "q": "Y, , {, Z"}'), (1, '{"a": [1], "b": {"d": 2}}'), (2, "{}")]
