@@ -19,7 +19,7 @@ from ..functions import text as T
 NODES = "seq int, path string, parent string, name string, kind string, value string, start int, end int, line int"
 TOKEN = re.compile(r'"(?:[^"\\]|\\.)*"|[{}\[\],:]|[^\s{}\[\],:"]+', re.S)
 _PLURAL = r"^\s*\{\s*([A-Za-z_\d-]+)\s*,\s*plural\s*,\s*(.*)\}\s*$"
-_FORM = r"(\S+?)\s*(\{(?:[^{}]|\{(?:[^{}]|\{[^{}]*\})*\})*\})"
+_BRACES = r"(?<=[{}])|(?=[{}])"
 
 
 def _nodes_of(text: str) -> Iterator[tuple]:
@@ -67,11 +67,25 @@ def nodes(files: DataFrame) -> DataFrame:
     return files.select("doc_id", "content").mapInArrow(_walk, f"doc_id {files.schema['doc_id'].dataType.simpleString()}, {NODES}")
 
 
+def _next_form(state: Column, piece: Column) -> Column:
+    """The state of plural_forms after a piece, which is a brace or the text between two."""
+    opening, closing = piece == "{", (piece == "}") & (state["depth"] > 0)
+    done, inside = closing & (state["depth"] == 1), opening | (state["depth"] > 0)
+    form = F.concat(state["form"], piece)
+    found = F.struct(F.regexp_extract(state["before"], r"(\S+)\s*$", 1).alias("name"), form.alias("form"))
+    return F.struct(
+        (state["depth"] + opening.cast("int") - closing.cast("int")).alias("depth"),
+        F.when(done, "").when(inside, state["before"]).otherwise(F.concat(state["before"], piece)).alias("before"),
+        F.when(inside & ~done, form).otherwise("").alias("form"),
+        F.when(done, F.concat(state["forms"], F.array(found))).otherwise(state["forms"]).alias("forms"),
+    )
+
+
 def plural_forms(text: Column) -> Column:
-    """The (rule name, braced text) structs of an ICU plural, null for other texts; braces nest up to three deep inside."""
-    body = F.regexp_extract(text, _PLURAL, 2)
-    names, forms = F.regexp_extract_all(body, F.lit(_FORM), F.lit(1)), F.regexp_extract_all(body, F.lit(_FORM), F.lit(2))
-    return F.when(text.rlike(_PLURAL), F.arrays_zip(names.alias("name"), forms.alias("form")))
+    """The (rule name, braced text) structs of an ICU plural, null for other texts; braces nest to any depth."""
+    start = F.struct(F.lit(0).alias("depth"), F.lit("").alias("before"), F.lit("").alias("form"), F.array().cast("array<struct<name:string,form:string>>").alias("forms"))
+    forms = F.aggregate(F.split(F.regexp_extract(text, _PLURAL, 2), _BRACES), start, _next_form, lambda x: x["forms"])
+    return F.when(text.rlike(_PLURAL), forms)
 
 
 def with_plurals(rows: DataFrame, numeric: bool = False) -> DataFrame:

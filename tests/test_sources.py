@@ -112,3 +112,11 @@ def test_pruning_at_any_depth_and_in_lists(spark):
     told = units.filter("value <> 'x'").select("doc_id", "placeholder", F.upper("value").alias("text"))
     found = rows(compiling.compile_members(docs, json_files.nodes(docs), units, told), "doc_id", "content")
     assert found == [(0, '{"l": ["Y"], "p": {}, "q": "Y, , {, Z"}'), (1, '{"a": [1], "b": {"d": 2}}'), (2, "{}")]
+
+
+def test_plurals_with_nested_selects(spark):
+    one, other = "{g, select, male {He has {n} tip} other {They}}", "{a {b {c {d {e} f}}}} it's"
+    docs = files(spark, '{"k": "{n, plural, one {%s} other {%s}}", "u": "{n, plural, one {a { b} other {c}}", "v": "{n, plural, some {a} other {c}}"}' % (one, other))
+    found = rows(json_files.key_value_units(docs), "key", "pluralized", F.try_element_at("strings", F.lit(1)), F.substring("placeholder", -2, 2))
+    assert [x[:2] for x in found] == [("k", True), ("u", False), ("v", False)] and found[0][2] == one and found[0][3] == "pl"
+    assert json_files.key_value_units(docs).filter("key = 'k'").first()["strings"] == {1: one, 5: other}
