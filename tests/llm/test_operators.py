@@ -281,27 +281,6 @@ def test_toxicity_tolerates_insertions(spark):
     assert [found[i]["score"] >= 0.7 for i in range(1, 7)] == [False, True, True, True, True, False]
 
 
-def test_toxicity_reads_through_put_in_and_repeated_letters():
-    marks = ["stupid", "pathetic", "worthles", "idiot", "moron", "trash"]
-    hits = toxicity._Hits(marks)
-    twice = lambda word, n=2: "".join(c * n for c in word)
-    told = {twice("stupid"): 0, twice("pathetic"): 1, twice("worthless"): 2, "paaatheeetiiic": 1, "iiidiiiooottt": 3, twice("pathetic", 5): 1, "idxioxt": 3, "moxroxn": 4, "trxasxh": 5, "paxthextxic": 1, "xyzqidxioxtqzyx": 3, "longprefix" + twice("stupid") + "tail": 0}
-    hits.learn({*told, "table", "threads"})
-    for word, mark in told.items():
-        assert dict(hits.known[word] or ()).get(mark, 0) >= 0.8, word
-    assert not hits.known["table"] and not hits.known["threads"]
-
-
-def test_toxicity_finds_every_near_word():
-    rng = random.Random(9)
-    marks = ["gromlik", "blatfen", "abab", "éclat"]
-    words = sorted({"".join(rng.choices("abgromlikétfenc", k=rng.randint(3, 8))) for _ in range(3000)} | {m[:k] + c + m[k:] for m in marks for k in range(8) for c in "xyab" if len(m) < 8})
-    full = toxicity.similarities(words, marks)
-    found = {(k, m): v for k, m, v in toxicity._Hits(marks)._near(words, toxicity.WINDOW)}
-    for k, m in zip(*np.nonzero(full >= toxicity.NEAR + 1e-3), strict=True):
-        assert found[k, m] >= full[k, m] - 1e-3
-
-
 def test_models_without_labels(spark):
     frame = docs(spark, ODD)
     none = spark.createDataFrame([], "doc_id bigint, toxic int, quality int")
