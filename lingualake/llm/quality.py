@@ -1,9 +1,9 @@
 """A quality classifier as a sparse rule ensemble over text statistics.
 
-Statistics are column expressions. A random forest on a bounded sample of labelled rows proposes rules:
-every path from a root down to a node is a conjunction of bounds. Lasso logistic regression on the rules
-keeps few of them, and the kept rules with their weights become one column expression, so scoring
-is a scan without a shuffle or Python.
+Statistics are column expressions. The statistics of a bounded sample of labelled rows, SAMPLE rows of
+numbers at most, come to the driver. There a random forest proposes rules: every path from a root down to
+a node is a conjunction of bounds. Lasso logistic regression on the rules keeps few of them, and the kept
+rules with their weights become one column expression, so scoring is a scan without a shuffle or Python.
 
 Cases: a null or empty text has zero statistics and gets a score from them. Labels other than 0 and 1 and
 labels without a document are left out; of repeated labels the greater counts. Without labels of both
@@ -17,17 +17,18 @@ import math
 from dataclasses import dataclass, field
 from functools import reduce
 
-from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
-from pyspark.ml.functions import array_to_vector
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE, staged, text_or_empty
+from .common import SPACE, text_or_empty
 
 #: At most so many labelled rows are learned from, those with the smallest hashed ids.
 SAMPLE = 20_000
 TREES, DEPTH = 20, 4
-LASSO = 0.001
+#: Statistics that a node tries, and cuts of each.
+TRIED, BINS = 4, 64
+LASSO, STEPS = 0.001, 4000
 SEED = 7
 STATISTICS = ("chars", "words", "word_chars", "distinct_words", "capitals", "digits", "symbols", "bars", "bangs", "stops", "short_words", "long_words", "lines", "distinct_lines", "line_chars")
 
@@ -64,6 +65,14 @@ class Rule:
         tests = [t for name, low, high in self.bounds for t in ([F.col(f"s_{name}") > low] if low > float("-inf") else []) + ([F.col(f"s_{name}") <= high] if high < float("inf") else [])]
         return reduce(lambda a, b: a & b, tests)
 
+    def holds(self, values: np.ndarray) -> np.ndarray:
+        """For which rows of STATISTICS the rule holds."""
+        out = np.ones(len(values), bool)
+        for name, low, high in self.bounds:
+            own = values[:, STATISTICS.index(name)]
+            out &= (own > low) & (own <= high)
+        return out
+
 
 @dataclass(frozen=True)
 class Model:
@@ -76,14 +85,60 @@ class Model:
         return 1 / (1 + F.exp(-total))
 
 
-def _rules(node, path: dict[str, tuple[float, float]]) -> list[Rule]:
-    """The rules of a tree's nodes, from its root's JVM object down."""
+def _paths(x: np.ndarray, y: np.ndarray, weight: np.ndarray, cuts: list[np.ndarray], rng: np.random.Generator, least: float, path: dict, depth: int) -> list[Rule]:
+    """The rules of a tree's nodes, from the one that holds these rows down; `x` has the number of cuts under each value."""
     found = [Rule(tuple((k, *v) for k, v in sorted(path.items())))] if path else []
-    if node.subtreeDepth() == 0:
+    if not depth or not len(y) or y.min() == y.max():
+        return found
+    best = (0.0, 0, 0)
+    for k in rng.choice(len(STATISTICS), TRIED, replace=False):
+        n, good = (np.bincount(x[:, k], w, len(cuts[k]) + 1) for w in (weight, weight * y))
+        left, left_good = n.cumsum()[:-1], good.cumsum()[:-1]
+        right, right_good = n.sum() - left, good.sum() - left_good
+        with np.errstate(divide="ignore", invalid="ignore"):
+            impurity = left_good * (left - left_good) / left + right_good * (right - right_good) / right
+        gain = np.where((left >= least) & (right >= least), good.sum() * (1 - good.sum() / n.sum()) - impurity, 0.0)
+        if len(gain) and gain.max() > best[0]:
+            best = (float(gain.max()), int(k), int(gain.argmax()))
+    gain, k, at = best
+    if gain <= 1e-9:
         return found
-    name, cut = STATISTICS[node.split().featureIndex()], node.split().threshold()
+    name, cut = STATISTICS[k], float(cuts[k][at])
     low, high = path.get(name, (float("-inf"), float("inf")))
-    return found + _rules(node.leftChild(), path | {name: (low, min(high, cut))}) + _rules(node.rightChild(), path | {name: (max(low, cut), high)})
+    below = x[:, k] <= at
+    for side, bounds in ((below, (low, min(high, cut))), (~below, (max(low, cut), high))):
+        found += _paths(x[side], y[side], weight[side], cuts, rng, least, path | {name: bounds}, depth - 1)
+    return found
+
+
+def _forest(values: np.ndarray, y: np.ndarray) -> list[Rule]:
+    """The distinct rules of TREES trees, each grown on rows drawn with replacement."""
+    cuts = [np.unique(np.quantile(v, np.linspace(0, 1, BINS + 1)[1:-1], method="lower")) for v in values.T]
+    x = np.stack([np.searchsorted(c, v, side="left") for c, v in zip(cuts, values.T, strict=True)], 1)
+    rng = np.random.default_rng(SEED)
+    found: dict[Rule, None] = {}
+    for _ in range(TREES):
+        weight = rng.poisson(1.0, len(y)).astype(float)
+        drawn = weight > 0
+        found |= dict.fromkeys(_paths(x[drawn], y[drawn], weight[drawn], cuts, rng, max(2, len(y) // 500), {}, DEPTH))
+    return list(found)
+
+
+def _lasso(held: np.ndarray, y: np.ndarray) -> tuple[float, np.ndarray]:
+    """The intercept and the weights of logistic regression on boolean columns with an L1 penalty, by accelerated proximal steps."""
+    patterns, at = np.unique(np.packbits(held, axis=1), axis=0, return_inverse=True)
+    n, good = (np.bincount(at.reshape(-1), w) / len(y) for w in (None, y))
+    x = np.hstack([np.unpackbits(patterns, axis=1, count=held.shape[1]), np.ones((len(patterns), 1))]).astype(np.float64)
+    penalty = np.array([LASSO] * held.shape[1] + [0.0])
+    step = 4 / max(float(np.linalg.norm(x * np.sqrt(n)[:, None], 2)) ** 2, 1e-9)
+    w = v = np.zeros(x.shape[1])
+    for k in range(1, STEPS):
+        p = 1 / (1 + np.exp(-np.clip(x @ v, -50, 50)))
+        moved = v - step * (x.T @ (n * p - good))
+        after = np.sign(moved) * np.maximum(np.abs(moved) - step * penalty, 0)
+        v = after + (k - 1) / (k + 2) * (after - w)
+        w = after
+    return float(w[-1]), w[:-1]
 
 
 def labelled(labels: DataFrame, label_col: str, id_col: str = "doc_id", limit: int = SAMPLE) -> DataFrame:
@@ -97,21 +152,19 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     chosen = labelled(labels, label_col, id_col)
     texts = docs.select(F.col(id_col).alias("_id"), text_col).join(F.broadcast(chosen), "_id")
     columns = [f"s_{k}" for k in STATISTICS]
-    table = staged(with_statistics(texts, text_col).select("_id", "label", *columns))
-    rows = table.repartition(1).sortWithinPartitions("_id", *columns)  # bounded by SAMPLE; one order for every run
-    n, mean = rows.agg(F.count("*"), F.avg("label")).first()
-    if not n or mean in (0.0, 1.0):
-        p = min(0.999, max(0.001, mean)) if n else 0.5
+    table = with_statistics(texts, text_col).select("label", *columns).toArrow()  # at most SAMPLE rows of numbers
+    data = np.stack([table.column(c).to_numpy() for c in ("label", *columns)], 1)
+    data = data[np.lexsort(data.T[::-1])]  # one order for every run
+    y, values = data[:, 0], data[:, 1:]
+    if not len(y) or y.min() == y.max():
+        p = min(0.999, max(0.001, float(y.mean()))) if len(y) else 0.5
         return Model(math.log(p / (1 - p)))
-    data = rows.select("*", array_to_vector(F.array(*columns)).alias("features")).persist()
-    forest = RandomForestClassifier(numTrees=TREES, maxDepth=DEPTH, maxBins=64, minInstancesPerNode=max(2, n // 500), seed=SEED).fit(data)
-    rules = list(dict.fromkeys(r for tree in forest.trees for r in _rules(tree._java_obj.rootNode(), {})))
-    ruled = data.select("label", array_to_vector(F.array(*(r.column().cast("double") for r in rules))).alias("features")).persist()
-    lasso = LogisticRegression(elasticNetParam=1.0, regParam=LASSO, maxIter=60, standardization=False).fit(ruled)
-    data.unpersist()
-    ruled.unpersist()
-    weights = [(r, float(w)) for r, w in zip(rules, lasso.coefficients.toArray(), strict=True) if abs(w) > 1e-6]
-    return Model(float(lasso.intercept), tuple(weights))
+    rules = _forest(values, y)
+    held = np.stack([r.holds(values) for r in rules], 1) if rules else np.zeros((len(y), 0), bool)
+    first = np.unique(held, axis=1, return_index=True)[1]  # of rules that hold for the same rows one is enough
+    rules, held = [rules[k] for k in sorted(first)], held[:, sorted(first)]
+    intercept, weights = _lasso(held, y)
+    return Model(intercept, tuple((r, float(w)) for r, w in zip(rules, weights, strict=True) if abs(w) > 1e-6))
 
 
 def scored(df: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
