@@ -1,14 +1,15 @@
 """I-Match document fingerprints: hashes of the sorted terms that fall in a band of document frequency.
 
-The lexicon holds the terms that occur in a share of the documents between LOW and HIGH, so it has at most
-(mean distinct terms of a document) / LOW terms whatever the corpus, and never more than LEXICON. It is
+The lexicon holds the terms that occur in a share of the documents between LOW and HIGH; where more than
+LEXICON terms could lie in that band its lower edge is higher, set from the terms' counts, so the lexicon is
+small whatever the corpus. It is
 packed into one row and handed to every task. A fingerprint is the hash of all of a text's lexicon terms
 and, for several scales, of its terms in each of some randomised lexicon subsets of one in 8 to
 65536 terms; the sparsest serves texts of any size. Likeness is the share of agreeing subsets, at the finest scale that the two texts populate.
 
-Documents are put in order of their ids in blocks: each block also gets the first row of the block that
-follows, so one shuffle of the texts serves and no window spans the table. Everything is DataFrame
-functions.
+Documents are put in order of their ids in blocks between quantiles of the ids: each block also gets the
+first row of the block that follows, so one shuffle of the texts serves and no window spans the table.
+Everything is DataFrame functions.
 
 Cases: a null text counts as empty; texts without any term have the fingerprint of no terms. Texts with
 no lexicon term are hashed over all their terms. Rows that share an id are ordered by text. Rows
@@ -21,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import key_bitmap, staged, text_or_empty, with_flag
+from .common import staged, text_or_empty
 
 LOW, HIGH = 0.002, 0.05
 LEXICON = 200_000
@@ -36,8 +37,7 @@ POPULATED = 6
 EMPTY = "d41d"  # the start of the hash of no terms
 BUCKETS = 1 << 12
 BLOCK_ROWS = 512
-SINGLE = 100_000
-HEAD_BITS = 25
+FAN = 256
 
 
 def terms(text: Column) -> Column:
@@ -45,14 +45,16 @@ def terms(text: Column) -> Column:
     return F.array_remove(F.array_distinct(F.split(F.lower(text), r"[^\p{L}\p{N}]+")), "")
 
 
-def lexicon(rows: DataFrame, text: Column) -> DataFrame:
-    """One row `lexicon`: in BUCKETS lists, the hashes of the terms inside the band."""
-    n = rows.count()
+def lexicon(rows: DataFrame, text: Column, n: int) -> DataFrame:
+    """One row `lexicon`: in BUCKETS lists, the hashes of the terms inside the band of the `n` rows.
+
+    The terms of a share LOW or more have `total` places in documents between them, so at most LEXICON of
+    them can have total / LEXICON places or more each: that is the band's lower edge where it is above LOW.
+    """
     counts = rows.select(F.explode(terms(text)).alias("term")).groupBy("term").agg(F.count("*").alias("n"))
     band = staged(counts.filter(F.col("n").between(max(2.0, LOW * n), HIGH * n)))
-    if band.count() > LEXICON:
-        band = band.orderBy(F.desc("n"), "term").limit(LEXICON)
-    hashed = band.select(F.xxhash64("term").alias("h")).withColumn("bucket", F.pmod("h", F.lit(BUCKETS)))
+    total = band.agg(F.sum("n")).first()[0] or 0
+    hashed = band.filter(F.col("n") >= total / LEXICON).select(F.xxhash64("term").alias("h")).withColumn("bucket", F.pmod("h", F.lit(BUCKETS)))
     lists = hashed.groupBy("bucket").agg(F.sort_array(F.collect_list("h")).alias("hs"))
     every = rows.sparkSession.range(BUCKETS).withColumnRenamed("id", "bucket").join(lists, "bucket", "left")
     packed = F.transform(F.sort_array(F.collect_list(F.struct("bucket", F.coalesce("hs", F.array().cast("array<bigint>")).alias("hs")))), lambda x: x["hs"])
@@ -105,31 +107,33 @@ def likeness(left: str, right: str) -> Column:
     return F.when(F.col(f"{left}_all") == F.col(f"{right}_all"), 1.0).otherwise(out)
 
 
-def following(keys: DataFrame) -> DataFrame:
-    """Rows (key, after) of distinct bigint `key`s: the next greater key, null for the last. No window holds more than SINGLE rows or a block's."""
-    if keys.count() <= SINGLE:
-        return keys.withColumn("after", F.lead("key").over(Window.orderBy("key")))
-    blocks = keys.withColumn("block", F.floor(F.col("key") / 256).cast("bigint"))
-    inside = blocks.withColumn("own", F.lead("key").over(Window.partitionBy("block").orderBy("key")))
-    firsts = staged(blocks.groupBy("block").agg(F.min("key").alias("first")))
-    after = following(firsts.select(F.col("block").alias("key"))).withColumnsRenamed({"key": "block", "after": "next"})
-    edge = after.join(firsts.select(F.col("block").alias("next"), F.col("first").alias("edge")), "next", "left").select("block", "edge")
-    return inside.join(edge, "block", "left").select("key", F.coalesce("own", "edge").alias("after"))
+def _once(df: DataFrame) -> DataFrame:
+    """`df`, out of the reach of later filters and projections, which would repeat its nested expressions."""
+    return df.select(F.inline(F.array(F.struct("*"))))
 
 
-def _in_blocks(rows: DataFrame) -> DataFrame:
+def _edges(rows: DataFrame, n: int) -> DataFrame:
+    """One row `edges`: ids that cut the table in blocks of about BLOCK_ROWS, in lists of FAN; at most FAN lists, so blocks grow beyond FAN * FAN."""
+    blocks = min(max(1, -(-n // BLOCK_ROWS)), FAN * FAN)
+    shares = F.split(F.lit(",".join(str(k / blocks) for k in range(blocks))), ",").cast("array<double>")
+    cuts = rows.agg(F.percentile_approx("id", shares, F.lit(max(10_000, 10 * blocks))).alias("cuts"))
+    cuts = cuts.select(F.array_sort(F.array_distinct(F.coalesce("cuts", F.array().cast("array<bigint>")))).alias("cuts"))
+    lists = F.transform(F.sequence(F.lit(0), F.lit((blocks - 1) // FAN)), lambda i: F.slice("cuts", i * FAN + 1, F.lit(FAN)))
+    return staged(cuts.select(F.filter(lists, lambda x: F.size(x) > 0).alias("edges")))
+
+
+def _in_blocks(rows: DataFrame, n: int) -> DataFrame:
     """`rows` (id, text) with block and copy: each block also has a copy of the row that comes after it in descending order of ids."""
-    low, high, n = rows.agg(F.min("id"), F.max("id"), F.count("id")).first()
-    width = max(1, ((high - low + 1) * BLOCK_ROWS) // n) if n else 1
-    block = F.floor((F.col("id") - F.lit(low)) / width).cast("bigint") if n else F.lit(0).cast("bigint")
-    block = F.when(F.col("id").isNull(), -1 - F.pmod(F.xxhash64("text"), F.lit(1024))).otherwise(block)
-    blocked = rows.withColumn("block", block)
-    heads = staged(blocked.filter("id is not null").groupBy("block").agg(F.max("id").alias("id")))
-    first = heads.agg(F.min("block")).first()[0]
-    link = following(heads.select(F.col("block").alias("key"))).select(F.col("key").alias("block"), F.coalesce("after", F.lit(first).cast("bigint")).alias("to"))
-    ids = heads.join(link, "block").select("id", "to")
-    flagged = with_flag(rows, key_bitmap(heads, F.col("id"), HEAD_BITS), F.col("id"), HEAD_BITS, "head").filter("head").drop("head")
-    copies = flagged.join(ids, "id").groupBy("id", "to").agg(F.min("text").alias("text"))
+    below = lambda xs, first: F.size(F.filter(xs, lambda x: first(x) <= F.col("id")))
+    outer = below(F.col("_edges"), lambda x: x[0])
+    inner = below(F.get("_edges", F.greatest(F.col("_outer") - 1, F.lit(0))), lambda x: x)
+    found = rows.withColumn("_edges", _edges(rows, n).scalar()).withColumn("_outer", outer)
+    found = found.withColumn("block", F.when(F.col("_outer") > 0, (F.col("_outer") - 1) * FAN + inner).otherwise(0).cast("bigint")).drop("_edges", "_outer")
+    blocked = found.withColumn("block", F.when(F.col("id").isNull(), -1 - F.pmod(F.xxhash64("text"), F.lit(1024))).otherwise(F.col("block")))
+    heads = staged(blocked.filter("id is not null").groupBy("block").agg(F.max("id").alias("id")))  # at most FAN * FAN + 1 rows
+    order = Window.orderBy("block")
+    links = heads.select("id", F.coalesce(F.lead("block").over(order), F.min("block").over(order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))).alias("to"))
+    copies = rows.join(F.broadcast(links), "id").groupBy("id", "to").agg(F.min("text").alias("text"))
     return blocked.withColumn("copy", F.lit(False)).unionByName(copies.select("id", "text", F.col("to").alias("block"), F.lit(True).alias("copy")))
 
 
@@ -139,13 +143,14 @@ def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     The edited text has the next document's beginning, in descending order of ids, in place of its last third.
     """
     rows = df.select(F.col(id_col).cast("bigint").alias("id"), text_or_empty(text_col).alias("text"))
-    words = lexicon(rows, F.col("text"))
-    signed = with_fingerprint(_in_blocks(rows), "text", "own", words)
+    n = rows.count()
+    words = lexicon(rows, F.col("text"), n)
+    signed = with_fingerprint(_in_blocks(rows, n), "text", "own", words)
     order = Window.partitionBy("block").orderBy("copy", F.desc("id"), "text")
     after = lambda c: F.when(F.col("id").isNotNull(), F.lead(c).over(order))
     paired = signed.withColumns({"next_text": after("text"), "next": after("own"), "next_all": after("own_all")}).filter("not copy")
-    n = F.length("text")
-    third = F.floor(n / 3).cast("int")
-    edited = paired.withColumn("edited", F.concat(F.substring(F.col("text"), F.lit(1), n - third), F.substring(F.coalesce("next_text", F.lit("")), F.lit(1), third)))
-    both = with_fingerprint(edited.drop("next_text"), "edited", "new", words)
-    return both.select("id", n.cast("bigint").alias("n_chars"), "edited", as_text("own").alias("fingerprint"), as_text("new").alias("edited_fingerprint"), likeness("own", "new").alias("near_edited"), likeness("own", "next").alias("near_next"))
+    chars = F.length("text")
+    third = F.floor(chars / 3).cast("int")
+    edited = paired.withColumn("edited", F.concat(F.substring(F.col("text"), F.lit(1), chars - third), F.substring(F.coalesce("next_text", F.lit("")), F.lit(1), third)))
+    both = _once(with_fingerprint(edited.drop("next_text"), "edited", "new", words))
+    return both.select("id", chars.cast("bigint").alias("n_chars"), "edited", as_text("own").alias("fingerprint"), as_text("new").alias("edited_fingerprint"), likeness("own", "new").alias("near_edited"), likeness("own", "next").alias("near_next"))

@@ -5,6 +5,7 @@ import collections
 import hashlib
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -81,11 +82,75 @@ def test_fingerprints_follow_the_next_document(spark):
     assert again[5000]["fingerprint"] == again[0]["fingerprint"]
 
 
-def test_following_goes_through_blocks(spark, monkeypatch):
-    keys = sorted(random.Random(1).sample(range(-10**6, 10**6), 3000))
-    monkeypatch.setattr(imatch, "SINGLE", 100)
-    found = dict(imatch.following(spark.createDataFrame([(k,) for k in keys], "key bigint")).collect())
-    assert found == dict(zip(keys, [*keys[1:], None]))
+def _fingerprint(text, lexicon):
+    """(hash over all terms, hash beginnings for each scale, None for a scale that isn't populated) by hand."""
+    own = {t for t in re.split(r"[^a-z0-9]+", text.lower()) if t}
+    kept = sorted(own & lexicon or own)
+    md5 = lambda words: hashlib.md5(" ".join(words).encode()).hexdigest()
+    scales = []
+    for s, (every, subsets) in enumerate(imatch.SCALES):
+        served = len(kept) <= imatch.DENSE * every if s < len(imatch.SCALES) - 1 else True
+        served = served and (s < imatch.LARGE or len(kept) * imatch.SPARSE >= every)
+        at = [[t for t in kept if (int(hashlib.md5(t.encode()).hexdigest()[:15], 16) >> 5 * s) % every == i] for i in range(subsets)]
+        scales.append([md5(x)[:4] for x in at] if served and any(at) else None)
+    return md5(kept), scales
+
+
+def _like(a, b):
+    if a[0] == b[0]:
+        return 1.0
+    out = None
+    for x, y, (_, subsets) in zip(a[1], b[1], imatch.SCALES):
+        pairs = list(zip(x or ["d41d"] * subsets, y or ["d41d"] * subsets))
+        used = sum(p != ("d41d", "d41d") for p in pairs)
+        if out is None or used >= imatch.POPULATED:
+            out = sum(p == q != "d41d" for p, q in pairs) / max(1, used)
+    return out
+
+
+def test_fingerprints_by_brute_force(spark):
+    rng = random.Random(11)
+    words = [f"w{i}" for i in range(3000)]
+    rows = [(7 * i, " ".join(rng.choices(words, k=rng.choice([3, 40, 300])))) for i in range(120)]
+    rows += [(1, None), (2, "..."), (-(2**63), "a w1"), (2**63 - 1, "w1 w2 w3"), (10**15, " ".join(words))]
+    counts = collections.Counter(t for _, text in rows for t in set((text or "").split()) - {"..."})
+    lexicon = {t for t, n in counts.items() if max(2, imatch.LOW * len(rows)) <= n <= imatch.HIGH * len(rows)}
+    found = table(imatch.fingerprints(docs(spark, rows)), "id")
+    order = [(i, t or "") for i, t in sorted(rows, reverse=True)]
+    for k, (i, text) in enumerate(order):
+        after = order[(k + 1) % len(order)][1]
+        edited = text[: len(text) - len(text) // 3] + after[: len(text) // 3]
+        own, new, other = (_fingerprint(t, lexicon) for t in (text, edited, after))
+        text_of = lambda f: f[0] + "".join("".join(x or ["d41d"] * n) for x, (_, n) in zip(f[1], imatch.SCALES))
+        assert (found[i]["edited"], found[i]["fingerprint"], found[i]["edited_fingerprint"]) == (edited, text_of(own), text_of(new))
+        assert (found[i]["near_edited"], found[i]["near_next"]) == (pytest.approx(_like(own, new)), pytest.approx(_like(own, other)))
+
+
+def test_fingerprint_blocks_stay_small_beside_far_ids(spark, monkeypatch):
+    monkeypatch.setattr(imatch, "BLOCK_ROWS", 50)
+    monkeypatch.setattr(imatch, "FAN", 8)
+    ids = [*range(2000), 2**62, -(2**63), 2**63 - 1]
+    rows = spark.createDataFrame([(i, f"t{i}") for i in ids], "id bigint, text string")
+    blocked = imatch._in_blocks(rows, len(ids)).cache()
+    assert blocked.filter("not copy").count() == len(ids)
+    assert max(r["count"] for r in blocked.groupBy("block").count().collect()) <= 3 * len(ids) / 64
+    firsts = {r["block"]: r["id"] for r in blocked.filter("copy").collect()}
+    owns = collections.defaultdict(list)
+    for r in blocked.filter("not copy").collect():
+        owns[r["block"]].append(r["id"])
+    down = sorted(ids, reverse=True)
+    for block, own in owns.items():
+        at = down.index(min(own))
+        assert sorted(own, reverse=True) == down[at - len(own) + 1 : at + 1] and firsts[block] == down[(at + 1) % len(down)]
+
+
+def test_fingerprints_can_be_filtered(spark):
+    rows = [(i, f"a b c d{i % 7} e{i % 5}") for i in range(200)]
+    found = imatch.fingerprints(docs(spark, rows))
+    every = found.collect()
+    start = time.monotonic()
+    assert found.filter("near_edited < 0.5").count() == sum(r["near_edited"] < 0.5 for r in every)
+    assert time.monotonic() - start < 60
 
 
 def test_exact_groups(spark):
@@ -227,8 +292,11 @@ def test_warc_round_trip_in_chunks(spark):
         assert found[i]["valid"] and found[i]["payload_bytes"] == len(data) and found[i]["payload_digest"] == base64.b32encode(hashlib.sha1(data).digest()).decode()
     assert {i: r["refers_to"] for i, r in found.items()} == {1: None, 2: 1, 3: None, 4: 3, 5: None, None: None}
     assert chunks.filter("chunks > 1").count() == 5 and chunks.agg(F.max(F.length("data"))).first()[0] <= 14
+    assert warc.sound(warc.read_archive(chunks)).count() == len(rows)
     broken = chunks.withColumn("data", F.when(F.col("chunk") == 1, F.lit(b"0123456789")).otherwise(F.col("data")))
     assert not all(r["valid"] for r in warc.read_archive(broken).collect())
+    with pytest.raises(Exception, match="damaged record of page"):
+        warc.sound(warc.read_archive(broken)).collect()
     one = chunks.filter("chunks = 1 and length(data) = 5").select(F.concat("head", "data")).first()
     assert one is None or bytes(one[0]).startswith(b"WARC/1.1\r\nWARC-Type: ")
     assert warc.read_archive(warc.archive(pages.limit(0))).count() == 0
