@@ -1,7 +1,7 @@
 """Line deduplication with two Bloom filters: one for hashes seen once, one for hashes seen twice.
 
 Each task reduces its lines to sorted bit positions of the keys it saw in one document and in several.
-Merged slot by slot, a bit that two tasks have seen joins the twice-seen filter. Only lines whose key
+Merged slot by slot in two rounds, row after row, a bit that two tasks have seen joins the twice-seen filter. Only lines whose key
 is in that filter are shuffled, as 128-bit digests; grouping these decides exactly which keys repeat
 and which document keeps them. Documents that lose a line (found through a bitmap of bounded size) are
 joined with their list; all others pass without a shuffle.
@@ -20,6 +20,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -29,6 +30,8 @@ from .common import key_bitmap, salted_left_join, staged, text_or_empty, with_fl
 #: Bits of a filter: 16 MiB each whatever the input. When they fill up, more lines are confirmed by the shuffle, none is lost.
 FILTER_BITS = 27
 SLOT_BITS = 20
+#: Parts in which a slot's rows are merged before the slot is.
+SALTS = 8
 FLUSH = 1_000_000
 DOC_BITS = 25
 
@@ -52,14 +55,14 @@ def _positions(digests: np.ndarray) -> np.ndarray:
 
 
 def _slots(once: np.ndarray, twice: np.ndarray) -> pa.RecordBatch:
-    """Rows (slot, once, twice) of the sorted distinct positions inside each slot."""
-    rows = []
+    """Rows (slot, task, once, twice) of the sorted distinct positions inside each slot."""
+    rows, task = [], TaskContext.get().partitionId()
     edges = np.arange((1 << (FILTER_BITS - SLOT_BITS)) + 1, dtype=np.uint64) << np.uint64(SLOT_BITS)
     a, b = np.searchsorted(once, edges), np.searchsorted(twice, edges)
     for slot in np.flatnonzero(a[1:] > a[:-1]):
-        rows.append((int(slot), once[a[slot] : a[slot + 1]].tobytes(), twice[b[slot] : b[slot + 1]].tobytes()))
-    columns = list(zip(*rows, strict=True)) or [(), (), ()]
-    return pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int32()), pa.array(columns[1], pa.binary()), pa.array(columns[2], pa.binary())], ["slot", "once", "twice"])
+        rows.append((int(slot), task, once[a[slot] : a[slot + 1]].tobytes(), twice[b[slot] : b[slot + 1]].tobytes()))
+    columns = list(zip(*rows, strict=True)) or [()] * 4
+    return pa.RecordBatch.from_arrays([*(pa.array(c, pa.int32()) for c in columns[:2]), *(pa.array(c, pa.binary()) for c in columns[2:])], ["slot", "task", "once", "twice"])
 
 
 def _seen(min_chars: int):
@@ -81,18 +84,51 @@ def _seen(min_chars: int):
     return run
 
 
-def _merge(frame):
-    """The packed twice-seen bits of one slot."""
-    import pandas as pd
+def _packed(bits: np.ndarray) -> bytes:
+    return zlib.compress(np.packbits(bits, bitorder="little").tobytes(), 1)
 
+
+def _unpacked(data: bytes) -> np.ndarray:
+    return np.unpackbits(np.frombuffer(zlib.decompress(data), np.uint8), bitorder="little").astype(bool)
+
+
+def _merge(packed: bool):
+    """Rows (slot, once, twice) of packed bits, one for each slot of rows sorted by slot, which are read one at a time.
+
+    These hold positions, or packed bits of a merge before.
+    """
     size = 1 << SLOT_BITS
-    seen, again = np.zeros(size, bool), np.zeros(size, bool)
-    for once, twice in zip(frame["once"], frame["twice"], strict=True):
-        at = np.frombuffer(once, np.uint32) & np.uint32(size - 1)
-        again[at[seen[at]]] = True
-        seen[at] = True
-        again[np.frombuffer(twice, np.uint32) & np.uint32(size - 1)] = True
-    return pd.DataFrame({"slot": frame["slot"].iloc[:1], "bits": [zlib.compress(np.packbits(again, bitorder="little").tobytes(), 1)]})
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        current, seen, again = None, np.zeros(size, bool), np.zeros(size, bool)
+        row = lambda: pa.RecordBatch.from_arrays([pa.array([current], pa.int32()), pa.array([_packed(seen)], pa.binary()), pa.array([_packed(again)], pa.binary())], ["slot", "once", "twice"])
+        for batch in batches:
+            for slot, once, twice in zip(*(batch.column(n) for n in ("slot", "once", "twice")), strict=True):
+                if slot.as_py() != current:
+                    if current is not None:
+                        yield row()
+                    current, seen, again = slot.as_py(), np.zeros(size, bool), np.zeros(size, bool)
+                if packed:
+                    own = _unpacked(once.as_py())
+                    again |= _unpacked(twice.as_py()) | (seen & own)
+                    seen |= own
+                else:
+                    at = np.frombuffer(once.as_py(), np.uint32) & np.uint32(size - 1)
+                    again[at[seen[at]]] = True
+                    seen[at] = True
+                    again[np.frombuffer(twice.as_py(), np.uint32) & np.uint32(size - 1)] = True
+        if current is not None:
+            yield row()
+
+    return run
+
+
+def _merged(seen: DataFrame) -> DataFrame:
+    """Rows (slot, once, twice) of packed bits, one for each slot: first the tasks' rows in SALTS parts of a slot, then these."""
+    kind = "slot int, once binary, twice binary"
+    parts = seen.withColumn("salt", F.pmod(F.xxhash64("task"), F.lit(SALTS))).repartition("slot", "salt").sortWithinPartitions("slot", "salt")
+    first = parts.select("slot", "once", "twice").mapInArrow(_merge(False), kind)
+    return first.repartition("slot").sortWithinPartitions("slot").mapInArrow(_merge(True), kind)
 
 
 _LOADED: dict[int, np.ndarray] = {}
@@ -171,9 +207,9 @@ def dedup_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", c
     spark = df.sparkSession
     rows = df.select(F.col(id_col).cast("bigint").alias("_id"), text_or_empty(text_col).cast("binary").alias("_text"), *(F.col(c).alias(f"_carry_{c}") for c in carry))
     known = rows.filter("_id is not null").select("_id", "_text")
-    seen = known.select("_text").mapInArrow(_seen(min_chars), "slot int, once binary, twice binary")
-    merged = seen.groupBy("slot").applyInPandas(_merge, "slot int, bits binary").collect()  # at most 2**(FILTER_BITS - SLOT_BITS) rows
-    shared = _Shared(spark, {r["slot"]: bytes(r["bits"]) for r in merged})
+    seen = known.select("_text").mapInArrow(_seen(min_chars), "slot int, task int, once binary, twice binary")
+    merged = _merged(seen).select("slot", "twice").collect()  # at most 2**(FILTER_BITS - SLOT_BITS) rows
+    shared = _Shared(spark, {r["slot"]: bytes(r["twice"]) for r in merged})
     suspects = staged(known.mapInArrow(_suspects(shared, min_chars), "_id bigint, key binary"))
     repeated = suspects.groupBy("key").agg(F.count_distinct("_id").alias("docs"), F.max("_id").alias("keeper")).filter(F.col("docs") >= min_docs)
     lost = salted_left_join(suspects.distinct(), repeated, "key", "_id").filter("_id <> keeper")
