@@ -19,50 +19,90 @@ def _held_out(parts: int, part: int) -> Column:
 
 
 def op1_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The I-Match fingerprint of every text and of its edited text, and how like they and the next text are.
+
+    Cases: see imatch; repeated ids are ordered by text, null ids have no next document.
+    """
     found = imatch.fingerprints(_documents(spark, sf_dir))
     digest = F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256")
     return found.select(F.col("id").alias("doc_id"), "n_chars", digest, "fingerprint", "edited_fingerprint", "near_edited", "near_next")
 
 
 def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The quality score of every text, learned from the labels that are not held out.
+
+    Cases: see quality; a null id is not held out, and repeated rows are scored each.
+    """
     docs, held = _documents(spark, sf_dir).select("doc_id", "text"), F.coalesce(_held_out(5, 0), F.lit(False))
     model = quality.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet").filter(~_held_out(5, 0)))
     return quality.scored(docs, model).select("doc_id", held.alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
 
 
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The toxicity score of every text, learned from the labels that are not held out.
+
+    Cases: see toxicity; a null id is not held out, and repeated rows are scored each.
+    """
     docs, held = _documents(spark, sf_dir).select("doc_id", "text"), F.coalesce(_held_out(3, 1), F.lit(False))
     model = toxicity.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet").filter(~_held_out(3, 1)))
     return toxicity.scored(docs, model).select("doc_id", held.alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
 
 
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The row that stays for every row of equal texts, and the digest of each normalised text.
+
+    Cases: see exact_dedup; null texts are empty, repeated rows of the staying id are all kept.
+    """
     found = exact_dedup.exact_groups(_documents(spark, sf_dir), hash_all=True)
     return found.select(F.col("id").alias("doc_id"), "keep_id", "group_size", "kept", F.col("sha256").alias("text_sha256"))
 
 
 def op5_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many ids every text has under the piece model, and digests of the ids and of the text decoded from them.
+
+    Cases: see pieces; null texts are empty and have no ids, repeated rows are encoded each.
+    """
     return pieces.digests(_documents(spark, sf_dir), public_tokenizers.path("piece_bpe_32k.model")).withColumnRenamed("id", "doc_id")
 
 
 def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The records of the archive written for all pages, as read back from it; a damaged one is an error.
+
+    Cases: see warc; null payloads are empty, equal payloads are revisits of the smallest id.
+    """
     chunks = staged(warc.archive(spark.read.parquet(f"{sf_dir}/pages.parquet")))
-    return warc.read_archive(chunks).drop("valid")
+    return warc.sound(warc.read_archive(chunks))
 
 
 def op7_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The near-duplicate component of every document.
+
+    Cases: see near_dedup; texts without words are linked with nothing, null ids take no part and are kept.
+    """
     return near_dedup.near_duplicates(_documents(spark, sf_dir)).withColumnRenamed("id", "doc_id")
 
 
 def op8_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The license notices that every text holds.
+
+    Cases: see licenses; null texts hold none, repeated rows match each.
+    """
     return licenses.scan(_documents(spark, sf_dir)).withColumnRenamed("id", "doc_id")
 
 
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where every piece of every document lies in the packed sequences.
+
+    Cases: see packing; a null text is the separator alone, repeated rows are packed each.
+    """
     return packing.pack_documents(_documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"))
 
 
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many lines every document has and loses, and the digest of what stays.
+
+    Cases: see line_dedup; null texts are one empty line, rows without an id lose nothing.
+    """
     done = line_dedup.dedup_lines(_documents(spark, sf_dir))
     return done.select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("kept_text").cast("binary"), 256).alias("kept_sha256"))
 

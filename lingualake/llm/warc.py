@@ -2,9 +2,9 @@
 
 The headers and bytes of an archive's rows, in order of record and chunk number, are a WARC 1.1 file.
 Each row holds at most `chunk_bytes` of payload, the first one of a record also its WARC and HTTP
-headers, the last one also the record's end. Every row carries the SHA-1 of the payload up to its end, so writer and
-reader both hash chunk after chunk and never hold an oversized record whole; a damaged chunk is found
-where it lies. Records of one payload chunk are read where they are, only longer ones are dealt out by
+headers, the last one also the record's end. Every row carries the SHA-1 of the payload up to its end. The
+table's row is cut in pieces before it leaves Spark, and writer and reader both hash piece after piece and
+never hold an oversized record whole; a damaged chunk is found where it lies. Records of one payload chunk are read where they are, only longer ones are dealt out by
 record and sorted.
 
 Payloads that occur twice are found by digest: pages whose digest is not in a bitmap of the repeated
@@ -62,39 +62,23 @@ def _headers(page, url, size: int, digest: str, refers) -> bytes:
     return "".join(["WARC/1.1\r\n", *(f"{k}: {v}\r\n" for k, v in fields.items()), "\r\n", http]).encode()
 
 
-def _chunks(page, url, payload: bytes, refers, chunk_bytes: int) -> Iterator[tuple]:
-    """(chunk, chunks, headers, running digest, bytes) of one record."""
-    body = memoryview(payload if refers is None else b"")
-    pieces = max(1, -(-len(body) // chunk_bytes))
-    whole = hashlib.sha1()
-    for i in range(0, len(payload), chunk_bytes):
-        whole.update(memoryview(payload)[i : i + chunk_bytes])
-    head = _headers(page, url, len(payload), _b32(whole), refers)
+def _write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Chunk rows of payload pieces, which come record by record in order; only the running digest is kept from piece to piece."""
+    record = TaskContext.get().partitionId() << 40
+    names = ("page_id", "url", "size", "digest", "refers_to", "chunks", "chunk", "piece")
     running = hashlib.sha1()
-    for k in range(pieces):
-        piece = body[k * chunk_bytes : (k + 1) * chunk_bytes]
-        running.update(piece)
-        yield k, pieces, None if k else head, _b32(running), bytes(piece) + (_END if k + 1 == pieces else b"")
-
-
-def _write(chunk_bytes: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        record = TaskContext.get().partitionId() << 40
+    for batch in batches:
         rows: list[tuple] = []
-        held = 0
-        for batch in batches:
-            for page, url, payload, refers in zip(*(batch.column(n).to_pylist() for n in ("page_id", "url", "payload", "refers_to")), strict=True):
+        for page, url, size, digest, refers, chunks, chunk, piece in zip(*(batch.column(n).to_pylist() for n in names), strict=True):
+            head = None
+            if not chunk:
                 record += 1
-                for row in _chunks(page, url, payload, refers, chunk_bytes):
-                    rows.append((record, *row))
-                    held += len(row[-1])
-                    if held >= 4 * CHUNK_BYTES:
-                        yield _batch(rows)
-                        rows, held = [], 0
+                running = hashlib.sha1()
+                head = _headers(page, url, size, base64.b32encode(bytes.fromhex(digest)).decode(), refers)
+            running.update(piece)
+            rows.append((record, chunk, chunks, head, _b32(running), piece + (_END if chunk + 1 == chunks else b"")))
         yield _batch(rows)
 
-    return run
-
 
 _CHUNK_SCHEMA = pa.schema([("record", pa.int64()), ("chunk", pa.int32()), ("chunks", pa.int32()), ("head", pa.binary()), ("running", pa.string()), ("data", pa.binary())])
 _RECORD_SCHEMA = pa.schema([("page_id", pa.int64()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64()), ("valid", pa.bool_())])
@@ -112,11 +96,15 @@ def archive(pages: DataFrame, min_revisit_bytes: int = 0, chunk_bytes: int = CHU
     large = rows.filter(F.octet_length("payload") >= min_revisit_bytes)
     first = staged(large.groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).filter("n > 1").drop("n"))
     flagged = with_flag(rows, key_bitmap(first, F.col("digest"), DIGEST_BITS), F.col("digest"), DIGEST_BITS, "twin")
-    alone = flagged.filter("not twin").select("page_id", "url", "payload", F.lit(None).cast("bigint").alias("refers_to"))
+    alone = flagged.filter("not twin").select("page_id", "url", "payload", "digest", F.lit(None).cast("bigint").alias("refers_to"))
     twins = salted_left_join(flagged.filter("twin"), first, "digest", "page_id")
     refers = F.when(F.col("first").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first")), F.col("first"))
-    twins = twins.select("page_id", "url", "payload", refers.alias("refers_to"))
-    return alone.unionByName(twins).mapInArrow(_write(chunk_bytes), CHUNKS)
+    twins = twins.select("page_id", "url", "payload", "digest", refers.alias("refers_to"))
+    size = F.octet_length("payload")
+    pieces = F.when(F.col("refers_to").isNull(), F.greatest(F.lit(1), F.ceil(size / chunk_bytes).cast("int"))).otherwise(1)
+    cut = F.transform(F.sequence(F.lit(0), pieces - 1), lambda i: F.when(F.col("refers_to").isNull(), F.substring(F.col("payload"), i * chunk_bytes + 1, F.lit(chunk_bytes))).otherwise(F.lit(b"")))
+    rows = alone.unionByName(twins).select("page_id", "url", size.cast("bigint").alias("size"), "digest", "refers_to", pieces.alias("chunks"), F.posexplode(cut).alias("chunk", "piece"))
+    return rows.mapInArrow(_write, CHUNKS)
 
 
 def _parse(head: bytes) -> dict:
@@ -150,6 +138,13 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield _batch(out, _RECORD_SCHEMA)
 
 
+def sound(records: DataFrame) -> DataFrame:
+    """`records` of read_archive() without `valid`; a damaged one ends the query with an error that names it."""
+    message = F.concat(F.lit("damaged record of page "), F.coalesce(F.col("page_id").cast("string"), F.lit("null")))
+    digest = F.when(F.col("valid"), F.col("payload_digest")).otherwise(F.raise_error(message))
+    return records.withColumn("payload_digest", digest).drop("valid")
+
+
 def read_archive(chunks: DataFrame) -> DataFrame:
     """One row for each record of a chunk table: page_id, payload_bytes, payload_digest, record_type, refers_to, valid.
 
