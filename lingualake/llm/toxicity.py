@@ -299,7 +299,9 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     flat = Model((), (), 0.0, 0.0, math.log(prior / (1 - prior)))
     if not toxic or not clean:
         return flat
-    landmarks = tuple(_telling(sample.mapInArrow(_vocabulary, "term string, toxic bigint, clean bigint"), toxic, clean))
+    texts = sample.select("label", "_text").distinct()  # copies of a text tell no more than one
+    kinds = {r["label"]: r["n"] for r in texts.groupBy("label").agg(F.count("*").alias("n")).collect()}
+    landmarks = tuple(_telling(texts.mapInArrow(_vocabulary, "term string, toxic bigint, clean bigint"), kinds[1], kinds[0]))
     if not landmarks:
         return flat
     found = sample.mapInArrow(_training_rows(landmarks), f"_id {docs.schema[id_col].dataType.simpleString()}, label int, near array<float>").collect()  # at most 3 rows a sampled document
