@@ -82,7 +82,7 @@ class Templates:
                 for k in range(max(0, (p - size) // step + 1), p // step + 1):
                     if k not in windows.get(t, ()):
                         part = own[k * step : k * step + size] * _FACTORS[f]
-                        if part.min() == own[p] * _FACTORS[f]:
+                        if part.min() == (own[p : p + 1] * _FACTORS[f])[0]:
                             windows.setdefault(t, set()).add(k)
         out = []
         for t, candidates in sorted(windows.items()):
