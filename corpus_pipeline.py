@@ -3,6 +3,11 @@
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written as Parquet and read
 again as the next stage's `docs`; all but the last return the columns of `documents`. The classifiers
 learn from the rows of `labels` that their queries learn from, joined with the stage's own input.
+
+Cases, in each stage: a null text counts as empty; empty and very long texts are scored, cut and packed like
+others. Repeated rows stay or go alike, but near_dedup keeps all rows of the staying id. Rows without an id
+are scored, lose no line, are kept by near_dedup and packed. Only the columns of `documents` come along, so
+clashing names don't matter. An empty table gives empty tables.
 """
 
 from __future__ import annotations
@@ -12,7 +17,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lingualake.llm import line_dedup, near_dedup, packing, quality, toxicity
-from lingualake.llm.common import key_bitmap, staged, with_flag
+from lingualake.llm.common import key_bitmap, release, staged, staged_tables, with_flag
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 QUALITY, TOXIC = 0.3, 0.7
@@ -62,9 +67,11 @@ STAGES = [("quality", keep_quality), ("toxicity", drop_toxic), ("line_dedup", dr
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """The rows of the last stage; a stage's tables go when its result is written."""
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), staged_tables()
     for _, stage in STAGES[:-1]:
         docs = staged(stage(spark, docs, sf_dir))
+        release(spark, set(staged_tables()[:-1]) - set(before))
     return STAGES[-1][1](spark, docs, sf_dir)
 
 
