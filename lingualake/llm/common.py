@@ -5,8 +5,9 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -102,6 +103,21 @@ def salted_left_join(rows: DataFrame, groups: DataFrame, key: str, spread: str,
     return left.join(right, [key, "_salt"], "left").drop("_salt")
 
 
+_HELD: dict[tuple, object] = {}
+
+
+def held(key: tuple, make: Callable):
+    """What `make` gives, kept in a worker from task to task.
+
+    It takes the place of what other operators kept, so a worker holds the state of one operator at a time.
+    """
+    if key not in _HELD:
+        _HELD.clear()
+        pa.default_memory_pool().release_unused()
+        _HELD[key] = make()
+    return _HELD[key]
+
+
 class Remembered(dict):
     """The values of a function by argument, `2 * size` at most; those not asked for lately go first."""
 

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import key_bitmap, salted_left_join, staged, text_or_empty, with_flag
+from .common import held, key_bitmap, salted_left_join, staged, text_or_empty, with_flag
 
 #: Bits of a filter: 16 MiB each whatever the input. When they fill up, more lines are confirmed by the shuffle, none is lost.
 FILTER_BITS = 27
@@ -131,19 +131,17 @@ def _merged(seen: DataFrame) -> DataFrame:
     return first.repartition("slot").sortWithinPartitions("slot").mapInArrow(_merge(True), kind)
 
 
-_LOADED: dict[int, np.ndarray] = {}
-
-
 def _filter(shared) -> np.ndarray:
     """The twice-seen filter as bytes, unpacked once in each worker."""
-    if shared.id not in _LOADED:
-        _LOADED.clear()
+
+    def unpacked() -> np.ndarray:
         bits = np.zeros(1 << (FILTER_BITS - 3), np.uint8)
         for slot, packed in shared.value.items():
             start = slot << (SLOT_BITS - 3)
             bits[start : start + (1 << (SLOT_BITS - 3))] = np.frombuffer(zlib.decompress(packed), np.uint8)
-        _LOADED[shared.id] = bits
-    return _LOADED[shared.id]
+        return bits
+
+    return held(("lines", shared.id), unpacked)
 
 
 class _Shared:

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Remembered, staged, text_or_empty
+from .common import Remembered, held, staged, text_or_empty
 
 CAPACITY = 2048
 #: Rows of one length that one group numbers, about.
@@ -79,13 +79,8 @@ class Words:
             yield b"".join(map(known, own))
 
 
-_WORKER: dict[str, Words] = {}
-
-
 def _words(path: str) -> Words:
-    if path not in _WORKER:
-        _WORKER[path] = Words(path)
-    return _WORKER[path]
+    return held(("packing", path), lambda: Words(path))
 
 
 def _cut(path: str, capacity: int, separator: int):

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Remembered, text_or_empty
+from .common import Remembered, held, text_or_empty
 
 SPACE = "▁"
 #: Segments and pairs that a worker remembers.
@@ -139,15 +139,14 @@ class PieceTable:
         return ",".join(map(str, ids)), segment if text == segment else text
 
 
-_WORKER: dict[str, tuple[PieceTable, Remembered]] = {}
-
-
 def _loaded(path: str) -> tuple[PieceTable, Remembered]:
     """The table of a model and its segments, once in each worker."""
-    if path not in _WORKER:
+
+    def load() -> tuple[PieceTable, Remembered]:
         table = PieceTable(path)
-        _WORKER[path] = table, Remembered(table.both, MEMORY)
-    return _WORKER[path]
+        return table, Remembered(table.both, MEMORY)
+
+    return held(("pieces", path), load)
 
 
 def _encode(path: str):

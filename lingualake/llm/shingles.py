@@ -5,10 +5,10 @@ from __future__ import annotations
 import numpy as np
 import xxhash
 
-from .common import Remembered
+from .common import Remembered, held
 
 WORDS = 5
-_HASHES = Remembered(xxhash.xxh3_64_intdigest, 300_000)
+_MEMORY = 300_000
 _PRIME = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -20,7 +20,8 @@ def mixed(x: np.ndarray) -> np.ndarray:
 
 
 def word_numbers(words: list[bytes]) -> np.ndarray:
-    return np.fromiter(map(_HASHES.__getitem__, words), np.uint64, len(words))
+    known = held(("shingles",), lambda: Remembered(xxhash.xxh3_64_intdigest, _MEMORY))
+    return np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
 
 
 def runs(numbers: np.ndarray, size: int = WORDS) -> np.ndarray:

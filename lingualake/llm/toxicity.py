@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import text_or_empty
+from .common import held, text_or_empty
 
 #: At most so many labelled rows of each kind are learned from, those with the smallest hashed ids.
 SAMPLE_TOXIC, SAMPLE_CLEAN = 5_000, 15_000
@@ -189,14 +189,8 @@ class Model:
         return 1 / (1 + math.exp(-max(-500.0, min(500.0, self.slope * side + self.shift + 0.05 * (margin - side)))))
 
 
-_WORKER: dict[tuple, _Hits] = {}
-
-
 def _hits(landmarks: tuple[str, ...]) -> _Hits:
-    if landmarks not in _WORKER:
-        _WORKER.clear()
-        _WORKER[landmarks] = _Hits(list(landmarks))
-    return _WORKER[landmarks]
+    return held(("toxicity", landmarks), lambda: _Hits(list(landmarks)))
 
 
 def _texts(batch: pa.RecordBatch) -> list[str]:
