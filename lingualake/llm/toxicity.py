@@ -38,7 +38,9 @@ LANDMARKS = 64
 ORDER, DECAY = 3, 0.7
 WINDOW = 8
 NEAR = 0.45
-MEMORY = 300_000
+MEMORY = 200_000
+#: Texts that a worker scores at a time.
+ROWS = 500
 _PUNCTUATION = ".,;:!?\"'()[]{}#$%&*|-"
 _EDGE = re.compile(r"^\W+|\W+$")
 _INSIDE = re.compile(r"[\W_]+")
@@ -155,8 +157,8 @@ class _Hits:
 
     def of(self, texts: list[str]) -> Iterator[list[np.ndarray]]:
         """For each text, the similarities of its sentences that have a hit."""
-        for start in range(0, len(texts), 1000):
-            split = [tokens(t) for t in texts[start : start + 1000]]
+        for start in range(0, len(texts), ROWS):
+            split = [tokens(t) for t in texts[start : start + ROWS]]
             distinct = [set(t) for t in split]
             self.learn(set().union(*distinct))
             for words, own in zip(split, distinct, strict=True):
@@ -228,10 +230,10 @@ def _scores(model: Model):
     weights = np.array(model.weights)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts = [t.lower() for t in batch.column(0).to_pylist()]
+        for part in (b.slice(k, ROWS) for b in batches for k in range(0, b.num_rows, ROWS)):
+            texts = [t.lower() for t in part.column(0).to_pylist()]
             margins = [model.bias + max([0.0, *(float(weights @ r) for r in rows)]) for rows in _hits(model.landmarks).of(texts)] if model.landmarks else [0.0] * len(texts)
-            yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array([model.likelihood(m) for m in margins], pa.float64())], [*batch.schema.names[1:], "score"])
+            yield pa.RecordBatch.from_arrays([*part.columns[1:], pa.array([model.likelihood(m) for m in margins], pa.float64())], [*part.schema.names[1:], "score"])
 
     return run
 
