@@ -55,7 +55,8 @@ def escape_json_key(key: Column) -> Column:
 
 
 def unescape_json_key(key: Column) -> Column:
-    return _replaced(key, ("\\.", "."), ("\\\\", "\\"))
+    """Double backslashes first: two before a dot end as the dot alone."""
+    return _replaced(key, ("\\\\", "\\"), ("\\.", "."))
 
 
 def escape_po_key(key: Column) -> Column:
@@ -100,13 +101,58 @@ def escape_ampersands(text: Column) -> Column:
     return F.regexp_replace(text, r"&(?!(lt|gt|amp|apos|quot|#\d+|#x[0-9a-fA-F]+);)", "&amp;")
 
 
+# The inline tags that Android strings may hold.
+_INLINE_TAGS = "xliff:g|a|annotation|b|em|i|cite|dfn|big|small|font|tt|s|strike|del|u|sup|sub|ul|li|br|div|span|p"
+#: An opening, closing or empty inline tag.
+INLINE = rf"(?s)</?(?:{_INLINE_TAGS})(?:\s[^<>]*)?/?>"
+_CDATA = r"(?s)<!\[CDATA\[.*?\]\]>"
+
+
+def _outside(text: Column, kept: str, change) -> Column:
+    """`text` with `change` applied to each part between the places that match `kept`."""
+    bare = kept.removeprefix("(?s)")
+    parts = F.regexp_extract_all(text, F.lit(rf"(?s){bare}|(?:(?!{bare}).)+"), F.lit(0))
+    return F.array_join(F.transform(parts, lambda x: F.when(x.rlike(rf"(?s)^(?:{bare})$"), x).otherwise(change(x))), "")
+
+
+def _quotes(text: Column) -> Column:
+    return _replaced(text, ('"', '\\"'), ("'", "\\'"))
+
+
+def _unquotes(text: Column) -> Column:
+    return _replaced(text, ("\\'", "'"), ('\\"', '"'))
+
+
 def escape_android(text: Column) -> Column:
-    """Quotes and a leading at sign of plain text, escaped."""
-    return F.regexp_replace(_replaced(text, ("\\", "\\\\"), ('"', '\\"'), ("'", "\\'")), "^@", r"\\\\@")
+    """Quotes outside of inline tags and a leading at sign that names no string, escaped."""
+    return _outside(text, INLINE, lambda x: F.regexp_replace(_quotes(x), "^@(?!string/)", r"\\@"))
 
 
 def unescape_android(text: Column) -> Column:
-    return _replaced(F.regexp_replace(text, r"^\\\\@", "@"), ('\\"', '"'), ("\\'", "'"), ("\\\\", "\\"))
+    """Without the backslash of a leading at sign and those of quotes; a text in double quotes loses these and keeps single quotes' backslashes."""
+    bare = F.regexp_replace(text, r"^\\@", "@")
+    return F.when(bare.rlike(r'(?s)^".*"$'), F.replace(F.regexp_replace(bare, r'(?s)^"|"$', ""), F.lit('\\"'), F.lit('"'))).otherwise(_unquotes(bare))
+
+
+_SPECIAL = (("&", "&amp;"), (">", "&gt;"), ("\n", "\\n"), ("\t", "\\t"), ("@", "\\@"), ("?", "\\?"))
+
+
+def escape_android_special(text: Column) -> Column:
+    return _replaced(text, *_SPECIAL)
+
+
+def escape_android_raw(text: Column) -> Column:
+    """Quotes and special characters escaped; inline tags stay, in CDATA only quotes are escaped."""
+    plain = lambda x: _outside(x, INLINE, lambda y: escape_android_special(escape_android(y)))
+    parts = F.regexp_extract_all(text, F.lit(rf"{_CDATA}|(?:(?!<!\[CDATA\[).)+"), F.lit(0))
+    return F.array_join(F.transform(parts, lambda x: F.when(x.startswith("<![CDATA["), _quotes(x)).otherwise(plain(x))), "")
+
+
+def unescape_android_raw(text: Column) -> Column:
+    """The inverse of escape_android_raw() for what it escapes."""
+    pairs = (("\\?", "?"), ("\\@", "@"), ("\\t", "\t"), ("\\n", "\n"), ("&gt;", ">"), ("&lt;", "<"), ("&amp;", "&"))
+    parts = F.regexp_extract_all(text, F.lit(rf"{_CDATA}|(?:(?!<!\[CDATA\[).)+"), F.lit(0))
+    return F.array_join(F.transform(parts, lambda x: F.when(x.startswith("<![CDATA["), _unquotes(x)).otherwise(_replaced(unescape_android(x), *pairs))), "")
 
 
 def timing(text: Column, separator: str) -> Column:
@@ -127,3 +173,34 @@ def plural_map(entries: Column) -> Column:
     """A map of (rule, text) structs, the last of equal rules winning."""
     last = F.aggregate(entries, F.array().cast("array<struct<rule:int,text:string>>"), lambda acc, e: F.concat(F.filter(acc, lambda a: a["rule"] != e["rule"]), F.array(F.struct(e["rule"].cast("int").alias("rule"), e["text"].alias("text")))))
     return F.map_from_entries(last)
+
+
+def known_rule(name: Column) -> Column:
+    """rule_number(), but a name that is none ends the query."""
+    return F.coalesce(rule_number(name), F.raise_error(F.concat(F.lit("no plural rule: "), F.coalesce(name, F.lit("null")))).cast("int"))
+
+
+def rule_name(number: Column) -> Column:
+    """The name of a plural rule's number; a number that is none ends the query."""
+    names = F.create_map(*(x for k, v in RULES.items() for x in (F.lit(v), F.lit(k))))
+    return F.coalesce(F.try_element_at(names, number), F.raise_error(F.concat(F.lit("no plural rule: "), F.coalesce(number.cast("string"), F.lit("null")))).cast("string"))
+
+
+def plural_placeholders(hashed: Column, rules: Column, syntax: Column) -> Column:
+    """`rule {hash_pl_i}` forms for a language's rule numbers in order; rules that the map `syntax` has are written as it says."""
+    form = lambda rule, i: F.concat(F.coalesce(F.try_element_at(syntax, rule), rule_name(rule)), F.lit(" {"), hashed, F.lit("_pl_"), i.cast("string"), F.lit("}"))
+    return F.array_join(F.transform(rules, form), " ")
+
+
+# The parts of a printf conversion.
+_SPECIFIER = r"%(?:(?:\d+\$|\(\w+\))?[+#\- 0]*(?:\d+)?(?:\.\d+)?(?:hh|h|l|ll|j|z|t|L)?[diufFeEgGxXaAoscpn%])"
+
+
+def specifiers(text: Column) -> Column:
+    """The printf conversions in a text, in order."""
+    return F.regexp_extract_all(text, F.lit(_SPECIFIER), F.lit(0))
+
+
+def decoded(data: Column) -> Column:
+    """Bytes in UTF-8 as text; texts as they are."""
+    return F.decode(data.cast("binary"), "UTF-8")

@@ -6,17 +6,10 @@ leaves nothing, `drop` takes the whole section away.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..sources import json_files
-
-_CUT = "\x00cut\x00"  # no JSON string has raw control characters
-
 
 def _joined(rows: DataFrame, part: Column, separator: str, *carry: Column) -> DataFrame:
     ordered = F.sort_array(F.collect_list(F.struct(F.col("seg").alias("seg"), part.alias("part"))))
@@ -56,86 +49,38 @@ def compile_sections(parts: DataFrame, translations: DataFrame, missing: str = "
     return _joined(rows, part, separator)
 
 
+def apply_edits(files: DataFrame, edits: DataFrame) -> DataFrame:
+    """Documents (doc_id, content) with the spans of `edits` (doc_id, start, end, text) replaced; spans may touch, not overlap."""
+    listed = edits.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("start", "end", "text"))).alias("slots"))
+    whole = files.select("doc_id", "content").join(listed, "doc_id", "left").withColumn("slots", F.coalesce("slots", F.array().cast("array<struct<start:int,end:int,text:string>>")))
+    before = lambda i: F.when(i == 0, 0).otherwise(F.get("slots", i - 1)["end"])
+    pieces = F.transform("slots", lambda s, i: F.concat(F.substring("content", before(i) + 1, s["start"] - before(i)), F.coalesce(s["text"], F.lit(""))))
+    last = F.when(F.size("slots") > 0, F.element_at("slots", -1)["end"]).otherwise(0)
+    return whole.select("doc_id", F.concat(F.array_join(pieces, ""), F.substring("content", last + 1, F.length("content"))).alias("content"))
+
+
 def compile_slots(files: DataFrame, slots: DataFrame, translations: DataFrame | None = None, missing: str = "keep") -> DataFrame:
     """Documents (doc_id, content) with the text at each slot (start, end, placeholder) replaced by its translation."""
     rows = slots.withColumn("seg", F.col("start"))
     rows = with_translations(rows, translations) if translations is not None else rows.withColumn("translation", F.lit(None).cast("string"))
     text = F.coalesce("translation", F.lit("") if missing == "blank" else F.col("placeholder"))
-    listed = rows.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("start", "end", text.alias("text")))).alias("slots"))
-    whole = files.select("doc_id", "content").join(listed, "doc_id", "left").withColumn("slots", F.coalesce("slots", F.array().cast("array<struct<start:int,end:int,text:string>>")))
-    before = lambda i: F.when(i == 0, 0).otherwise(F.get("slots", i - 1)["end"])
-    pieces = F.transform("slots", lambda s, i: F.concat(F.substring("content", before(i) + 1, s["start"] - before(i)), s["text"]))
-    last = F.when(F.size("slots") > 0, F.element_at("slots", -1)["end"]).otherwise(0)
-    return whole.select("doc_id", F.concat(F.array_join(pieces, ""), F.substring("content", last + 1, F.length("content"))).alias("content"))
+    return apply_edits(files, rows.select("doc_id", "start", "end", text.alias("text")))
 
 
-def serialize_plural(strings: Column) -> Column:
-    """`rule {text}` forms of a plural map, in order of rules."""
+def serialize_plural(strings: Column, delimiter: str = " ") -> Column:
+    """`rule {text}` forms of a plural map, in the order they were put in."""
     names = F.create_map(*(x for k, v in T.RULES.items() for x in (F.lit(v), F.lit(k))))
-    return F.array_join(F.transform(F.sort_array(F.map_entries(strings)), lambda e: F.concat(F.element_at(names, e["key"]), F.lit(" {"), e["value"], F.lit("}"))), " ")
-
-
-def clean_commas(text: Column) -> Column:
-    """JSON text without the commas that removed members left behind."""
-    once = F.regexp_replace(F.regexp_replace(text, r"([{\[])\s*,\s*", "$1"), r",\s*([}\]])", "$1")
-    return F.regexp_replace(once, r",(\s*,)+", ",")
-
-
-def _cuts(items: list[tuple[int, int, bool]]) -> Iterator[tuple[int, int]]:
-    """The spans to cut for the removed ones of a container's items (start, end, removed), each with one comma."""
-    kept = False
-    for k, (start, end, gone) in enumerate(items):
-        if gone and kept:
-            yield items[k - 1][1], end
-        elif gone:
-            yield start, items[k + 1][0] if k + 1 < len(items) else end
-        kept = kept or not gone
-
-
-def _pruned(text: str) -> str:
-    """JSON text without the strings _CUT, and without the containers other than the root that hold nothing else, at any depth."""
-    cuts: list[tuple[int, int]] = []
-    stack: list[list] = []  # [kind, start of its item, items, start of the key at hand]
-    for m in json_files.TOKEN.finditer(text):
-        token, start = m.group(), m.start()
-        if token in ":,":
-            continue
-        if token in "}]":
-            if not stack:
-                break
-            _, start, items, _ = stack.pop()
-            gone = bool(items) and all(x[2] for x in items) and bool(stack)
-            if not gone:
-                cuts += _cuts(items)
-        else:
-            top = stack[-1] if stack else None
-            if top and top[0] == "{" and top[3] is None:
-                top[3] = start
-                continue
-            start = top[3] if top and top[0] == "{" else start
-            if token in "{[":
-                stack.append([token, start, [], None])
-                continue
-            gone = token == f'"{_CUT}"'
-        if stack:
-            stack[-1][2].append((start, m.end(), gone))
-            stack[-1][3] = None
-    out, last = [], 0
-    for start, end in sorted(cuts):
-        out.append(text[last:start])
-        last = end
-    return "".join([*out, text[last:]])
-
-
-def _prune(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        contents = [t if t is None or _CUT not in t else _pruned(t) for t in batch.column("content").to_pylist()]
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(contents, pa.string())], ["doc_id", "content"])
-
-
-def compile_members(files: DataFrame, nodes: DataFrame, units: DataFrame, translations: DataFrame) -> DataFrame:
-    """JSON documents with translations in place; members and list items without one go, and containers that lose all they hold too, at any depth. The root stays."""
-    known = units.join(translations.select("doc_id", "placeholder", "text"), ["doc_id", "placeholder"], "left")
-    put = known.select("doc_id", "start", "end", F.when(F.col("text").isNull(), _CUT).otherwise(F.col("placeholder")).alias("placeholder"))
-    marked = compile_slots(files, put, translations.withColumn("ord", F.lit(0)))
-    return marked.select("doc_id", "content").mapInArrow(_prune, marked.select("doc_id", "content").schema)
+    return F.array_join(F.transform(F.map_entries(strings), lambda e: F.concat(F.element_at(names, e["key"]), F.lit(" {"), e["value"], F.lit("}"))), delimiter)
+
+
+def extra_strings(templates: DataFrame, translations: DataFrame) -> DataFrame:
+    """The translations whose placeholder is not in their template."""
+    both = translations.join(templates.select("doc_id", "content"), "doc_id", "left")
+    return both.filter(~F.coalesce(F.contains("content", "placeholder"), F.lit(False))).drop("content")
+
+
+def without_extra(templates: DataFrame, translations: DataFrame) -> DataFrame:
+    """`translations`, as they are; a translation whose placeholder is not in its template ends the query."""
+    both = translations.join(templates.select("doc_id", F.col("content").alias("_content")), "doc_id", "left")
+    found = F.coalesce(F.contains("_content", "placeholder"), F.lit(False))
+    return both.withColumn("placeholder", F.when(found, F.col("placeholder")).otherwise(F.raise_error(F.concat(F.lit("not in the template: "), "placeholder")))).drop("_content")

@@ -29,5 +29,8 @@ def plural_gaps(units: DataFrame) -> DataFrame:
 
 
 def failfast(problems: DataFrame) -> DataFrame:
-    """`problems` unchanged if it is empty; an error as soon as a row is read otherwise."""
-    return problems.withColumn("doc_id", F.when(F.lit(True), F.raise_error(F.lit("a file breaks the rules of its format"))).otherwise(F.col("doc_id")))
+    """`problems` if it is empty, which a job of its own looks up; a ValueError that names the first one otherwise."""
+    first = problems.first()
+    if first is not None:
+        raise ValueError(f"a file breaks the rules of its format: {first.asDict()}")
+    return problems

@@ -1,13 +1,19 @@
 """JSON string files: a tokenizer that keeps positions yields node rows; every format is a plan over these.
 
-Node rows are (doc_id, seq, path, parent, name, kind, value, start, end, line): `path` joins escaped keys by
-dots and list places as `..i..`, `value` is the raw text, without quotes for strings, between the code points
-`start` and `end`.
+Node rows are (doc_id, seq, path, parent, name, kind, value, start, end, line, up, from, to): `path` joins escaped
+keys by dots and list places as `..i..`, `value` is the raw text, without quotes for strings, between the code
+points `start` and `end`; a container's `start` and `end` enclose its brackets. `up` lists the `seq` of the
+containers around, the innermost last. `from` and `to` enclose the whole item, key and quotes included. A file
+that is no JSON, or whose root is no object or list, gives one row of kind `error`, its message as value.
+
+Cases: a null content is an empty file, which is no JSON. An empty table gives no rows.
 """
 
 from __future__ import annotations
 
+import json
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -16,32 +22,35 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 
-NODES = "seq int, path string, parent string, name string, kind string, value string, start int, end int, line int"
+NODES = "seq int, path string, parent string, name string, kind string, value string, start int, end int, line int, up array<int>, from int, to int"
 TOKEN = re.compile(r'"(?:[^"\\]|\\.)*"|[{}\[\],:]|[^\s{}\[\],:"]+', re.S)
 _PLURAL = r"^\s*\{\s*([A-Za-z_\d-]+)\s*,\s*plural\s*,\s*(.*)\}\s*$"
+_HEAD = r"^\s*\{\s*[A-Za-z_\d-]+\s*,\s*plural\s*,\s*"
 _BRACES = r"(?<=[{}])|(?=[{}])"
 
 
-def _nodes_of(text: str) -> Iterator[tuple]:
-    """The nodes of one document, containers before what they hold."""
-    stack: list[list] = []  # [kind, path, next index, key]
+def _nodes_of(text: str) -> list[list]:
+    """The nodes of one document, containers before what they hold; the text must be JSON."""
+    breaks = [m.start() for m in re.finditer("\n", text)]
+    rows: list[list] = []
+    stack: list[list] = []  # [kind, path, next index, key, start of the key, row]
     for seq, m in enumerate(TOKEN.finditer(text)):
-        token = m.group()
+        token, top = m.group(), stack[-1] if stack else None
         if token in ":,":
             if token == ",":
-                stack[-1][3] = None
+                top[3] = None
             continue
         if token in "}]":
-            stack.pop()
+            stack.pop()[5][7] = m.end()
             continue
-        top = stack[-1] if stack else None
         if top and top[0] == "{" and top[3] is None:
-            top[3] = token[1:-1]
+            top[3], top[4] = token[1:-1], m.start()
             continue
+        opens = m.start()
         if not top:
             path = name = parent = None
         elif top[0] == "{":
-            name, parent = top[3], top[1]
+            name, parent, opens = top[3], top[1], top[4]
             key = name.replace("\\", "\\\\").replace(".", "\\.")
             path = key if parent is None else f"{parent}.{key}"
         else:
@@ -50,16 +59,34 @@ def _nodes_of(text: str) -> Iterator[tuple]:
             top[2] += 1
         kind = {"{": "dict", "[": "list", '"': "string"}.get(token[0], "scalar")
         quoted = kind == "string"
-        yield seq, path, parent, name, kind, token[1:-1] if quoted else token, m.start() + quoted, m.end() - quoted, text.count("\n", 0, m.start()) + 1
+        row = [seq, path, parent, name, kind, token[1:-1] if quoted else token, m.start() + quoted, m.end() - quoted, bisect_right(breaks, m.start()) + 1, [x[5][0] for x in stack], opens, m.end()]
+        rows.append(row)
         if kind in ("dict", "list"):
-            stack.append([token, path, 0, None])
+            stack.append([token, path, 0, None, 0, row])
+    for row in rows:
+        if row[4] in ("dict", "list"):
+            row[11] = row[7]
+    return rows
+
+
+def _checked(text: str) -> list[list]:
+    """_nodes_of() a text, or its error row."""
+    message, line = "the root is no object or list", 1
+    try:
+        if isinstance(json.loads(text), (dict, list)):
+            return _nodes_of(text)
+    except json.JSONDecodeError as e:
+        message, line = e.msg, e.lineno
+    except RecursionError:
+        message = "nested too deep"
+    return [[0, None, None, None, "error", message, 0, 0, line, [], 0, 0]]
 
 
 def _walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    types = [pa.int32()] + [pa.string()] * 5 + [pa.int32()] * 3 + [pa.list_(pa.int32())] + [pa.int32()] * 2
     for batch in batches:
-        rows = [(i, *node) for i, text in enumerate(batch.column("content").to_pylist()) for node in _nodes_of(text or "")]
-        columns = list(zip(*rows, strict=True)) or [()] * 10
-        types = [pa.int32()] + [pa.string()] * 5 + [pa.int32()] * 3
+        rows = [(i, *node) for i, text in enumerate(batch.column("content").to_pylist()) for node in _checked(text or "")]
+        columns = list(zip(*rows, strict=True)) or [()] * (len(types) + 1)
         yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(pa.array(columns[0], pa.int64())), *(pa.array(c, t) for c, t in zip(columns[1:], types, strict=True))], ["doc_id", *(x.split()[0] for x in NODES.split(", "))])
 
 
@@ -67,12 +94,17 @@ def nodes(files: DataFrame) -> DataFrame:
     return files.select("doc_id", "content").mapInArrow(_walk, f"doc_id {files.schema['doc_id'].dataType.simpleString()}, {NODES}")
 
 
+def errors(files: DataFrame) -> DataFrame:
+    """Rows (doc_id, rule, message, line) of the files that are no JSON or have another root than an object or list."""
+    return nodes(files).filter("kind = 'error'").select("doc_id", F.when(F.col("value").startswith("the root"), "not a container").otherwise("no JSON").alias("rule"), F.col("value").alias("message"), "line")
+
+
 def _next_form(state: Column, piece: Column) -> Column:
-    """The state of plural_forms after a piece, which is a brace or the text between two."""
+    """The state of _parsed after a piece, which is a brace or the text between two."""
     opening, closing = piece == "{", (piece == "}") & (state["depth"] > 0)
     done, inside = closing & (state["depth"] == 1), opening | (state["depth"] > 0)
     form = F.concat(state["form"], piece)
-    found = F.struct(F.regexp_extract(state["before"], r"(\S+)\s*$", 1).alias("name"), form.alias("form"))
+    found = F.struct(T.strip(state["before"]).alias("name"), form.alias("form"))
     return F.struct(
         (state["depth"] + opening.cast("int") - closing.cast("int")).alias("depth"),
         F.when(done, "").when(inside, state["before"]).otherwise(F.concat(state["before"], piece)).alias("before"),
@@ -81,23 +113,39 @@ def _next_form(state: Column, piece: Column) -> Column:
     )
 
 
-def plural_forms(text: Column) -> Column:
-    """The (rule name, braced text) structs of an ICU plural, null for other texts; braces nest to any depth."""
+def plural_parts(text: Column) -> Column:
+    """Of an ICU plural the struct (forms, rest): (rule name, braced text) structs and what is left over; null for other texts. Braces nest to any depth."""
     start = F.struct(F.lit(0).alias("depth"), F.lit("").alias("before"), F.lit("").alias("form"), F.array().cast("array<struct<name:string,form:string>>").alias("forms"))
-    forms = F.aggregate(F.split(F.regexp_extract(text, _PLURAL, 2), _BRACES), start, _next_form, lambda x: x["forms"])
-    return F.when(text.rlike(_PLURAL), forms)
+    end = lambda x: F.struct(x["forms"].alias("forms"), T.strip(F.concat(x["before"], x["form"])).alias("rest"))
+    parts = F.aggregate(F.split(F.regexp_extract(text, _PLURAL, 2), _BRACES), start, _next_form, end)
+    return F.when(text.rlike(_PLURAL), parts)
 
 
 def with_plurals(rows: DataFrame, numeric: bool = False) -> DataFrame:
-    """`rows` with pluralized and strings (rule number to text); `=N` rules make a regular string unless `numeric`."""
-    forms = F.col("_forms")
-    rows = rows.withColumn("_forms", plural_forms(F.col("value")))
+    """`rows` with pluralized, strings (rule number to text) and icu_error; `=N` rules make a regular string unless `numeric`.
+
+    A plural with text left over or an unknown rule is a regular string with the error named. Of plurals
+    `start` and `end` enclose the forms alone.
+    """
+    forms = F.col("_parts.forms")
+    rows = rows.withColumn("_parts", plural_parts(F.col("value")))
     plain = F.lit(False) if numeric else F.exists(forms, lambda f: f["name"].startswith("="))
-    known = forms.isNotNull() & (F.size(forms) > 0) & ~plain & F.forall(forms, lambda f: T.rule_number(f["name"]).isNotNull())
+    fine = F.forall(forms, lambda f: T.rule_number(f["name"]).isNotNull())
+    known = F.col("_parts").isNotNull() & (F.size(forms) > 0) & ~plain & (F.col("_parts.rest") == "") & fine
     entries = F.transform(forms, lambda f: F.struct(T.rule_number(f["name"]).alias("rule"), F.regexp_replace(f["form"], r"(?s)^\{(.*)\}$", "$1").alias("text")))
     plural = F.coalesce(known, F.lit(False))
+    error = F.when(F.col("_parts").isNull() | plain, None).when((F.size(forms) == 0) | (F.col("_parts.rest") != ""), "invalid plural format").when(~fine, "invalid plural rule")
     strings = F.when(plural, T.plural_map(entries)).otherwise(F.create_map(F.lit(5), F.col("value")))
-    return rows.withColumns({"pluralized": plural, "strings": strings}).drop("_forms")
+    done = rows.withColumns({"pluralized": plural, "strings": strings, "icu_error": error})
+    head, tail = F.length(F.regexp_extract("value", _HEAD, 0)), F.length(F.regexp_extract("value", r"\s*\}\s*$", 0))
+    if "start" in rows.columns:
+        done = done.withColumns({"start": F.when(plural, F.col("start") + head).otherwise(F.col("start")), "end": F.when(plural, F.col("end") - tail).otherwise(F.col("end"))})
+    return done.drop("_parts")
+
+
+def icu_problems(files: DataFrame) -> DataFrame:
+    """Rows (doc_id, rule, key, line) of strings that start like a plural but are none."""
+    return with_plurals(_filled(nodes(files))).filter("icu_error is not null").select("doc_id", F.col("icu_error").alias("rule"), F.col("path").alias("key"), "line")
 
 
 def _finished(rows: DataFrame, context: Column | None = None, comment: Column | None = None) -> DataFrame:
@@ -164,6 +212,18 @@ def chrome_v3_units(files: DataFrame) -> DataFrame:
     return _finished(with_plurals(text.join(about, ["doc_id", "parent"], "left")), None, F.coalesce("description", F.lit("")))
 
 
+def structured_problems(files: DataFrame) -> DataFrame:
+    """Rows (doc_id, rule, key, line) of objects whose `string` is neither text nor empty."""
+    bad = nodes(files).filter("name = 'string' and parent is not null and kind <> 'string' and value not in ('null', 'false', '0')")
+    return bad.select("doc_id", F.lit("string is no text").alias("rule"), F.col("parent").alias("key"), "line")
+
+
 def slots(units: DataFrame) -> DataFrame:
     """Rows (doc_id, start, end, placeholder) of what a template replaces in each document."""
     return units.select("doc_id", "start", "end", "placeholder")
+
+
+def find_children(found: DataFrame, *names: str) -> DataFrame:
+    """Rows (doc_id, seq, and for each name its value, null if missing) of each object; of repeated members the last counts."""
+    own = found.filter("size(up) > 0").groupBy("doc_id", F.try_element_at("up", F.lit(-1)).alias("seq")).agg(*(F.max_by(F.when(F.col("name") == n, F.col("value")), F.when(F.col("name") == n, F.col("seq"))).alias(n) for n in names))
+    return found.filter("kind = 'dict'").select("doc_id", "seq").join(own, ["doc_id", "seq"], "left")

@@ -1,58 +1,164 @@
-"""Gettext PO and POT files: entries, the file kind and its rules, with column functions and windows."""
+"""Gettext PO and POT files: a walk over lines yields entries; units, file kinds and rules are plans over these.
+
+Entry rows are (doc_id, seq, kind, msgctxt, msgid, msgid_plural, msgstr, msgstrs, flags, occurrences, comment,
+tcomment, obsolete, line), texts unescaped; `kind` is `header` for the first entry if its msgid is empty and it has
+no context, else `entry`. A file with a line that is none of PO gives one row of kind `error` with the message as msgid.
+
+Cases: a null content is an empty file, which has no entries. An empty table gives no rows.
+"""
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
 
-_QUOTED = r'((?:"(?:[^"\\]|\\.)*"\s*)+)'
+ENTRIES = "seq int, kind string, msgctxt string, msgid string, msgid_plural string, msgstr string, msgstrs map<int,string>, flags array<string>, occurrences array<string>, comment string, tcomment string, obsolete boolean, line int"
+_TYPES = (pa.int32(), *[pa.string()] * 5, pa.map_(pa.int32(), pa.string()), pa.list_(pa.string()), pa.list_(pa.string()), pa.string(), pa.string(), pa.bool_(), pa.int32())
+_WORD = re.compile(r'(msgctxt|msgid_plural|msgid|msgstr)(?:\[(\d+)\])?\s*"(.*)"$')
+_ESCAPE = re.compile(r"\\(.)", re.S)
+_ESCAPED = {"n": "\n", "t": "\t", "r": "\r"}
+
+
+class Malformed(Exception):
+    """What is wrong with a line."""
 
 
-def _text(entry: Column, word: str) -> Column:
-    """The joined and unescaped strings after a keyword, null if it doesn't occur."""
-    raw = F.regexp_extract(entry, rf"(?m)^{word}\s+{_QUOTED}", 1)
-    joined = F.regexp_replace(F.regexp_replace(raw, r'"\s*\n\s*"', ""), r'^"|"\s*$', "")
-    return F.when(entry.rlike(rf"(?m)^{word}\s+\""), T.unescape_json(joined))
+def _unescaped(text: str) -> str:
+    return _ESCAPE.sub(lambda m: _ESCAPED.get(m.group(1), m.group(1)), text)
 
 
-def _comments(entry: Column, mark: str) -> Column:
-    return F.array_join(F.transform(F.regexp_extract_all(entry, F.lit(rf"(?m)^#{mark} ?(.*)$"), F.lit(1)), lambda x: F.trim(x)), "\n")
+def _entries_of(text: str) -> Iterator[dict]:
+    """The entries of one file; raises Malformed."""
+    own: dict = {}
+    key = None
+    for number, raw in enumerate([*text.replace("\r\n", "\n").split("\n"), ""], 1):
+        line = raw.strip()
+        obsolete = line.startswith("#~")
+        line = line[2:].strip() if obsolete else line
+        word = _WORD.match(line)
+        starts = not line or line.startswith("#") or (word and (word.group(1) == "msgctxt" or (word.group(1) == "msgid" and "msgid" in own)))
+        if starts and ("msgstr" in own or "msgstrs" in own):
+            yield own
+            own, key = {}, None
+        if not line:
+            if "msgid" in own:
+                raise Malformed(f"line {number}: a msgid without a msgstr")
+            continue
+        own.setdefault("line", number)
+        own["obsolete"] = own.get("obsolete", False) or obsolete
+        if line.startswith("#"):
+            kind, rest = line[1:2], line[2:].strip()
+            if kind == ",":
+                own["flags"] = own.get("flags", []) + [x.strip() for x in rest.split(",") if x.strip()]
+            elif kind == ":":
+                own["occurrences"] = own.get("occurrences", []) + rest.split()
+            elif kind == ".":
+                own["comment"] = own.get("comment", []) + [rest]
+            elif kind != "|":
+                own["tcomment"] = own.get("tcomment", []) + [line[1:].strip()]
+        elif word:
+            name, index, value = word.groups()
+            if index is not None:
+                own.setdefault("msgstrs", {})[int(index)] = _unescaped(value)
+                key = int(index)
+            else:
+                own[name] = _unescaped(value)
+                key = name
+        elif key is not None and len(line) > 1 and line[0] == line[-1] == '"':
+            held = own["msgstrs"] if isinstance(key, int) else own
+            held[key] += _unescaped(line[1:-1])
+        else:
+            raise Malformed(f"line {number}: neither a keyword nor a quoted text")
+
+
+def _walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    names = [x.split()[0] for x in re.split(r", (?=\w+ )", ENTRIES)]
+    for batch in batches:
+        owners, rows = [], []
+        for k, text in enumerate(batch.column("content").to_pylist()):
+            own = []
+            try:
+                for seq, e in enumerate(_entries_of(text or "")):
+                    kind = "header" if not seq and not e.get("msgid") and "msgctxt" not in e else "entry"
+                    own.append((seq, kind, e.get("msgctxt"), e.get("msgid", ""), e.get("msgid_plural"), e.get("msgstr"), list(e.get("msgstrs", {}).items()), e.get("flags", []), e.get("occurrences", []), "\n".join(e.get("comment", [])), "\n".join(e.get("tcomment", [])), e["obsolete"], e["line"]))
+            except Malformed as e:
+                own = [(0, "error", None, str(e), None, None, [], [], [], "", "", False, int(re.search(r"\d+", str(e)).group()))]
+            owners += [k] * len(own)
+            rows += own
+        columns = list(zip(*rows, strict=True)) or [()] * len(_TYPES)
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(pa.array(owners, pa.int64())), *(pa.array(c, t) for c, t in zip(columns, _TYPES, strict=True))], ["doc_id", *names])
 
 
 def entries(files: DataFrame) -> DataFrame:
-    """Rows (doc_id, seq, msgid, msgid_plural, msgctxt, msgstrs, flags, occurrences, comment, tcomment) without the header."""
-    parts = files.select("doc_id", F.posexplode(F.split(T.to_unix(F.col("content")), r"\n(?:\s*\n)+")).alias("seq", "entry"))
-    one = F.col("entry")
-    marks = F.regexp_extract_all(one, F.lit(r"(?m)^msgstr\[(\d+)\]\s+\""), F.lit(1))
-    texts = F.transform(F.regexp_extract_all(one, F.lit(rf"(?m)^msgstr\[\d+\]\s+{_QUOTED}"), F.lit(1)), lambda x: T.unescape_json(F.regexp_replace(F.regexp_replace(x, r'"\s*\n\s*"', ""), r'^"|"\s*$', "")))
-    plural = F.transform(F.arrays_zip(marks.alias("n"), texts.alias("t")), lambda x: F.struct(x["n"].cast("int").alias("rule"), x["t"].alias("text")))
-    single = F.create_map(F.lit(5), F.coalesce(_text(one, "msgstr"), F.lit("")))
-    rows = parts.withColumns({"msgid": _text(one, "msgid"), "msgid_plural": _text(one, "msgid_plural"), "msgctxt": _text(one, "msgctxt")})
-    rows = rows.withColumn("msgstrs", F.when(F.size(marks) > 0, T.plural_map(plural)).otherwise(single))
-    rows = rows.withColumns({"flags": _comments(one, ","), "occurrences": F.replace(_comments(one, ":"), F.lit("\n"), F.lit(", ")), "comment": _comments(one, r"\."), "tcomment": F.array_join(F.regexp_extract_all(one, F.lit(r"(?m)^# (.*)$"), F.lit(1)), "\n")})
-    return rows.filter("msgid is not null and not (msgid = '' and msgctxt is null)").drop("entry")
-
-
-def units(files: DataFrame) -> DataFrame:
-    """String units of source files: the msgids of files without any translation, else the msgstrs; fuzzy ones have no order."""
+    """The entry rows of `files` (doc_id, content), headers and obsolete entries included."""
+    return files.select("doc_id", "content").mapInArrow(_walk, f"doc_id {files.schema['doc_id'].dataType.simpleString()}, {ENTRIES}")
+
+
+def _texts() -> Column:
+    """An entry's texts by plural index, or under 5."""
+    return F.when(F.col("msgid_plural").isNotNull(), F.col("msgstrs")).otherwise(F.create_map(F.lit(5), F.coalesce("msgstr", F.lit(""))))
+
+
+def _kind() -> Column:
+    """EMPTY, SPACES or NOT_EMPTY, by an entry's texts."""
+    some, every = F.exists(F.map_values("texts"), lambda x: T.strip(x) != ""), F.forall(F.map_values("texts"), lambda x: x == "")
+    return F.when(some, "NOT_EMPTY").when(every, "EMPTY").otherwise("SPACES")
+
+
+def typed_entries(found: DataFrame) -> DataFrame:
+    """Entries that are not obsolete with key, context, texts, string_type, fuzzy, and file_type: PO if any text is filled, else POT."""
     key = F.concat(T.escape_po_key(F.col("msgid")), F.coalesce(F.concat(F.lit(":"), T.escape_po_key(F.col("msgid_plural"))), F.lit("")))
-    rows = entries(files).withColumns({"key": key, "context": F.coalesce("msgctxt", F.lit("")), "pluralized": F.col("msgid_plural").isNotNull(), "fuzzy": F.array_contains(F.split("flags", r",\s*"), "fuzzy")})
-    filled = F.exists(F.map_values("msgstrs"), lambda x: F.trim(x) != "")
-    is_po = F.bool_or(filled).over(Window.partitionBy("doc_id"))
+    rows = found.filter("kind = 'entry' and not obsolete").withColumns({"key": key, "context": F.coalesce("msgctxt", F.lit("")), "pluralized": F.col("msgid_plural").isNotNull(), "texts": _texts(), "fuzzy": F.array_contains("flags", "fuzzy")})
+    rows = rows.withColumn("string_type", _kind())
+    filled = F.bool_or(F.col("string_type") == "NOT_EMPTY").over(Window.partitionBy("doc_id"))
+    hashed = T.string_hash(F.col("key"), F.col("context"))
+    return rows.withColumns({"file_type": F.when(filled, "PO").otherwise("POT"), "string_hash": hashed, "placeholder": T.placeholder(hashed, F.col("pluralized"))})
+
+
+def units(files: DataFrame, is_source: bool = True) -> DataFrame:
+    """String units: of source files the msgids of those without any translation, else the msgstrs; fuzzy ones have no order.
+
+    Of other files entries without a text are none.
+    """
+    rows = typed_entries(entries(files))
     ids = F.when(F.col("pluralized"), F.create_map(F.lit(0), F.col("msgid"), F.lit(1), F.col("msgid_plural"))).otherwise(F.create_map(F.lit(5), F.col("msgid")))
-    rows = rows.withColumns({"file_type": F.when(is_po, "PO").otherwise("POT"), "strings": F.when(is_po, F.col("msgstrs")).otherwise(ids)})
+    if is_source:
+        rows = rows.withColumn("strings", F.when(F.col("file_type") == "PO", F.col("texts")).otherwise(ids))
+    else:
+        rows = rows.filter("string_type <> 'EMPTY'").withColumn("strings", F.col("texts"))
     order = F.sum(F.when(F.col("fuzzy"), 0).otherwise(1)).over(Window.partitionBy("doc_id").orderBy("seq")) - 1
-    hashed = T.string_hash(F.col("key"), F.col("context"))
-    return rows.select("doc_id", "seq", "key", "context", "pluralized", "strings", F.when(~F.col("fuzzy"), order).alias("ord"), "flags", "fuzzy", F.when(F.col("occurrences") != "", F.col("occurrences")).alias("occurrences"), F.concat("comment", F.lit("\n"), "tcomment").alias("developer_comment"), "file_type", hashed.alias("string_hash"), T.placeholder(hashed, F.col("pluralized")).alias("placeholder"))
+    return rows.select("doc_id", "seq", "key", "context", "pluralized", "strings", F.when(~F.col("fuzzy"), order).alias("ord"), F.array_join("flags", ", ").alias("flags"), "fuzzy", F.when(F.size("occurrences") > 0, F.array_join("occurrences", ", ")).alias("occurrences"), F.concat("comment", F.lit("\n"), "tcomment").alias("developer_comment"), "file_type", "string_hash", "placeholder")
+
 
+def problems(files: DataFrame, is_source: bool = True) -> DataFrame:
+    """Rows (doc_id, seq, rule, key) of what breaks the rules of PO files.
 
-def problems(files: DataFrame) -> DataFrame:
-    """Rows (doc_id, seq, rule, key) of empty msgids, partly filled plurals, repeats, and untranslated entries in a translated file."""
-    n = F.row_number().over(Window.partitionBy("doc_id", "msgid", "msgid_plural", "msgctxt").orderBy("seq"))
-    some = F.exists(F.map_values("msgstrs"), lambda x: F.trim(x) != "")
-    none = F.exists(F.map_values("msgstrs"), lambda x: F.trim(x) == "")
-    rules = {"empty msgid": F.trim("msgid") == "", "incomplete plurals": F.col("msgid_plural").isNotNull() & some & none, "duplicate msgid": F.col("_n") > 1}
-    found = F.array_compact(F.array(*(F.when(test, F.lit(rule)) for rule, test in rules.items())))
-    return entries(files).withColumn("_n", n).select("doc_id", "seq", F.explode(found).alias("rule"), F.col("msgid").alias("key"))
+    Of source files that mix filled and empty entries the first one that differs from those before is named.
+    """
+    found = entries(files)
+    rows = typed_entries(found)
+    n = F.row_number().over(Window.partitionBy("doc_id", "key", "context").orderBy("seq"))
+    before = Window.partitionBy("doc_id").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
+    seen = lambda kind: F.coalesce(F.bool_or(F.col("string_type") == kind).over(before), F.lit(False))
+    rows = rows.withColumns({"_n": n, "_filled": seen("NOT_EMPTY"), "_empty": seen("EMPTY")})
+    mixed = ((F.col("string_type") == "EMPTY") & F.col("_filled")) | ((F.col("string_type") == "NOT_EMPTY") & F.col("_empty"))
+    first = F.min(F.when(mixed, F.col("seq"))).over(Window.partitionBy("doc_id"))
+    rows = rows.withColumn("_first", first)
+    rules = {
+        "empty msgid": F.col("msgid") == "",
+        "msgstr of a plural": F.col("pluralized") & (T.strip(F.coalesce("msgstr", F.lit(""))) != ""),
+        "msgstr[*] without a plural": ~F.col("pluralized") & F.exists(F.map_values("msgstrs"), lambda x: x != ""),
+        "incomplete plurals": F.col("pluralized") & (F.col("string_type") == "NOT_EMPTY") & F.exists(F.map_values("texts"), lambda x: x == ""),
+        "duplicate msgid": F.col("_n") > 1,
+    }
+    if is_source:
+        rules |= {"empty msgstr": (F.col("seq") == F.col("_first")) & (F.col("string_type") == "EMPTY"), "filled msgstr": (F.col("seq") == F.col("_first")) & (F.col("string_type") == "NOT_EMPTY")}
+    listed = F.array_compact(F.array(*(F.when(test, F.lit(rule)) for rule, test in rules.items())))
+    broken = rows.select("doc_id", "seq", F.explode(listed).alias("rule"), F.col("msgid").alias("key"))
+    return broken.unionByName(found.filter("kind = 'error'").select("doc_id", "seq", F.lit("syntax").alias("rule"), F.col("msgid").alias("key")))

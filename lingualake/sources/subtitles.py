@@ -44,18 +44,36 @@ def srt_units(files: DataFrame) -> DataFrame:
     return found.select("doc_id", "seg", key.alias("key"), F.col("number").alias("ord"), "text", F.concat_ws(",", "from", "to").alias("occurrences"), T.string_hash(key).alias("string_hash"), T.placeholder(T.string_hash(key)).alias("placeholder"))
 
 
-def vtt_units(files: DataFrame) -> DataFrame:
-    """Rows (doc_id, seg, key, ord, text, occurrences, string_hash, placeholder); blocks without timings or text are none."""
+def vtt_sections(files: DataFrame) -> DataFrame:
+    """Every block with an arrow: its cue line, timings and text, and `error`, null or the first rule that it breaks."""
     rows = blocks(files).withColumn("lines", F.split(T.strip(F.col("block")), "\n"))
     at = F.array_position(F.transform("lines", lambda x: x.contains("-->")), True)
     rows = rows.withColumn("at", at.cast("int")).filter("at > 0")
     cue = F.get("lines", F.col("at") - 1)
     text = F.array_join(F.slice("lines", F.col("at") + 1, F.size("lines")), "\n")
-    rows = rows.withColumns({"key": T.strip(cue), "text": text, "from": T.timing(F.regexp_extract(cue, _ARROW, 1), "."), "to": T.timing(F.regexp_extract(cue, _ARROW, 2), ".")}).filter("from is not null and to is not null and trim(text) <> ''")
+    rows = rows.withColumns({"key": T.strip(cue), "text": text, "from": T.timing(F.regexp_extract(cue, _ARROW, 1), "."), "to": T.timing(F.regexp_extract(cue, _ARROW, 2), ".")})
+    error = F.when(~F.col("key").rlike(_ARROW), "timings don't follow the pattern").when(F.col("from").isNull(), "start is malformed").when(F.col("to").isNull(), "end is malformed")
+    return rows.withColumn("error", error)
+
+
+def vtt_units(files: DataFrame) -> DataFrame:
+    """Rows (doc_id, seg, key, ord, text, occurrences, string_hash, placeholder); blocks without timings or text are none, nor are those of files that don't start with WEBVTT."""
+    named = files.filter(F.col("content").startswith("WEBVTT"))
+    rows = vtt_sections(named).filter("error is null and trim(text) <> ''")
     number = F.row_number().over(Window.partitionBy("doc_id").orderBy("seg")) - 1
     return rows.select("doc_id", "seg", "key", number.alias("ord"), "text", F.concat_ws(",", "from", "to").alias("occurrences"), T.string_hash(F.col("key")).alias("string_hash"), T.placeholder(T.string_hash(F.col("key"))).alias("placeholder"))
 
 
+def vtt_problems(files: DataFrame) -> DataFrame:
+    """Rows (doc_id, rule, places): sections that break a rule, files that don't start with WEBVTT, and files without a string."""
+    sections = vtt_sections(files)
+    broken = sections.filter("error is not null").groupBy("doc_id", F.col("error").alias("rule")).agg(F.count("*").alias("places"))
+    one = F.lit(1).cast("bigint").alias("places")
+    heads = files.filter(~F.coalesce(F.col("content").startswith("WEBVTT"), F.lit(False))).select("doc_id", F.lit("no WEBVTT at the start").alias("rule"), one)
+    empty = files.select("doc_id").join(sections.filter("error is null and trim(text) <> ''").select("doc_id").distinct(), "doc_id", "left_anti").select("doc_id", F.lit("no strings").alias("rule"), one)
+    return broken.unionByName(heads).unionByName(empty)
+
+
 def template_parts(files: DataFrame, units: DataFrame) -> DataFrame:
     """Rows (doc_id, seg, head, tail, placeholder): each block around its unit's text; blocks without a unit have only a head."""
     both = blocks(files).join(units.select("doc_id", "seg", "text", "placeholder"), ["doc_id", "seg"], "left")

@@ -1,7 +1,7 @@
-"""Android, Apple and custom XML string files, taken apart with regular expressions and windows.
+"""Android, Apple and custom XML string files as plans over node rows.
 
-Elements that hold strings don't nest in themselves in these formats, so one pass of an expression over a
-document lists them with the comments between.
+Cases: a file that is not well formed, or has another root, gives no units; xml_walk.errors() and the problem
+reports name it. Blank strings are no units. Repeated rows of a file are separate files only if their ids differ.
 """
 
 from __future__ import annotations
@@ -10,102 +10,186 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from . import xml_walk
 
-_ELEMENT = r"(?s)<!--.*?-->|<(string-array|string|plurals)\b[^>]*>.*?</\1>"
-_ITEM = r"(?s)<item\b[^>]*>.*?</item>"
+_KINDS = ("string", "string-array", "plurals")
 
 
-def attribute(element: Column, name: str) -> Column:
-    """The attribute's value in the opening tag, null if there is none."""
-    found = F.regexp_extract(element, rf'(?s)^<[^>]*?\s{name}="([^"]*)"', 1)
-    return F.when(element.rlike(rf'(?s)^<[^>]*?\s{name}="'), found)
-
-
-def inner(element: Column) -> Column:
-    return F.regexp_replace(element, r"(?s)^<[^>]*>|</[^>]*>$", "")
+def _blank(text: Column) -> Column:
+    return T.strip(F.coalesce(text, F.lit(""))) == ""
 
 
 def _numbered(rows: DataFrame, context: Column, pluralized: Column, comment: Column) -> DataFrame:
     hashed = T.string_hash(F.col("key"), context)
     order = F.row_number().over(Window.partitionBy("doc_id").orderBy("seq", "item")) - 1
-    return rows.select("doc_id", "key", context.alias("context"), pluralized.alias("pluralized"), "strings", order.alias("ord"), comment.alias("developer_comment"), hashed.alias("string_hash"), T.placeholder(hashed, pluralized).alias("placeholder"), "element", "seq")
-
-
-def android_elements(files: DataFrame) -> DataFrame:
-    """Rows (doc_id, seq, element, tag, name, product, comment) of each string element; a comment goes to the next one that takes it."""
-    rows = files.select("doc_id", F.posexplode(F.regexp_extract_all("content", F.lit(_ELEMENT), F.lit(0))).alias("seq", "element"))
-    is_comment = F.col("element").startswith("<!--")
-    ignored = F.coalesce(attribute(F.col("element"), "translatable") == "false", F.lit(False))
-    rows = rows.withColumns({"is_comment": is_comment, "text": F.when(is_comment, T.strip(F.regexp_replace("element", r"^<!--|-->$", "")))})
-    order = Window.partitionBy("doc_id").orderBy("seq")
-    rows = rows.withColumn("island", F.coalesce(F.sum(F.when(F.col("is_comment"), 0).otherwise(1)).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    last = F.last("text", ignorenulls=True).over(Window.partitionBy("doc_id", "island").orderBy("seq"))
-    tags = rows.withColumn("comment", F.coalesce(last, F.lit(""))).filter(~F.col("is_comment") & ~ignored)
-    return tags.select("doc_id", "seq", "element", F.regexp_extract("element", r"^<([\w-]+)", 1).alias("tag"), attribute(F.col("element"), "name").alias("name"), F.coalesce(attribute(F.col("element"), "product"), F.lit("")).alias("product"), "comment")
+    return rows.select("doc_id", "key", context.alias("context"), pluralized.alias("pluralized"), "strings", order.alias("ord"), comment.alias("developer_comment"), hashed.alias("string_hash"), T.placeholder(hashed, pluralized).alias("placeholder"), "seq", "start", "end")
+
+
+def android_nodes(files: DataFrame) -> DataFrame:
+    return xml_walk.nodes(files, *_KINDS, "item")
+
+
+def android_elements(found: DataFrame) -> DataFrame:
+    """String elements below the root: name, product, comment, items (node structs in order) and whether they are left out.
+
+    A comment goes to the next element that has a string; an element left out takes it away, one without a
+    string leaves it to the next.
+    """
+    root = found.filter("depth = 0 and kind = 'element' and tag = 'resources'")
+    rows = found.filter("depth = 1").join(root.select("doc_id", F.col("seq").alias("parent")), ["doc_id", "parent"], "left_semi")
+    rows = rows.filter((F.col("kind") == "comment") | F.col("tag").isin(*_KINDS))
+    own = F.struct("seq", "tag", F.col("attrs")["quantity"].alias("quantity"), "start", "open_end", "close_start", "end", "tail_end", "text", "inner", "line")
+    items = found.filter("depth = 2 and kind = 'element'").groupBy("doc_id", F.col("parent").alias("seq")).agg(F.array_sort(F.collect_list(own)).alias("items"))
+    rows = rows.join(items, ["doc_id", "seq"], "left").withColumn("items", F.coalesce("items", F.array().cast(items.schema["items"].dataType)))
+    filled = F.when(F.col("tag") == "string", ~_blank(F.col("inner"))).otherwise(F.exists("items", lambda x: ~_blank(x["inner"])))
+    rows = rows.withColumns({"is_comment": F.col("kind") == "comment", "ignored": F.coalesce(F.col("attrs")["translatable"] == "false", F.lit(False)), "filled": filled})
+    before = Window.partitionBy("doc_id").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
+    takes = F.when(~F.col("is_comment") & (F.col("ignored") | F.col("filled")), 1).otherwise(0)
+    rows = rows.withColumn("island", F.coalesce(F.sum(takes).over(before), F.lit(0)))
+    last = F.last(F.when(F.col("is_comment"), T.strip(F.col("text"))), ignorenulls=True).over(Window.partitionBy("doc_id", "island").orderBy("seq"))
+    tags = rows.withColumn("comment", F.coalesce(last, F.lit(""))).filter(~F.col("is_comment"))
+    return tags.withColumns({"name": F.col("attrs")["name"], "product": F.coalesce(F.col("attrs")["product"], F.lit(""))}).drop("is_comment", "island", "kind")
+
+
+def _strings(rows: DataFrame, whole_plural: bool = False) -> DataFrame:
+    """The strings of android_elements() with key, strings and the span that a template replaces."""
+    rows = rows.filter("not ignored and name is not null").withColumn("name", T.escape_android_name(F.col("name")))
+    single = rows.filter("tag = 'string'").select("*", F.lit(0).alias("item"), F.col("name").alias("key"), F.create_map(F.lit(5), F.col("inner")).alias("strings"), F.col("open_end").alias("from"), F.col("close_start").alias("to"))
+    only = F.filter("items", lambda x: x["tag"] == "item")
+    arrays = rows.filter("tag = 'string-array'").select("*", F.posexplode(only).alias("item", "one"))
+    arrays = arrays.withColumns({"key": F.concat("name", F.lit("["), "item", F.lit("]")), "strings": F.create_map(F.lit(5), F.col("one.inner")), "from": F.col("one.open_end"), "to": F.col("one.close_start")}).drop("one")
+    entries = F.transform(F.filter(only, lambda x: T.rule_number(x["quantity"]).isNotNull()), lambda x: F.struct(T.rule_number(x["quantity"]).alias("rule"), F.coalesce(x["inner"], F.lit("")).alias("text")))
+    plurals = rows.filter("tag = 'plurals' and size(items) > 0").select("*", F.lit(0).alias("item"), F.col("name").alias("key"), T.plural_map(entries).alias("strings"), F.get("items", 0)["start"].alias("from"), F.element_at("items", -1)["end"].alias("to"))
+    some = (F.forall if whole_plural else F.exists)(F.map_values("strings"), lambda x: ~_blank(x))
+    return single.unionByName(arrays).unionByName(plurals).filter(some).withColumns({"start": F.col("from"), "end": F.col("to")})
 
 
 def android_units(files: DataFrame, whole_plural: bool = False) -> DataFrame:
-    """Strings, array items by place, and plurals; blank ones are none. With `whole_plural` one blank form drops the plural."""
-    rows = android_elements(files).withColumn("name", T.escape_android_name(F.col("name")))
-    none = F.array().cast("array<string>")
-    items = F.when(F.col("tag") == "string-array", F.regexp_extract_all("element", F.lit(_ITEM), F.lit(0)))
-    rows = rows.withColumns({"items": F.coalesce(items, none), "forms": F.when(F.col("tag") == "plurals", F.regexp_extract_all("element", F.lit(_ITEM), F.lit(0)))})
-    single = rows.filter("tag = 'string'").select("*", F.lit(0).alias("item"), F.col("name").alias("key"), F.create_map(F.lit(5), inner(F.col("element"))).alias("strings"))
-    arrays = rows.filter("tag = 'string-array'").select("*", F.posexplode("items").alias("item", "one")).withColumn("key", F.concat("name", F.lit("["), "item", F.lit("]"))).withColumn("strings", F.create_map(F.lit(5), inner(F.col("one")))).drop("one")
-    entries = F.transform("forms", lambda x: F.struct(T.rule_number(attribute(x, "quantity")).alias("rule"), inner(x).alias("text")))
-    plurals = rows.filter("tag = 'plurals'").select("*", F.lit(0).alias("item"), F.col("name").alias("key"), T.plural_map(entries).alias("strings"))
-    filled = lambda x: T.strip(x) != ""
-    some = F.forall(F.map_values("strings"), filled) if whole_plural else F.exists(F.map_values("strings"), filled)
-    every = single.unionByName(arrays).unionByName(plurals).filter(some)
-    return _numbered(every, F.col("product"), F.col("tag") == "plurals", F.col("comment"))
+    """Strings, array items by place, and plurals; blank ones are none. With `whole_plural` one blank form drops the plural.
+
+    A name and product that an element of another tag had before get the tag at the product's end as context.
+    """
+    every = _strings(android_elements(android_nodes(files)), whole_plural)
+    first = F.first("tag").over(Window.partitionBy("doc_id", "key", "product").orderBy("seq"))
+    context = F.when(F.col("tag") == first, F.col("product")).otherwise(F.concat("product", "tag"))
+    return _numbered(every.withColumn("_context", context), F.col("_context"), F.col("tag") == "plurals", F.col("comment"))
 
 
 def android_problems(files: DataFrame) -> DataFrame:
-    """Rows (doc_id, rule, key) of duplicate names, missing names, bad quantities, missing `other` and partly blank plurals."""
-    rows = android_elements(files)
-    forms = F.regexp_extract_all("element", F.lit(_ITEM), F.lit(0))
-    rules = F.transform(forms, lambda x: T.rule_number(attribute(x, "quantity")))
-    blank = F.transform(forms, lambda x: T.strip(inner(x)) == "")
+    """Rows (doc_id, rule, key, line) of what breaks the rules of Android files, files that are not well formed or have another root included."""
+    found = android_nodes(files)
+    rows = android_elements(found)
     n = F.row_number().over(Window.partitionBy("doc_id", "name", "product", "tag").orderBy("seq"))
+    items = F.col("items")
+    rules = F.transform(items, lambda x: T.rule_number(x["quantity"]))
+    plural = (F.col("tag") == "plurals") & (F.size("items") > 0)
+    blank, whole = F.exists(items, lambda x: _blank(x["inner"])), F.exists(items, lambda x: ~_blank(x["inner"]))
     tests = {
         "missing name": F.col("name").isNull(),
-        "duplicate name": F.col("name").isNotNull() & (F.col("_n") > 1),
-        "bad quantity": (F.col("tag") == "plurals") & F.exists(rules, lambda r: r.isNull()),
-        "missing other": (F.col("tag") == "plurals") & ~F.coalesce(F.array_contains(rules, 5), F.lit(False)),
-        "partly blank plural": (F.col("tag") == "plurals") & F.exists(blank, lambda b: b) & F.exists(blank, lambda b: ~b),
+        "duplicate name": F.col("name").isNotNull() & (F.col("_n") > 1) & F.col("filled"),
+        "wrong tag": plural & F.exists(items, lambda x: x["tag"] != "item"),
+        "missing quantity": plural & F.exists(items, lambda x: (x["tag"] == "item") & x["quantity"].isNull()),
+        "bad quantity": plural & F.exists(items, lambda x: x["quantity"].isNotNull() & T.rule_number(x["quantity"]).isNull()),
+        "no plurals": (F.col("tag") == "plurals") & (F.size("items") == 0) & _blank(F.col("inner")),
+        "missing other": plural & whole & ~F.coalesce(F.array_contains(rules, 5), F.lit(False)),
+        "partly blank plural": plural & blank & whole,
+        "leading text": (F.col("tag") != "string") & (F.size("items") > 0) & ~_blank(F.col("text")),
     }
-    found = F.array(*(F.when(test, F.lit(rule)) for rule, test in tests.items()))
-    return rows.withColumn("_n", n).select("doc_id", F.explode(F.array_compact(found)).alias("rule"), F.col("name").alias("key"))
+    listed = F.array_compact(F.array(*(F.when(test, F.lit(rule)) for rule, test in tests.items())))
+    broken = rows.filter("not ignored").withColumn("_n", n).select("doc_id", F.explode(listed).alias("rule"), F.col("name").alias("key"), "line")
+    tails = files.select("doc_id", "content").join(found.filter("depth = 1 and tail_end > end").select("doc_id", "end", "tail_end", F.col("attrs")["name"].alias("key"), "line"), "doc_id")
+    tails = tails.filter(~_blank(F.substring(F.col("content"), F.col("end") + 1, F.col("tail_end") - F.col("end")))).select("doc_id", F.lit("trailing text").alias("rule"), "key", "line")
+    roots = found.filter("depth = 0 and kind = 'element' and tag <> 'resources'").select("doc_id", F.lit("wrong root").alias("rule"), F.col("tag").alias("key"), "line")
+    bad = xml_walk.errors(found).select("doc_id", "rule", F.col("message").alias("key"), "line")
+    return broken.unionByName(tails).unionByName(roots).unionByName(bad)
+
+
+def unescaped_problems(units: DataFrame) -> DataFrame:
+    """Rows (doc_id, rule, key) of units with a quote that no backslash escapes, outside of inline tags."""
+    bare = lambda x: F.regexp_replace(x, T.INLINE, "")
+    bad = F.exists(F.map_values("strings"), lambda x: bare(x).rlike(r"(?<!\\)['\"]"))
+    return units.filter(bad).select("doc_id", F.lit("unescaped quote").alias("rule"), "key")
+
+
+def _pairs(rows: DataFrame) -> DataFrame:
+    """Elements below the dicts of node rows, each `key` with the element that follows it as value."""
+    order = Window.partitionBy("doc_id", "parent").orderBy("seq")
+    value = F.struct("seq", "tag", "start", "open_end", "close_start", "end", "tail_end", "inner")
+    own = rows.filter("kind = 'element'").withColumns({"value": F.lead(value).over(order), "place": F.row_number().over(order), "before": F.lag("end").over(order)})
+    return own.filter("tag = 'key' and place % 2 = 1")
+
+
+_SERVICE = ("NSStringFormatSpecTypeKey", "NSStringFormatValueTypeKey", "NSStringLocalizedFormatKey")
+
+
+def _variables(found: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Main keys, and variables (doc_id, seq, main, item, variable, format) with their value structs."""
+    pairs = _pairs(found)
+    top = found.filter("kind = 'element' and tag = 'dict'").groupBy("doc_id").agg(F.min("seq").alias("top"))
+    mains = pairs.join(top.withColumnRenamed("top", "parent"), ["doc_id", "parent"]).select("doc_id", "seq", F.col("inner").alias("main"), "value", "line")
+    inside = pairs.select("doc_id", F.col("parent").alias("owner"), F.col("seq").alias("item"), F.col("inner").alias("name"), F.col("value").alias("own"), F.col("start").alias("key_start"), F.col("before"))
+    held = mains.select("doc_id", "seq", "main", F.col("value.seq").alias("owner")).join(inside, ["doc_id", "owner"])
+    formats = held.filter("name = 'NSStringLocalizedFormatKey'").select("doc_id", "owner", F.col("own.inner").alias("format"))
+    variables = held.filter("own.tag = 'dict'").join(formats, ["doc_id", "owner"], "left").withColumnRenamed("name", "variable")
+    return mains, variables
 
 
 def stringsdict_units(files: DataFrame) -> DataFrame:
     """One plural for each variable of each main key; text around the variable in the format joins every form."""
-    main = r"(?s)<key>([^<]*)</key>\s*<dict>((?:(?!</?dict>).|<dict>(?:(?!</?dict>).)*</dict>)*)</dict>"
-    body = F.regexp_replace("content", r"(?s)^.*?<dict>", "")
-    keys, dicts = F.regexp_extract_all(body, F.lit(main), F.lit(1)), F.regexp_extract_all(body, F.lit(main), F.lit(2))
-    rows = files.select("doc_id", F.posexplode(F.arrays_zip(keys.alias("k"), dicts.alias("d"))).alias("seq", "x")).select("doc_id", "seq", F.col("x.k").alias("main"), F.col("x.d").alias("dict"))
-    format_text = F.regexp_extract("dict", r"(?s)<key>NSStringLocalizedFormatKey</key>\s*<string>(.*?)</string>", 1)
-    variable = r"(?s)<key>([^<]*)</key>\s*<dict>((?:(?!</?dict>).)*)</dict>"
-    names, inside = F.regexp_extract_all("dict", F.lit(variable), F.lit(1)), F.regexp_extract_all("dict", F.lit(variable), F.lit(2))
-    rows = rows.withColumn("format", format_text).select("*", F.posexplode(F.arrays_zip(names.alias("k"), inside.alias("d"))).alias("item", "y"))
-    pair = r"(?s)<key>([^<]*)</key>\s*<string>(.*?)</string>"
-    rules, texts = F.regexp_extract_all("y.d", F.lit(pair), F.lit(1)), F.regexp_extract_all("y.d", F.lit(pair), F.lit(2))
+    found = xml_walk.nodes(files)
+    _, variables = _variables(found)
+    rules = _pairs(found).select("doc_id", F.col("parent").alias("_owner"), "seq", F.col("inner").alias("name"), F.col("value.inner").alias("text"), F.col("start").alias("from"), F.col("value.end").alias("to"))
+    rules = rules.filter(T.rule_number(F.col("name")).isNotNull()).groupBy("doc_id", "_owner").agg(F.array_sort(F.collect_list(F.struct("seq", T.rule_number(F.col("name")).alias("rule"), "text"))).alias("pairs"), F.min("from").alias("start"), F.max("to").alias("end"))
+    rows = variables.withColumn("_owner", F.col("own.seq")).join(rules, ["doc_id", "_owner"])
     first = F.regexp_extract("format", r"%#@([^@]*)@", 1)
-    lead = F.when(first == F.col("y.k"), F.regexp_extract("format", r"(?s)^(.*?)%#@", 1)).otherwise("")
-    rest = F.when(first == F.col("y.k"), F.regexp_extract("format", r"(?s)%#@[^@]*@(.*)$", 1)).otherwise("")
-    rows = rows.withColumns({"lead": lead, "rest": rest, "pairs": F.filter(F.arrays_zip(rules.alias("r"), texts.alias("t")), lambda p: T.rule_number(p["r"]).isNotNull())})
-    entries = F.transform("pairs", lambda p: F.struct(T.rule_number(p["r"]).alias("rule"), F.concat("lead", p["t"], "rest").alias("text")))
-    done = rows.select("doc_id", "seq", "item", F.col("main").alias("key"), F.col("y.k").alias("variable"), T.plural_map(entries).alias("strings"), F.lit(None).cast("string").alias("element"))
+    lead = F.when(first == F.col("variable"), F.regexp_extract("format", r"(?s)^(.*?)%#@", 1)).otherwise("")
+    rest = F.when(first == F.col("variable"), F.regexp_extract("format", r"(?s)%#@[^@]*@(.*)$", 1)).otherwise("")
+    rows = rows.withColumns({"lead": F.coalesce(lead, F.lit("")), "rest": F.coalesce(rest, F.lit(""))})
+    entries = F.transform("pairs", lambda p: F.struct(p["rule"].alias("rule"), T.unescape_xml(F.concat("lead", p["text"], "rest")).alias("text")))
+    done = rows.select("doc_id", "seq", "item", F.col("main").alias("key"), "variable", T.plural_map(entries).alias("strings"), "start", "end")
     return _numbered(done, F.col("variable"), F.lit(True), F.lit(""))
 
 
-def custom_units(files: DataFrame, section: str = "section", string: str = "string", base: str = "base", variant: str = "variant", section_id: str = "name", key: str = "key", variant_id: str = "context") -> DataFrame:
+def stringsdict_problems(files: DataFrame) -> DataFrame:
+    """Rows (doc_id, rule, key, line): keys without a value or a dict, repeated main keys, unknown rules, no rule `other`, bad files."""
+    found = xml_walk.nodes(files)
+    mains, variables = _variables(found)
+    n = F.row_number().over(Window.partitionBy("doc_id", "main").orderBy("seq"))
+    listed = F.array_compact(F.array(F.when(F.col("value").isNull(), F.lit("missing value")), F.when(F.col("value.tag") != "dict", F.lit("value is no dict")), F.when(F.col("_n") > 1, F.lit("duplicate main key"))))
+    broken = mains.withColumn("_n", n).select("doc_id", F.explode(listed).alias("rule"), F.col("main").alias("key"), "line")
+    rules = _pairs(found).select("doc_id", F.col("parent").alias("_owner"), F.col("inner").alias("name")).filter(~F.col("name").isin(*_SERVICE))
+    forms = variables.withColumn("_owner", F.col("own.seq")).join(rules, ["doc_id", "_owner"]).groupBy("doc_id", "main", "variable").agg(F.collect_set("name").alias("names"))
+    bad = F.array_compact(F.array(F.when(F.exists("names", lambda x: T.rule_number(x).isNull()), F.lit("bad rule")), F.when(~F.array_contains("names", "other"), F.lit("missing other"))))
+    plural = forms.select("doc_id", F.explode(bad).alias("rule"), F.col("main").alias("key"), F.lit(None).cast("int").alias("line"))
+    return broken.unionByName(plural).unionByName(xml_walk.errors(found).select("doc_id", "rule", F.col("message").alias("key"), "line"))
+
+
+def custom_strings(found: DataFrame, section: str, string: str, base: str, variant: str, section_id: str, key: str, variant_id: str) -> DataFrame:
+    """Rows of each base and variant of each string of each section in order, blank ones too: sid, id, key, inner and the places."""
+    sections = xml_walk.descendants(found, section).select("doc_id", F.col("seq").alias("s"), F.col("attrs")[section_id].alias("sid"))
+    strings = xml_walk.descendants(found, string).select("doc_id", F.col("parent").alias("s"), F.col("seq").alias("k"), F.col("attrs")[key].alias("id"), F.col("line").alias("at"))
+    parts = xml_walk.descendants(found, base, variant).select("doc_id", F.col("parent").alias("k"), F.col("seq").alias("item"), "tag", F.col("attrs")[variant_id].alias("vid"), F.col("inner"), F.col("open_end").alias("start"), F.col("close_start").alias("end"))
+    rows = parts.join(strings, ["doc_id", "k"]).join(sections, ["doc_id", "s"])
+    own = F.when(F.col("tag") == variant, F.concat("id", F.lit("::"), "vid")).otherwise(F.col("id"))
+    return rows.withColumns({"key": own, "seq": F.struct("s", "k")})
+
+
+_CUSTOM = {"section": "section", "string": "string", "base": "base", "variant": "variant", "section_id": "name", "key": "key", "variant_id": "context"}
+
+
+def custom_units(files: DataFrame, **names: str) -> DataFrame:
     """The base and variants of each string of each section: key or `key::variant`, context the section's id."""
-    every = lambda column, tag: F.regexp_extract_all(column, F.lit(rf"(?s)<{tag}\b[^>]*>.*?</{tag}>"), F.lit(0))
-    sections = files.select("doc_id", F.posexplode(every("content", section)).alias("s", "sec"))
-    strings = sections.select("doc_id", "s", attribute(F.col("sec"), section_id).alias("sid"), F.posexplode(every("sec", string)).alias("k", "str"))
-    parts = F.regexp_extract_all("str", F.lit(rf"(?s)<(?:{base}|{variant})\b[^>]*>.*?</(?:{base}|{variant})>"), F.lit(0))
-    rows = strings.select("doc_id", "s", "k", "sid", attribute(F.col("str"), key).alias("id"), F.posexplode(parts).alias("p", "element"))
-    own = F.when(F.col("element").startswith(f"<{variant}"), F.concat("id", F.lit("::"), attribute(F.col("element"), variant_id))).otherwise(F.col("id"))
-    rows = rows.withColumns({"key": own, "strings": F.create_map(F.lit(5), inner(F.col("element"))), "seq": F.struct("s", "k"), "item": F.col("p")}).filter(T.strip(inner(F.col("element"))) != "")
-    return _numbered(rows, F.col("sid"), F.lit(False), F.lit(""))
+    names = _CUSTOM | names
+    rows = custom_strings(xml_walk.nodes(files, names["base"], names["variant"]), **names).filter(~_blank(F.col("inner")) & F.col("key").isNotNull())
+    return _numbered(rows.withColumn("strings", F.create_map(F.lit(5), F.col("inner"))), F.col("sid"), F.lit(False), F.lit(""))
+
+
+def custom_problems(files: DataFrame, root: str = "strings", **names: str) -> DataFrame:
+    """Rows (doc_id, rule, key, line): a wrong root, strings without a key or sections without an id, bad files."""
+    names = _CUSTOM | names
+    found = xml_walk.nodes(files, names["base"], names["variant"])
+    roots = found.filter("depth = 0 and kind = 'element'").filter(F.col("tag") != root).select("doc_id", F.lit("root not found").alias("rule"), F.col("tag").alias("key"), "line")
+    rows = custom_strings(found, **names)
+    missing = rows.filter("key is null").select("doc_id", F.lit("missing key").alias("rule"), F.col("inner").alias("key"), F.col("at").alias("line"))
+    nameless = xml_walk.descendants(found, names["section"]).filter(F.col("attrs")[names["section_id"]].isNull()).select("doc_id", F.lit("missing section id").alias("rule"), F.lit(None).cast("string").alias("key"), "line")
+    return roots.unionByName(missing).unionByName(nameless).unionByName(xml_walk.errors(found).select("doc_id", "rule", F.col("message").alias("key"), "line"))
