@@ -83,9 +83,14 @@ def escape_json(text: Column) -> Column:
     return _replaced(text, ("\\", "\\\\"), ('"', '\\"'), ("\b", "\\b"), ("\f", "\\f"), ("\n", "\\n"), ("\r", "\\r"), ("\t", "\\t"))
 
 
+_JSON_ESCAPE = r'\\(?:["\\/bfnrt]|u[0-9a-fA-F]{4})'
+
+
 def unescape_json(text: Column) -> Column:
-    """The value of valid escaped text."""
-    return F.get(F.from_json(F.concat(F.lit('["'), text, F.lit('"]')), "array<string>"), 0)
+    """The value of escaped text; a backslash that starts no escape stands for itself, quotes and control characters may stand bare."""
+    parts = F.regexp_extract_all(text, F.lit(rf"(?s){_JSON_ESCAPE}|\\|[^\\]+"), F.lit(0))
+    fixed = F.transform(parts, lambda x: F.when(x.rlike(f"^{_JSON_ESCAPE}$"), x).otherwise(escape_json(x)))
+    return F.get(F.from_json(F.concat(F.lit('["'), F.array_join(fixed, ""), F.lit('"]')), "array<string>"), 0)
 
 
 def escape_xml(text: Column) -> Column:

@@ -8,11 +8,11 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..operators import compiling, json_compiling
 from ..sources import json_files
-from .building import file_rows, filled, part_files, query, table
+from .building import file_rows, filled, part_files, query, stored, table
 
 
 def _template(files: DataFrame, units: DataFrame) -> DataFrame:
-    return compiling.compile_slots(files, json_files.slots(units))
+    return stored(compiling.compile_slots(files, json_files.slots(units)))
 
 
 def _told(units: DataFrame, keep=None, *extra: str) -> DataFrame:

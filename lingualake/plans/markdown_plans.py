@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators import markdown_compiling
 from ..sources import markdown
-from .building import file_rows, filled, query, table
+from .building import file_rows, filled, query, stored, table
 
 _TURN = "# Turn <<t>> #\n\nIt says\n<<t>> by <<r>>.\n\n> quoted <<r>>\n> again\n\n* item <<t>>\n  * inner <<r>>\n* ```\n  no\n  ```\n\nHead | Cell <<t>>\n---- | ----\n<<r>> | 7\n\n```\ncode <<t>>\n\nmore\n```\n\n    indented <<t>>\n\n[name<<t>>]: http://x\n[8]: http://y\n\n{% liquid %}\n\n12.5\n\n<div>html <<t>></div>\n\nTitle <<t>>\n======"
 _TEXTS = ("Turn # #", "It says\n# by @.", "> quoted @\n> again", "item #", "inner @", "Head", "Cell #", "@", "```\ncode #\n\nmore\n```", "    indented #", "name#", "<div>html #</div>", "Title #\n======")
@@ -46,7 +46,7 @@ def q88_markdown_compile(spark: SparkSession, sf_dir: str) -> DataFrame:
     files = _conversations(spark, sf_dir, _HEAD)
     units = markdown.front_matter_units(files)
     told = units.select("doc_id", "placeholder", F.concat(F.lit("el:"), "text").alias("text"), F.when(F.col("kind") == "yaml", F.col("flags")).alias("flags"))
-    return markdown_compiling.compile_markdown(markdown_compiling.template(files, units), told)
+    return markdown_compiling.compile_markdown(stored(markdown_compiling.template(files, units)), told)
 
 
 @query("""SELECT p_partkey AS doc_id, ord, text FROM (SELECT p_partkey, 0 AS ord, p_name AS text FROM part UNION ALL SELECT p_partkey, 1, '  ' || p_type || chr(10) || '  two' FROM part UNION ALL SELECT p_partkey, 2, 'Body ' || p_brand FROM part)""")

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..operators import office_compiling
 from ..sources import office
-from .building import file_rows, filled, query, table
+from .building import file_rows, filled, query, stored, table
 
 
 def _part(rows: DataFrame, place: int | Column, part: str | Column, xml: Column) -> DataFrame:
@@ -25,7 +25,7 @@ _PARAGRAPH = '<w:p><w:pPr/><w:r><w:t>Turn <<t>></w:t></w:r><w:r><w:t> </w:t></w:
 
 def _docx(spark: SparkSession, sf_dir: str) -> DataFrame:
     body = file_rows(table(spark, sf_dir, "conversations"), F.col("conv_id"), "turn", filled(_PARAGRAPH, t="turn", r="role"), "", '<?xml version="1.0"?><w:document><w:body>', "</w:body></w:document>")
-    return office.packages(_part(body, 0, "[Content_Types].xml", F.lit("<Types/>")).unionByName(_part(body, 1, "word/document.xml", F.col("content"))).unionByName(_part(body, 2, "word/_rels/document.xml.rels", F.lit(_RELS))))
+    return stored(office.packages(_part(body, 0, "[Content_Types].xml", F.lit("<Types/>")).unionByName(_part(body, 1, "word/document.xml", F.col("content"))).unionByName(_part(body, 2, "word/_rels/document.xml.rels", F.lit(_RELS)))))
 
 
 _RUNS = """'Turn ' || turn || '<tx> bold & ' || role || '</tx><tx href="http://a.b/?x&y">link</tx>end'"""
@@ -55,7 +55,7 @@ def q41_docx_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""SELECT conv_id AS doc_id, count(*) AS paragraphs, 1 AS tables FROM (SELECT conv_id FROM conversations UNION ALL SELECT conv_id FROM conversations) GROUP BY conv_id""")
 def q92_docx_right_to_left(spark: SparkSession, sf_dir: str) -> DataFrame:
     body = file_rows(table(spark, sf_dir, "conversations"), F.col("conv_id"), "turn", filled(_PARAGRAPH.replace("<w:pPr/>", "<w:pPr></w:pPr>"), t="turn", r="role"), "", "<w:document><w:body><w:tbl></w:tbl>", "</w:body></w:document>")
-    files = office.packages(_part(body, 0, "word/document.xml", F.col("content")))
+    files = stored(office.packages(_part(body, 0, "word/document.xml", F.col("content"))))
     done = office.parts(office_compiling.compile_docx(files, _told(office.docx_units(files), F.col("text")), rtl=True))
     return done.select("doc_id", F.regexp_count("xml", F.lit('<w:pPr><w:bidi w:val="1"/></w:pPr>')).cast("bigint").alias("paragraphs"), F.regexp_count("xml", F.lit("<w:tblPr><w:bidiVisual/></w:tblPr>")).alias("tables"))
 
@@ -69,7 +69,7 @@ def _pptx(spark: SparkSession, sf_dir: str) -> DataFrame:
     slides = _part(rows, 100 - F.col("turn"), filled("ppt/slides/slide<<t>>.xml", t="turn"), filled(_SLIDE, t="turn", r="role"))
     notes = _part(rows, 200 + F.col("turn"), filled("ppt/notesSlides/notesSlide<<t>>.xml", t=(90 - F.col("turn")).cast("string")), filled("<p:notes><p:sp><a:p><a:r><a:t>Note <<t>></a:t></a:r></a:p></p:sp></p:notes>", t="turn"))
     rels = _part(rows, 300 + F.col("turn"), filled("ppt/slides/_rels/slide<<t>>.xml.rels", t="turn"), filled('<Relationships><Relationship Id="rId2" Type="t/notesSlide" Target="../notesSlides/notesSlide<<t>>.xml"/></Relationships>', t=(90 - F.col("turn")).cast("string")))
-    return office.packages(slides.unionByName(notes).unionByName(rels))
+    return stored(office.packages(slides.unionByName(notes).unionByName(rels)))
 
 
 @query("""SELECT conv_id AS doc_id, CASE n WHEN 0 THEN '<tx>Turn ' || turn || '</tx><tx>by ' || role || '</tx>' ELSE 'Note ' || turn END AS text, n = 1 AS notes, CAST(row_number() OVER (PARTITION BY conv_id ORDER BY turn, n) - 1 AS INT) AS ord FROM conversations, (VALUES (0), (1)) v(n)""")
@@ -106,7 +106,7 @@ def _xlsx(spark: SparkSession, sf_dir: str) -> DataFrame:
     sheet = _part(rows, 3, "xl/worksheets/sheet1.xml", filled(f'<worksheet><sheetData>{cells}</sheetData><hyperlinks><hyperlink ref="A7" r:id="rId1"/></hyperlinks></worksheet>', **name))
     book = _part(rows, 1, "xl/workbook.xml", filled('<workbook><sheets><sheet name="S &amp; <<n>>" sheetId="1"/></sheets></workbook>', **name))
     shared = _part(rows, 2, "xl/sharedStrings.xml", filled("<sst><si><t><<n>></t></si><si><r><t>rich</t></r><r><t>run <<n>></t></r></si></sst>", **name))
-    return office.packages(book.unionByName(shared).unionByName(sheet).unionByName(_part(rows, 4, "xl/worksheets/_rels/sheet1.xml.rels", F.lit(_SHEET_RELS))))
+    return stored(office.packages(book.unionByName(shared).unionByName(sheet).unionByName(_part(rows, 4, "xl/worksheets/_rels/sheet1.xml.rels", F.lit(_SHEET_RELS)))))
 
 
 @query("""SELECT n_nationkey AS doc_id, ord, replace(said, '#', n_name) AS text, 'S & ' || n_name AS developer_comment FROM nation, (VALUES (0, 'S & #'), (1, '#'), (2, '<tx>rich</tx><tx>run #</tx>'), (3, 'in #'), (4, '<tx href="http://y">to #</tx>'), (5, '<tx href="http://x">#</tx>')) v(ord, said)""")
@@ -133,7 +133,7 @@ def q98_idml_compile(spark: SparkSession, sf_dir: str) -> DataFrame:
     files = office.packages(_part(rows, 0, "designmap.xml", F.lit('<Document StoryList="b"/>')).unionByName(stories))
     units = office.idml_units(files)
     told = units.filter("text <> 'gone'").select("doc_id", "placeholder", F.concat(F.lit("el "), "text", F.when(F.col("ord") == 0, " & <x <Br/>").otherwise("")).alias("text"))
-    done = office.parts(office_compiling.compile_idml(office_compiling.idml_template(files, units), told)).filter("part like 'Stories/%'")
+    done = office.parts(office_compiling.compile_idml(stored(office_compiling.idml_template(files, units)), told)).filter("part like 'Stories/%'")
     return done.select("doc_id", "xml", F.col("part").contains("_b").cast("int").alias("listed"))
 
 

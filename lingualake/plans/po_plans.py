@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..operators import po_compiling
 from ..sources import po
-from .building import file_rows, filled, query, table
+from .building import file_rows, filled, query, stored, table
 
 HEADER = 'msgid ""\nmsgstr ""\n"Content-Type: text/plain\\n"\n\n'
 _HEAD_SQL = """'msgid ""' || chr(10) || 'msgstr "Content-Type: text/plain' || chr(92) || 'n"' || chr(10)"""
@@ -30,7 +30,7 @@ def q77_po_compile(spark: SparkSession, sf_dir: str) -> DataFrame:
     number = F.regexp_extract("occurrences", r":(\d+)", 1).cast("bigint")
     said = F.transform_values("strings", lambda k, v: F.concat(F.when(F.col("pluralized"), F.lit("el:")).otherwise(F.lit("el:\n")), v))
     told = units.filter(number % 3 != 0).select("doc_id", "placeholder", "ord", said.alias("strings"))
-    return po_compiling.compile_po(po_compiling.template(files), told)
+    return po_compiling.compile_po(stored(po_compiling.template(files)), told)
 
 
 @query(f"""WITH s AS (SELECT c_nationkey AS doc_id, c_custkey AS k, c_name AS n, bool_or(c_custkey % 2 = 1) OVER (PARTITION BY c_nationkey ORDER BY c_custkey ROWS UNBOUNDED PRECEDING) AS added FROM customer WHERE c_custkey % 2 = 0 OR c_custkey % 3 = 0),
@@ -42,7 +42,7 @@ def q35_po_sync(spark: SparkSession, sf_dir: str) -> DataFrame:
     files = file_rows(rows.filter("c_custkey % 2 = 0"), F.col("c_nationkey"), "c_custkey", filled('msgid "<<n>>"\nmsgstr ""\n', n="c_name"), "\n", HEADER)
     key = T.escape_po_key(F.col("c_name"))
     strings = rows.filter("c_custkey % 2 = 0 or c_custkey % 3 = 0").select(F.col("c_nationkey").alias("doc_id"), F.col("c_custkey").alias("ord"), key.alias("key"), F.lit("").alias("context"), F.lit(False).alias("pluralized"), T.placeholder(T.string_hash(key)).alias("placeholder"), F.lit("c-format").alias("flags"), filled("b.c:<<k>>", k="c_custkey").alias("occurrences"), F.lit("new").alias("developer_comment"))
-    return po_compiling.sync_template(po_compiling.template(files), strings)
+    return po_compiling.sync_template(stored(po_compiling.template(files)), strings)
 
 
 @query("""SELECT c_nationkey AS doc_id, c_name AS key, 'el' AS text, c_custkey % 5 = 0 AS fuzzy, CASE WHEN c_custkey % 5 <> 0 THEN CAST(count(*) FILTER (c_custkey % 5 <> 0) OVER (PARTITION BY c_nationkey ORDER BY c_custkey) - 1 AS BIGINT) END AS ord FROM customer WHERE c_custkey % 2 = 0""")

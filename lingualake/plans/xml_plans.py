@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..operators import validating, xml_compiling
 from ..sources import xml_files, xml_walk
-from .building import XML, file_rows, filled, part_files, query, table
+from .building import XML, file_rows, filled, part_files, query, stored, table
 
 
 def _told(units: DataFrame, keep=None) -> DataFrame:
@@ -32,7 +32,7 @@ def q27_android_compile_semi(spark: SparkSession, sf_dir: str) -> DataFrame:
     files = part_files(spark, sf_dir, part, *XML)
     units = xml_files.android_units(files)
     told = _told(units, F.when(F.col("pluralized"), _number() % 4 != 0).otherwise(_number() % 3 != 0))
-    return xml_compiling.compile_android(xml_compiling.android_template(files, units), told, is_source=False)
+    return xml_compiling.compile_android(stored(xml_compiling.android_template(files, units)), told, is_source=False)
 
 
 @query("""WITH p AS (SELECT n_regionkey AS doc_id, n_nationkey AS k, CASE WHEN n_nationkey % 3 = 0 THEN '' ELSE '<string-array name="n' || n_nationkey || '"><item>el:' || n_name || '</item>' || CASE WHEN n_nationkey % 3 = 1 THEN ' <item>el:two</item>' ELSE '' END || '</string-array>' || chr(10) END
@@ -44,7 +44,7 @@ def q54_android_arrays_compile(spark: SparkSession, sf_dir: str) -> DataFrame:
     files = file_rows(table(spark, sf_dir, "nation"), F.col("n_regionkey"), "n_nationkey", part, "\n", '<resources tools:locale="en">\n', "\n</resources>")
     units = xml_files.android_units(files)
     told = _told(units, (_number() % 3 == 1) | ((_number() % 3 == 2) & F.col("key").endswith("[0]")))
-    return xml_compiling.compile_android(xml_compiling.android_template(files, units), told, True, "el")
+    return xml_compiling.compile_android(stored(xml_compiling.android_template(files, units)), told, True, "el")
 
 
 _DICT = "<key>k<<k>></key><dict><key>NSStringLocalizedFormatKey</key><string>%#@n@ & more</string><key>n</key><dict><key>NSStringFormatSpecTypeKey</key><string>NSStringPluralRuleType</string> <key>one</key> <string><<name>></string> <key>other</key> <string><<size>> <<type>></string></dict></dict>"
@@ -57,7 +57,7 @@ _PLIST = ("\n", '<plist version="1.0">\n<dict>\n', "\n</dict>\n</plist>\n")
 def q55_stringsdict_compile(spark: SparkSession, sf_dir: str) -> DataFrame:
     files = part_files(spark, sf_dir, _DICT.replace("&", "&amp;"), *_PLIST)
     units = xml_files.stringsdict_units(files)
-    return xml_compiling.compile_stringsdict(xml_compiling.stringsdict_template(files, units), _told(units, _number() % 3 != 0))
+    return xml_compiling.compile_stringsdict(stored(xml_compiling.stringsdict_template(files, units)), _told(units, _number() % 3 != 0))
 
 
 @query("""WITH p AS (SELECT n_regionkey AS doc_id, n_nationkey AS k, '<string key="n' || n_nationkey || '"><base>el:' || n_name || '</base><variant context="v">el:' || n_name || ' variant</variant><variant context="w"></variant></string>' AS part FROM nation)
@@ -67,7 +67,7 @@ def q56_custom_xml_compile(spark: SparkSession, sf_dir: str) -> DataFrame:
     part = filled('<string key="n<<k>>"><base><<n>></base><variant context="v"><<n>> variant</variant><variant context="w"></variant></string>', k="n_nationkey", n="n_name")
     files = file_rows(table(spark, sf_dir, "nation"), F.col("n_regionkey"), "n_nationkey", part, "", '<strings><section name="s">', "</section></strings>")
     units = xml_files.custom_units(files)
-    return xml_compiling.compile_custom(xml_compiling.android_template(files, units), _told(units))
+    return xml_compiling.compile_custom(stored(xml_compiling.android_template(files, units)), _told(units))
 
 
 _BAD_XML = ["</wrong>", "tail", '<string name="a">2</string>', "<string>x</string>", '<plurals name="p"><item quantity="one">x</item><item quantity="odd">y</item></plurals>', '<string name=\'<<k>>\'><![CDATA[x </string> y]]></string>', '<plurals name="q"><item quantity="one"> </item><item quantity="other">y</item><b/></plurals>', "<open>", '<plurals name="q"><item>y</item></plurals>']

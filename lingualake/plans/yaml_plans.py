@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators import yaml_compiling
 from ..sources import yaml_files
-from .building import file_rows, filled, query, table
+from .building import file_rows, filled, query, stored, table
 
 
 def _nations(spark: SparkSession, sf_dir: str, template: str, head: str = "r:\n") -> DataFrame:
@@ -36,7 +36,7 @@ def q82_yaml_compile(spark: SparkSession, sf_dir: str) -> DataFrame:
     files = _nations(spark, sf_dir, _ALL)
     units = yaml_files.units(files)
     told = units.select("doc_id", "placeholder", "key", "flags", F.lit(False).alias("pluralized"), F.create_map(F.lit(5), F.concat(F.lit("el: "), "text")).alias("strings"))
-    return yaml_compiling.compile_yaml(yaml_compiling.template(files, units), told)
+    return yaml_compiling.compile_yaml(stored(yaml_compiling.template(files, units)), told)
 
 
 @query("""WITH e AS (SELECT n_regionkey AS doc_id, n_nationkey AS k, '  n' || n_nationkey || ':' || chr(10) || '    count:' || chr(10) || '      one: ''el one ' || n_name || '''' || chr(10) || '      few: "el few"' || chr(10) || '      other: "el ' || n_name || 's"' || chr(10) || '    title: el ' || n_name AS part FROM nation)
@@ -48,7 +48,7 @@ def q83_i18n_yaml_compile(spark: SparkSession, sf_dir: str) -> DataFrame:
     el = lambda c: F.concat(F.lit("el "), c)
     said = F.when(F.col("pluralized"), F.create_map(F.lit(1), el(F.try_element_at("strings", F.lit(1))), F.lit(3), F.lit("el few"), F.lit(5), el(F.try_element_at("strings", F.lit(5))))).otherwise(F.create_map(F.lit(5), el(F.try_element_at("strings", F.lit(5)))))
     told = units.select("doc_id", "placeholder", "key", "flags", "pluralized", said.alias("strings"))
-    return yaml_compiling.compile_yaml(yaml_compiling.template(files, units), told, above=1)
+    return yaml_compiling.compile_yaml(stored(yaml_compiling.template(files, units)), told, above=1)
 
 
 @query("""WITH e AS (SELECT n_regionkey AS doc_id, n_nationkey AS k, '    n' || n_nationkey || ':' || chr(10) || '      a.b: ' || n_name || chr(10) || '      list:' || chr(10) || '        - "' || n_name || '"' || chr(10) || '        - !t ''x''' || chr(10) || '      7: |-' || chr(10) || '        two' || chr(10) || '        ' || n_name AS part FROM nation)

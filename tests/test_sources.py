@@ -210,3 +210,9 @@ def test_android_arrays_keep_empty_items(spark):
     template = xml_compiling.android_template(docs, units)
     said = units.select("doc_id", "placeholder", "ord", "strings")
     assert xml_compiling.compile_android(template, said).first()["content"] == text
+
+
+def test_json_texts_with_bad_escapes(spark):
+    cases = {r"a\"b\\c😀\n\/": 'a"b\\c😀\n/', r"a\qb\u12": r"a\qb\u12", 'a"b\tc': 'a"b\tc', "end\\": "end\\", "": ""}
+    for text, value in cases.items():
+        assert one(spark, T.unescape_json(F.lit(text))) == value
