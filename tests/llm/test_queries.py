@@ -65,5 +65,25 @@ def test_pipeline_stage_by_stage(spark):
     assert {r["doc_id"] for r in done.collect()} == {i for i in sets if label[i] == i}
 
 
+@pytest.mark.parametrize("k", range(5))
+def test_stages_on_odd_rows(spark, k):
+    name, stage = corpus_pipeline.STAGES[k]
+    long = " ".join(f"word{i % 997}" for i in range(20_000))
+    odd = [(5, None), (3, ""), (1, "a b c"), (1, "a b c"), (2, long), (4, long + " end"), (None, "a b c"), (None, None)]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t or ""), "x") for i, t in odd], "doc_id bigint, text string, lang string, source string, n_chars bigint, label string")
+    found = stage(spark, docs, SF)
+    rows = found.collect()
+    ids = sorted(r["doc_id"] or 0 for r in rows)
+    if name == "packing":
+        assert set(ids) == {0, 1, 2, 3, 4, 5} and sum(i == 1 for i in ids) == 2
+    else:
+        assert found.columns == list(corpus_pipeline.COLUMNS) and all(i in {0, 1, 2, 3, 4, 5} for i in ids)
+    if name == "line_dedup":
+        assert ids == sorted(i or 0 for i, _ in odd)
+    if name == "near_dedup":
+        assert ids == [0, 0, 1, 1, 2, 3, 5]
+    assert stage(spark, docs.limit(0), SF).collect() == []
+
+
 def test_run_gives_the_last_stage(spark):
     assert corpus_pipeline.run(spark, SF).columns == ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"]
