@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, imatch, licenses, line_dedup, near_dedup, packing, pieces, quality, toxicity, warc
+from . import byte_bpe, exact_dedup, imatch, licenses, line_dedup, near_dedup, packing, pieces, quality, toxicity, warc
 from .common import staged
 
 
@@ -107,7 +107,15 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("kept_text").cast("binary"), 256).alias("kept_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op1_fingerprints, op2_quality, op3_toxicity, op4_exact_dedup, op5_pieces, op6_warc, op7_near_dedup, op8_licenses, op9_packing, op10_line_dedup)}
+def op11_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many ids every text has under the byte-level ranks, and digests of the ids and of the bytes decoded from them.
+
+    Cases: see byte_bpe; null texts are empty and have no ids, repeated rows are encoded each.
+    """
+    return byte_bpe.digests(_documents(spark, sf_dir), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN).withColumnRenamed("id", "doc_id")
+
+
+QUERIES = {f.__name__: f for f in (op1_fingerprints, op2_quality, op3_toxicity, op4_exact_dedup, op5_pieces, op6_warc, op7_near_dedup, op8_licenses, op9_packing, op10_line_dedup, op11_byte_bpe)}
 
 SQL = {
     "op4_exact_dedup": r"""
