@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, exact_dedup, imatch, licenses, line_dedup, near_dedup, packing, pieces, quality, toxicity, warc
+from . import byte_bpe, exact_dedup, imatch, licenses, line_dedup, near_dedup, packing, pieces, quality, toxicity, vector_codes, warc, whitening
 from .common import staged
 
 
@@ -115,7 +115,23 @@ def op11_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.digests(_documents(spark, sf_dir), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN).withColumnRenamed("id", "doc_id")
 
 
-QUERIES = {f.__name__: f for f in (op1_fingerprints, op2_quality, op3_toxicity, op4_exact_dedup, op5_pieces, op6_warc, op7_near_dedup, op8_licenses, op9_packing, op10_line_dedup, op11_byte_bpe)}
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every vector's four first whitened components, with the exact squared deviation from the mean.
+
+    Cases: see whitening; vectors that are null or hold null or non-finite entries have no rows.
+    """
+    return whitening.whiten(spark.read.parquet(f"{sf_dir}/embeddings.parquet")).withColumnRenamed("id", "vec_id")
+
+
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every vector's code, its error and that of its label.
+
+    Cases: see vector_codes; vectors that are null or hold null or non-finite entries have no rows.
+    """
+    return vector_codes.encode(spark.read.parquet(f"{sf_dir}/embeddings.parquet")).drop("label").withColumnRenamed("id", "vec_id")
+
+
+QUERIES = {f.__name__: f for f in (op1_fingerprints, op2_quality, op3_toxicity, op4_exact_dedup, op5_pieces, op6_warc, op7_near_dedup, op8_licenses, op9_packing, op10_line_dedup, op11_byte_bpe, op12_whitening, op13_vector_codes)}
 
 SQL = {
     "op4_exact_dedup": r"""
@@ -148,4 +164,5 @@ SQL = {
         FROM m GROUP BY doc_id
     """,
     "op8_licenses": licenses.sql(),
+    "op13_vector_codes": vector_codes.sql(),
 }
