@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Plural rules by number.
@@ -181,10 +181,20 @@ def plural_map(entries: Column) -> Column:
 
 
 def known_rule(name: Column) -> Column:
-    """rule_number(), but a name that is none ends the query."""
+    """rule_number(), but a name that is none ends a query that asks for the number; with_known_rule() ends any."""
     return F.coalesce(rule_number(name), F.raise_error(F.concat(F.lit("no plural rule: "), F.coalesce(name, F.lit("null")))).cast("int"))
 
 
+def checked(rows: DataFrame, test: Column, message: Column) -> DataFrame:
+    """`rows` as they are; one that `test` doesn't hold for ends the query, even if no column of it is asked for."""
+    return rows.filter(F.when(F.coalesce(test, F.lit(False)), True).otherwise(F.raise_error(message).cast("boolean")))
+
+
+def with_known_rule(rows: DataFrame, name: Column, number: str) -> DataFrame:
+    """`rows` with the number of the plural rule `name` as column `number`; a name that is none ends the query."""
+    return checked(rows, rule_number(name).isNotNull(), F.concat(F.lit("no plural rule: "), F.coalesce(name, F.lit("null")))).withColumn(number, rule_number(name))
+
+
 def rule_name(number: Column) -> Column:
     """The name of a plural rule's number; a number that is none ends the query."""
     names = F.create_map(*(x for k, v in RULES.items() for x in (F.lit(v), F.lit(k))))

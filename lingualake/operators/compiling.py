@@ -9,20 +9,29 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import spans
 from ..functions import text as T
 
+
 def _joined(rows: DataFrame, part: Column, separator: str, *carry: Column) -> DataFrame:
     ordered = F.sort_array(F.collect_list(F.struct(F.col("seg").alias("seg"), part.alias("part"))))
     return rows.groupBy("doc_id", *carry).agg(F.array_join(F.transform(ordered, lambda x: x["part"]), separator).alias("content"))
 
 
+def told(slots: DataFrame, translations: DataFrame, order: str = "start", how: str = "left") -> DataFrame:
+    """`slots` (doc_id, placeholder) with the columns of their translation: of repeated placeholders the n-th slot takes the n-th.
+
+    Translations are ordered by `ord`, or where they have none by their key.
+    """
+    nth = Window.partitionBy("doc_id", "placeholder")
+    by = "ord" if "ord" in translations.columns else "key"
+    texts = translations.withColumn("_nth", F.row_number().over(nth.orderBy(by))).drop("ord")
+    return slots.withColumn("_nth", F.row_number().over(nth.orderBy(order))).join(texts, ["doc_id", "placeholder", "_nth"], how).drop("_nth")
+
+
 def with_translations(rows: DataFrame, translations: DataFrame) -> DataFrame:
-    """`rows` (doc_id, seg, placeholder) with `translation`: of repeated placeholders the n-th slot takes the n-th text."""
-    nth = F.row_number().over(Window.partitionBy("doc_id", "placeholder").orderBy("seg"))
-    slots = rows.withColumn("_nth", F.when(F.col("placeholder").isNotNull(), nth))
-    order = Window.partitionBy("doc_id", "placeholder").orderBy("ord")
-    texts = translations.select("doc_id", "placeholder", F.row_number().over(order).alias("_nth"), F.col("text").alias("translation"))
-    return slots.join(texts, ["doc_id", "placeholder", "_nth"], "left").drop("_nth")
+    """`rows` (doc_id, seg, placeholder) with `translation`, the text that told() finds."""
+    return told(rows, translations.select("doc_id", "placeholder", "ord", F.col("text").alias("translation")), "seg")
 
 
 def plaintext_template(segments: DataFrame) -> DataFrame:
@@ -50,13 +59,19 @@ def compile_sections(parts: DataFrame, translations: DataFrame, missing: str = "
 
 
 def apply_edits(files: DataFrame, edits: DataFrame) -> DataFrame:
-    """Documents (doc_id, content) with the spans of `edits` (doc_id, start, end, text) replaced; spans may touch, not overlap."""
-    listed = edits.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("start", "end", "text"))).alias("slots"))
-    whole = files.select("doc_id", "content").join(listed, "doc_id", "left").withColumn("slots", F.coalesce("slots", F.array().cast("array<struct<start:int,end:int,text:string>>")))
-    before = lambda i: F.when(i == 0, 0).otherwise(F.get("slots", i - 1)["end"])
-    pieces = F.transform("slots", lambda s, i: F.concat(F.substring("content", before(i) + 1, s["start"] - before(i)), F.coalesce(s["text"], F.lit(""))))
-    last = F.when(F.size("slots") > 0, F.element_at("slots", -1)["end"]).otherwise(0)
-    return whole.select("doc_id", F.concat(F.array_join(pieces, ""), F.substring("content", last + 1, F.length("content"))).alias("content"))
+    """Documents (doc_id, content) with the spans of `edits` (doc_id, start, end, text) replaced; spans may touch, not overlap.
+
+    The time grows with a document's length and its number of edits, not with their product.
+    """
+    slot = F.struct(F.col("start").cast("int").alias("start"), F.col("end").cast("int").alias("end"), F.coalesce("text", F.lit("")).alias("text"))
+    listed = edits.groupBy("doc_id").agg(F.sort_array(F.collect_list(slot)).alias("_slots"))
+    both = files.select("doc_id", "content").join(listed, "doc_id", "left")
+    rows = both.select("doc_id", "content", "_slots", spans.blocks(F.when(F.col("_slots").isNotNull(), F.col("content"))).alias("_blocks"))
+    # the text behind each edit reaches to the next one's start
+    after = F.concat(F.transform(F.slice("_slots", F.lit(2), F.greatest(F.size("_slots") - 1, F.lit(0))), lambda s: s["start"]), F.array(F.length("content")))
+    first = spans.piece(F.col("_blocks"), F.lit(0), F.get("_slots", 0)["start"])
+    rest = F.zip_with("_slots", after, lambda s, end: F.concat(s["text"], spans.piece(F.col("_blocks"), s["end"], end)))
+    return rows.select("doc_id", F.when(F.col("_slots").isNull(), F.col("content")).otherwise(F.concat(first, F.array_join(rest, ""))).alias("content"))
 
 
 def compile_slots(files: DataFrame, slots: DataFrame, translations: DataFrame | None = None, missing: str = "keep") -> DataFrame:
@@ -73,14 +88,24 @@ def serialize_plural(strings: Column, delimiter: str = " ") -> Column:
     return F.array_join(F.transform(F.map_entries(strings), lambda e: F.concat(F.element_at(names, e["key"]), F.lit(" {"), e["value"], F.lit("}"))), delimiter)
 
 
+def _in_template(templates: DataFrame, translations: DataFrame) -> DataFrame:
+    known = spans.marks(templates).select("doc_id", "placeholder", F.lit(True).alias("_known")).distinct()
+    return translations.join(known, ["doc_id", "placeholder"], "left").withColumn("_known", F.coalesce("_known", F.lit(False)))
+
+
 def extra_strings(templates: DataFrame, translations: DataFrame) -> DataFrame:
     """The translations whose placeholder is not in their template."""
-    both = translations.join(templates.select("doc_id", "content"), "doc_id", "left")
-    return both.filter(~F.coalesce(F.contains("content", "placeholder"), F.lit(False))).drop("content")
+    return _in_template(templates, translations).filter("not _known").select(*translations.columns)
 
 
 def without_extra(templates: DataFrame, translations: DataFrame) -> DataFrame:
-    """`translations`, as they are; a translation whose placeholder is not in its template ends the query."""
-    both = translations.join(templates.select("doc_id", F.col("content").alias("_content")), "doc_id", "left")
-    found = F.coalesce(F.contains("_content", "placeholder"), F.lit(False))
-    return both.withColumn("placeholder", F.when(found, F.col("placeholder")).otherwise(F.raise_error(F.concat(F.lit("not in the template: "), "placeholder")))).drop("_content")
+    """`translations`, as they are; one whose placeholder is not in its template ends the query, whatever is asked for."""
+    found = T.checked(_in_template(templates, translations), F.col("_known"), F.concat(F.lit("not in the template: "), F.coalesce("placeholder", F.lit("null"))))
+    return found.select(*translations.columns)
+
+
+def complete(templates: DataFrame, translations: DataFrame) -> DataFrame:
+    """`templates`, as they are; a translation that their slots lack ends the query, whatever is asked for."""
+    extra = extra_strings(templates, translations).groupBy("doc_id").agg(F.min("placeholder").alias("_extra"))
+    both = templates.join(extra, "doc_id", "full")
+    return T.checked(both, F.col("_extra").isNull(), F.concat(F.lit("not in the template: "), F.coalesce("_extra", F.lit("null")))).select(*templates.columns)

@@ -9,9 +9,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import spans
 from ..functions import text as T
 from ..sources import markdown
-from .compiling import apply_edits, without_extra
+from .compiling import apply_edits, complete, told
 
 #: Characters that YAML can't print.
 _UNPRINTABLE = r"[^\x09\x0A\x0D\x20-\x7E\x85 -퟿-�\x{10000}-\x{10FFFF}]"
@@ -71,13 +72,13 @@ def unescape_unprintable(text: Column) -> Column:
 
 def compile_markdown(templates: DataFrame, translations: DataFrame, strict: bool = True) -> DataFrame:
     """Files with the translations (doc_id, placeholder, text, and for YAML strings flags) in place; `flags` null marks Markdown strings."""
-    told = (without_extra(templates, translations) if strict else translations).join(templates.select("doc_id", T.to_unix(F.col("content")).alias("content"), T.newline_type(F.col("content")).alias("newline")), "doc_id")
+    templates = complete(templates, translations) if strict else templates
+    unix = templates.select("doc_id", T.to_unix(F.col("content")).alias("content"))
     last = F.coalesce(F.element_at(F.split("flags", ":"), -1), F.lit(""))
     block = F.when(last.isin("|", ">"), F.concat(last, F.lit("\n"), F.col("text")))
     header = F.when(last.isin("|", ">"), block).otherwise(wrapped(F.col("text"), quote_for(F.col("text"), last)))
     text = F.when(F.col("flags").isNull(), F.col("text")).otherwise(escape_unprintable(header))
-    at = (F.position("placeholder", "content") - 1).cast("int")
-    edits = told.withColumn("start", at).filter("start >= 0").select("doc_id", "start", (F.col("start") + F.length("placeholder")).alias("end"), text.alias("text"))
-    unix = templates.select("doc_id", T.to_unix(F.col("content")).alias("content"))
+    by = translations if {"ord", "key"} & set(translations.columns) else translations.withColumn("ord", F.lit(0))
+    edits = told(spans.marks(unix), by, how="inner").select("doc_id", "start", "end", text.alias("text"))
     done = apply_edits(unix, edits).join(templates.select("doc_id", T.newline_type(F.col("content")).alias("newline")), "doc_id")
     return done.select("doc_id", T.with_newlines(F.col("content"), F.col("newline")).alias("content"))

@@ -11,6 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import spans
 from ..functions import text as T
 from ..sources import office
 from .compiling import apply_edits
@@ -76,13 +77,18 @@ def _text_edits(rows: DataFrame) -> DataFrame:
     return told.unionByName(blank)
 
 
+def _opening(rows: DataFrame, found: DataFrame) -> DataFrame:
+    """Node rows with their opening tag as `_opening`."""
+    key = F.struct("doc_id", "part").alias("_key")
+    return spans.with_text(rows.select("*", key), found.select(key, "xml"), F.col("start"), F.col("open_end"), "_opening", "_key", "xml").drop("_key")
+
+
 def _relation_edits(rows: DataFrame, found: DataFrame, added: DataFrame) -> DataFrame:
     """Edits of relationships: new targets of links that stay links, and `added` (doc_id, rels, id, href) at the end."""
     every = office.nodes(found.filter(F.col("part").endswith(".rels")))
-    content = found.select("doc_id", "place", F.col("xml").alias("_xml"))
     moved = rows.filter("url is not null and href is not null and url <> href").groupBy("doc_id", F.col("rels").alias("part"), "rid").agg(F.max("href").alias("href"))
-    tags = every.filter("tag = 'Relationship'").withColumn("rid", F.col("attrs")["Id"]).join(moved, ["doc_id", "part", "rid"]).join(content, ["doc_id", "place"])
-    tag = F.substring("_xml", F.col("start") + 1, F.col("open_end") - F.col("start"))
+    tags = every.filter("tag = 'Relationship'").withColumn("rid", F.col("attrs")["Id"]).join(moved, ["doc_id", "part", "rid"])
+    tags, tag = _opening(tags, found), F.col("_opening")
     before, after = F.regexp_extract(tag, r'(?s)^(.*?\sTarget=")', 1), F.regexp_extract(tag, r'(?s)^.*?\sTarget="[^"]*(".*)$', 1)
     changed = _edit(tags, F.col("start"), F.col("open_end"), F.concat(before, T.escape_xml(F.col("href")), after))
     new = F.concat(F.lit('<Relationship Id="'), "id", F.lit(f'" Type="{_LINK}" Target="'), T.escape_xml(F.col("href")), F.lit('" TargetMode="External"/>'))
@@ -172,9 +178,9 @@ def compile_xlsx(files: DataFrame, translations: DataFrame) -> DataFrame:
     order = Window.partitionBy("doc_id", "at", "owner")
     ts = ts.withColumns({"i": F.row_number().over(order.orderBy("seq")), "n": F.count("*").over(order)}).join(direct, ["doc_id", "at", "owner"])
     texts = _edit(ts, F.col("open_end"), F.col("close_start"), T.escape_xml(F.get(spread_parts(F.col("parts"), F.col("n")), F.col("i") - 1)))
-    cells = every.filter("tag = 'c'").select("doc_id", F.col("part"), "place", F.col("seq"), "start", "open_end", "end").join(found.select("doc_id", "part", "xml"), ["doc_id", "part"])
-    own = hashed.filter("kind = 's' and url is not null").join(cells, ["doc_id", "part", "seq"])
-    tag = F.regexp_replace(F.substring("xml", F.col("start") + 1, F.col("open_end") - F.col("start")), r'\st="s"', ' t="inlineStr"')
+    cells = every.filter("tag = 'c'").select("doc_id", F.col("part"), "place", F.col("seq"), "start", "open_end", "end")
+    own = _opening(hashed.filter("kind = 's' and url is not null").join(cells, ["doc_id", "part", "seq"]), found)
+    tag = F.regexp_replace("_opening", r'\st="s"', ' t="inlineStr"')
     alone = F.array_join(F.transform("parts", lambda x: x["text"]), "")
     inline = _edit(own, F.col("start"), F.col("end"), F.concat(tag, F.lit("<is><t>"), T.escape_xml(alone), F.lit("</t></is></c>")))
     first = F.get("parts", 0)
@@ -183,8 +189,8 @@ def compile_xlsx(files: DataFrame, translations: DataFrame) -> DataFrame:
     values = every.filter("tag in ('f', 'v')").select("doc_id", "part", "place", F.col("parent").alias("seq"), "tag", "open_end", "close_start")
     shown = hashed.filter("kind = 'str' and at = part").join(values, ["doc_id", "part", "seq"]).filter(first["href"].isNotNull())
     formulas = _edit(shown, F.col("open_end"), F.col("close_start"), F.when(F.col("tag") == "f", link).otherwise(T.escape_xml(alone)))
-    named = every.filter("part = 'xl/workbook.xml' and tag = 'sheet'").withColumn("string_hash", T.string_hash(T.unescape_xml(F.col("attrs")["name"]))).join(told, ["doc_id", "string_hash"]).join(found.select("doc_id", "part", "xml"), ["doc_id", "part"])
-    opening = F.substring("xml", F.col("start") + 1, F.col("open_end") - F.col("start"))
+    named = every.filter("part = 'xl/workbook.xml' and tag = 'sheet'").withColumn("string_hash", T.string_hash(T.unescape_xml(F.col("attrs")["name"]))).join(told, ["doc_id", "string_hash"])
+    named, opening = _opening(named, found), F.col("_opening")
     names = _edit(named, F.col("start"), F.col("open_end"), F.concat(F.regexp_extract(opening, r'(?s)^(.*?\sname=")', 1), quoted(F.col("told")), F.regexp_extract(opening, r'(?s)^.*?\sname="[^"]*(".*)$', 1)))
     return _rewritten(files, texts.unionByName(inline).unionByName(formulas).unionByName(names))
 

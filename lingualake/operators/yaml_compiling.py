@@ -12,9 +12,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import spans
 from ..functions import text as T
 from ..sources import yaml_files
-from .compiling import apply_edits, without_extra
+from .compiling import apply_edits, complete, told
 
 #: Plain scalars that are safe: no indicator first, no colon or hash that ends them, nothing that reads as another type.
 _UNSAFE = r"(?s)^$|^[\s\-?:,\[\]{}#&*!|>'\"%@`]|\s$|:(\s|$)|\s#|[\n\t]|[,\[\]{}]"
@@ -59,10 +60,10 @@ def compile_yaml(templates: DataFrame, translations: DataFrame, above: int = 0,
     Forms of a plural take the style of their rule or that of `other`. `above` levels lie over the keys; a
     translation that the template lacks ends the query if `strict`.
     """
-    told = (without_extra(templates, translations) if strict else translations).join(templates.select("doc_id", "content"), "doc_id")
-    at = F.position("placeholder", "content")
+    templates = complete(templates, translations) if strict else templates
+    rows = told(spans.marks(templates), translations, how="inner").join(templates.select("doc_id", indent_of(F.col("content")).alias("_step")), "doc_id")
     levels = F.size(F.split("key", r"\.")) + above
-    rows = told.withColumns({"_at": at - 1, "_indent": (indent_of(F.col("content")) * levels).cast("int"), "_styles": yaml_files.styles_of(F.col("flags")), "_step": indent_of(F.col("content"))}).filter("_at >= 0")
+    rows = rows.withColumns({"_indent": (F.col("_step") * levels).cast("int"), "_styles": yaml_files.styles_of(F.col("flags"))})
     one = styled(F.element_at("strings", 5), F.element_at(F.split(F.coalesce("flags", F.lit("")), ":"), -1), F.col("_indent"))
     names = F.create_map(*(x for k, v in T.RULES.items() for x in (F.lit(v), F.lit(k))))
     style = lambda rule: F.coalesce(F.try_element_at("_styles", rule.cast("string")), F.try_element_at("_styles", F.lit("5")), F.lit(""))
@@ -70,7 +71,7 @@ def compile_yaml(templates: DataFrame, translations: DataFrame, above: int = 0,
     flow = F.contains(F.coalesce("flags", F.lit("")), F.lit("flow"))
     many = F.array_join(F.transform(F.map_entries("strings"), form), "\x00")
     many = F.replace(many, F.lit("\x00"), F.when(flow, ", ").otherwise(F.concat(F.lit("\n"), F.repeat(F.lit(" "), F.col("_indent")))))
-    return apply_edits(templates, rows.select("doc_id", F.col("_at").cast("int").alias("start"), (F.col("_at") + F.length("placeholder")).cast("int").alias("end"), F.when(F.col("pluralized"), many).otherwise(one).alias("text")))
+    return apply_edits(templates, rows.select("doc_id", "start", "end", F.when(F.col("pluralized"), many).otherwise(one).alias("text")))
 
 
 def _tree(entries: list[dict]):

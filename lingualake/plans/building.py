@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-import atexit
-import tempfile
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..storing import stored  # noqa: F401  what the queries keep
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
 
@@ -54,34 +53,3 @@ def part_files(spark: SparkSession, sf_dir: str, template: str, separator: str =
 
 #: Separator, head and tail of an Android file.
 XML = ("\n", '<?xml version="1.0" encoding="utf-8"?>\n<resources>\n', "\n</resources>\n")
-
-
-_STORED: list[str] = []
-
-
-def shared_folder(spark: SparkSession) -> str:
-    """spark.checkpoint.dir, which all of a cluster shares; where it is unset a temporary folder if all runs on this machine, else one in the warehouse."""
-    path = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if not path and spark.sparkContext.master.split("[")[0] == "local":
-        path = tempfile.mkdtemp(prefix="lingualake-")
-    return (path or f"{spark.conf.get('spark.sql.warehouse.dir')}/_lingualake").rstrip("/")
-
-
-def stored(files: DataFrame) -> DataFrame:
-    """`files` written and read again, as files and templates are kept; they go when the driver ends."""
-    spark = files.sparkSession
-    path = f"{shared_folder(spark)}/files-{uuid.uuid4().hex}"
-    files.write.parquet(path)
-    _STORED.append(path)
-    return spark.read.schema(files.schema).parquet(path)
-
-
-@atexit.register
-def _remove_stored() -> None:
-    spark = SparkSession.getActiveSession() if _STORED else None
-    for path in _STORED if spark else ():
-        try:
-            target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-            target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
-        except Exception:  # the JVM may have ended first
-            return

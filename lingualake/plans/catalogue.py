@@ -13,7 +13,8 @@ from ..operators import compiling, json_compiling, syncing, translating, validat
 from ..sources import json_files, markdown, office, plaintext, po, subtitles, xml_files, yaml_files
 from ..streaming.parsing import parse_stream
 from . import json_plans, markdown_plans, office_plans, other_plans, po_plans, xml_plans, yaml_plans  # noqa: F401  they register their queries
-from .building import QUERIES, SQL, XML, documents, file_rows, filled, part_files, query, shared_folder, table
+from .building import QUERIES, SQL, XML, documents, file_rows, filled, part_files, query, table
+from ..storing import new_folder
 
 _LINES = """l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents),
     u AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY i) - 1 AS ord, trim(line, ' ' || chr(9) || chr(13)) AS text FROM l WHERE trim(line, ' ' || chr(9) || chr(13)) <> '')"""
@@ -377,7 +378,7 @@ def q49_plural_completeness(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(SQL["q01_plaintext_units"])
 def q50_streaming_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
-    work = f"{shared_folder(spark)}/stream-{spark.sparkContext.applicationId}-{spark.range(1).select(F.expr('uuid()')).first()[0]}"
+    work = new_folder(spark, "stream")
     documents(spark, sf_dir).write.parquet(f"{work}/in")
     return parse_stream(spark, f"{work}/in", "doc_id bigint, content string", plaintext.units, f"{work}/out", f"{work}/state")
 

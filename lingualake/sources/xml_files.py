@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import spans
 from ..functions import text as T
 from . import xml_walk
 
@@ -97,8 +98,8 @@ def android_problems(files: DataFrame) -> DataFrame:
     }
     listed = F.array_compact(F.array(*(F.when(test, F.lit(rule)) for rule, test in tests.items())))
     broken = rows.filter("not ignored").withColumn("_n", n).select("doc_id", F.explode(listed).alias("rule"), F.col("name").alias("key"), "line")
-    tails = files.select("doc_id", "content").join(found.filter("depth = 1 and tail_end > end").select("doc_id", "end", "tail_end", F.col("attrs")["name"].alias("key"), "line"), "doc_id")
-    tails = tails.filter(~_blank(F.substring(F.col("content"), F.col("end") + 1, F.col("tail_end") - F.col("end")))).select("doc_id", F.lit("trailing text").alias("rule"), "key", "line")
+    behind = found.filter("depth = 1 and tail_end > end").select("doc_id", "end", "tail_end", F.col("attrs")["name"].alias("key"), "line")
+    tails = spans.with_text(behind, files, F.col("end"), F.col("tail_end"), "tail").filter(~_blank(F.col("tail"))).select("doc_id", F.lit("trailing text").alias("rule"), "key", "line")
     roots = found.filter("depth = 0 and kind = 'element' and tag <> 'resources'").select("doc_id", F.lit("wrong root").alias("rule"), F.col("tag").alias("key"), "line")
     bad = xml_walk.errors(found).select("doc_id", "rule", F.col("message").alias("key"), "line")
     return broken.unionByName(tails).unionByName(roots).unionByName(bad)
