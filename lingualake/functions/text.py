@@ -128,9 +128,39 @@ def _unquotes(text: Column) -> Column:
     return _replaced(text, ("\\'", "'"), ('\\"', '"'))
 
 
+#: Any tag, whose attributes may hold greater signs in their quotes, a comment, or a stretch of text.
+_TAG = r"""</?[A-Za-z_][\w:.\-]*(?:\s+[\w:.\-]+\s*=\s*(?:"[^"]*"|'[^']*'))*\s*/?>"""
+_MARKUP = rf"(?s){_TAG}|<!--.*?-->|[^<]+|<"
+
+
+def _nested(tokens: Column) -> Column:
+    """Whether every opening tag among the tokens has its closing one, properly nested, and no bare `<` stands between them."""
+    name = lambda x: F.regexp_extract(x, r"^</?([A-Za-z_][\w:.\-]*)", 1)
+
+    def step(state: Column, x: Column) -> Column:
+        stack = state["stack"]
+        closes, single = x.startswith("</"), x.endswith("/>") | x.startswith("<!--") | ~x.startswith("<")
+        fits = F.coalesce(F.try_element_at(stack, F.lit(-1)) == name(x), F.lit(False))
+        after = F.when(single, stack).when(closes, F.slice(stack, F.lit(1), F.greatest(F.size(stack) - 1, F.lit(0)))).otherwise(F.concat(stack, F.array(name(x))))
+        return F.struct(after.alias("stack"), (state["fine"] & (x != "<") & (single | ~closes | fits)).alias("fine"))
+
+    start = F.struct(F.array().cast("array<string>").alias("stack"), F.lit(True).alias("fine"))
+    return F.aggregate(tokens, start, step, lambda s: s["fine"] & (F.size(s["stack"]) == 0))
+
+
+def escape_around_tags(text: Column, change) -> Column:
+    """`text` with `change` applied to each stretch of text and to each tag that is no inline tag.
+
+    Where tags don't close in the order in which they open, it is applied to the text as a whole.
+    """
+    tokens = F.regexp_extract_all(text, F.lit(_MARKUP), F.lit(0))
+    kept = lambda x: x.rlike(rf"^</?(?:{_INLINE_TAGS})(?![\w:.\-])") & x.endswith(">")
+    return F.when(_nested(tokens), F.array_join(F.transform(tokens, lambda x: F.when(kept(x), x).otherwise(change(x))), "")).otherwise(change(text))
+
+
 def escape_android(text: Column) -> Column:
-    """Quotes outside of inline tags and a leading at sign that names no string, escaped."""
-    return _outside(text, INLINE, lambda x: F.regexp_replace(_quotes(x), "^@(?!string/)", r"\\@"))
+    """Quotes outside of inline tags and a leading at sign that names no string, escaped; quotes in all tags if these don't nest."""
+    return escape_around_tags(text, lambda x: F.regexp_replace(_quotes(x), "^@(?!string/)", r"\\@"))
 
 
 def unescape_android(text: Column) -> Column:

@@ -221,7 +221,7 @@ def q26_android_plurals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return units.select("doc_id", "key", F.element_at("strings", 1).alias("one"), F.element_at("strings", 5).alias("other"), "placeholder")
 
 
-@query("""SELECT p_partkey, chr(92) || '@' || p_name || chr(92) || '" <b id="x">' || p_type || chr(92) || '''</b> <x y=' || chr(92) || '"z' || chr(92) || '">' AS escaped, '@' || p_name || '" <b id="x">' || p_type || '''</b> <x y="z">' AS again FROM part""")
+@query("""SELECT p_partkey, chr(92) || '@' || p_name || chr(92) || '" <b id=' || chr(92) || '"x' || chr(92) || '">' || p_type || chr(92) || '''</b> <x y=' || chr(92) || '"z' || chr(92) || '">' AS escaped, '@' || p_name || '" <b id="x">' || p_type || '''</b> <x y="z">' AS again FROM part""")
 def q28_android_escape(spark: SparkSession, sf_dir: str) -> DataFrame:
     escaped = T.escape_android(F.concat(F.lit("@"), "p_name", F.lit('" <b id="x">'), "p_type", F.lit("'</b> <x y=\"z\">")))
     return table(spark, sf_dir, "part").select("p_partkey", escaped.alias("escaped"), T.unescape_android(escaped).alias("again"))
@@ -229,7 +229,7 @@ def q28_android_escape(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT p_brand AS doc_id, 'k' || p_partkey AS key, p_name AS one, p_name || 's' AS other FROM part WHERE p_size % 10 <> 0")
 def q29_beta_android_units(spark: SparkSession, sf_dir: str) -> DataFrame:
-    units = xml_files.android_units(_plurals(spark, sf_dir), whole_plural=True)
+    units = xml_files.android_units(_plurals(spark, sf_dir), beta=True)
     return units.select("doc_id", "key", F.element_at("strings", 1).alias("one"), F.element_at("strings", 5).alias("other"))
 
 

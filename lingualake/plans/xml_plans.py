@@ -47,6 +47,42 @@ def q54_android_arrays_compile(spark: SparkSession, sf_dir: str) -> DataFrame:
     return xml_compiling.compile_android(stored(xml_compiling.android_template(files, units)), told, True, "el")
 
 
+_BETA = '<!-- a<<k>> -->\n<string name="x<<k>>"> </string>\n<string name="s[<<k>>"><<name>></string>\n<string-array name="n<<k>>">\n  <item><<name>></item> <item><<type>></item>\n</string-array>\n<plurals name="p<<k>>">\n  <item quantity="one"><<name>></item>\n  <item quantity="other"><<type>></item>\n</plurals><plurals name="q<<k>>"><item quantity="other">q</item></plurals>'
+
+
+@query("""WITH u AS (SELECT p_brand AS doc_id, p_partkey AS k, i, CASE i WHEN 0 THEN 's[' || p_partkey WHEN 1 THEN 'n' || p_partkey || '[0]' WHEN 2 THEN 'n' || p_partkey || '[1]' WHEN 3 THEN 'p' || p_partkey ELSE 'q' || p_partkey END AS key,
+        CASE i WHEN 3 THEN p_name || '|' || p_type WHEN 2 THEN p_type WHEN 4 THEN 'q' ELSE p_name END AS text FROM part, range(5) r(i))
+    SELECT doc_id, key, text, '' AS developer_comment, row_number() OVER (PARTITION BY doc_id ORDER BY k, i) - 1 AS ord FROM u""")
+def q109_beta_android_comments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The older Android parser: a comment goes to the next element even if that has no string; keys are names as they stand."""
+    units = xml_files.android_units(part_files(spark, sf_dir, _BETA, *XML), beta=True)
+    return units.select("doc_id", "key", F.array_join(F.map_values("strings"), "|").alias("text"), "developer_comment", F.col("ord").cast("bigint").alias("ord"))
+
+
+@query("""WITH p AS (SELECT p_brand AS doc_id, '<!-- a' || p_partkey || ' -->' || chr(10) || chr(10) || CASE WHEN p_partkey % 3 <> 0 THEN '<string name="s[' || p_partkey || '">el:' || p_name || '</string>' ELSE '' END || chr(10)
+        || CASE p_partkey % 4 WHEN 0 THEN '' ELSE '<string-array name="n' || p_partkey || '">' || chr(10) || '  ' || CASE WHEN p_partkey % 4 = 1 THEN '' ELSE '<item>el:' || p_name || '</item>' END || ' <item>el:' || p_type || '</item>' || chr(10) || '</string-array>' END || chr(10)
+        || CASE WHEN p_partkey % 5 <> 0 THEN '<plurals name="p' || p_partkey || '">' || chr(10) || '  <item quantity="one">el:' || p_name || '</item>' || chr(10) || '  <item quantity="other">el:' || p_type || '</item>' || chr(10) || '</plurals><plurals name="q' || p_partkey || '"><item quantity="other">el:q</item></plurals>' ELSE '' END AS part, p_partkey AS k FROM part)
+    SELECT doc_id, '<?xml version="1.0" encoding="utf-8"?>' || chr(10) || '<resources>' || chr(10) || string_agg(part, chr(10) ORDER BY k) || chr(10) || '</resources>' || chr(10) AS content FROM p GROUP BY doc_id""")
+def q110_beta_android_compile(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The older Android compiler: comments and white space stay where elements go, and arrays without an item go in a second step."""
+    files = part_files(spark, sf_dir, _BETA, *XML)
+    units = xml_files.android_units(files, beta=True)
+    n = F.regexp_extract("key", r"(\d+)", 1).cast("bigint")
+    keep = F.when(F.col("key").startswith("s"), n % 3 != 0).when(F.col("key").endswith("[0]"), ~(n % 4).isin(0, 1)).when(F.col("key").endswith("[1]"), n % 4 != 0).otherwise(n % 5 != 0)
+    return xml_compiling.compile_beta_android(stored(xml_compiling.android_template(files, units)), _told(units, keep))
+
+
+_NESTED = ["""<b>"<<n>>" <i x=">'">it's</i></b> \"""", """<b>"<<n>>" <i>it's</b></i>""", '"a" < <<n>>', "<br/>'<<n>>' <z k='v'>@y</z>"]
+
+
+@query("""SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN '<b>' || b || '"' || p_name || b || '" <i x=">''">it' || b || '''s</i></b> ' || b || '"' WHEN 1 THEN '<b>' || b || '"' || p_name || b || '" <i>it' || b || '''s</b></i>'
+        WHEN 2 THEN b || '"a' || b || '" < ' || p_name ELSE '<br/>' || b || '''' || p_name || b || ''' <z k=' || b || '''v' || b || '''>' || b || '@y</z>' END AS escaped FROM part, (SELECT chr(92) AS b)""")
+def q111_android_tag_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quotes are escaped in texts and in tags that are not inline; if tags don't nest, everywhere."""
+    text = F.get(F.array(*(filled(t, n="p_name") for t in _NESTED)), (F.col("p_partkey") % 4).cast("int"))
+    return table(spark, sf_dir, "part").select("p_partkey", T.escape_android(text).alias("escaped"))
+
+
 _DICT = "<key>k<<k>></key><dict><key>NSStringLocalizedFormatKey</key><string>%#@n@ & more</string><key>n</key><dict><key>NSStringFormatSpecTypeKey</key><string>NSStringPluralRuleType</string> <key>one</key> <string><<name>></string> <key>other</key> <string><<size>> <<type>></string></dict></dict>"
 _PLIST = ("\n", '<plist version="1.0">\n<dict>\n', "\n</dict>\n</plist>\n")
 

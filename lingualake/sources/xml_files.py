@@ -30,11 +30,11 @@ def android_nodes(files: DataFrame) -> DataFrame:
     return xml_walk.nodes(files, *_KINDS, "item")
 
 
-def android_elements(found: DataFrame) -> DataFrame:
+def android_elements(found: DataFrame, beta: bool = False) -> DataFrame:
     """String elements below the root: name, product, comment, items (node structs in order) and whether they are left out.
 
     A comment goes to the next element that has a string; an element left out takes it away, one without a
-    string leaves it to the next.
+    string leaves it to the next. If `beta` it goes, as it stands, to the next element whatever that is.
     """
     root = found.filter("depth = 0 and kind = 'element' and tag = 'resources'")
     rows = found.filter("depth = 1").join(root.select("doc_id", F.col("seq").alias("parent")), ["doc_id", "parent"], "left_semi")
@@ -45,32 +45,36 @@ def android_elements(found: DataFrame) -> DataFrame:
     filled = F.when(F.col("tag") == "string", ~_blank(F.col("inner"))).otherwise(F.exists("items", lambda x: ~_blank(x["inner"])))
     rows = rows.withColumns({"is_comment": F.col("kind") == "comment", "ignored": F.coalesce(F.col("attrs")["translatable"] == "false", F.lit(False)), "filled": filled})
     before = Window.partitionBy("doc_id").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
-    takes = F.when(~F.col("is_comment") & (F.col("ignored") | F.col("filled")), 1).otherwise(0)
+    takes = F.when(~F.col("is_comment") & (F.col("ignored") | F.col("filled") | F.lit(beta)), 1).otherwise(0)
     rows = rows.withColumn("island", F.coalesce(F.sum(takes).over(before), F.lit(0)))
-    last = F.last(F.when(F.col("is_comment"), T.strip(F.col("text"))), ignorenulls=True).over(Window.partitionBy("doc_id", "island").orderBy("seq"))
+    last = F.last(F.when(F.col("is_comment"), F.col("text") if beta else T.strip(F.col("text"))), ignorenulls=True).over(Window.partitionBy("doc_id", "island").orderBy("seq"))
     tags = rows.withColumn("comment", F.coalesce(last, F.lit(""))).filter(~F.col("is_comment"))
     return tags.withColumns({"name": F.col("attrs")["name"], "product": F.coalesce(F.col("attrs")["product"], F.lit(""))}).drop("is_comment", "island", "kind")
 
 
-def _strings(rows: DataFrame, whole_plural: bool = False) -> DataFrame:
+def _strings(rows: DataFrame, beta: bool = False) -> DataFrame:
     """The strings of android_elements() with key, strings and the span that a template replaces."""
-    rows = rows.filter("not ignored and name is not null").withColumn("name", T.escape_android_name(F.col("name")))
+    rows = rows.filter("not ignored and name is not null")
+    rows = rows if beta else rows.withColumn("name", T.escape_android_name(F.col("name")))
     single = rows.filter("tag = 'string'").select("*", F.lit(0).alias("item"), F.col("name").alias("key"), F.create_map(F.lit(5), F.col("inner")).alias("strings"), F.col("open_end").alias("from"), F.col("close_start").alias("to"))
     only = F.filter("items", lambda x: x["tag"] == "item")
     arrays = rows.filter("tag = 'string-array'").select("*", F.posexplode(only).alias("item", "one"))
     arrays = arrays.withColumns({"key": F.concat("name", F.lit("["), "item", F.lit("]")), "strings": F.create_map(F.lit(5), F.col("one.inner")), "from": F.col("one.open_end"), "to": F.col("one.close_start")}).drop("one")
     entries = F.transform(F.filter(only, lambda x: T.rule_number(x["quantity"]).isNotNull()), lambda x: F.struct(T.rule_number(x["quantity"]).alias("rule"), F.coalesce(x["inner"], F.lit("")).alias("text")))
     plurals = rows.filter("tag = 'plurals' and size(items) > 0").select("*", F.lit(0).alias("item"), F.col("name").alias("key"), T.plural_map(entries).alias("strings"), F.get("items", 0)["start"].alias("from"), F.element_at("items", -1)["end"].alias("to"))
-    some = (F.forall if whole_plural else F.exists)(F.map_values("strings"), lambda x: ~_blank(x))
+    some = (F.forall if beta else F.exists)(F.map_values("strings"), lambda x: ~_blank(x))
     return single.unionByName(arrays).unionByName(plurals).filter(some).withColumns({"start": F.col("from"), "end": F.col("to")})
 
 
-def android_units(files: DataFrame, whole_plural: bool = False) -> DataFrame:
-    """Strings, array items by place, and plurals; blank ones are none. With `whole_plural` one blank form drops the plural.
+def android_units(files: DataFrame, beta: bool = False) -> DataFrame:
+    """Strings, array items by place, and plurals; blank ones are none.
 
-    A name and product that an element of another tag had before get the tag at the product's end as context.
+    A name and product that an element of another tag had before get the tag at the product's end as context. If `beta`
+    one blank form drops its plural, names are keys as they stand and contexts the products alone.
     """
-    every = _strings(android_elements(android_nodes(files)), whole_plural)
+    every = _strings(android_elements(android_nodes(files), beta), beta)
+    if beta:
+        return _numbered(every, F.col("product"), F.col("tag") == "plurals", F.col("comment"))
     first = F.first("tag").over(Window.partitionBy("doc_id", "key", "product").orderBy("seq"))
     context = F.when(F.col("tag") == first, F.col("product")).otherwise(F.concat("product", "tag"))
     return _numbered(every.withColumn("_context", context), F.col("_context"), F.col("tag") == "plurals", F.col("comment"))
