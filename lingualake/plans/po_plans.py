@@ -70,3 +70,23 @@ def q80_po_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     key = F.concat(T.escape_po_key(F.concat("p_name", F.lit(":"), "p_type")), F.lit(":"), T.escape_po_key(F.concat("p_brand", F.lit("\\"))))
     rows = table(spark, sf_dir, "part").select("p_partkey", po_compiling.split_key(key).alias("s"), po_compiling.split_key(T.escape_po_key(F.concat("p_name", F.lit(":")))).alias("t"))
     return rows.filter("t.msgid_plural is null").select("p_partkey", "s.msgid", "s.msgid_plural", F.col("t.msgid").alias("alone"))
+
+
+_LONG = '#| msgctxt "old"\n#| msgid "was <<n>>"\n# <<c>>\nmsgid "<<n>> <<w>>"\nmsgstr ""\n'
+
+
+@query("""WITH e AS (SELECT p_brand AS doc_id, p_partkey AS k, p_name || ' ' || repeat(p_type || ' ', 8) || '.' AS text, p_name AS n, repeat('x', 80) AS c FROM part),
+    w AS (SELECT *, string_split(text, ' ') AS words FROM e),
+    l AS (SELECT *, list_reduce(list_prepend({'done': '', 'line': ''}, list_transform(words, lambda x: {'done': '', 'line': x})), lambda a, x: CASE WHEN a.line = '' THEN {'done': a.done, 'line': x.line}
+            WHEN length(a.line) + 1 + length(x.line) <= 76 AND x.line <> '' THEN {'done': a.done, 'line': a.line || ' ' || x.line}
+            WHEN length(a.line) + 1 <= 76 THEN {'done': a.done || '"' || a.line || ' "' || chr(10), 'line': x.line} ELSE {'done': a.done || '"' || a.line || '"' || chr(10), 'line': ' ' || x.line} END) AS folded FROM w),
+    p AS (SELECT doc_id, k, '# ' || c || chr(10) || '#| msgctxt "old"' || chr(10) || '#| msgid "was ' || n || '"' || chr(10) || CASE WHEN length(text) <= 70 THEN 'msgid "' || text || '"' ELSE 'msgid ""' || chr(10) || folded.done || '"' || folded.line || '"' END || chr(10) || 'msgstr "' || md5(text || ':') || '_tr"' || chr(10) AS part FROM l)
+    SELECT doc_id, 'msgid ""' || chr(10) || 'msgstr "Content-Type: text/plain' || chr(92) || 'n"' || chr(10) || chr(10) || string_agg(part, chr(10) ORDER BY k) AS content FROM p GROUP BY doc_id
+    UNION ALL SELECT 'broken', ''""")
+def q112_po_wrapping(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Long texts are wrapped, what entries had before stays, and a file with an error comes out empty."""
+    rows = table(spark, sf_dir, "part")
+    words = F.concat(F.repeat(F.concat("p_type", F.lit(" ")), F.lit(8)), F.lit("."))
+    files = file_rows(rows, F.col("p_brand"), "p_partkey", filled(_LONG, n="p_name", w=words, c=F.repeat(F.lit("x"), F.lit(80))), "\n", HEADER)
+    broken = rows.limit(1).select(F.lit("broken").alias("doc_id"), F.lit("msgid a\n").alias("content"))
+    return po_compiling.template(files.unionByName(broken))

@@ -69,8 +69,9 @@ def _nodes_of(text: str) -> list[list]:
     return rows
 
 
-def _checked(text: str) -> list[list]:
-    """_nodes_of() a text, or its error row."""
+def rows_of(text: str | None) -> list[list]:
+    """The node rows of one document, or its error row."""
+    text = text or ""
     message, line = "the root is no object or list", 1
     try:
         if isinstance(json.loads(text), (dict, list)):
@@ -85,7 +86,7 @@ def _checked(text: str) -> list[list]:
 def _walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     types = [pa.int32()] + [pa.string()] * 5 + [pa.int32()] * 3 + [pa.list_(pa.int32())] + [pa.int32()] * 2
     for batch in batches:
-        rows = [(i, *node) for i, text in enumerate(batch.column("content").to_pylist()) for node in _checked(text or "")]
+        rows = [(i, *node) for i, text in enumerate(batch.column("content").to_pylist()) for node in rows_of(text)]
         columns = list(zip(*rows, strict=True)) or [()] * (len(types) + 1)
         yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(pa.array(columns[0], pa.int64())), *(pa.array(c, t) for c, t in zip(columns[1:], types, strict=True))], ["doc_id", *(x.split()[0] for x in NODES.split(", "))])
 
@@ -99,6 +100,69 @@ def errors(files: DataFrame) -> DataFrame:
     return nodes(files).filter("kind = 'error'").select("doc_id", F.when(F.col("value").startswith("the root"), "not a container").otherwise("no JSON").alias("rule"), F.col("value").alias("message"), "line")
 
 
+def object_problems(files: DataFrame) -> DataFrame:
+    """Rows (doc_id, rule, message, line) of files that are no JSON, whose root is no object, or that repeat a key."""
+    found = nodes(files)
+    roots = found.filter("path is null and kind = 'list'").select("doc_id", F.lit("the root is no object").alias("rule"), F.lit("a list").alias("message"), "line")
+    repeated = duplicate_keys(files).select("doc_id", F.lit("duplicate key").alias("rule"), F.col("key").alias("message"), "line")
+    return errors(files).unionByName(roots).unionByName(repeated)
+
+
+def arb_problems(files: DataFrame) -> DataFrame:
+    """object_problems(), and the entries `@key` of a key that the file lacks or whose value is no object."""
+    found = nodes(files)
+    names = found.filter("path is not null and size(up) = 1").select("doc_id", "name", "kind", "line")
+    own = names.filter(F.col("name").rlike("^@[^@]")).withColumn("of", F.substring("name", F.lit(2), F.length("name")))
+    there = names.select("doc_id", F.col("name").alias("of")).distinct().withColumn("_there", F.lit(True))
+    marked = own.join(there, ["doc_id", "of"], "left")
+    rule = F.when(F.col("kind") != "dict", "attributes are no object").when(F.col("_there").isNull(), "attributes of no key")
+    return object_problems(files).unionByName(marked.select("doc_id", rule.alias("rule"), F.col("name").alias("message"), "line").filter("rule is not null"))
+
+
+def key_path(key: Column) -> Column:
+    r"""The parts of a key: cut at dots that no backslash precedes; a part in double quotes may hold dots, two of its quotes are one.
+
+    Backslashes make the character behind them stand for itself.
+    """
+    parts = F.regexp_extract_all(key, F.lit(r'(?s)(?:^|\.)("(?:[^"\\]|\\.|"")*"(?=\.|$)|(?:[^.\\]|\\.)*)'), F.lit(1))
+    bare = F.transform(parts, lambda p: F.when(p.rlike(r'(?s)^".*"$') & (F.length(p) > 1), F.replace(F.substring(p, F.lit(2), F.length(p) - 2), F.lit('""'), F.lit('"'))).otherwise(p))
+    return F.transform(bare, lambda p: F.regexp_replace(p, r"(?s)\\(.)", "$1"))
+
+
+def at_keys(files: DataFrame, keys: DataFrame) -> DataFrame:
+    """`keys` (doc_id, key) with the node of their path through the objects: seq, kind, value, null where there is none.
+
+    Of repeated members the last counts. The parts of a key are those of key_path(); only members of objects are walked.
+    """
+    found = nodes(files).filter("kind <> 'error'")
+    # the raw names of the members from the root down to a node; a node below a list has none
+    every = found.select("doc_id", "seq", "name", "kind", "value", "up", F.concat("up", F.array("seq")).alias("own"))
+    each = every.select("doc_id", F.col("seq").alias("node"), F.posexplode("own").alias("level", "seq"))
+    latest = F.max("seq").over(Window.partitionBy("doc_id", F.try_element_at("up", F.lit(-1)), "name"))
+    marked = found.select("doc_id", "seq", F.struct("name", (F.col("kind") == "list").alias("listed"), (F.col("seq") < latest).alias("old")).alias("x"))
+    named = each.join(marked, ["doc_id", "seq"])
+    paths = named.groupBy("doc_id", "node").agg(F.sort_array(F.collect_list(F.struct("level", "x"))).alias("xs"))
+    inside = F.exists(F.slice("xs", F.lit(1), F.size("xs") - 1), lambda s: s["x"]["listed"])
+    paths = paths.filter(~inside & ~F.exists("xs", lambda s: s["x"]["old"])).select("doc_id", F.col("node").alias("seq"), F.transform(F.slice("xs", F.lit(2), F.size("xs")), lambda s: T.unescape_json(s["x"]["name"])).alias("parts"))
+    last = paths.join(every.select("doc_id", "seq", "kind", "value"), ["doc_id", "seq"]).groupBy("doc_id", "parts").agg(F.max(F.struct("seq", "kind", "value")).alias("n"))
+    wanted = keys.withColumn("parts", key_path(F.col("key")))
+    return wanted.join(last, ["doc_id", "parts"], "left").select(*(F.col(c) for c in keys.columns), "n.seq", "n.kind", "n.value")
+
+
+def structure_of(files: DataFrame, keys: DataFrame) -> DataFrame:
+    """`keys` (doc_id, key) with string, context, developer_comment and character_limit of the object that they name.
+
+    Missing members are an empty text, or null for `character_limit`; keys that name no object have no row.
+    """
+    objects = at_keys(files, keys).filter("kind = 'dict'").withColumnRenamed("seq", "object")
+    members = nodes(files).filter(F.col("name").isin("string", "context", "developer_comment", "character_limit")).withColumn("object", F.try_element_at("up", F.lit(-1)))
+    value = lambda name: F.max_by(F.when(F.col("name") == name, F.col("value")), F.when(F.col("name") == name, F.col("seq")))
+    own = members.groupBy("doc_id", "object").agg(*(value(n).alias(n) for n in ("string", "context", "developer_comment", "character_limit")))
+    text = lambda c: F.coalesce(T.unescape_json(F.col(c)), F.lit("")).alias(c)
+    done = objects.drop("kind", "value").join(own, ["doc_id", "object"], "left")
+    return done.select(*keys.columns, text("string"), text("context"), text("developer_comment"), F.expr("try_cast(character_limit as int)").alias("character_limit"))
+
+
 def _next_form(state: Column, piece: Column) -> Column:
     """The state of _parsed after a piece, which is a brace or the text between two."""
     opening, closing = piece == "{", (piece == "}") & (state["depth"] > 0)

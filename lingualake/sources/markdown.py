@@ -204,14 +204,20 @@ def normalised(files: DataFrame, compose: bool = True) -> DataFrame:
     return rows.mapInArrow(_prepare(compose), f"doc_id {files.schema['doc_id'].dataType.simpleString()}, content string, header string, separator string, newline string")
 
 
+def rows_of(text: str | None, start: int = 0) -> list[tuple]:
+    """The block rows of one file from `start` on; blocks that are tags of a template language, numbers or blank are none."""
+    own = [x for x in blocks_of((text or "")[start:], start) if not (x[1].startswith("{%") and x[1].endswith("%}")) and not _NUMBER.match(x[1]) and x[1].strip()]
+    own = [x for x in own if not (x[0] == "reference" and x[1].strip().lstrip("+-").isdigit())]
+    return [(i, *x) for i, x in enumerate(own)]
+
+
 def _walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         owners, rows = [], []
         for k, (text, start) in enumerate(zip(batch.column("content").to_pylist(), batch.column("start").to_pylist(), strict=True)):
-            own = [x for x in blocks_of((text or "")[start:], start) if not (x[1].startswith("{%") and x[1].endswith("%}")) and not _NUMBER.match(x[1]) and x[1].strip()]
-            own = [x for x in own if not (x[0] == "reference" and x[1].strip().lstrip("+-").isdigit())]
+            own = rows_of(text, start)
             owners += [k] * len(own)
-            rows += [(i, *x) for i, x in enumerate(own)]
+            rows += own
         columns = list(zip(*rows, strict=True)) or [()] * 5
         types = (pa.int32(), pa.string(), pa.string(), pa.int32(), pa.int32())
         yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(pa.array(owners, pa.int64())), *(pa.array(c, t) for c, t in zip(columns, types, strict=True))], ["doc_id", "seq", "kind", "text", "start", "end"])

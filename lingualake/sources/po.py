@@ -1,9 +1,11 @@
 """Gettext PO and POT files: a walk over lines yields entries; units, file kinds and rules are plans over these.
 
 Entry rows are (doc_id, seq, kind, msgctxt, msgid, msgid_plural, msgstr, msgstrs, flags, occurrences, comment,
-tcomment, obsolete, line), texts unescaped; `kind` is `header` for the first entry if its msgid is empty and it has
+tcomment, previous, obsolete, line), texts unescaped; `kind` is `header` for the first entry if its msgid is empty and it has
 no context, else `entry`. A file with a line that is none of PO gives one row of kind `error` with the message as msgid.
 
+`previous` has the msgctxt, msgid and msgid_plural that an entry had before.
+
 Cases: a null content is an empty file, which has no entries. An empty table gives no rows.
 """
 
@@ -18,8 +20,8 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 
-ENTRIES = "seq int, kind string, msgctxt string, msgid string, msgid_plural string, msgstr string, msgstrs map<int,string>, flags array<string>, occurrences array<string>, comment string, tcomment string, obsolete boolean, line int"
-_TYPES = (pa.int32(), *[pa.string()] * 5, pa.map_(pa.int32(), pa.string()), pa.list_(pa.string()), pa.list_(pa.string()), pa.string(), pa.string(), pa.bool_(), pa.int32())
+ENTRIES = "seq int, kind string, msgctxt string, msgid string, msgid_plural string, msgstr string, msgstrs map<int,string>, flags array<string>, occurrences array<string>, comment string, tcomment string, previous map<string,string>, obsolete boolean, line int"
+_TYPES = (pa.int32(), *[pa.string()] * 5, pa.map_(pa.int32(), pa.string()), pa.list_(pa.string()), pa.list_(pa.string()), pa.string(), pa.string(), pa.map_(pa.string(), pa.string()), pa.bool_(), pa.int32())
 _WORD = re.compile(r'(msgctxt|msgid_plural|msgid|msgstr)(?:\[(\d+)\])?\s*"(.*)"$')
 _ESCAPE = re.compile(r"\\(.)", re.S)
 _ESCAPED = {"n": "\n", "t": "\t", "r": "\r"}
@@ -40,7 +42,8 @@ def _entries_of(text: str) -> Iterator[dict]:
     for number, raw in enumerate([*text.replace("\r\n", "\n").split("\n"), ""], 1):
         line = raw.strip()
         obsolete = line.startswith("#~")
-        line = line[2:].strip() if obsolete else line
+        if obsolete:
+            line = f"#{line[2:]}" if line.startswith("#~|") else line[2:].strip()
         word = _WORD.match(line)
         starts = not line or line.startswith("#") or (word and (word.group(1) == "msgctxt" or (word.group(1) == "msgid" and "msgid" in own)))
         if starts and ("msgstr" in own or "msgstrs" in own):
@@ -60,7 +63,14 @@ def _entries_of(text: str) -> Iterator[dict]:
                 own["occurrences"] = own.get("occurrences", []) + rest.split()
             elif kind == ".":
                 own["comment"] = own.get("comment", []) + [rest]
-            elif kind != "|":
+            elif kind == "|":
+                earlier = _WORD.match(rest)
+                if earlier and earlier.group(1) != "msgstr":
+                    own.setdefault("previous", {})[earlier.group(1)] = _unescaped(earlier.group(3))
+                    key = ("previous", earlier.group(1))
+                elif isinstance(key, tuple) and len(rest) > 1 and rest[0] == rest[-1] == '"':
+                    own["previous"][key[1]] += _unescaped(rest[1:-1])
+            else:
                 own["tcomment"] = own.get("tcomment", []) + [line[1:].strip()]
         elif word:
             name, index, value = word.groups()
@@ -70,25 +80,32 @@ def _entries_of(text: str) -> Iterator[dict]:
             else:
                 own[name] = _unescaped(value)
                 key = name
-        elif key is not None and len(line) > 1 and line[0] == line[-1] == '"':
+        elif isinstance(key, (str, int)) and len(line) > 1 and line[0] == line[-1] == '"':
             held = own["msgstrs"] if isinstance(key, int) else own
             held[key] += _unescaped(line[1:-1])
         else:
             raise Malformed(f"line {number}: neither a keyword nor a quoted text")
 
 
+def rows_of(text: str | None) -> list[tuple]:
+    """The entry rows of one file, or its error row."""
+    own = []
+    try:
+        for seq, e in enumerate(_entries_of(text or "")):
+            kind = "header" if not seq and not e.get("msgid") and "msgctxt" not in e else "entry"
+            lists = (e.get(k, []) for k in ("flags", "occurrences"))
+            own.append((seq, kind, e.get("msgctxt"), e.get("msgid", ""), e.get("msgid_plural"), e.get("msgstr"), list(e.get("msgstrs", {}).items()), *lists, "\n".join(e.get("comment", [])), "\n".join(e.get("tcomment", [])), list(e.get("previous", {}).items()), e["obsolete"], e["line"]))
+    except Malformed as e:
+        own = [(0, "error", None, str(e), None, None, [], [], [], "", "", [], False, int(re.search(r"\d+", str(e)).group()))]
+    return own
+
+
 def _walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     names = [x.split()[0] for x in re.split(r", (?=\w+ )", ENTRIES)]
     for batch in batches:
         owners, rows = [], []
         for k, text in enumerate(batch.column("content").to_pylist()):
-            own = []
-            try:
-                for seq, e in enumerate(_entries_of(text or "")):
-                    kind = "header" if not seq and not e.get("msgid") and "msgctxt" not in e else "entry"
-                    own.append((seq, kind, e.get("msgctxt"), e.get("msgid", ""), e.get("msgid_plural"), e.get("msgstr"), list(e.get("msgstrs", {}).items()), e.get("flags", []), e.get("occurrences", []), "\n".join(e.get("comment", [])), "\n".join(e.get("tcomment", [])), e["obsolete"], e["line"]))
-            except Malformed as e:
-                own = [(0, "error", None, str(e), None, None, [], [], [], "", "", False, int(re.search(r"\d+", str(e)).group()))]
+            own = rows_of(text)
             owners += [k] * len(own)
             rows += own
         columns = list(zip(*rows, strict=True)) or [()] * len(_TYPES)

@@ -101,16 +101,21 @@ def nodes_of(text: str, whole: frozenset[str] = frozenset()) -> Iterator[tuple]:
         yield n["seq"], n["parent"], n["depth"], n["kind"], n["tag"], list(n["attrs"].items()), n["start"], n["open_end"], n["close_start"], n["end"], n.get("tail_end", len(text)), own, inner, bisect_right(breaks, n["start"]) + 1, n["up"], n["above"]
 
 
+def rows_of(text: str | None, whole: frozenset[str] = frozenset()) -> list[tuple]:
+    """The node rows of one file, or its error row."""
+    text = text or ""
+    try:
+        return list(nodes_of(text, whole))
+    except Malformed as e:
+        return [(0, None, 0, "error", "", [], e.at, None, None, None, None, str(e), None, text.count("\n", 0, e.at) + 1, [], [])]
+
+
 def _walk(whole: frozenset[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             owners, rows = [], []
             for k, text in enumerate(batch.column("content").to_pylist()):
-                text = text or ""
-                try:
-                    own = list(nodes_of(text, whole))
-                except Malformed as e:
-                    own = [(0, None, 0, "error", "", [], e.at, None, None, None, None, str(e), None, text.count("\n", 0, e.at) + 1, [], [])]
+                own = rows_of(text, whole)
                 owners += [k] * len(own)
                 rows += own
             columns = list(zip(*rows, strict=True)) or [()] * len(_TYPES)

@@ -96,9 +96,14 @@ def _leaves_of(text: str) -> list[tuple]:
     return rows
 
 
+def rows_of(text: str | None) -> list[tuple]:
+    """The leaf rows of one file, or its error row."""
+    return _leaves_of(text or "")
+
+
 def _walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        rows = [(i, *leaf) for i, text in enumerate(batch.column("content").to_pylist()) for leaf in _leaves_of(text or "")]
+        rows = [(i, *leaf) for i, text in enumerate(batch.column("content").to_pylist()) for leaf in rows_of(text)]
         columns = list(zip(*rows, strict=True)) or [()] * (len(_TYPES) + 1)
         yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(pa.array(columns[0], pa.int64())), *(pa.array(c, t) for c, t in zip(columns[1:], _TYPES, strict=True))], ["doc_id", *(x.split()[0] for x in LEAVES.split(", "))])
 
