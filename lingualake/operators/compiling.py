@@ -89,8 +89,13 @@ def serialize_plural(strings: Column, delimiter: str = " ") -> Column:
 
 
 def _in_template(templates: DataFrame, translations: DataFrame) -> DataFrame:
+    """`translations` with whether their template has their placeholder; those that look like no placeholder are searched for one by one."""
+    usual = F.coalesce(F.col("placeholder").rlike(f"^{spans.MARK}$"), F.lit(False))
     known = spans.marks(templates).select("doc_id", "placeholder", F.lit(True).alias("_known")).distinct()
-    return translations.join(known, ["doc_id", "placeholder"], "left").withColumn("_known", F.coalesce("_known", F.lit(False)))
+    listed = translations.filter(usual).join(known, ["doc_id", "placeholder"], "left")
+    other = translations.filter(~usual).join(templates.select("doc_id", F.col("content").alias("_content")), "doc_id", "left")
+    both = listed.unionByName(other.withColumn("_known", F.contains("_content", "placeholder")).drop("_content"))
+    return both.withColumn("_known", F.coalesce("_known", F.lit(False)))
 
 
 def extra_strings(templates: DataFrame, translations: DataFrame) -> DataFrame:

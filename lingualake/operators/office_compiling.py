@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from ..functions import spans
 from ..functions import text as T
 from ..sources import office
+from ..storing import stored
 from .compiling import apply_edits
 
 _TX = r'(?s)<tx(?:\s+href="[^"]*")?\s*>|</tx>|(?:(?!</?tx[\s>]).)+'
@@ -83,9 +84,8 @@ def _opening(rows: DataFrame, found: DataFrame) -> DataFrame:
     return spans.with_text(rows.select("*", key), found.select(key, "xml"), F.col("start"), F.col("open_end"), "_opening", "_key", "xml").drop("_key")
 
 
-def _relation_edits(rows: DataFrame, found: DataFrame, added: DataFrame) -> DataFrame:
+def _relation_edits(rows: DataFrame, every: DataFrame, found: DataFrame, added: DataFrame) -> DataFrame:
     """Edits of relationships: new targets of links that stay links, and `added` (doc_id, rels, id, href) at the end."""
-    every = office.nodes(found.filter(F.col("part").endswith(".rels")))
     moved = rows.filter("url is not null and href is not null and url <> href").groupBy("doc_id", F.col("rels").alias("part"), "rid").agg(F.max("href").alias("href"))
     tags = every.filter("tag = 'Relationship'").withColumn("rid", F.col("attrs")["Id"]).join(moved, ["doc_id", "part", "rid"])
     tags, tag = _opening(tags, found), F.col("_opening")
@@ -101,43 +101,88 @@ def _added(rows: DataFrame, found: DataFrame) -> DataFrame:
     """Texts that become links with the `id` of their new relationship: numbers after the greatest there is."""
     number = F.expr("try_cast(regexp_extract(id, '[0-9]+', 0) as int)")
     most = office.relations(found).groupBy("doc_id", "rels").agg(F.max(number).alias("most"))
-    order = F.row_number().over(Window.partitionBy("doc_id", "rels").orderBy("seq"))
+    order = F.row_number().over(Window.partitionBy("doc_id", "rels").orderBy("place", "seq"))
     new = rows.filter("url is null and href is not null").join(most, ["doc_id", "rels"]).withColumn("n", F.col("most") + order)
     return new.withColumn("id", F.concat(F.lit("rId"), "n"))
 
 
-def _elements(found: DataFrame, seq: str) -> DataFrame:
+def _elements(every: DataFrame, seq: str) -> DataFrame:
     """The places of all elements, named for a join with the column `seq`."""
-    return office.nodes(found).select("doc_id", "place", F.col("seq").alias(seq), *(F.col(c).alias(f"{seq}_{c}") for c in ("start", "open_end", "close_start", "end")))
+    return every.select("doc_id", "place", F.col("seq").alias(seq), *(F.col(c).alias(f"{seq}_{c}") for c in ("start", "open_end", "close_start", "end")))
+
+
+def _properties(every: DataFrame, tag: str, name: str) -> DataFrame:
+    """The places of the run properties `tag`, for a join with the column `name` of runs."""
+    return every.filter(F.col("tag") == tag).select("doc_id", "place", F.col("parent").alias(name), *(F.col(c).alias(f"{name}_{c}") for c in ("start", "open_end", "close_start", "end")))
+
+
+def _swapped(rows: DataFrame, every: DataFrame, found: DataFrame, tag: str) -> DataFrame:
+    """Texts of paragraphs that lose as many links as they gain, with the run properties that they take over.
+
+    The n-th target that is gained meets the n-th that is lost, by first text; their texts swap properties one by one, the
+    last one of the shorter side serving the rest. Columns: doc_id, place, run, t_start, added, to (the new target), rels and
+    rid (of the lost link), own_* (the places of their own properties, if any) and taken (the other's text, null for none).
+    """
+    said = rows.filter("said is not null")
+
+    def side(test: str, target: str, name: str) -> DataFrame:
+        key = ["doc_id", "place", "p"]
+        each = said.filter(test).groupBy(*key, F.col(target).alias(f"{name}_to")).agg(F.min("index").alias("_first"), F.sort_array(F.collect_list(F.struct("index", "run", F.col("start").alias("at"), "rels", "rid"))).alias(name))
+        own = Window.partitionBy(*key)
+        return each.withColumns({"g": F.row_number().over(own.orderBy("_first")), f"{name}_n": F.count("*").over(own)}).drop("_first")
+
+    gained, lost = side("url is null and href is not null", "href", "a"), side("url is not null and href is null", "url", "d")
+    both = gained.join(lost, ["doc_id", "place", "p", "g"]).filter("a_n = d_n")
+    pair = lambda x, y, added: F.struct(x["run"].alias("run"), x["at"].alias("t_start"), y["run"].alias("other"), F.lit(added).alias("added"), (y if added else x)["rels"].alias("rels"), (y if added else x)["rid"].alias("rid"))
+    ends = lambda mine, theirs, added: F.transform(mine, lambda x, i: pair(x, F.get(theirs, F.least(i, F.size(theirs) - 1)), added))
+    each = both.select("doc_id", "place", F.col("a_to").alias("to"), F.explode(F.concat(ends("a", "d", True), ends("d", "a", False))).alias("x")).select("doc_id", "place", "to", "x.*")
+    own = each.join(_properties(every, tag, "run"), ["doc_id", "place", "run"], "left").join(_properties(every, tag, "other"), ["doc_id", "place", "other"], "left")
+    key = F.struct("doc_id", "place").alias("_key")
+    return spans.with_text(own.select("*", key), found.select(key, "xml"), F.col("other_start"), F.col("other_end"), "taken", "_key", "xml").drop("_key")
+
+
+def _swap_edits(swapped: DataFrame) -> DataFrame:
+    """Edits that replace run properties, or put them before a text whose run has none."""
+    own = F.col("run_start").isNotNull()
+    rows = swapped.filter(own | F.col("taken").isNotNull())
+    return _edit(rows, F.when(own, F.col("run_start")).otherwise(F.col("t_start")), F.when(own, F.col("run_end")).otherwise(F.col("t_start")), F.coalesce("taken", F.lit("")))
 
 
 def compile_docx(files: DataFrame, translations: DataFrame, rtl: bool = False) -> DataFrame:
     """DOCX packages with translations in their paragraphs.
 
-    Links follow the translation: their targets change, they go, or runs become links of new relationships. With
-    `rtl` paragraphs and runs are marked as right to left, and tables as mirrored.
+    Links follow the translation: their targets change, they go, or runs become links of new relationships; runs that
+    lose and gain links swap their properties. With `rtl` paragraphs and runs are marked as right to left, and tables as mirrored.
     """
-    found = office.docx_parts(files)
+    found = stored(office.docx_parts(files))
+    every = stored(office.nodes(found))
     texts = office.runs(found, office.docx_links(found), office._DOCX)
-    rows = _spread(texts, office.paragraphs(texts), translations)
-    linked = rows.join(_elements(found, "link"), ["doc_id", "place", "link"])
+    rows = stored(_spread(texts, office.paragraphs(texts), translations))
+    linked = rows.join(_elements(every, "link"), ["doc_id", "place", "link"])
     dropped = rows.filter("said is null")
     cut = _edit(dropped.filter("link is null"), F.col("start"), F.col("end")).unionByName(_edit(linked.filter("said is null"), F.col("link_start"), F.col("link_end")))
     bare = linked.filter("said is not null and url is not null and href is null").groupBy("doc_id", "place", "link_start", "link_open_end", "link_close_start", "link_end").count()
     bare = _edit(bare, F.col("link_start"), F.col("link_open_end")).unionByName(_edit(bare, F.col("link_close_start"), F.col("link_end")))
-    new = _added(rows.filter("said is not null"), found).join(_elements(found, "run"), ["doc_id", "place", "run"])
+    new = _added(rows.filter("said is not null"), found).join(_elements(every, "run"), ["doc_id", "place", "run"])
     wrap = _edit(new, F.col("run_start"), F.col("run_start"), F.concat(F.lit('<w:hyperlink r:id="'), "id", F.lit('">'))).unionByName(_edit(new, F.col("run_end"), F.col("run_end"), F.lit("</w:hyperlink>")))
-    edits = _text_edits(rows).unionByName(cut).unionByName(bare).unionByName(wrap).unionByName(_relation_edits(rows, found, new))
-    return _rewritten(files, edits.unionByName(_rtl_edits(found)) if rtl else edits)
-
-
-def _rtl_edits(found: DataFrame) -> DataFrame:
-    every = office.nodes(found)
+    swapped = _swapped(rows, every, found, "w:rPr")
+    if rtl:
+        mark = '<w:rtl w:val="1"/>'
+        marked = F.when(F.col("taken").endswith("</w:rPr>") & ~F.contains("taken", F.lit("<w:rtl")), F.regexp_replace("taken", "</w:rPr>$", f"{mark}</w:rPr>")).otherwise(F.col("taken"))
+        swapped = swapped.withColumn("taken", marked)
+    edits = _text_edits(rows).unionByName(cut).unionByName(bare).unionByName(wrap).unionByName(_relation_edits(rows, every, found, new)).unionByName(_swap_edits(swapped))
+    return _rewritten(files, edits.unionByName(_rtl_edits(every, swapped)) if rtl else edits)
+
+
+def _rtl_edits(every: DataFrame, swapped: DataFrame) -> DataFrame:
+    """Marks in what no edit of `swapped` replaces."""
+    replaced = swapped.filter("run_start is not null").select("doc_id", "place", F.col("run_start").alias("start")).distinct()
     held = lambda tag: every.filter(F.col("tag") == tag).select("doc_id", "place", F.col("parent").alias("seq")).distinct()
 
     def marked(owner: str, inside: str, mark: str) -> DataFrame:
         """`mark` at the end of each `inside` that has none."""
         own = every.filter((F.col("tag") == inside) & (F.col("close_start") < F.col("end"))).join(held(mark.strip("</>").split()[0]), ["doc_id", "place", "seq"], "left_anti")
+        own = own.join(replaced, ["doc_id", "place", "start"], "left_anti")
         return _edit(own, F.col("close_start"), F.col("close_start"), F.lit(mark))
 
     bidi, rtl, mirrored = '<w:bidi w:val="1"/>', '<w:rtl w:val="1"/>', "<w:bidiVisual/>"
@@ -149,15 +194,35 @@ def _rtl_edits(found: DataFrame) -> DataFrame:
 
 
 def compile_pptx(files: DataFrame, translations: DataFrame, blank_texts: bool = False) -> DataFrame:
-    """PPTX packages with translations in the paragraphs of slides and notes; targets of links change or links go."""
-    found = office.pptx_parts(files)
+    """PPTX packages with translations in the paragraphs of slides and notes.
+
+    Targets of links change, links go, or runs become links of new relationships; runs that lose and gain links swap
+    their properties, and with these the link.
+    """
+    found = stored(office.pptx_parts(files))
+    every = stored(office.nodes(found))
     texts = office.pptx_texts(files)
-    rows = _spread(texts, office.with_blanks(texts) if blank_texts else office.paragraphs(texts), translations)
+    rows = stored(_spread(texts, office.with_blanks(texts) if blank_texts else office.paragraphs(texts), translations))
     cut = _edit(rows.filter("said is null"), F.col("start"), F.col("end"))
-    linked = rows.filter("said is not null and url is not null and href is null").join(_elements(found, "link"), ["doc_id", "place", "link"])
+    swapped = _swapped(rows, every, found, "a:rPr")
+    alone = rows.filter("said is not null").join(swapped.select("doc_id", "place", "run"), ["doc_id", "place", "run"], "left_anti")
+    linked = alone.filter("url is not null and href is null").join(_elements(every, "link"), ["doc_id", "place", "link"])
     bare = _edit(linked, F.col("link_start"), F.col("link_end"))
-    none = rows.filter("false").withColumns({"id": F.lit(""), "n": F.lit(0)})
-    return _rewritten(files, _text_edits(rows).unionByName(cut).unionByName(bare).unionByName(_relation_edits(rows, found, none)))
+    new = _opening_of(_added(alone, found).join(_properties(every, "a:rPr", "run"), ["doc_id", "place", "run"], "left"), found)
+    click = F.concat(F.lit('<a:hlinkClick r:id="'), "id", F.lit('"/>'))
+    empty = F.col("run_close_start") == F.col("run_end")
+    filled = F.when(F.col("run_start").isNull(), F.concat(F.lit("<a:rPr>"), click, F.lit("</a:rPr>"))).when(empty, F.concat(F.regexp_replace("_opening", r"\s*/>$", ">"), click, F.lit("</a:rPr>"))).otherwise(click)
+    at = F.when(F.col("run_start").isNull(), F.col("start")).when(empty, F.col("run_start")).otherwise(F.col("run_close_start"))
+    clicks = _edit(new, at, F.when(empty, F.col("run_end")).otherwise(at), filled)
+    moved = swapped.filter("added").select("doc_id", "rels", "rid", F.lit("").alias("url"), F.col("to").alias("href"))
+    relations = _relation_edits(rows.select("doc_id", "rels", "rid", "url", "href").unionByName(moved), every, found, new)
+    return _rewritten(files, _text_edits(rows).unionByName(cut).unionByName(bare).unionByName(clicks).unionByName(relations).unionByName(_swap_edits(swapped)))
+
+
+def _opening_of(rows: DataFrame, found: DataFrame) -> DataFrame:
+    """`rows` with the opening tag of their run properties as `_opening`."""
+    key = F.struct("doc_id", "place").alias("_key")
+    return spans.with_text(rows.select("*", key), found.select(key, "xml"), F.col("run_start"), F.col("run_open_end"), "_opening", "_key", "xml").drop("_key")
 
 
 def spread_parts(parts: Column, n: Column) -> Column:

@@ -160,8 +160,43 @@ def _units(rows: DataFrame, order: tuple[str, ...], *extra: str) -> DataFrame:
     return rows.select("doc_id", F.col("text").alias("key"), "text", number.alias("ord"), hashed.alias("string_hash"), T.placeholder(hashed).alias("placeholder"), *extra)
 
 
+def renamed(found: DataFrame, names: DataFrame) -> DataFrame:
+    """Parts by the names that the rest of this module knows: `names` has (doc_id, part, name).
+
+    In packages that `names` has rows of, other parts get names that nothing looks for; packages without keep theirs.
+    """
+    told = names.groupBy("doc_id", "part").agg(F.min("name").alias("_name"))
+    rows = found.join(told, ["doc_id", "part"], "left").join(names.select("doc_id", F.lit(True).alias("_told")).distinct(), "doc_id", "left")
+    return rows.withColumn("part", F.coalesce("_name", F.when(F.col("_told"), F.concat(F.lit("-/"), "part")), "part")).select("doc_id", "place", "part", "xml")
+
+
+def _base(part: Column) -> Column:
+    return F.substring_index(part, "/", -1)
+
+
+def with_relations(names: DataFrame) -> DataFrame:
+    """`names` with those of the parts that hold their relationships."""
+    return names.unionByName(names.select("doc_id", rels_path(F.col("part")).alias("part"), rels_path(F.col("name")).alias("name")))
+
+
+def main_parts(found: DataFrame, name: str) -> DataFrame:
+    """`name` for the part that a package's relationships say is its document."""
+    main = relations(found.filter("part = '_rels/.rels'")).filter(F.col("type").endswith("/officeDocument"))
+    return with_relations(main.select("doc_id", F.regexp_replace("target", r"^(\./|/)+", "").alias("part"), F.lit(name).alias("name")))
+
+
+def typed_parts(found: DataFrame, **folders: str) -> DataFrame:
+    """Names for the parts whose content type, as the package lists it, ends in one of `folders` and `+xml`; a folder's end is kept or is the name."""
+    listed = nodes(found.filter("part = '[Content_Types].xml'")).filter("tag = 'Override'")
+    listed = listed.select("doc_id", F.regexp_replace(F.col("attrs")["PartName"], "^/", "").alias("part"), F.regexp_extract(F.col("attrs")["ContentType"], r"([A-Za-z.]+)\+xml$", 1).alias("type"))
+    name = F.coalesce(*(F.when(F.col("type").endswith(f".{kind.replace('_', '.')}"), F.concat(F.lit(to), _base(F.col("part"))) if to.endswith("/") else F.lit(to)) for kind, to in folders.items()))
+    return with_relations(listed.select("doc_id", "part", name.alias("name")).filter("name is not null"))
+
+
 def docx_parts(files: DataFrame) -> DataFrame:
-    return parts(files).filter("part in ('word/document.xml', 'word/_rels/document.xml.rels')")
+    """The document, wherever the package's relationships say it lies, and its relationships."""
+    found = parts(files)
+    return renamed(found, main_parts(found, "word/document.xml")).filter("part in ('word/document.xml', 'word/_rels/document.xml.rels')")
 
 
 def docx_units(files: DataFrame) -> DataFrame:
@@ -172,14 +207,15 @@ def docx_units(files: DataFrame) -> DataFrame:
 
 def pptx_parts(files: DataFrame) -> DataFrame:
     """Slides, notes and their relationships."""
-    return parts(files).filter(F.col("part").rlike(r"^ppt/(slides|notesSlides)/(_rels/)?[A-Za-z]+\d+\.xml(\.rels)?$"))
+    found = parts(files)
+    return renamed(found, typed_parts(found, slide="ppt/slides/", notesSlide="ppt/notesSlides/")).filter(F.col("part").rlike(r"^ppt/(slides|notesSlides)/(_rels/)?[A-Za-z]+\d+\.xml(\.rels)?$"))
 
 
 def slide_order(found: DataFrame) -> DataFrame:
     """Rows (doc_id, part, slide, notes): slides by their number, each with the first notes that its relationships name."""
     number = F.regexp_extract("part", r"ppt/slides/slide(\d+)\.xml$", 1)
     slides = found.filter(number != "").select("doc_id", "part", number.cast("int").alias("slide"))
-    notes = relations(found).filter(F.col("type").endswith("/notesSlide")).select("doc_id", "rels", "id", F.regexp_replace("target", r"^(\.\./|/ppt/)", "ppt/").alias("to"))
+    notes = relations(found).filter(F.col("type").endswith("/notesSlide")).select("doc_id", "rels", "id", F.concat(F.lit("ppt/notesSlides/"), _base(F.col("target"))).alias("to"))
     first = notes.groupBy("doc_id", "rels").agg(F.min_by("to", F.expr("try_cast(regexp_extract(id, '[0-9]+', 0) as int)")).alias("to"))
     noted = slides.withColumn("rels", rels_path(F.col("part"))).join(first, ["doc_id", "rels"]).select("doc_id", F.col("to").alias("part"), "slide")
     return slides.withColumn("notes", F.lit(False)).unionByName(noted.withColumn("notes", F.lit(True)))
@@ -222,7 +258,10 @@ def wrapped(text: Column, url: Column | None = None) -> Column:
 
 
 def xlsx_parts(files: DataFrame) -> DataFrame:
-    return parts(files).filter(F.col("part").rlike(r"^xl/(workbook|sharedStrings|worksheets/[^/]+|worksheets/_rels/[^/]+)\.xml(\.rels)?$|^xl/worksheets/_rels/"))
+    """The workbook, shared strings and sheets, wherever the package's content types say they lie, and their relationships."""
+    found = parts(files)
+    names = typed_parts(found, sheet_main="xl/workbook.xml", sharedStrings="xl/sharedStrings.xml", worksheet="xl/worksheets/")
+    return renamed(found, names).filter(F.col("part").rlike(r"^xl/(workbook|sharedStrings|worksheets/[^/]+|worksheets/_rels/[^/]+)\.xml(\.rels)?$|^xl/worksheets/_rels/"))
 
 
 def xlsx_sheets(found: DataFrame) -> DataFrame:
