@@ -233,11 +233,11 @@ def spread_parts(parts: Column, n: Column) -> Column:
 
 def compile_xlsx(files: DataFrame, translations: DataFrame) -> DataFrame:
     """XLSX packages with translations in shared and inline strings, link formulas and sheet names; linked cells of shared strings get their own text."""
-    found = office.xlsx_parts(files)
+    found = stored(office.xlsx_parts(files))
     places = found.select("doc_id", F.col("part").alias("at"), F.col("place").alias("at_place"))
-    every = office.nodes(found, "si", "c")
+    every = office.xlsx_nodes(found)
     told = _last_told(translations)
-    hashed = office.xlsx_texts(found).withColumn("string_hash", T.string_hash(F.col("text"))).join(told, ["doc_id", "string_hash"]).withColumn("parts", translation_parts(F.col("told")))
+    hashed = stored(office.xlsx_texts(found, every)).withColumn("string_hash", T.string_hash(F.col("text"))).join(told, ["doc_id", "string_hash"]).withColumn("parts", translation_parts(F.col("told")))
     direct = hashed.filter("not (kind = 's' and url is not null)").groupBy("doc_id", "at", "owner").agg(F.first("parts").alias("parts"), F.first("kind").alias("kind"))
     ts = every.filter("tag = 't' and close_start < end").withColumn("owner", F.coalesce(office._around("si"), office._around("c"))).select("doc_id", F.col("part").alias("at"), "place", "owner", "seq", "open_end", "close_start")
     order = Window.partitionBy("doc_id", "at", "owner")

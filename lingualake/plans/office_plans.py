@@ -144,3 +144,76 @@ def q99_office_bad_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     sound = office.packages(_part(rows, 0, F.when(F.col("doc_id") % 3 == 1, "other.xml").otherwise("word/document.xml"), F.lit("<w:document/>")))
     files = sound.select("doc_id", F.when(F.col("doc_id") % 3 == 0, F.lit(b"no zip")).otherwise(F.col("content")).alias("content"))
     return office.problems(files, "word/document.xml").select("doc_id", "rule")
+
+
+def _package(rows: DataFrame, **parts: str) -> DataFrame:
+    """Packages of the parts, given by number of place: a name and, after a blank, a template over the nation's name."""
+    out = None
+    for place, text in enumerate(parts.values()):
+        name, _, xml = text.partition(" ")
+        one = _part(rows, place, name, filled(xml, n="n_name"))
+        out = one if out is None else out.unionByName(one)
+    return stored(office.packages(out))
+
+
+def _by_nation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "nation").withColumn("doc_id", F.col("n_nationkey"))
+
+
+_MAIN = '_rels/.rels <Relationships><Relationship Id="r1" Type="http://x/officeDocument" Target="/doc/main.xml"/></Relationships>'
+
+
+@query("""SELECT n_nationkey AS doc_id, 'doc/main.xml' AS part, '<w:p><w:hyperlink r:id="rId8"><w:r><w:t>el:' || n_name || '</w:t></w:r></w:hyperlink></w:p>' AS xml FROM nation
+    UNION ALL SELECT n_nationkey, 'word/document.xml', '<w:p><w:r><w:t>decoy</w:t></w:r></w:p>' FROM nation UNION ALL SELECT n_nationkey, 'target', 'http://new' FROM nation""")
+def q117_docx_by_relationship(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The document lies where the package's relationships say, with its own relationships beside it."""
+    paragraph = '<w:p><w:hyperlink r:id="rId8"><w:r><w:t><<n>></w:t></w:r></w:hyperlink></w:p>'
+    files = _package(_by_nation(spark, sf_dir), a=_MAIN, b=f"doc/main.xml {paragraph}", c=f"doc/_rels/main.xml.rels {_RELS}", d="word/document.xml <w:p><w:r><w:t>decoy</w:t></w:r></w:p>")
+    units = office.docx_units(files)
+    told = _told(units, F.concat(F.lit('<tx href="http://new">el:'), F.regexp_extract("text", ">(.*)<", 1), F.lit("</tx>")))
+    done = office.parts(office_compiling.compile_docx(files, told))
+    moved = office.relations(done).filter("external").select("doc_id", F.lit("target").alias("part"), F.col("target").alias("xml"))
+    return done.filter("part in ('doc/main.xml', 'word/document.xml')").select("doc_id", "part", "xml").unionByName(moved)
+
+
+_TYPES = "".join(f'<Override PartName="/book/{p}" ContentType="application/vnd.openxmlformats-officedocument.spreadsheetml.{t}+xml"/>' for p, t in (("wb.xml", "sheet.main"), ("strings.xml", "sharedStrings"), ("s/first7.xml", "worksheet"), ("s/other.xml", "worksheet")))
+
+
+@query("""SELECT n_nationkey AS doc_id, ord, replace(said, '#', n_name) AS text, about AS developer_comment FROM nation, (VALUES (0, 'one', 'one'), (1, 'two', 'two'), (2, '#', 'one, two'), (3, 'in #', 'two')) v(ord, said, about)""")
+def q118_xlsx_by_content_type(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Workbook, strings and sheets lie where the content types say; a sheet without a number comes last, a decoy is not read."""
+    sheet = "<worksheet><sheetData>{}</sheetData></worksheet>"
+    shared = '<c r="A1" t="s"><v>0</v></c>'
+    files = _package(
+        _by_nation(spark, sf_dir), a=f"[Content_Types].xml <Types>{_TYPES}</Types>", b='book/wb.xml <workbook><sheets><sheet name="one"/><sheet name="two"/></sheets></workbook>', c="book/strings.xml <sst><si><t><<n>></t></si></sst>", d=f"book/s/first7.xml {sheet.format(shared)}",
+        e=f"book/s/other.xml {sheet.format(shared + '<c r=@A2@ t=@inlineStr@><is><t>in <<n>></t></is></c>'.replace('@', chr(34)))}", f="xl/sharedStrings.xml <sst><si><t>decoy</t></si></sst>",
+    )
+    return office.xlsx_units(files).select("doc_id", "ord", "text", "developer_comment")
+
+
+@query("""SELECT n_nationkey AS doc_id, '<w:document><w:p><w:hyperlink r:id="rId9"><w:r><w:rPr><w:color/></w:rPr><w:t>el:' || n_name || '</w:t></w:r></w:hyperlink><w:r><w:rPr><w:b/></w:rPr><w:t>plain</w:t></w:r></w:p>'
+    || '<w:p><w:hyperlink r:id="rId10"><w:r><w:rPr><w:i/></w:rPr><w:t>x</w:t></w:r></w:hyperlink><w:hyperlink r:id="rId11"><w:r><w:rPr><w:i/></w:rPr><w:t>y</w:t></w:r></w:hyperlink><w:r><w:t>z</w:t></w:r></w:p></w:document>' AS xml, 3 AS added FROM nation""")
+def q119_docx_swapped_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A link that moves to another run takes the look of the run it leaves; of two texts that gain it and one that loses it the last look serves both."""
+    one = '<w:p><w:r><w:rPr><w:b/></w:rPr><w:t><<n>></w:t></w:r><w:hyperlink r:id="rId8"><w:r><w:rPr><w:color/></w:rPr><w:t>link</w:t></w:r></w:hyperlink></w:p>'
+    two = '<w:p><w:r><w:t>a</w:t></w:r><w:r><w:rPr><w:u/></w:rPr><w:t>b</w:t></w:r><w:hyperlink r:id="rId8"><w:r><w:rPr><w:i/></w:rPr><w:t>c</w:t></w:r></w:hyperlink></w:p>'
+    files = _package(_by_nation(spark, sf_dir), a=f"word/document.xml <w:document>{one}{two}</w:document>", b=f"word/_rels/document.xml.rels {_RELS}")
+    name = F.regexp_extract("text", "^<tx>(.*?)</tx>", 1)
+    said = F.when(F.col("text").startswith("<tx>"), F.concat(F.lit('<tx href="http://new">el:'), name, F.lit("</tx>plain"))).otherwise('<tx href="http://n2">x<tx>y</tx></tx>z')
+    done = office.parts(office_compiling.compile_docx(files, _told(office.docx_units(files), said)))
+    added = office.relations(done).filter(F.col("target").isin("http://new", "http://n2")).groupBy("doc_id").agg(F.count("*").cast("int").alias("added"))
+    return done.filter("part = 'word/document.xml'").select("doc_id", "xml").join(added, "doc_id")
+
+
+@query("""SELECT n_nationkey AS doc_id, '<p:sld><p:sp><a:p><a:r><a:rPr><a:hlinkClick r:id="rId1"/></a:rPr><a:t>el:' || n_name || '</a:t></a:r><a:r><a:rPr b="1"></a:rPr><a:t>plain</a:t></a:r></a:p><a:p><a:r><a:rPr lang="en"><a:hlinkClick r:id="rId3"/></a:rPr><a:t>p2</a:t></a:r></a:p></p:sp></p:sld>' AS xml,
+    'rId1=http://new rId2=n rId3=http://p2' AS relations FROM nation""")
+def q120_pptx_new_and_moved_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A link that moves within a paragraph keeps its relationship, with the new target; a new link gets one of its own."""
+    slide = '<p:sld><p:sp><a:p><a:r><a:rPr b="1"></a:rPr><a:t><<n>></a:t></a:r><a:r><a:rPr><a:hlinkClick r:id="rId1"/></a:rPr><a:t>link</a:t></a:r></a:p><a:p><a:r><a:rPr lang="en"/><a:t>only</a:t></a:r></a:p></p:sp></p:sld>'
+    rels = '<Relationships><Relationship Id="rId1" Type="x/hyperlink" Target="http://old" TargetMode="External"/><Relationship Id="rId2" Type="x/layout" Target="n"/></Relationships>'
+    files = _package(_by_nation(spark, sf_dir), a=f"ppt/slides/slide1.xml {slide}", b=f"ppt/slides/_rels/slide1.xml.rels {rels}")
+    name = F.regexp_extract("text", "^<tx>(.*?)</tx>", 1)
+    said = F.when(F.col("text") == "only", '<tx href="http://p2">p2</tx>').otherwise(F.concat(F.lit('<tx href="http://new">el:'), name, F.lit("</tx>plain")))
+    done = office.parts(office_compiling.compile_pptx(files, _told(office.pptx_units(files), said)))
+    listed = F.array_join(F.sort_array(F.collect_list(F.concat_ws("=", "id", "target"))), " ").alias("relations")
+    return done.filter("part = 'ppt/slides/slide1.xml'").select("doc_id", "xml").join(office.relations(done).groupBy("doc_id").agg(listed), "doc_id")

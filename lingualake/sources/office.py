@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..storing import stored
 from . import xml_walk
 
 _PARTS = pa.schema([("place", pa.int32()), ("part", pa.string()), ("xml", pa.string()), ("raw", pa.binary())])
@@ -201,7 +202,7 @@ def docx_parts(files: DataFrame) -> DataFrame:
 
 def docx_units(files: DataFrame) -> DataFrame:
     """One unit for each filled paragraph; its text is its key."""
-    found = docx_parts(files)
+    found = stored(docx_parts(files))
     return _units(paragraphs(runs(found, docx_links(found), _DOCX)), ("place", "p"))
 
 
@@ -223,7 +224,7 @@ def slide_order(found: DataFrame) -> DataFrame:
 
 def pptx_texts(files: DataFrame) -> DataFrame:
     """The runs of the paragraphs in shapes and frames of slides and notes."""
-    found = pptx_parts(files)
+    found = stored(pptx_parts(files))
     return runs(found, pptx_links(found), _PPTX).filter(F.array_contains("above", "p:sp") | F.array_contains("above", "p:graphicFrame"))
 
 
@@ -264,23 +265,27 @@ def xlsx_parts(files: DataFrame) -> DataFrame:
     return renamed(found, names).filter(F.col("part").rlike(r"^xl/(workbook|sharedStrings|worksheets/[^/]+|worksheets/_rels/[^/]+)\.xml(\.rels)?$|^xl/worksheets/_rels/"))
 
 
-def xlsx_sheets(found: DataFrame) -> DataFrame:
+def xlsx_nodes(found: DataFrame) -> DataFrame:
+    """The node rows of a package's parts, written once, as several plans read them."""
+    return stored(nodes(found, "si", "c"))
+
+
+def xlsx_sheets(found: DataFrame, every: DataFrame) -> DataFrame:
     """Rows (doc_id, part, sheet, name): worksheets by number, those without one last, with the workbook's names in order."""
     number = F.expr(r"try_cast(regexp_extract(part, '(\\d+)\\.xml$', 1) as int)")
     sheets = found.filter(F.col("part").rlike(r"^xl/worksheets/[^/]+\.xml$")).select("doc_id", "part", number.alias("_n"))
     sheets = sheets.withColumn("sheet", F.row_number().over(Window.partitionBy("doc_id").orderBy(F.col("_n").asc_nulls_last(), "part"))).drop("_n")
-    named = nodes(found.filter("part = 'xl/workbook.xml'")).filter("tag = 'sheet'")
+    named = every.filter("part = 'xl/workbook.xml' and tag = 'sheet'")
     named = named.select("doc_id", F.row_number().over(Window.partitionBy("doc_id").orderBy("seq")).alias("sheet"), T.unescape_xml(F.col("attrs")["name"]).alias("name"))
     return sheets.join(named, ["doc_id", "sheet"], "left").withColumn("name", F.coalesce("name", F.col("sheet").cast("string")))
 
 
-def xlsx_texts(found: DataFrame) -> DataFrame:
+def xlsx_texts(found: DataFrame, every: DataFrame) -> DataFrame:
     """Rows (doc_id, text, sheet, name, seq, url, at, owner): what cells show; `at` is the part and `owner` the element whose `t` texts hold it.
 
     Cells refer to shared strings, hold inline strings, or show a link's text by formula. An outside link of a
     cell covers its whole text.
     """
-    every = nodes(found, "si", "c")
     ts = every.filter("tag = 't'").select("doc_id", "part", F.coalesce(_around("si"), _around("c")).alias("owner"), "seq", T.unescape_xml(F.coalesce("inner", F.lit(""))).alias("t"))
     texts = ts.filter("owner is not null").groupBy("doc_id", "part", "owner").agg(F.sort_array(F.collect_list(F.struct("seq", "t"))).alias("ts"))
     joined = F.array_join(F.transform("ts", lambda x: F.when(F.size("ts") > 1, wrapped(x["t"])).otherwise(x["t"])), "")
@@ -291,7 +296,7 @@ def xlsx_texts(found: DataFrame) -> DataFrame:
     cells = cells.join(held, ["doc_id", "part", "cell"], "left")
     links = every.filter("tag = 'hyperlink'").select("doc_id", "part", F.col("attrs")["ref"].alias("ref"), F.col("attrs")["r:id"].alias("id"), rels_path(F.col("part")).alias("rels"))
     links = links.join(relations(found).filter("external"), ["doc_id", "rels", "id"]).select("doc_id", "part", "ref", F.col("target").alias("url"))
-    cells = cells.join(links, ["doc_id", "part", "ref"], "left").join(xlsx_sheets(found), ["doc_id", "part"])
+    cells = cells.join(links, ["doc_id", "part", "ref"], "left").join(xlsx_sheets(found, every), ["doc_id", "part"])
     by_index = cells.filter("kind = 's'").withColumn("idx", F.expr("try_cast(v as int)")).join(shared, ["doc_id", "idx"]).withColumn("at", F.lit("xl/sharedStrings.xml")).drop("idx")
     own = cells.filter("kind = 'inlineStr' or (kind = 'str' and f is null)").withColumns({"owner": F.col("cell"), "at": F.col("part")})
     plain = by_index.unionByName(own).join(texts, ["doc_id", "at", "owner"]).withColumn("text", F.when(F.col("url").isNotNull(), wrapped(F.col("text"), F.col("url"))).otherwise(F.col("text")))
@@ -304,10 +309,11 @@ def xlsx_texts(found: DataFrame) -> DataFrame:
 
 def xlsx_units(files: DataFrame) -> DataFrame:
     """One unit for each distinct text of sheet names and cells, with the names of the sheets it is on, in order of first sight."""
-    found = xlsx_parts(files)
-    named = nodes(found.filter("part = 'xl/workbook.xml'")).filter("tag = 'sheet'")
+    found = stored(xlsx_parts(files))
+    every = xlsx_nodes(found)
+    named = every.filter("part = 'xl/workbook.xml' and tag = 'sheet'")
     names = named.select("doc_id", T.unescape_xml(F.col("attrs")["name"]).alias("text"), F.lit(0).alias("sheet"), "seq").withColumn("name", F.col("text"))
-    rows = names.unionByName(xlsx_texts(found).select("doc_id", "text", "sheet", "seq", "name"))
+    rows = names.unionByName(xlsx_texts(found, every).select("doc_id", "text", "sheet", "seq", "name"))
     merged = rows.groupBy("doc_id", "text").agg(F.min(F.struct("sheet", "seq")).alias("first"), F.array_join(F.array_distinct(F.transform(F.sort_array(F.collect_list(F.struct("sheet", "seq", "name"))), lambda x: x["name"])), ", ").alias("developer_comment"))
     return _units(merged, ("first",), "developer_comment")
 
