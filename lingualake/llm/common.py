@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import shutil
 import tempfile
 import uuid
 from collections.abc import Callable, Iterable
@@ -24,7 +25,9 @@ def shared_dir(spark: SparkSession) -> str:
     """
     path = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not path and spark.sparkContext.master.split("[")[0] == "local":
-        path = _OWN.setdefault("dir", tempfile.mkdtemp(prefix="lingualake-"))
+        if "dir" not in _OWN:
+            _OWN["dir"] = tempfile.mkdtemp(prefix="lingualake-")
+        path = _OWN["dir"]
     return (path or f"{spark.conf.get('spark.sql.warehouse.dir')}/_lingualake").rstrip("/")
 
 
@@ -65,6 +68,8 @@ def _at_exit() -> None:
     spark = SparkSession.getActiveSession() if _STAGED else None
     if spark:
         release(spark, staged_tables())
+    for path in _OWN.values():
+        shutil.rmtree(path, ignore_errors=True)
 
 
 def text_or_empty(name: str = "text") -> Column:
@@ -80,7 +85,8 @@ def key_bitmap(keys: DataFrame, key: Column, log2_bits: int) -> DataFrame:
     packed = keys.groupBy(F.bitmap_bucket_number(at).alias("slot")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(at)).alias("bytes"))
     number = lambda i: F.conv(F.hex(F.substring(F.col("bytes"), i * 4 + 1, F.lit(4))), 16, 10).cast("bigint")
     signed = lambda x: F.when(x >= 1 << 31, x - (1 << 32)).otherwise(x).cast("int")
-    return packed.select("slot", F.transform(F.sequence(F.lit(0), F.lit(1023)), lambda i: signed(number(i))).alias("bits"))
+    # two steps, so that each number is made once
+    return packed.select("slot", F.transform(F.transform(F.sequence(F.lit(0), F.lit(1023)), number), signed).alias("bits"))
 
 
 def with_flag(df: DataFrame, bitmap: DataFrame, key: Column, log2_bits: int, flag: str) -> DataFrame:
