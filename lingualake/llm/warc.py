@@ -139,10 +139,9 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def sound(records: DataFrame) -> DataFrame:
-    """`records` of read_archive() without `valid`; a damaged one ends the query with an error that names it."""
+    """`records` of read_archive() without `valid`; a damaged one ends the query with an error that names it, whatever is asked for."""
     message = F.concat(F.lit("damaged record of page "), F.coalesce(F.col("page_id").cast("string"), F.lit("null")))
-    digest = F.when(F.col("valid"), F.col("payload_digest")).otherwise(F.raise_error(message))
-    return records.withColumn("payload_digest", digest).drop("valid")
+    return records.filter(F.when(F.coalesce("valid", F.lit(False)), True).otherwise(F.raise_error(message).cast("boolean"))).drop("valid")
 
 
 def read_archive(chunks: DataFrame) -> DataFrame:

@@ -296,7 +296,7 @@ def test_warc_round_trip_in_chunks(spark):
     broken = chunks.withColumn("data", F.when(F.col("chunk") == 1, F.lit(b"0123456789")).otherwise(F.col("data")))
     assert not all(r["valid"] for r in warc.read_archive(broken).collect())
     with pytest.raises(Exception, match="damaged record of page"):
-        warc.sound(warc.read_archive(broken)).collect()
+        warc.sound(warc.read_archive(broken)).count()
     one = chunks.filter("chunks = 1 and length(data) = 5").select(F.concat("head", "data")).first()
     assert one is None or bytes(one[0]).startswith(b"WARC/1.1\r\nWARC-Type: ")
     assert warc.read_archive(warc.archive(pages.limit(0))).count() == 0
