@@ -116,6 +116,11 @@ def _package(units: Files, write: Both, part: str, extension: str | None = None,
     return Format(units, extension, True, compile=write, problems=lambda f: office.problems(f, part), escape=T.escape_xml, unescape=T.unescape_xml, **rest)
 
 
+def _bare_android_problems(files: DataFrame) -> DataFrame:
+    """The problems of Android files, quotes that no backslash escapes among them."""
+    return xml_files.android_problems(files).select("doc_id", "rule").unionByName(xml_files.unescaped_problems(xml_files.android_units(files)).select("doc_id", "rule"))
+
+
 _SRT, _VTT = _subtitles(subtitles.srt_units), _subtitles(subtitles.vtt_units)
 _android = {"template": xml_compiling.android_template, "problems": xml_files.android_problems, "escape": T.escape_android, "unescape": T.unescape_android}
 _idml = lambda t, s: office_compiling.compile_idml(t, _by_text(s).select("doc_id", "placeholder", "text"))
@@ -132,6 +137,7 @@ FORMATS: dict[str, Format] = {
     "CHROME_V3": _json(json_files.chrome_v3_units, json_compiling.compile_chrome_v3, None, json_files.object_problems),
     "ANDROID": Format(xml_files.android_units, "xml", compile=xml_compiling.compile_android, **_android),
     "BETA_ANDROID": Format(lambda files: xml_files.android_units(files, beta=True), compile=xml_compiling.compile_beta_android, **_android),
+    "ANDROID_UNESCAPED": Format(xml_files.android_units, template=xml_compiling.android_template, compile=xml_compiling.compile_android, problems=_bare_android_problems, escape=T.escape_android_raw, unescape=T.unescape_android_raw),
     "STRINGSDICT": Format(xml_files.stringsdict_units, "stringsdict", template=xml_compiling.stringsdict_template, compile=xml_compiling.compile_stringsdict, problems=xml_files.stringsdict_problems, escape=T.escape_xml, unescape=T.unescape_xml),
     "CUSTOM_XML": Format(xml_files.custom_units, template=_slots_template, compile=lambda t, s: xml_compiling.compile_custom(t, s, "keep"), problems=xml_files.custom_problems),
     "Yaml": _yaml(yaml_files.units, 0, False, "yml"),
@@ -238,6 +244,8 @@ def convert(files: DataFrame, translate: Callable[[DataFrame], DataFrame], out:
     `_tpl` or the language at the end.
     """
     spark: SparkSession = files.sparkSession
+    schema = f"doc_id {files.schema['doc_id'].dataType.simpleString()}, path string, kind string, content binary, format string"
+    spark.createDataFrame([], schema).write.mode("append").partitionBy("format").parquet(out)
     for name, own in by_format(files).items():
         kind = FORMATS[name]
         if kind.compile is None:
@@ -250,7 +258,7 @@ def convert(files: DataFrame, translate: Callable[[DataFrame], DataFrame], out:
         mark = F.when(F.col("kind") == "template", _renamed(F.col("path"), "tpl")).otherwise(_renamed(F.col("path"), language))
         rows = both.join(own.select("doc_id", "path"), "doc_id").select("doc_id", mark.alias("path"), "kind", "content", F.lit(name).alias("format"))
         rows.write.mode("append").partitionBy("format").parquet(out)
-    return spark.read.schema(f"doc_id {files.schema['doc_id'].dataType.simpleString()}, path string, kind string, content binary, format string").parquet(out)
+    return spark.read.schema(schema).parquet(out)
 
 
 def register_functions(spark: SparkSession) -> None:

@@ -110,10 +110,10 @@ def q11_json_units_nested_list(spark: SparkSession, sf_dir: str) -> DataFrame:
     return json_files.key_value_units(files).select("doc_id", "key", "value")
 
 
-@query("SELECT 'dict' AS kind, count(*) AS nodes FROM events UNION ALL SELECT 'scalar', count(*) FROM events")
+@query(r"SELECT event_id AS doc_id, 'dict' AS kind, NULL AS path, '{' AS value, 1 AS line FROM events UNION ALL SELECT event_id, 'scalar', 'k', regexp_extract(props, ':\s*([^}\s]+)', 1), 1 FROM events")
 def q12_json_props_scalars(spark: SparkSession, sf_dir: str) -> DataFrame:
     files = table(spark, sf_dir, "events").select(F.col("event_id").alias("doc_id"), F.col("props").alias("content"))
-    return json_files.nodes(files).groupBy("kind").agg(F.count("*").alias("nodes"))
+    return json_files.nodes(files).select("doc_id", "kind", "path", "value", "line")
 
 
 @query("""WITH x AS (SELECT p_brand AS doc_id, p_partkey AS k, CASE p_partkey % 3
@@ -383,9 +383,9 @@ def q50_streaming_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
     return parse_stream(spark, f"{work}/in", "doc_id bigint, content string", plaintext.units, f"{work}/out", f"{work}/state")
 
 
-@query("SELECT p_brand AS doc_id, CASE WHEN p_size % 10 = 0 THEN 'partly blank plural' END AS rule, 'k' || p_partkey AS key FROM part WHERE p_size % 10 = 0")
+@query("SELECT p_brand AS doc_id, 'partly blank plural' AS rule, 'k' || p_partkey AS key, CAST(2 + row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) AS INT) AS line FROM part QUALIFY p_size % 10 = 0")
 def q51_android_problems(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return xml_files.android_problems(_plurals(spark, sf_dir)).drop("line")
+    return xml_files.android_problems(_plurals(spark, sf_dir))
 
 
 @query("SELECT c_nationkey AS doc_id, 'a' AS key, count(*) - 1 AS places FROM customer GROUP BY c_nationkey HAVING count(*) > 1")
@@ -394,10 +394,12 @@ def q52_json_duplicate_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     return validating.duplicate_json_keys(files).groupBy("doc_id", "key").agg(F.count("*").alias("places"))
 
 
-@query("SELECT p_brand AS doc_id, md5('{' || string_agg('\"k' || p_partkey || '\": \"el:' || p_name || '\"', ', ' ORDER BY p_partkey) || '}') AS content FROM part GROUP BY p_brand")
+@query("""WITH t AS (SELECT p_name, min('t' || p_size || ' ' || p_name) AS target FROM part WHERE p_size % 7 = 0 GROUP BY p_name)
+    SELECT p_brand AS doc_id, md5('{' || string_agg('"k' || p_partkey || '": "' || coalesce(target, 'el:' || p_name) || '"', ', ' ORDER BY p_partkey) || '}') AS content FROM part LEFT JOIN t USING (p_name) GROUP BY p_brand""")
 def q53_json_translate_compile(spark: SparkSession, sf_dir: str) -> DataFrame:
     files = part_files(spark, sf_dir, '"k<<k>>": "<<name>>"')
     units = json_files.key_value_units(files)
-    told = translating.translate(units.withColumnRenamed("value", "text"), units.filter("false").select(F.col("value").alias("source"), F.col("value").alias("target")), "el")
+    phrases = table(spark, sf_dir, "part").filter("p_size % 7 = 0").select(F.col("p_name").alias("source"), filled("t<<s>> <<n>>", s="p_size", n="p_name").alias("target"))
+    told = translating.translate(units.withColumnRenamed("value", "text"), phrases, "el")
     done = compiling.compile_slots(files, json_files.slots(units), told.select("doc_id", "placeholder", "ord", F.col("translation").alias("text")))
     return done.select("doc_id", F.md5(F.col("content").cast("binary")).alias("content"))

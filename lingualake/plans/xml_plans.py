@@ -155,19 +155,19 @@ def q69_android_unescaped_quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return xml_files.unescaped_problems(xml_files.android_units(file_rows(table(spark, sf_dir, "part"), F.col("p_brand"), "p_partkey", part, *XML)))
 
 
-@query("""SELECT p_brand AS doc_id, 'k' || p_partkey AS key, rule FROM part, (VALUES (0, 'bad rule'), (1, 'missing other'), (2, 'value is no dict')) v(n, rule) WHERE p_partkey % 4 = n""")
+@query("""SELECT doc_id, key, rule, CASE n WHEN 2 THEN place + 2 END AS line FROM (SELECT p_brand AS doc_id, 'k' || p_partkey AS key, p_partkey AS k, CAST(row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) AS INT) AS place FROM part), (VALUES (0, 'bad rule'), (1, 'missing other'), (2, 'value is no dict')) v(n, rule) WHERE k % 4 = n""")
 def q70_stringsdict_problems(spark: SparkSession, sf_dir: str) -> DataFrame:
     bad = [f"<dict><key>n</key><dict><key>{a}</key><string>x</string><key>{b}</key><string>y</string></dict></dict>" for a, b in (("odd", "other"), ("one", "two"))] + ["<string>x</string>", "<dict><key>n</key><dict><key>other</key><string>x</string></dict></dict>"]
     part = filled("<key>k<<k>></key><<b>>", k="p_partkey", b=F.get(F.array(*map(F.lit, bad)), (F.col("p_partkey") % 4).cast("int")))
-    return xml_files.stringsdict_problems(file_rows(table(spark, sf_dir, "part"), F.col("p_brand"), "p_partkey", part, *_PLIST)).drop("line")
+    return xml_files.stringsdict_problems(file_rows(table(spark, sf_dir, "part"), F.col("p_brand"), "p_partkey", part, *_PLIST))
 
 
-@query("""SELECT n_nationkey AS doc_id, rule, key FROM nation, (VALUES (0, 'root not found', 'other'), (1, 'missing key', 'x'), (2, 'missing section id', NULL)) v(n, rule, key) WHERE n_nationkey % 4 = n""")
+@query("""SELECT n_nationkey AS doc_id, rule, key, line FROM nation, (VALUES (0, 'root not found', 'other', 1), (1, 'missing key', 'x', 3), (2, 'missing section id', NULL, 2)) v(n, rule, key, line) WHERE n_nationkey % 4 = n""")
 def q71_custom_xml_problems(spark: SparkSession, sf_dir: str) -> DataFrame:
-    inside = '<section name="s"><string{}><base>x</base></string></section>'
+    inside = '\n<section name="s">\n<string{}><base>x</base></string></section>'
     kinds = [f"<other>{inside.format(' key="k"')}</other>", f"<strings>{inside.format('')}</strings>", f"<strings>{inside.format(' key="k"').replace(' name="s"', '')}</strings>", f"<strings>{inside.format(' key="k"')}</strings>"]
     files = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("doc_id"), F.get(F.array(*map(F.lit, kinds)), (F.col("n_nationkey") % 4).cast("int")).alias("content"))
-    return xml_files.custom_problems(files).drop("line")
+    return xml_files.custom_problems(files)
 
 
 @query("""SELECT n_regionkey AS doc_id, 'n' || n_nationkey AS id, n_name AS text, 2 AS depth, 'a&amp;b' AS tail, CAST(position('<i' IN content) AS INT) - 1 + CAST(sum(length(part)) OVER (PARTITION BY n_regionkey ORDER BY n_nationkey) - length(part) AS INT) AS start FROM (

@@ -62,11 +62,11 @@ def q38_yaml_without_template(spark: SparkSession, sf_dir: str) -> DataFrame:
 _BAD = ["a: [1, 2", "a: x\nb: y\na: z\n", "a: x\nb: y\n", "a: &x y\nb: !!binary aGk=\n", "a: *nowhere", "a: x"]
 
 
-@query("""SELECT p_partkey AS doc_id, rule FROM part, (VALUES (0, 'no YAML'), (1, 'duplicate key'), (2, 'several roots')) v(n, rule) WHERE p_partkey % 6 = n""")
+@query("""SELECT p_partkey AS doc_id, rule, line FROM part, (VALUES (0, 'no YAML', 1), (1, 'duplicate key', 3), (2, 'several roots', 1)) v(n, rule, line) WHERE p_partkey % 6 = n""")
 def q84_yaml_bad_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Broken files end as rows beside sound ones; a file of binary leaves alone has no root."""
     files = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("doc_id"), F.get(F.array(*map(F.lit, _BAD)), (F.col("p_partkey") % 6).cast("int")).alias("content"))
-    return yaml_files.problems(files, one_root=True).select("doc_id", "rule")
+    return yaml_files.problems(files, one_root=True).select("doc_id", "rule", "line")
 
 
 @query("""SELECT p_partkey, p_name AS plain, '''' || p_name || ' ''''x''''''' AS single, '"' || p_name || ': #"' AS unsafe, '"true"' AS typed, '|-' || chr(10) || '  ' || p_name || chr(10) || chr(10) || '  x' AS literal, '>+' || chr(10) || '    ' || p_name || chr(10) || chr(10) || '    y' || chr(10) AS folded FROM part""")

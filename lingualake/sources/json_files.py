@@ -124,7 +124,7 @@ def key_path(key: Column) -> Column:
 
     Backslashes make the character behind them stand for itself.
     """
-    parts = F.regexp_extract_all(key, F.lit(r'(?s)(?:^|\.)("(?:[^"\\]|\\.|"")*"(?=\.|$)|(?:[^.\\]|\\.)*)'), F.lit(1))
+    parts = F.regexp_extract_all(F.concat(F.lit("."), key), F.lit(r'(?s)\.("(?:[^"\\]|\\.|"")*"(?=\.|$)|(?:[^.\\]|\\.)*)'), F.lit(1))
     bare = F.transform(parts, lambda p: F.when(p.rlike(r'(?s)^".*"$') & (F.length(p) > 1), F.replace(F.substring(p, F.lit(2), F.length(p) - 2), F.lit('""'), F.lit('"'))).otherwise(p))
     return F.transform(bare, lambda p: F.regexp_replace(p, r"(?s)\\(.)", "$1"))
 
