@@ -237,8 +237,17 @@ def plural_placeholders(hashed: Column, rules: Column, syntax: Column) -> Column
     return F.array_join(F.transform(rules, form), " ")
 
 
-# The parts of a printf conversion.
-_SPECIFIER = r"%(?:(?:\d+\$|\(\w+\))?[+#\- 0]*(?:\d+)?(?:\.\d+)?(?:hh|h|l|ll|j|z|t|L)?[diufFeEgGxXaAoscpn%])"
+# The letters of printf's conversions, of its lengths and of its flags.
+_CONVERSIONS, _LENGTHS, _FLAGS = "diufFeEgGxXaAoscpn%", ("hh", "h", "ll", "l", "j", "z", "t", "L"), "+#- 0"
+
+
+def _optional(*either: str) -> str:
+    return f"(?:{'|'.join(either)})?"
+
+
+_NUMBER = r"\d+"
+#: A conversion: which argument, by number or name, flags, width, precision, length and letter.
+_SPECIFIER = "%" + _optional(rf"{_NUMBER}\$", r"\(\w+\)") + f"[{_FLAGS.replace('-', chr(92) + '-')}]*" + _optional(_NUMBER) + _optional(rf"\.{_NUMBER}") + _optional(*_LENGTHS) + f"[{_CONVERSIONS}]"
 
 
 def specifiers(text: Column) -> Column:

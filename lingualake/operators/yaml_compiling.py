@@ -23,10 +23,13 @@ _TYPED = r"(?i)^(~|null|true|false|yes|no|on|off|[-+]?[0-9][0-9_.,:]*(e[-+]?[0-9
 
 
 def indent_of(content: Column) -> Column:
-    """How many spaces a file indents by: the last line's of what follows its first key without a value, else 2."""
-    found = F.regexp_extract(content, r":\r?\n([ \t\n]+)", 1)
-    last = F.replace(F.element_at(F.split(found, "\n"), -1), F.lit("\t"), F.lit("    "))
-    return F.when(found == "", 2).otherwise(F.length(last))
+    """How many spaces a file indents by: those of the first filled line below the first key that only blank or indented text follows, else 2; a tab is four."""
+    lines = F.split(content, r"\r?\n")
+    opens = F.zip_with(lines, F.slice(lines, F.lit(2), F.size(lines)), lambda x, after: x.endswith(":") & ((after == "") | after.startswith(" ") | after.startswith("\t")))
+    at = F.array_position(opens, True)
+    below = F.get(F.filter(F.slice(lines, at.cast("int") + 1, F.size(lines)), lambda x: F.trim(F.replace(x, F.lit("\t"), F.lit(""))) != ""), 0)
+    wide = F.replace(below, F.lit("\t"), F.lit("    "))
+    return F.when(at == 0, 2).otherwise(F.coalesce(F.length(wide) - F.length(F.ltrim(wide)), F.lit(0)))
 
 
 def double_quoted(text: Column) -> Column:

@@ -22,7 +22,6 @@ from ..functions import text as T
 from . import yaml_files
 
 BLOCKS = "seq int, kind string, text string, start int, end int"
-_HEADER = re.compile(r"(---\s+)([\s\S]*?[^`]\s*)(\n---\s+)(?!-)")
 _FENCE = re.compile(r" *(`{3,}|~{3,})[^`\n]*$")
 _HEADING = re.compile(r" {0,3}#{1,6}\s*\S")
 _RULE = re.compile(r" {0,3}([-*_])(?: *\1){2,} *$")
@@ -181,14 +180,33 @@ def _normal(text: str, compose: bool) -> str:
     return unicodedata.normalize("NFKC", text) if compose else text
 
 
+def front_matter(text: str) -> tuple[str, str]:
+    """The YAML at the beginning of a text, with the dashes before it, and the line of dashes behind it with the white space after; both empty if there is none.
+
+    The text begins with three dashes and white space. The line behind is the first one of three dashes and white space
+    that no list item follows at once, that one character more stands before, and that no backtick comes right before.
+    """
+    if text[:3] != "---" or not text[3:4].isspace():
+        return "", ""
+    at = text.find("\n---", 3)
+    while at >= 0:
+        end = at + 4
+        while text[end : end + 1].isspace():
+            end += 1
+        end -= text[end : end + 1] == "-"
+        if end > at + 4 and at > 4 and text[at - 1] != "`":
+            return text[:at], text[at:end]
+        at = text.find("\n---", at + 1)
+    return "", ""
+
+
 def _prepare(compose: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
             for text in batch.column("content").to_pylist():
                 own = _normal(text or "", compose)
-                m = _HEADER.match(own)
-                rows.append((own, m.group(1) + m.group(2) if m else "", m.group(3) if m else ""))
+                rows.append((own, *front_matter(own)))
             columns = list(zip(*rows, strict=True)) or [()] * 3
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(c, pa.string()) for c in columns), batch.column("newline")], ["doc_id", "content", "header", "separator", "newline"])
 
