@@ -337,11 +337,11 @@ def q43_xlsx_distinct_strings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return office.xlsx_units(_package(spark, shared.unionByName(sheets).unionByName(used))).select("doc_id", "text", "developer_comment")
 
 
-@query(f"WITH {_LINES} SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY i % 2, i // 2) - 1 AS INT) AS ord, 'x' || trim(regexp_replace(line, '[<>&\\x00-\\x1F]', '', 'g')) AS text FROM l".replace("trim(regexp", "rtrim(regexp"))
+@query(f"WITH {_LINES} SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY i % 2, i // 2) - 1 AS INT) AS ord, 'x' || replace(replace(replace(line, '&', '&amp;'), '<', '&lt;'), '>', '&gt;') || 'x' AS text FROM l")
 def q44_idml_units(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Lines of documents in two stories, of which the map lists the even one last; marks, numbers and blanks alone are none."""
+    """Whole lines of documents in two stories, of which the map lists the even one last; marks, numbers and blanks alone are none."""
     lines = documents(spark, sf_dir).select("doc_id", F.posexplode(F.split("content", "\n")).alias("i", "line")).withColumn("i", F.col("i") + 1)
-    words = F.concat(F.lit("x"), F.rtrim(F.regexp_replace("line", "[<>&\\x00-\\x1F]", "")))
+    words = F.concat(F.lit("x"), T.escape_xml(F.col("line")), F.lit("x"))
     rows = lines.select(F.struct("doc_id", (F.col("i") % 2).alias("s")).alias("k"), "i", F.concat(F.lit("<Content> "), words, F.lit(" </Content><Content>12</Content><Content><?ACE 18?></Content>")).alias("c"))
     stories = file_rows(rows, F.col("k"), "i", F.col("c"), "", "<Story>", "</Story>").select("doc_id.doc_id", F.col("doc_id.s").alias("s"), "content")
     stories = stories.select("doc_id", F.lit(1).alias("place") + F.col("s"), filled("Stories/Story_u<<s>>.xml", s=F.col("s").cast("string")).alias("part"), F.col("content").alias("xml")).toDF("doc_id", "place", "part", "xml")
