@@ -136,7 +136,7 @@ def _swapped(rows: DataFrame, every: DataFrame, found: DataFrame, tag: str) -> D
     pair = lambda x, y, added: F.struct(x["run"].alias("run"), x["at"].alias("t_start"), y["run"].alias("other"), F.lit(added).alias("added"), (y if added else x)["rels"].alias("rels"), (y if added else x)["rid"].alias("rid"))
     ends = lambda mine, theirs, added: F.transform(mine, lambda x, i: pair(x, F.get(theirs, F.least(i, F.size(theirs) - 1)), added))
     each = both.select("doc_id", "place", F.col("a_to").alias("to"), F.explode(F.concat(ends("a", "d", True), ends("d", "a", False))).alias("x")).select("doc_id", "place", "to", "x.*")
-    own = each.join(_properties(every, tag, "run"), ["doc_id", "place", "run"], "left").join(_properties(every, tag, "other"), ["doc_id", "place", "other"], "left")
+    own = stored(each.join(_properties(every, tag, "run"), ["doc_id", "place", "run"], "left").join(_properties(every, tag, "other"), ["doc_id", "place", "other"], "left"))
     key = F.struct("doc_id", "place").alias("_key")
     return spans.with_text(own.select("*", key), found.select(key, "xml"), F.col("other_start"), F.col("other_end"), "taken", "_key", "xml").drop("_key")
 
