@@ -17,8 +17,10 @@ An empty table gives no rows. Other columns are ignored. Distances that could pa
 
 from __future__ import annotations
 
+import copy
 import hashlib
 from collections.abc import Iterator
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -32,7 +34,7 @@ SCALE, PARTS, ENTRIES, ROUNDS = 1024, 4, 256, 4
 #: Bits of a coordinate's cell.
 BITS = 4
 #: Parts that look for their entries together.
-BLOCK = 1024
+BLOCK = 256
 
 
 class Cells:
@@ -51,21 +53,30 @@ class Cells:
         in_order = np.take_along_axis(entries, order, axis=0)
         self.low, self.high = in_order[first].T[:, :, None], in_order[last].T[:, :, None]
 
+    @cached_property
+    def small(self) -> Cells:
+        """The same with numbers of 32 bits."""
+        own = copy.copy(self)
+        own.entries, own.low, own.high = (x.astype(np.int32) for x in (self.entries, self.low, self.high))
+        return own
+
     def _bounds(self, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The least and the greatest squared distance to each entry, entries by rows."""
-        under, over = self.low - wanted.T[:, None, :], wanted.T[:, None, :] - self.high
+        across = np.ascontiguousarray(wanted.T)[:, None, :]
+        under, over = self.low - across, across - self.high
         least = np.maximum(np.maximum(under, over), 0) ** 2
         greatest = np.maximum(-under, -over) ** 2
-        low, high = (np.zeros((len(self.entries), len(wanted)), np.int64) for _ in range(2))
+        shape = (len(self.entries), len(wanted))
+        low, high, one = np.zeros(shape, wanted.dtype), np.zeros(shape, wanted.dtype), np.empty(shape, wanted.dtype)
         for d in range(wanted.shape[1]):
-            low += least[d][self.cell[:, d]]
-            high += greatest[d][self.cell[:, d]]
+            low += np.take(least[d], self.cell[:, d], axis=0, out=one, mode="clip")
+            high += np.take(greatest[d], self.cell[:, d], axis=0, out=one, mode="clip")
         return low, high
 
     def _nearest(self, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         low, high = self._bounds(wanted)
         row, entry = np.nonzero((low <= high.min(axis=0)).T)
-        distance = ((self.entries[entry] - wanted[row]) ** 2).sum(axis=1)
+        distance = ((self.entries[entry] - wanted[row]) ** 2).sum(axis=1, dtype=np.int64)
         starts = np.searchsorted(row, np.arange(len(wanted)))
         least = np.minimum.reduceat(distance, starts)
         hit = np.flatnonzero(distance == least[row])
@@ -73,9 +84,11 @@ class Cells:
 
     def nearest(self, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The number of the nearest entry, the lower of equally near ones, and its squared distance, for each row."""
-        size = wanted.shape[1]
-        if size and wanted.size and size * (int(np.abs(wanted).max()) + int(np.abs(self.entries).max())) ** 2 >= 1 << 62:
+        largest = int(np.abs(wanted).max(initial=0)) + int(np.abs(self.entries).max(initial=0))
+        if wanted.shape[1] * largest**2 >= 1 << 62:
             raise ValueError("a squared distance could pass 2**62")
+        if wanted.shape[1] * largest**2 < 1 << 31:  # half the memory to read
+            wanted, self = wanted.astype(np.int32), self.small
         found = [self._nearest(wanted[k : k + BLOCK]) for k in range(0, len(wanted), BLOCK)]
         none = np.zeros(0, np.int64)
         return np.concatenate([none, *(a for a, _ in found)]), np.concatenate([none, *(b for _, b in found)])
