@@ -74,3 +74,29 @@ def q85_yaml_scalars(spark: SparkSession, sf_dir: str) -> DataFrame:
     one = lambda text, style, indent=2: yaml_compiling.styled(text, F.lit(style), F.lit(indent))
     name = F.col("p_name")
     return table(spark, sf_dir, "part").select("p_partkey", one(name, "").alias("plain"), one(F.concat(name, F.lit(" 'x'")), "'").alias("single"), one(F.concat(name, F.lit(": #")), "").alias("unsafe"), one(F.lit("true"), "").alias("typed"), one(F.concat(name, F.lit("\n\nx")), "|").alias("literal"), one(F.concat(name, F.lit("\ny\n\n")), ">", 4).alias("folded"))
+
+
+@query("""SELECT p_partkey, replace(p_name, ' ', '_') || chr(10) || '  ' || p_brand AS plain, '''' || p_name || chr(10) || chr(10) || '  ' || p_type || '''' AS single, '>-' || chr(10) || '  ' || p_name || chr(10) || '    ' || p_type || chr(10) || '  ' || p_brand AS folded,
+        '"' || p_name || chr(92) || 'u0085' || chr(92) || 'u0007"' AS special, '"' || p_brand || chr(92) || chr(10) || '  ' || chr(92) || ' ' || chr(92) || 'nx"' AS "double" FROM part""")
+def q121_yaml_line_ends(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Line ends of each style: at spaces beyond the width, between lines, beside indented lines; and characters that stand in double quotes only."""
+    name, kind, brand = F.col("p_name"), F.col("p_type"), F.col("p_brand")
+    one = lambda text, style, width=None: yaml_compiling.styled(text, F.lit(style), F.lit(2), width)
+    return table(spark, sf_dir, "part").select(
+        "p_partkey",
+        one(F.concat_ws(" ", F.replace(name, F.lit(" "), F.lit("_")), brand), "", 1).alias("plain"),
+        one(F.concat(name, F.lit("\n"), kind), "'").alias("single"),
+        one(F.concat(name, F.lit("\n  "), kind, F.lit("\n"), brand), ">").alias("folded"),
+        one(F.concat(name, F.lit("\u0085\u0007")), "").alias("special"),
+        one(F.concat(brand, F.lit(" \nx")), '"', 4).alias("double"),
+    )
+
+
+@query("""SELECT d.doc_id, length(text) AS n_chars, sha256(text) AS text_sha256, style FROM documents d, (VALUES (0, 'single'), (1, 'double'), (2, 'literal'), (3, 'folded')) v(n, style) WHERE length(text) > 0""")
+def q122_yaml_folded_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole texts as scalars of 80 characters a line in each style, read back."""
+    docs = table(spark, sf_dir, "documents").filter("length(text) > 0")
+    names = {"single": "'", "double": '"', "literal": "|", "folded": ">"}
+    part = F.concat(*(x for n, s in names.items() for x in (F.lit(f"  {n}: "), yaml_compiling.styled(F.col("text"), F.lit(s), F.lit(4), 80), F.lit("\n"))))
+    read = yaml_files.units(docs.select("doc_id", F.concat(F.lit("t:\n"), part).alias("content")))
+    return read.select("doc_id", F.length("text").cast("bigint").alias("n_chars"), F.sha2("text", 256).alias("text_sha256"), F.substring_index("key", ".", -1).alias("style"))

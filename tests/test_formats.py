@@ -10,7 +10,7 @@ from lingualake.functions import spans
 from lingualake.functions import text as T
 from lingualake.operators import compiling, po_compiling, xml_compiling, yaml_compiling
 from lingualake.plans import office_plans
-from lingualake.sources import json_files, office, po, xml_files
+from lingualake.sources import json_files, office, po, xml_files, yaml_files
 
 
 def files(spark, *texts):
@@ -182,3 +182,41 @@ def test_parts_of_packages_by_relations(spark):
     docs = office.packages(spark.createDataFrame(rows, "doc_id bigint, place int, part string, xml string"))
     assert sorted((r["doc_id"], r["part"], r["xml"]) for r in office.docx_parts(docs).collect()) == [(0, "word/document.xml", "<d/>"), (1, "word/document.xml", "<f/>")]
     assert office.docx_parts(docs.limit(0)).collect() == []
+
+
+_SCALARS = ["", " ", "\n", "true", "a\n  b\nc", "a\n\n   \nb", "a \nb", "a\n b", "'", "a b " * 60 + "c", "word " * 50 + "\nnext " * 40 + ".", " lead " * 30, "\tx y " * 30, "'" * 90 + " x", "a  b " * 50 + "c", "x\u2028y\x85\x07\ufeff", "# a " * 40, "k: v " * 40, "w" * 300 + " x", "\U0001f600 " * 60 + "y", "end\n\n\n"]
+
+
+@pytest.mark.parametrize("width", [None, 1, 20, 80])
+def test_scalars_of_every_style_and_width_read_back(spark, width):
+    import yaml
+
+    df = spark.createDataFrame(list(enumerate(_SCALARS)), "id int, text string")
+    out = df.select("text", *(yaml_compiling.styled(F.col("text"), F.lit(s), F.lit(4), width).alias(f"s{k}") for k, s in enumerate(["", "'", '"', "|", ">"])))
+    for row in out.collect():
+        for scalar in row[1:]:
+            assert yaml.safe_load(f"a:\n  k: {scalar}\n  l: x\n")["a"] == {"k": row["text"], "l": "x"}
+            assert width is not None or scalar[0] in "'|>" or "\n" not in scalar
+
+
+def test_folded_lines_end_at_the_first_space_beyond_the_width(spark):
+    text = "word " * 60 + "end"
+    df = spark.createDataFrame([(text,)], "text string")
+    for style in ("", "'", '"', ">"):
+        lines = df.select(yaml_compiling.styled(F.col("text"), F.lit(style), F.lit(4), 40)).first()[0].split("\n")
+        assert len(lines) > 5 and all(36 <= len(x) <= 48 for x in lines[1:-1])
+
+
+def test_files_are_written_and_compiled_at_a_width(spark):
+    import yaml
+
+    content = "a:\n  b: x\n  c: 'y'\n  d: \"z\"\n  e: >\n    w\n"
+    docs = spark.createDataFrame([(1, content)], "doc_id bigint, content string")
+    units = yaml_files.units(docs)
+    long = " ".join(["longer text"] * 20)
+    told = units.select("doc_id", "placeholder", "key", "flags", F.lit(False).alias("pluralized"), F.create_map(F.lit(5), F.lit(long)).alias("strings"))
+    done = yaml_compiling.compile_yaml(yaml_compiling.template(docs, units), told, width=60).first()["content"]
+    written = yaml_compiling.compile_without_template(units.withColumn("text", F.lit(long)), "el", width=60).first()["content"]
+    for text, root in ((done, lambda x: x), (written, lambda x: x["el"])):
+        assert max(map(len, text.split("\n"))) < 80
+        assert {k: v.strip() for k, v in root(yaml.safe_load(text))["a"].items()} == dict.fromkeys("bcde", long)
