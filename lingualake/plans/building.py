@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -13,11 +14,23 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
 
 
+#: Keys of a table that may share a file.
+FILE_KEYS = 500
+#: By the name that the SQL gives them: tables whose brand or nation is that of a file, so files stay bounded as the tables grow.
+_IN_FILES = {"parts": ("part", "p_brand", "p_partkey"), "customers": ("customer", "c_nationkey", "c_custkey"), "suppliers": ("supplier", "s_nationkey", "s_suppkey")}
+
+
+def _with_files(sql: str) -> str:
+    """`sql` behind the tables in files that it reads."""
+    views = [f"{name} AS (SELECT * REPLACE ({group} || '-' || {key} // {FILE_KEYS} AS {group}) FROM {source})" for name, (source, group, key) in _IN_FILES.items() if re.search(rf"\b(FROM|JOIN) {name}\b", sql)]
+    return f"WITH {', '.join(views)}{', ' + sql.removeprefix('WITH ') if sql.startswith('WITH ') else ' ' + sql}" if views else sql
+
+
 def query(sql: str | None = None):
     def add(f: Callable[[SparkSession, str], DataFrame]):
         QUERIES[f.__name__] = f
         if sql:
-            SQL[f.__name__] = sql
+            SQL[f.__name__] = _with_files(sql)
         return f
 
     return add
@@ -27,6 +40,26 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _in_files(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    source, group, key = _IN_FILES[name]
+    return table(spark, sf_dir, source).withColumn(group, F.concat(F.col(group).cast("string"), F.lit("-"), F.floor(F.col(key) / FILE_KEYS).cast("string")))
+
+
+def parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The parts, their brand that of a file."""
+    return _in_files(spark, sf_dir, "parts")
+
+
+def customers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The customers, their nation that of a file."""
+    return _in_files(spark, sf_dir, "customers")
+
+
+def suppliers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The suppliers, their nation that of a file."""
+    return _in_files(spark, sf_dir, "suppliers")
+
+
 def filled(template: str, **columns: str | Column) -> Column:
     """`template` with `<<name>>` replaced by the column of that name."""
     parts: list[Column] = []
@@ -47,8 +80,8 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def part_files(spark: SparkSession, sf_dir: str, template: str, separator: str = ", ", head: str = "{", tail: str = "}") -> DataFrame:
-    """A file for each brand, with a part for each part."""
-    return file_rows(table(spark, sf_dir, "part"), F.col("p_brand"), "p_partkey", filled(template, k="p_partkey", name="p_name", type="p_type", size="p_size", brand="p_brand"), separator, head, tail)
+    """Files of a brand's parts, with a piece for each part."""
+    return file_rows(parts(spark, sf_dir), F.col("p_brand"), "p_partkey", filled(template, k="p_partkey", name="p_name", type="p_type", size="p_size", brand="p_brand"), separator, head, tail)
 
 
 #: Separator, head and tail of an Android file.

@@ -13,7 +13,7 @@ from ..operators import compiling, json_compiling, syncing, translating, validat
 from ..sources import json_files, markdown, office, plaintext, po, subtitles, xml_files, yaml_files
 from ..streaming.parsing import parse_stream
 from . import json_plans, markdown_plans, office_plans, other_plans, po_plans, xml_plans, yaml_plans  # noqa: F401  they register their queries
-from .building import QUERIES, SQL, XML, documents, file_rows, filled, part_files, query, table
+from .building import QUERIES, SQL, XML, customers, documents, file_rows, filled, part_files, parts, query, suppliers, table
 from ..storing import new_folder
 
 _LINES = """l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents),
@@ -93,11 +93,11 @@ def q09_vtt_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _customers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "customer")
+    rows = customers(spark, sf_dir)
     return file_rows(rows, F.col("c_nationkey"), "c_custkey", filled('"<<k>>.x": "<<v>>"', k="c_name", v="c_mktsegment"), ", ", "{", ', "blank": " ", "n": 1.5}')
 
 
-@query("SELECT c_nationkey AS doc_id, c_name || '\\.x' AS key, CAST(row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey) - 1 AS INT) AS ord, c_mktsegment AS value, md5(c_name || '\\.x:') || '_tr' AS placeholder FROM customer")
+@query("SELECT c_nationkey AS doc_id, c_name || '\\.x' AS key, CAST(row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey) - 1 AS INT) AS ord, c_mktsegment AS value, md5(c_name || '\\.x:') || '_tr' AS placeholder FROM customers")
 def q10_json_units_flat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return json_files.key_value_units(_customers(spark, sf_dir)).select("doc_id", "key", "ord", "value", "placeholder")
 
@@ -119,11 +119,11 @@ def q12_json_props_scalars(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""WITH x AS (SELECT p_brand AS doc_id, p_partkey AS k, CASE p_partkey % 3
         WHEN 0 THEN '"k' || p_partkey || '": {"a": "x:' || p_name || ', , [, {", "b": ["x:' || p_type || '"], "c": 1}'
         WHEN 1 THEN '"k' || p_partkey || '": {"a": "x:' || p_name || ', , [, {", "c": 1}'
-        ELSE '"k' || p_partkey || '": {"c": 1}' END AS part FROM part)
+        ELSE '"k' || p_partkey || '": {"c": 1}' END AS part FROM parts)
     SELECT doc_id, '{"l": ["x:" , 2], "e": {}, ' || string_agg(part, ', ' ORDER BY k) || '}' AS content FROM x GROUP BY doc_id""")
 def q13_json_compile_prune(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Texts hold commas and brackets; emptied lists and objects go at seven levels."""
-    files = file_rows(table(spark, sf_dir, "part"), F.col("p_brand"), "p_partkey", filled('"k<<k>>": {"a": "<<n>>, , [, {", "b": ["<<t>>", {"z": [[{"y": {"x": "gone"}}]]}], "c": 1}', k="p_partkey", n="p_name", t="p_type"), ", ", '{"l": ["gone", "" , 2, "gone"], "e": {}, "f": {"g": ["gone"]}, ', "}")
+    files = file_rows(parts(spark, sf_dir), F.col("p_brand"), "p_partkey", filled('"k<<k>>": {"a": "<<n>>, , [, {", "b": ["<<t>>", {"z": [[{"y": {"x": "gone"}}]]}], "c": 1}', k="p_partkey", n="p_name", t="p_type"), ", ", '{"l": ["gone", "" , 2, "gone"], "e": {}, "f": {"g": ["gone"]}, ', "}")
     files = files.withColumn("content", F.replace("content", F.lit('"gone", "" , 2'), F.lit('"gone", "." , 2')))
     units = json_files.key_value_units(files)
     number = F.regexp_extract("key", r"^k(\d+)", 1).try_cast("bigint") % 3
@@ -132,16 +132,16 @@ def q13_json_compile_prune(spark: SparkSession, sf_dir: str) -> DataFrame:
     return json_compiling.compile_members(compiling.compile_slots(files, json_files.slots(units)), said, clean=True)
 
 
-@query("SELECT p_brand AS doc_id, md5(p_partkey || ':') || '_tr' AS placeholder, CASE WHEN p_partkey % 2 = 0 AND p_partkey % 3 = 0 THEN 'keep' WHEN p_partkey % 2 = 0 THEN 'remove' ELSE 'add' END AS action FROM part WHERE p_partkey % 2 = 0 OR p_partkey % 3 = 0")
+@query("SELECT p_brand AS doc_id, md5(p_partkey || ':') || '_tr' AS placeholder, CASE WHEN p_partkey % 2 = 0 AND p_partkey % 3 = 0 THEN 'keep' WHEN p_partkey % 2 = 0 THEN 'remove' ELSE 'add' END AS action FROM parts WHERE p_partkey % 2 = 0 OR p_partkey % 3 = 0")
 def q14_sync_set(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "part").select(F.col("p_brand").alias("doc_id"), "p_partkey", T.placeholder(T.string_hash(F.col("p_partkey").cast("string"))).alias("placeholder"))
+    rows = parts(spark, sf_dir).select(F.col("p_brand").alias("doc_id"), "p_partkey", T.placeholder(T.string_hash(F.col("p_partkey").cast("string"))).alias("placeholder"))
     return syncing.sync_set(rows.filter("p_partkey % 2 = 0"), rows.filter("p_partkey % 3 = 0"))
 
 
-@query("""WITH s AS (SELECT p_brand AS doc_id, p_partkey AS k FROM part WHERE p_partkey % 2 = 0 OR p_partkey % 3 = 0)
+@query("""WITH s AS (SELECT p_brand AS doc_id, p_partkey AS k FROM parts WHERE p_partkey % 2 = 0 OR p_partkey % 3 = 0)
     SELECT doc_id, CAST(row_number() OVER w - 1 AS INT) AS place, md5(k || ':') || '_tr' AS placeholder, CASE WHEN bool_or(k % 2 = 1) OVER w THEN 'add' ELSE 'keep' END AS action FROM s WINDOW w AS (PARTITION BY doc_id ORDER BY k ROWS UNBOUNDED PRECEDING)""")
 def q15_sync_ordered(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "part").select(F.col("p_brand").alias("doc_id"), F.col("p_partkey").alias("seg"), F.col("p_partkey").alias("ord"), T.placeholder(T.string_hash(F.col("p_partkey").cast("string"))).alias("placeholder"))
+    rows = parts(spark, sf_dir).select(F.col("p_brand").alias("doc_id"), F.col("p_partkey").alias("seg"), F.col("p_partkey").alias("ord"), T.placeholder(T.string_hash(F.col("p_partkey").cast("string"))).alias("placeholder"))
     return syncing.sync_ordered(rows.filter("seg % 2 = 0"), rows.filter("ord % 2 = 0 or ord % 3 = 0"))
 
 
@@ -154,8 +154,8 @@ def q16_json_escape_unescape(spark: SparkSession, sf_dir: str) -> DataFrame:
 _ICU = '"k<<k>>": "{n, plural, one {one <<name>>} other {<<size>> {x} <<type>>}}", "p<<k>>": "{n, plural, =1 {<<name>>} other {y}}"'
 
 
-@query("""SELECT p_brand AS doc_id, 'k' || p_partkey AS key, true AS pluralized, 'one ' || p_name AS one, p_size || ' {x} ' || p_type AS other FROM part
-    UNION ALL SELECT p_brand, 'p' || p_partkey, false, NULL, '{n, plural, =1 {' || p_name || '} other {y}}' FROM part""")
+@query("""SELECT p_brand AS doc_id, 'k' || p_partkey AS key, true AS pluralized, 'one ' || p_name AS one, p_size || ' {x} ' || p_type AS other FROM parts
+    UNION ALL SELECT p_brand, 'p' || p_partkey, false, NULL, '{n, plural, =1 {' || p_name || '} other {y}}' FROM parts""")
 def q17_icu_plural_units(spark: SparkSession, sf_dir: str) -> DataFrame:
     units = json_files.key_value_units(part_files(spark, sf_dir, _ICU))
     return units.select("doc_id", "key", "pluralized", F.try_element_at("strings", F.lit(1)).alias("one"), F.try_element_at("strings", F.lit(5)).alias("other"))
@@ -167,37 +167,37 @@ def q18_icu_serialize(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "part").select("p_partkey", compiling.serialize_plural(strings).alias("text"))
 
 
-@query("""SELECT p_brand AS doc_id, 'k' || p_partkey AS key, p_type AS context, 'about ' || p_size AS developer_comment, p_name AS value, CAST(row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) - 1 AS INT) AS ord FROM part WHERE p_size % 5 <> 0""")
+@query("""SELECT p_brand AS doc_id, 'k' || p_partkey AS key, p_type AS context, 'about ' || p_size AS developer_comment, p_name AS value, CAST(row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) - 1 AS INT) AS ord FROM parts WHERE p_size % 5 <> 0""")
 def q19_arb_units_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
     kind = F.when(F.col("p_size") % 5 == 0, "image").otherwise("text")
-    rows = table(spark, sf_dir, "part")
+    rows = parts(spark, sf_dir)
     part = filled('"k<<k>>": "<<name>>", "@k<<k>>": {"type": "<<kind>>", "context": "<<type>>", "description": "about <<size>>"}', k="p_partkey", name="p_name", kind=kind, type="p_type", size="p_size")
     return json_files.arb_units(file_rows(rows, F.col("p_brand"), "p_partkey", part, ", ", '{"@@locale": "en", ', "}")).select("doc_id", "key", "context", "developer_comment", "value", "ord")
 
 
-@query("SELECT p_brand AS doc_id, 'k' || p_partkey AS key, p_type AS context, 'c' || p_size AS developer_comment, p_size AS character_limit, p_name AS value FROM part")
+@query("SELECT p_brand AS doc_id, 'k' || p_partkey AS key, p_type AS context, 'c' || p_size AS developer_comment, p_size AS character_limit, p_name AS value FROM parts")
 def q20_structured_units(spark: SparkSession, sf_dir: str) -> DataFrame:
     files = part_files(spark, sf_dir, '"k<<k>>": {"string": "<<name>>", "context": "<<type>>", "developer_comment": "c<<size>>", "character_limit": <<size>>}')
     return json_files.structured_units(files).select("doc_id", "key", "context", "developer_comment", "character_limit", "value")
 
 
-@query("SELECT s_nationkey AS doc_id, 's' || s_suppkey || '.message' AS key, s_name AS value, 'd' || s_suppkey AS developer_comment FROM supplier")
+@query("SELECT s_nationkey AS doc_id, 's' || s_suppkey || '.message' AS key, s_name AS value, 'd' || s_suppkey AS developer_comment FROM suppliers")
 def q22_chrome_units(spark: SparkSession, sf_dir: str) -> DataFrame:
     part = filled('"s<<k>>": {"message": "<<n>>", "description": "d<<k>>"}', k="s_suppkey", n="s_name")
-    return json_files.chrome_units(file_rows(table(spark, sf_dir, "supplier"), F.col("s_nationkey"), "s_suppkey", part, ",\n", "{", "}")).select("doc_id", "key", "value", "developer_comment")
+    return json_files.chrome_units(file_rows(suppliers(spark, sf_dir), F.col("s_nationkey"), "s_suppkey", part, ",\n", "{", "}")).select("doc_id", "key", "value", "developer_comment")
 
 
-@query("SELECT s_nationkey AS doc_id, 's.' || s_suppkey AS key, s_name AS value, 'd' || s_suppkey AS developer_comment FROM supplier")
+@query("SELECT s_nationkey AS doc_id, 's.' || s_suppkey AS key, s_name AS value, 'd' || s_suppkey AS developer_comment FROM suppliers")
 def q23_chrome_v3_units(spark: SparkSession, sf_dir: str) -> DataFrame:
     part = filled('"s.<<k>>": {"message": "<<n>>", "description": "d<<k>>"}, "t<<k>>": "no", "u<<k>>": {"message": 1}', k="s_suppkey", n="s_name")
-    return json_files.chrome_v3_units(file_rows(table(spark, sf_dir, "supplier"), F.col("s_nationkey"), "s_suppkey", part, ", ", "{", "}")).select("doc_id", "key", "value", "developer_comment")
+    return json_files.chrome_v3_units(file_rows(suppliers(spark, sf_dir), F.col("s_nationkey"), "s_suppkey", part, ", ", "{", "}")).select("doc_id", "key", "value", "developer_comment")
 
 
-@query("SELECT p_brand AS doc_id, 'k' || p_partkey AS key, p_type AS context, p_name AS text, CASE WHEN p_size % 2 = 0 THEN 'about ' || p_size ELSE '' END AS developer_comment, CAST(row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) - 1 AS INT) AS ord FROM part")
+@query("SELECT p_brand AS doc_id, 'k' || p_partkey AS key, p_type AS context, p_name AS text, CASE WHEN p_size % 2 = 0 THEN 'about ' || p_size ELSE '' END AS developer_comment, CAST(row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) - 1 AS INT) AS ord FROM parts")
 def q24_android_strings(spark: SparkSession, sf_dir: str) -> DataFrame:
     about = F.when(F.col("p_size") % 2 == 0, filled("<!-- about <<s>> -->\n", s="p_size")).otherwise("")
     part = filled('<<c>><string name="k<<k>>" product="<<t>>"><<n>></string>\n<string name="x<<k>>" translatable="false"><<n>></string>', c=about, k="p_partkey", t="p_type", n="p_name")
-    files = file_rows(table(spark, sf_dir, "part"), F.col("p_brand"), "p_partkey", part, *XML)
+    files = file_rows(parts(spark, sf_dir), F.col("p_brand"), "p_partkey", part, *XML)
     return xml_files.android_units(files).select("doc_id", "key", "context", F.element_at("strings", 5).alias("text"), "developer_comment", "ord")
 
 
@@ -212,10 +212,10 @@ def q25_android_arrays(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _plurals(spark: SparkSession, sf_dir: str) -> DataFrame:
     one = F.when(F.col("p_size") % 10 == 0, " ").otherwise(F.col("p_name"))
     part = filled('<plurals name="k<<k>>"><item quantity="one"><<one>></item><item quantity="other"><<n>>s</item></plurals>', k="p_partkey", one=one, n="p_name")
-    return file_rows(table(spark, sf_dir, "part"), F.col("p_brand"), "p_partkey", part, *XML)
+    return file_rows(parts(spark, sf_dir), F.col("p_brand"), "p_partkey", part, *XML)
 
 
-@query("SELECT p_brand AS doc_id, 'k' || p_partkey AS key, CASE WHEN p_size % 10 = 0 THEN ' ' ELSE p_name END AS one, p_name || 's' AS other, md5('k' || p_partkey || ':') || '_pl' AS placeholder FROM part")
+@query("SELECT p_brand AS doc_id, 'k' || p_partkey AS key, CASE WHEN p_size % 10 = 0 THEN ' ' ELSE p_name END AS one, p_name || 's' AS other, md5('k' || p_partkey || ':') || '_pl' AS placeholder FROM parts")
 def q26_android_plurals(spark: SparkSession, sf_dir: str) -> DataFrame:
     units = xml_files.android_units(_plurals(spark, sf_dir))
     return units.select("doc_id", "key", F.element_at("strings", 1).alias("one"), F.element_at("strings", 5).alias("other"), "placeholder")
@@ -227,13 +227,13 @@ def q28_android_escape(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "part").select("p_partkey", escaped.alias("escaped"), T.unescape_android(escaped).alias("again"))
 
 
-@query("SELECT p_brand AS doc_id, 'k' || p_partkey AS key, p_name AS one, p_name || 's' AS other FROM part WHERE p_size % 10 <> 0")
+@query("SELECT p_brand AS doc_id, 'k' || p_partkey AS key, p_name AS one, p_name || 's' AS other FROM parts WHERE p_size % 10 <> 0")
 def q29_beta_android_units(spark: SparkSession, sf_dir: str) -> DataFrame:
     units = xml_files.android_units(_plurals(spark, sf_dir), beta=True)
     return units.select("doc_id", "key", F.element_at("strings", 1).alias("one"), F.element_at("strings", 5).alias("other"))
 
 
-@query("SELECT p_brand AS doc_id, 'k' || p_partkey AS key, 'n' AS context, 'You have ' || p_name || '.' AS one, 'You have ' || p_size || ' ' || p_type || '.' AS other FROM part")
+@query("SELECT p_brand AS doc_id, 'k' || p_partkey AS key, 'n' AS context, 'You have ' || p_name || '.' AS one, 'You have ' || p_size || ' ' || p_type || '.' AS other FROM parts")
 def q30_stringsdict_units(spark: SparkSession, sf_dir: str) -> DataFrame:
     part = "<key>k<<k>></key><dict><key>NSStringLocalizedFormatKey</key><string>You have %#@n@.</string><key>n</key><dict><key>NSStringFormatSpecTypeKey</key><string>NSStringPluralRuleType</string><key>one</key><string><<name>></string><key>other</key><string><<size>> <<type>></string></dict></dict>"
     units = xml_files.stringsdict_units(part_files(spark, sf_dir, part, "\n", '<plist version="1.0">\n<dict>\n', "\n</dict>\n</plist>\n"))
@@ -251,25 +251,25 @@ def q31_custom_xml_units(spark: SparkSession, sf_dir: str) -> DataFrame:
 _HEADER = 'msgid ""\nmsgstr ""\n"Content-Type: text/plain\\n"\n\n'
 
 
-@query("""SELECT c_nationkey AS doc_id, c_name AS key, c_mktsegment AS context, CASE WHEN c_custkey % 2 = 0 THEN 'el:' || c_name ELSE '' END AS text, 'PO' AS file_type, c_custkey % 7 = 0 AS fuzzy, 'src/a.c:' || c_custkey AS occurrences, 'note' || chr(10) AS developer_comment FROM customer c
-    WHERE c_nationkey IN (SELECT c_nationkey FROM customer WHERE c_custkey % 2 = 0)
-    UNION ALL SELECT c_nationkey, c_name, c_mktsegment, c_name, 'POT', c_custkey % 7 = 0, 'src/a.c:' || c_custkey, 'note' || chr(10) FROM customer WHERE c_nationkey NOT IN (SELECT c_nationkey FROM customer WHERE c_custkey % 2 = 0)""")
+@query("""SELECT c_nationkey AS doc_id, c_name AS key, c_mktsegment AS context, CASE WHEN c_custkey % 2 = 0 THEN 'el:' || c_name ELSE '' END AS text, 'PO' AS file_type, c_custkey % 7 = 0 AS fuzzy, 'src/a.c:' || c_custkey AS occurrences, 'note' || chr(10) AS developer_comment FROM customers c
+    WHERE c_nationkey IN (SELECT c_nationkey FROM customers WHERE c_custkey % 2 = 0)
+    UNION ALL SELECT c_nationkey, c_name, c_mktsegment, c_name, 'POT', c_custkey % 7 = 0, 'src/a.c:' || c_custkey, 'note' || chr(10) FROM customers WHERE c_nationkey NOT IN (SELECT c_nationkey FROM customers WHERE c_custkey % 2 = 0)""")
 def q32_po_units(spark: SparkSession, sf_dir: str) -> DataFrame:
     told = F.when(F.col("c_custkey") % 2 == 0, F.concat(F.lit("el:"), "c_name")).otherwise("")
     flag = F.when(F.col("c_custkey") % 7 == 0, "#, fuzzy\n").otherwise("")
     part = filled('#. note\n#: src/a.c:<<k>>\n<<f>>msgctxt "<<x>>"\nmsgid ""\n"<<n>>"\nmsgstr "<<t>>"\n', k="c_custkey", f=flag, x="c_mktsegment", n="c_name", t=told)
-    units = po.units(file_rows(table(spark, sf_dir, "customer"), F.col("c_nationkey"), "c_custkey", part, "\n", _HEADER))
+    units = po.units(file_rows(customers(spark, sf_dir), F.col("c_nationkey"), "c_custkey", part, "\n", _HEADER))
     return units.select("doc_id", "key", "context", F.element_at("strings", 5).alias("text"), "file_type", "fuzzy", "occurrences", "developer_comment")
 
 
-@query("SELECT c_nationkey AS doc_id, c_name || ':' || c_name || 's' AS key, c_name AS one, c_name || 's' AS other, md5(c_name || ':' || c_name || 's:') || '_pl' AS placeholder, 'POT' AS file_type FROM customer")
+@query("SELECT c_nationkey AS doc_id, c_name || ':' || c_name || 's' AS key, c_name AS one, c_name || 's' AS other, md5(c_name || ':' || c_name || 's:') || '_pl' AS placeholder, 'POT' AS file_type FROM customers")
 def q33_po_pot_detection(spark: SparkSession, sf_dir: str) -> DataFrame:
     part = filled('msgid "<<n>>"\nmsgid_plural "<<n>>s"\nmsgstr[0] ""\nmsgstr[1] ""\n', n="c_name")
-    units = po.units(file_rows(table(spark, sf_dir, "customer"), F.col("c_nationkey"), "c_custkey", part, "\n", _HEADER))
+    units = po.units(file_rows(customers(spark, sf_dir), F.col("c_nationkey"), "c_custkey", part, "\n", _HEADER))
     return units.select("doc_id", "key", F.element_at("strings", 0).alias("one"), F.element_at("strings", 1).alias("other"), "placeholder", "file_type")
 
 
-@query("SELECT p_brand AS doc_id, p_name AS key, 'duplicate msgid' AS rule, count(*) - 1 AS places FROM part GROUP BY p_brand, p_name HAVING count(*) > 1")
+@query("SELECT p_brand AS doc_id, p_name AS key, 'duplicate msgid' AS rule, count(*) - 1 AS places FROM parts GROUP BY p_brand, p_name HAVING count(*) > 1")
 def q34_po_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     files = part_files(spark, sf_dir, 'msgid "<<name>>"\nmsgstr "<<k>>"\n', "\n", _HEADER, "")
     return po.problems(files).groupBy("doc_id", "key", "rule").agg(F.count("*").alias("places"))
@@ -324,10 +324,10 @@ def q42_pptx_order_notes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return office.pptx_units(_package(spark, slide)).select("doc_id", "text", "ord")
 
 
-@query("""WITH c AS (SELECT p_brand AS doc_id, p_size % 2 + 1 AS sheet, p_name AS text, p_partkey AS k FROM part)
+@query("""WITH c AS (SELECT p_brand AS doc_id, p_size % 2 + 1 AS sheet, p_name AS text, p_partkey AS k FROM parts)
     SELECT doc_id, text, array_to_string(list_transform(list_sort(list(DISTINCT sheet)), lambda x: 'S' || x), ', ') AS developer_comment FROM c GROUP BY doc_id, text UNION ALL SELECT DISTINCT doc_id, 'S' || sheet, 'S' || sheet FROM c""")
 def q43_xlsx_distinct_strings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "part").withColumn("sheet", F.col("p_size") % 2 + 1)
+    rows = parts(spark, sf_dir).withColumn("sheet", F.col("p_size") % 2 + 1)
     indexed = rows.withColumn("idx", F.dense_rank().over(Window.partitionBy("p_brand").orderBy("p_name")) - 1)
     distinct = indexed.select("p_brand", "idx", "p_name").distinct()
     shared = file_rows(distinct, F.col("p_brand"), "idx", filled("<si><t><<n>></t></si>", n="p_name"), "", "<sst>", "</sst>").select("doc_id", F.lit(0).alias("place"), F.lit("xl/sharedStrings.xml").alias("part"), F.col("content").alias("xml"))
@@ -371,7 +371,7 @@ def q48_validation_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return validating.srt_report(file_rows(table(spark, sf_dir, "conversations"), F.col("conv_id"), "turn", part, "\n\n"))
 
 
-@query("SELECT p_brand AS doc_id, 'k' || p_partkey AS key FROM part WHERE p_size % 10 = 0")
+@query("SELECT p_brand AS doc_id, 'k' || p_partkey AS key FROM parts WHERE p_size % 10 = 0")
 def q49_plural_completeness(spark: SparkSession, sf_dir: str) -> DataFrame:
     return validating.plural_gaps(xml_files.android_units(_plurals(spark, sf_dir))).select("doc_id", "key")
 
@@ -383,23 +383,23 @@ def q50_streaming_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
     return parse_stream(spark, f"{work}/in", "doc_id bigint, content string", plaintext.units, f"{work}/out", f"{work}/state")
 
 
-@query("SELECT p_brand AS doc_id, 'partly blank plural' AS rule, 'k' || p_partkey AS key, CAST(2 + row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) AS INT) AS line FROM part QUALIFY p_size % 10 = 0")
+@query("SELECT p_brand AS doc_id, 'partly blank plural' AS rule, 'k' || p_partkey AS key, CAST(2 + row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) AS INT) AS line FROM parts QUALIFY p_size % 10 = 0")
 def q51_android_problems(spark: SparkSession, sf_dir: str) -> DataFrame:
     return xml_files.android_problems(_plurals(spark, sf_dir))
 
 
-@query("SELECT c_nationkey AS doc_id, 'a' AS key, count(*) - 1 AS places FROM customer GROUP BY c_nationkey HAVING count(*) > 1")
+@query("SELECT c_nationkey AS doc_id, 'a' AS key, count(*) - 1 AS places FROM customers GROUP BY c_nationkey HAVING count(*) > 1")
 def q52_json_duplicate_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
-    files = file_rows(table(spark, sf_dir, "customer"), F.col("c_nationkey"), "c_custkey", filled('"a": "<<n>>"', n="c_name"), ",\n", "{", "}")
+    files = file_rows(customers(spark, sf_dir), F.col("c_nationkey"), "c_custkey", filled('"a": "<<n>>"', n="c_name"), ",\n", "{", "}")
     return validating.duplicate_json_keys(files).groupBy("doc_id", "key").agg(F.count("*").alias("places"))
 
 
-@query("""WITH t AS (SELECT p_name, min('t' || p_size || ' ' || p_name) AS target FROM part WHERE p_size % 7 = 0 GROUP BY p_name)
-    SELECT p_brand AS doc_id, md5('{' || string_agg('"k' || p_partkey || '": "' || coalesce(target, 'el:' || p_name) || '"', ', ' ORDER BY p_partkey) || '}') AS content FROM part LEFT JOIN t USING (p_name) GROUP BY p_brand""")
+@query("""WITH t AS (SELECT p_name, min('t' || p_size || ' ' || p_name) AS target FROM parts WHERE p_size % 7 = 0 GROUP BY p_name)
+    SELECT p_brand AS doc_id, md5('{' || string_agg('"k' || p_partkey || '": "' || coalesce(target, 'el:' || p_name) || '"', ', ' ORDER BY p_partkey) || '}') AS content FROM parts LEFT JOIN t USING (p_name) GROUP BY p_brand""")
 def q53_json_translate_compile(spark: SparkSession, sf_dir: str) -> DataFrame:
     files = part_files(spark, sf_dir, '"k<<k>>": "<<name>>"')
     units = json_files.key_value_units(files)
-    phrases = table(spark, sf_dir, "part").filter("p_size % 7 = 0").select(F.col("p_name").alias("source"), filled("t<<s>> <<n>>", s="p_size", n="p_name").alias("target"))
+    phrases = parts(spark, sf_dir).filter("p_size % 7 = 0").select(F.col("p_name").alias("source"), filled("t<<s>> <<n>>", s="p_size", n="p_name").alias("target"))
     told = translating.translate(units.withColumnRenamed("value", "text"), phrases, "el")
     done = compiling.compile_slots(files, json_files.slots(units), told.select("doc_id", "placeholder", "ord", F.col("translation").alias("text")))
     return done.select("doc_id", F.md5(F.col("content").cast("binary")).alias("content"))

@@ -12,7 +12,7 @@ from ..functions import text as T
 from ..operators import compiling, validating
 from ..sources import json_files, plaintext, subtitles
 from ..storing import new_folder
-from .building import documents, file_rows, filled, query, table
+from .building import documents, file_rows, filled, parts, query, table
 
 _KINDS = (("txt", "<<n>>"), ("json", '{"k": "<<n>>"}'), ("po", 'msgid "<<n>>"\nmsgstr ""\n'), ("yml", "k: <<n>>\n"), ("md", "# <<n>>\n"), ("doc", "<<n>>"))
 
@@ -75,10 +75,10 @@ def q106_extra_strings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return compiling.extra_strings(template, told)
 
 
-@query("""SELECT p_brand AS doc_id, p_type AS a, p_size::VARCHAR AS b FROM part""")
+@query("""SELECT p_brand AS doc_id, p_type AS a, p_size::VARCHAR AS b FROM parts""")
 def q107_json_find_children(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Members of objects by name: of repeated ones the last, null for missing ones."""
-    rows = table(spark, sf_dir, "part")
+    rows = parts(spark, sf_dir)
     files = file_rows(rows, F.col("p_brand"), "p_partkey", filled('{"a": "<<n>>", "b": <<s>>, "a": "<<t>>"}', n="p_name", s="p_size", t="p_type"), ", ", "[", "]")
     return json_files.find_children(json_files.nodes(files), "a", "b", "c").filter("c is null").select("doc_id", "a", "b")
 

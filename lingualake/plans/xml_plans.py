@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..operators import validating, xml_compiling
 from ..sources import xml_files, xml_walk
-from .building import XML, file_rows, filled, part_files, query, stored, table
+from .building import XML, file_rows, filled, part_files, parts, query, stored, table
 
 
 def _told(units: DataFrame, keep=None) -> DataFrame:
@@ -24,7 +24,7 @@ def _number():
 
 @query("""WITH p AS (SELECT p_brand AS doc_id, p_partkey AS k,
         CASE WHEN p_partkey % 3 <> 0 THEN '<!-- c' || p_partkey || ' -->' || chr(10) || '<string name="s' || p_partkey || '">el:' || p_name || '</string>' || chr(10) ELSE '' END
-        || CASE WHEN p_partkey % 4 <> 0 THEN '<plurals name="p' || p_partkey || '">' || chr(10) || '  <item quantity="one">el:' || p_name || '</item>' || chr(10) || '  <item quantity="other">el:' || p_type || '</item>' || chr(10) || '</plurals>' || chr(10) ELSE '' END AS part FROM part)
+        || CASE WHEN p_partkey % 4 <> 0 THEN '<plurals name="p' || p_partkey || '">' || chr(10) || '  <item quantity="one">el:' || p_name || '</item>' || chr(10) || '  <item quantity="other">el:' || p_type || '</item>' || chr(10) || '</plurals>' || chr(10) ELSE '' END AS part FROM parts)
     SELECT doc_id, '<?xml version="1.0" encoding="utf-8"?>' || chr(10) || '<resources>' || chr(10) || string_agg(part, '' ORDER BY k) || '</resources>' || chr(10) AS content FROM p GROUP BY doc_id""")
 def q27_android_compile_semi(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Strings and plurals through the template; what isn't translated goes with its comment, what may not be translated too."""
@@ -51,7 +51,7 @@ _BETA = '<!-- a<<k>> -->\n<string name="x<<k>>"> </string>\n<string name="s[<<k>
 
 
 @query("""WITH u AS (SELECT p_brand AS doc_id, p_partkey AS k, i, CASE i WHEN 0 THEN 's[' || p_partkey WHEN 1 THEN 'n' || p_partkey || '[0]' WHEN 2 THEN 'n' || p_partkey || '[1]' WHEN 3 THEN 'p' || p_partkey ELSE 'q' || p_partkey END AS key,
-        CASE i WHEN 3 THEN p_name || '|' || p_type WHEN 2 THEN p_type WHEN 4 THEN 'q' ELSE p_name END AS text FROM part, range(5) r(i))
+        CASE i WHEN 3 THEN p_name || '|' || p_type WHEN 2 THEN p_type WHEN 4 THEN 'q' ELSE p_name END AS text FROM parts, range(5) r(i))
     SELECT doc_id, key, text, '' AS developer_comment, row_number() OVER (PARTITION BY doc_id ORDER BY k, i) - 1 AS ord FROM u""")
 def q109_beta_android_comments(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The older Android parser: a comment goes to the next element even if that has no string; keys are names as they stand."""
@@ -61,7 +61,7 @@ def q109_beta_android_comments(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""WITH p AS (SELECT p_brand AS doc_id, '<!-- a' || p_partkey || ' -->' || chr(10) || chr(10) || CASE WHEN p_partkey % 3 <> 0 THEN '<string name="s[' || p_partkey || '">el:' || p_name || '</string>' ELSE '' END || chr(10)
         || CASE p_partkey % 4 WHEN 0 THEN '' ELSE '<string-array name="n' || p_partkey || '">' || chr(10) || '  ' || CASE WHEN p_partkey % 4 = 1 THEN '' ELSE '<item>el:' || p_name || '</item>' END || ' <item>el:' || p_type || '</item>' || chr(10) || '</string-array>' END || chr(10)
-        || CASE WHEN p_partkey % 5 <> 0 THEN '<plurals name="p' || p_partkey || '">' || chr(10) || '  <item quantity="one">el:' || p_name || '</item>' || chr(10) || '  <item quantity="other">el:' || p_type || '</item>' || chr(10) || '</plurals><plurals name="q' || p_partkey || '"><item quantity="other">el:q</item></plurals>' ELSE '' END AS part, p_partkey AS k FROM part)
+        || CASE WHEN p_partkey % 5 <> 0 THEN '<plurals name="p' || p_partkey || '">' || chr(10) || '  <item quantity="one">el:' || p_name || '</item>' || chr(10) || '  <item quantity="other">el:' || p_type || '</item>' || chr(10) || '</plurals><plurals name="q' || p_partkey || '"><item quantity="other">el:q</item></plurals>' ELSE '' END AS part, p_partkey AS k FROM parts)
     SELECT doc_id, '<?xml version="1.0" encoding="utf-8"?>' || chr(10) || '<resources>' || chr(10) || string_agg(part, chr(10) ORDER BY k) || chr(10) || '</resources>' || chr(10) AS content FROM p GROUP BY doc_id""")
 def q110_beta_android_compile(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The older Android compiler: comments and white space stay where elements go, and arrays without an item go in a second step."""
@@ -88,7 +88,7 @@ _PLIST = ("\n", '<plist version="1.0">\n<dict>\n', "\n</dict>\n</plist>\n")
 
 
 @query("""WITH p AS (SELECT p_brand AS doc_id, p_partkey AS k, '<key>k' || p_partkey || '</key><dict><key>NSStringLocalizedFormatKey</key><string>%#@n@ &amp; more</string>'
-        || CASE WHEN p_partkey % 3 = 0 THEN '' ELSE '<key>n</key><dict><key>NSStringFormatSpecTypeKey</key><string>NSStringPluralRuleType</string> <key>one</key><string>el:' || p_name || ' &amp; more</string><key>other</key><string>el:' || p_size || ' ' || p_type || ' &amp; more</string></dict>' END || '</dict>' AS part FROM part)
+        || CASE WHEN p_partkey % 3 = 0 THEN '' ELSE '<key>n</key><dict><key>NSStringFormatSpecTypeKey</key><string>NSStringPluralRuleType</string> <key>one</key><string>el:' || p_name || ' &amp; more</string><key>other</key><string>el:' || p_size || ' ' || p_type || ' &amp; more</string></dict>' END || '</dict>' AS part FROM parts)
     SELECT doc_id, '<plist version="1.0">' || chr(10) || '<dict>' || chr(10) || string_agg(part, chr(10) ORDER BY k) || chr(10) || '</dict>' || chr(10) || '</plist>' || chr(10) AS content FROM p GROUP BY doc_id""")
 def q55_stringsdict_compile(spark: SparkSession, sf_dir: str) -> DataFrame:
     files = part_files(spark, sf_dir, _DICT.replace("&", "&amp;"), *_PLIST)
@@ -131,13 +131,13 @@ def q66_android_cdata(spark: SparkSession, sf_dir: str) -> DataFrame:
     return units.select("doc_id", "key", F.element_at("strings", 5).alias("text"))
 
 
-@query("""SELECT p_brand AS doc_id, 'k' || p_partkey AS key, CASE t WHEN 'string' THEN '' ELSE 'plurals' END AS context, CASE t WHEN 'string' THEN 'about' ELSE '' END AS developer_comment FROM part, (VALUES ('string'), ('plurals')) v(t) WHERE p_size % 10 <> 0
-    UNION ALL SELECT p_brand, 'k' || p_partkey, '', 'about' FROM part WHERE p_size % 10 = 0""")
+@query("""SELECT p_brand AS doc_id, 'k' || p_partkey AS key, CASE t WHEN 'string' THEN '' ELSE 'plurals' END AS context, CASE t WHEN 'string' THEN 'about' ELSE '' END AS developer_comment FROM parts, (VALUES ('string'), ('plurals')) v(t) WHERE p_size % 10 <> 0
+    UNION ALL SELECT p_brand, 'k' || p_partkey, '', 'about' FROM parts WHERE p_size % 10 = 0""")
 def q67_android_clashing_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A plural of a string's name gets its tag as context; a blank string leaves its comment to what follows."""
     first = F.when(F.col("p_size") % 10 == 0, " ").otherwise(F.col("p_name"))
     part = filled('<!-- about --><string name="k<<k>>"><<f>></string><plurals name="k<<k>>"><item quantity="other"><<n>></item></plurals>', k="p_partkey", f=first, n="p_name")
-    units = xml_files.android_units(file_rows(table(spark, sf_dir, "part"), F.col("p_brand"), "p_partkey", part, *XML))
+    units = xml_files.android_units(file_rows(parts(spark, sf_dir), F.col("p_brand"), "p_partkey", part, *XML))
     return units.select("doc_id", "key", "context", "developer_comment")
 
 
@@ -148,18 +148,18 @@ def q68_android_raw_escape(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select("p_partkey", "escaped", (T.unescape_android_raw(F.col("escaped")) == F.col("own")).alias("again"))
 
 
-@query("""SELECT p_brand AS doc_id, 'k' || p_partkey AS key, 'unescaped quote' AS rule FROM part WHERE p_size % 2 = 0""")
+@query("""SELECT p_brand AS doc_id, 'k' || p_partkey AS key, 'unescaped quote' AS rule FROM parts WHERE p_size % 2 = 0""")
 def q69_android_unescaped_quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
     mark = F.when(F.col("p_size") % 2 == 0, "'").otherwise("\\'")
     part = filled('<string name="k<<k>>"><<n>><<q>> <a href="x">y</a></string>', k="p_partkey", n="p_name", q=mark)
-    return xml_files.unescaped_problems(xml_files.android_units(file_rows(table(spark, sf_dir, "part"), F.col("p_brand"), "p_partkey", part, *XML)))
+    return xml_files.unescaped_problems(xml_files.android_units(file_rows(parts(spark, sf_dir), F.col("p_brand"), "p_partkey", part, *XML)))
 
 
-@query("""SELECT doc_id, key, rule, CASE n WHEN 2 THEN place + 2 END AS line FROM (SELECT p_brand AS doc_id, 'k' || p_partkey AS key, p_partkey AS k, CAST(row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) AS INT) AS place FROM part), (VALUES (0, 'bad rule'), (1, 'missing other'), (2, 'value is no dict')) v(n, rule) WHERE k % 4 = n""")
+@query("""SELECT doc_id, key, rule, CASE n WHEN 2 THEN place + 2 END AS line FROM (SELECT p_brand AS doc_id, 'k' || p_partkey AS key, p_partkey AS k, CAST(row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) AS INT) AS place FROM parts), (VALUES (0, 'bad rule'), (1, 'missing other'), (2, 'value is no dict')) v(n, rule) WHERE k % 4 = n""")
 def q70_stringsdict_problems(spark: SparkSession, sf_dir: str) -> DataFrame:
     bad = [f"<dict><key>n</key><dict><key>{a}</key><string>x</string><key>{b}</key><string>y</string></dict></dict>" for a, b in (("odd", "other"), ("one", "two"))] + ["<string>x</string>", "<dict><key>n</key><dict><key>other</key><string>x</string></dict></dict>"]
     part = filled("<key>k<<k>></key><<b>>", k="p_partkey", b=F.get(F.array(*map(F.lit, bad)), (F.col("p_partkey") % 4).cast("int")))
-    return xml_files.stringsdict_problems(file_rows(table(spark, sf_dir, "part"), F.col("p_brand"), "p_partkey", part, *_PLIST))
+    return xml_files.stringsdict_problems(file_rows(parts(spark, sf_dir), F.col("p_brand"), "p_partkey", part, *_PLIST))
 
 
 @query("""SELECT n_nationkey AS doc_id, rule, key, line FROM nation, (VALUES (0, 'root not found', 'other', 1), (1, 'missing key', 'x', 3), (2, 'missing section id', NULL, 2)) v(n, rule, key, line) WHERE n_nationkey % 4 = n""")
