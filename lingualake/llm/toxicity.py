@@ -2,8 +2,11 @@
 
 The gap-weighted subsequence kernel compares a word with a landmark by their shared subsequences of
 three characters, each weighing less the more it is stretched, so insults with inserted characters stay
-close. A sentence's similarity to a landmark is that of its closest word window. Landmarks are words and
-word beginnings that a bounded sample of labelled rows ties to toxic texts beyond chance. The sample's
+close. A word that holds a landmark's letters in order, at most GAP others between two of them, is read
+without these too: two and more inserted characters leave little of a kernel that both words normalise.
+A sentence's similarity to a landmark is that of its closest word window. Landmarks are words and
+word beginnings that a bounded sample of labelled rows ties to toxic texts beyond chance, near copies of
+a text counted once. The sample's
 sentences train a linear machine in the space that the landmarks span (Nyström), which folds into one
 weight for each landmark; a document scores as its worst sentence, mapped to a likelihood.
 
@@ -38,6 +41,8 @@ LANDMARKS = 64
 ORDER, DECAY = 3, 0.7
 WINDOW = 8
 NEAR = 0.45
+#: Inserted characters that may stand between two letters of a landmark.
+GAP = 2
 MEMORY = 200_000
 #: Texts that a worker scores at a time.
 ROWS = 500
@@ -112,10 +117,21 @@ def tokens(text: str) -> list[str]:
     return text.split() + [m.group().replace(" ", "") for m in _SPACED.finditer(text)]
 
 
+def _gapped(landmarks: list[str]) -> dict[str, list[tuple[str, re.Pattern]]]:
+    """By first letter, landmarks and what matches them with inserted characters; of long ones a word may be a longer form."""
+    out: dict[str, list[tuple[str, re.Pattern]]] = {}
+    for mark in landmarks:
+        between = f".{{0,{GAP}}}".join(map(re.escape, mark))
+        tail = ".*" if len(mark) > 5 else f"{re.escape(mark[-1])}*"
+        out.setdefault(mark[0], []).append((mark, re.compile(f"({between}){tail}")))
+    return out
+
+
 class _Hits:
     """Of tokens, the landmarks that a window of theirs is near to, with the similarity."""
 
     def __init__(self, landmarks: list[str]):
+        self.gapped = _gapped(landmarks)
         self.codes = _codes(landmarks)
         self.bits = _pair_bits(self.codes, 1)
         self.need = np.ceil(0.7 * np.bitwise_count(self.bits)).astype(np.uint8)
@@ -123,6 +139,11 @@ class _Hits:
         self.known: dict[str, tuple | None] = {}
         self.old: dict[str, tuple | None] = {}
 
+    def _read_through(self, token: str) -> list[str]:
+        """The landmarks that a token is with two or more characters inserted; one leaves it near enough by itself."""
+        found = ((mark, pattern.fullmatch(token)) for mark, pattern in self.gapped.get(token[:1], ()) if len(token) > len(mark) + 1)
+        return [mark for mark, m in found if m and len(m.group(1)) > len(mark) + 1]
+
     def learn(self, tokens: set[str]) -> None:
         """Remembers for each token its hits as (landmark, similarity) pairs, or None. Tokens not asked for lately go."""
         if len(self.known) > MEMORY:
@@ -136,7 +157,7 @@ class _Hits:
         self.known.update(dict.fromkeys(new - again))
         owners, parts, bare = [], [], list(forms)
         for k, token in enumerate(bare):
-            for w in windows(token):
+            for w in windows(token) + self._read_through(token):
                 owners.append(k)
                 parts.append(w)
         if not parts:
@@ -295,7 +316,10 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     flat = Model((), (), 0.0, 0.0, math.log(prior / (1 - prior)))
     if not toxic or not clean:
         return flat
-    texts = sample.select("label", "_text").distinct()  # copies of a text tell no more than one
+    # Copies of a text, near ones too, tell no more than one: those that share the least of their hashed word pairs.
+    words = F.split(F.lower("_text"), r"\s+")
+    pairs = F.zip_with(words, F.slice(words, F.lit(2), F.size(words)), lambda x, after: F.xxhash64(x, after))
+    texts = sample.withColumn("_least", F.array_min(pairs)).groupBy("label", "_least").agg(F.min("_text").alias("_text")).select("label", "_text")
     kinds = {r["label"]: r["n"] for r in texts.groupBy("label").agg(F.count("*").alias("n")).collect()}
     landmarks = tuple(_telling(texts.mapInArrow(_vocabulary, "term string, toxic bigint, clean bigint"), kinds[1], kinds[0]))
     if not landmarks:

@@ -484,3 +484,13 @@ def test_words_split_like_the_regular_expression():
     for text, ids in zip(texts, words.ids(texts), strict=True):
         assert np.frombuffer(ids, "<u4").tolist() == words.tokenizer.encode(text, add_special_tokens=False).ids
     assert pd.Series(texts).map(lambda t: re.sub(r"\s", "", t) == "").any()
+
+
+def test_toxicity_reads_through_inserted_and_repeated_characters():
+    from lingualake.llm import toxicity
+
+    hits = toxicity._Hits(["idiot", "moron", "stupid", "trash"])
+    words = {"idxioxt": 0, "moxroxn": 1, "iiidiiiooott": 0, "ssttuuppiidd": 2, "stxupxidly": 2, "i*d*i*o*t": 0, "idi0t": 0}
+    hits.learn({*words, "mormon", "thrash", "idixxxxot", "", "i"})
+    assert all(dict(hits.known[w]).get(mark, 0) > 0.99 for w, mark in words.items())
+    assert all(max(dict(hits.known[w] or ()).values(), default=0) < 0.9 for w in ("mormon", "thrash", "idixxxxot", "", "i"))
