@@ -11,6 +11,7 @@ SF = "/root/testdata/sf0.001"
 GROUPS = {"part": ("p_brand", "p_partkey", "Brand#"), "customer": ("c_nationkey", "c_custkey", ""), "supplier": ("s_nationkey", "s_suppkey", "")}
 WHOLE = {
     "q59_arb_compile": "part",
+    "q60_chrome_compile": "supplier",
 }
 
 
