@@ -12,6 +12,7 @@ GROUPS = {"part": ("p_brand", "p_partkey", "Brand#"), "customer": ("c_nationkey"
 WHOLE = {
     "q59_arb_compile": "part",
     "q60_chrome_compile": "supplier",
+    "q61_chrome_v3_compile": "supplier",
 }
 
 
