@@ -13,6 +13,7 @@ WHOLE = {
     "q59_arb_compile": "part",
     "q60_chrome_compile": "supplier",
     "q61_chrome_v3_compile": "supplier",
+    "q75_json_duplicate_lines": "customer",
 }
 
 
