@@ -14,6 +14,7 @@ WHOLE = {
     "q60_chrome_compile": "supplier",
     "q61_chrome_v3_compile": "supplier",
     "q75_json_duplicate_lines": "customer",
+    "q15_sync_ordered": "part",
 }
 
 
