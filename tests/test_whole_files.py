@@ -15,6 +15,7 @@ WHOLE = {
     "q61_chrome_v3_compile": "supplier",
     "q75_json_duplicate_lines": "customer",
     "q15_sync_ordered": "part",
+    "q22_chrome_units": "supplier",
 }
 
 
