@@ -16,6 +16,7 @@ WHOLE = {
     "q75_json_duplicate_lines": "customer",
     "q15_sync_ordered": "part",
     "q22_chrome_units": "supplier",
+    "q62_json_sync_template": "part",
 }
 
 
