@@ -17,6 +17,7 @@ WHOLE = {
     "q15_sync_ordered": "part",
     "q22_chrome_units": "supplier",
     "q62_json_sync_template": "part",
+    "q107_json_find_children": "part",
 }
 
 
