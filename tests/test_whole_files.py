@@ -18,6 +18,7 @@ WHOLE = {
     "q22_chrome_units": "supplier",
     "q62_json_sync_template": "part",
     "q107_json_find_children": "part",
+    "q24_android_strings": "part",
 }
 
 
