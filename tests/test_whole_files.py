@@ -19,6 +19,7 @@ WHOLE = {
     "q62_json_sync_template": "part",
     "q107_json_find_children": "part",
     "q24_android_strings": "part",
+    "q26_android_plurals": "part",
 }
 
 
