@@ -20,6 +20,7 @@ WHOLE = {
     "q107_json_find_children": "part",
     "q24_android_strings": "part",
     "q26_android_plurals": "part",
+    "q30_stringsdict_units": "part",
 }
 
 
