@@ -21,6 +21,7 @@ WHOLE = {
     "q24_android_strings": "part",
     "q26_android_plurals": "part",
     "q30_stringsdict_units": "part",
+    "q34_po_duplicates": "part",
 }
 
 
