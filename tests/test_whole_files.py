@@ -22,6 +22,7 @@ WHOLE = {
     "q26_android_plurals": "part",
     "q30_stringsdict_units": "part",
     "q34_po_duplicates": "part",
+    "q63_structured_sync_template": "part",
 }
 
 
