@@ -23,6 +23,7 @@ WHOLE = {
     "q30_stringsdict_units": "part",
     "q34_po_duplicates": "part",
     "q63_structured_sync_template": "part",
+    "q21_structured_compile_metadata": "part",
 }
 
 
