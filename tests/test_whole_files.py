@@ -24,6 +24,7 @@ WHOLE = {
     "q34_po_duplicates": "part",
     "q63_structured_sync_template": "part",
     "q21_structured_compile_metadata": "part",
+    "q58_json_compile_plain": "part",
 }
 
 
