@@ -25,6 +25,7 @@ WHOLE = {
     "q63_structured_sync_template": "part",
     "q21_structured_compile_metadata": "part",
     "q58_json_compile_plain": "part",
+    "q13_json_compile_prune": "part",
 }
 
 
