@@ -26,6 +26,7 @@ WHOLE = {
     "q21_structured_compile_metadata": "part",
     "q58_json_compile_plain": "part",
     "q13_json_compile_prune": "part",
+    "q55_stringsdict_compile": "part",
 }
 
 
