@@ -6,10 +6,11 @@ least one in FREQUENT of it are a table of bounded size; it is encoded once, as
 and sent to the tasks that encode the documents. Chunks that it lacks are encoded in their task, those of a
 block of documents together.
 
-Both ways replay the merges over all words at once: an index from each merged token to the places of the pairs
-that make it is emptied in order of rank, and a merge looks only at the pairs of its two neighbours. A merge
-that makes a pair of lower or equal rank gives way to it, so that every word sees its merges in the order
-in which it would see them alone.
+Both ways replay the merges over all words at once. Words of up to SHORT bytes lie in a matrix for each length: a step
+makes the first merge of lowest rank in every row, which is then one token shorter, and looks up the pairs of its two
+neighbours only. Rows that nothing merges leave. For longer words an index from each merged token to the places of
+the pairs that make it is emptied in order of rank. A merge that makes a pair of lower or equal rank gives way to it,
+so that every word sees its merges in the order in which it would see them alone.
 
 Cases: a null or empty text has no ids and decodes to an empty text. A match that is a token as a whole is that
 token. A chunk over LONGEST characters is encoded where it stands and not remembered. Unknown ids raise when
@@ -26,8 +27,10 @@ import re
 import uuid
 from collections import Counter
 from collections.abc import Iterable, Iterator
+from functools import cached_property
 from heapq import heapify, heappop, heappush
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -38,6 +41,8 @@ from .common import held, staged, text_or_empty
 FREQUENT = 100_000
 #: Longer chunks, in characters, are in no table.
 LONGEST = 64
+#: Longer words, in bytes, are merged by the index of places.
+SHORT = 32
 #: Chunks, and words, that a worker remembers; distinct chunks that a task counts before it hands them on.
 MEMORY = 300_000
 #: Texts whose unknown chunks are encoded together.
@@ -74,6 +79,10 @@ def chunk_text(name: str) -> str:
     return name[1:] if name[0] == "\0" else name if name[0] in _SPACES else f" {name}"
 
 
+#: Above every rank, and above every pair of ranks.
+_NEVER, _NO_PAIR = 2**31 - 1, 2**63 - 1
+
+
 class _Unions(dict):
     """The token that a pair of tokens merges to, or -1, by left << 32 | right."""
 
@@ -100,10 +109,66 @@ class Ranks:
         self.bytes = [self.ranks[bytes([b])] for b in range(256)]
         self.unions = _Unions(self.ranks, self.tokens)
         self.matches = regex.compile(pattern).findall
-        self.words: dict[bytes, Iterable[int]] = {}
+        self.words: dict[str, list[int]] = {}
+
+    @cached_property
+    def pairs(self) -> tuple[np.ndarray, np.ndarray]:
+        """All pairs of tokens that merge, as left << 32 | right in ascending order, and what each merges to; the last is none."""
+        ranks = self.ranks
+        halves = ((token[:k], token[k:], rank) for token, rank in ranks.items() for k in range(1, len(token)))
+        found = sorted((ranks[x] << 32 | ranks[y], rank) for x, y, rank in halves if x in ranks and y in ranks)
+        keys, made = zip(*found, (_NO_PAIR, _NEVER), strict=True)
+        return np.array(keys, np.int64), np.array(made, np.int32)
+
+    @cached_property
+    def byte_pairs(self) -> np.ndarray:
+        """What each pair of bytes merges to."""
+        at = np.array(self.bytes, np.int32)
+        return self._made(np.repeat(at, 256), np.tile(at, 256))
+
+    def _made(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        keys, made = self.pairs
+        wanted = left.astype(np.int64) << 32 | right
+        at = np.searchsorted(keys, wanted)
+        return np.where(keys[at] == wanted, made[at], np.int32(_NEVER))
 
     def replay(self, words: list[bytes]) -> list[list[int]]:
         """The ids of each word, all merges applied to all words in order of rank."""
+        lengths: dict[int, list[int]] = {}
+        for k, word in enumerate(words):
+            lengths.setdefault(len(word) if len(word) <= SHORT else 0, []).append(k)
+        found: list[list[int]] = [[]] * len(words)
+        for length, places in lengths.items():
+            own = [words[k] for k in places]
+            for k, ids in self._replay_short(own, length) if length else enumerate(self._replay_long(own)):
+                found[places[k]] = ids
+        return found
+
+    def _replay_short(self, words: list[bytes], length: int) -> Iterator[tuple[int, list[int]]]:
+        """(place, ids) of each word, all of `length` bytes."""
+        data = np.frombuffer(b"".join(words), np.uint8).reshape(-1, length)
+        at = np.array(self.bytes, np.int32)[data]
+        made = self.byte_pairs[data[:, :-1].astype(np.int32) << 8 | data[:, 1:]]
+        places = np.arange(len(words))
+        while at.shape[1] > 1:
+            first = made.argmin(axis=1)
+            rank = made[np.arange(len(at)), first]
+            merges = rank < _NEVER
+            if not merges.all():
+                yield from zip(places[~merges].tolist(), at[~merges].tolist(), strict=True)
+                at, made, places, first, rank = at[merges], made[merges], places[merges], first[merges], rank[merges]
+            rows, width = np.arange(len(at)), at.shape[1]
+            keep = np.arange(width) != first[:, None] + 1
+            at[rows, first] = rank
+            at = at[keep].reshape(len(rows), width - 1)
+            made = made[keep[:, 1:]].reshape(len(rows), width - 2)
+            if width > 2:
+                left, right = first > 0, first < width - 2
+                made[rows[left], first[left] - 1] = self._made(at[left, first[left] - 1], rank[left])
+                made[rows[right], first[right]] = self._made(rank[right], at[right, first[right] + 1])
+        yield from zip(places.tolist(), at.tolist(), strict=True)
+
+    def _replay_long(self, words: list[bytes]) -> list[list[int]]:
         at: list[int] = []
         starts = []
         for word in words:
@@ -153,18 +218,23 @@ class Ranks:
 
     def encode_all(self, chunks: Iterable[str]) -> dict[str, list[int]]:
         """The ids of each chunk by its name; the words of all that aren't remembered are merged together."""
-        words = {c: [m.encode() for m in self.matches(chunk_text(c))] for c in chunks}
-        known = self.words
-        unknown = list(set().union(*words.values()).difference(known))
-        merged = [w for w in unknown if w not in self.ranks]
-        new = {w: (self.ranks[w],) for w in unknown if w in self.ranks} | dict(zip(merged, self.replay(merged), strict=True))
-        if len(known) + len(new) > 2 * MEMORY:
-            known = {w: known[w] for own in words.values() for w in own if w in known}
+        if len(self.words) > MEMORY:
             self.words = {}
-        known |= new
-        if len(self.words) < MEMORY:
-            self.words = {w: ids for w, ids in known.items() if len(w) <= LONGEST}
-        return {c: [i for w in own for i in known[w]] for c, own in words.items()}
+        find, known, ranks = self.matches, self.words, self.ranks
+        words = {c: find(chunk_text(c)) for c in chunks}
+        merged: dict[str, bytes] = {}
+        for w in {w for own in words.values() for w in own if w not in known}:
+            data = w.encode()
+            if (rank := ranks.get(data)) is None:
+                merged[w] = data
+            else:
+                known[w] = [rank]
+        known.update(zip(merged, self.replay(list(merged.values())), strict=True))
+        found = {c: known[own[0]] if len(own) == 1 else [i for w in own for i in known[w]] for c, own in words.items()}
+        for w, data in merged.items():
+            if len(data) > LONGEST:
+                del known[w]
+        return found
 
     def decode(self, ids: Iterable[int]) -> bytes:
         return b"".join(map(self.tokens.__getitem__, ids))
@@ -175,17 +245,19 @@ class _Chunks:
 
     def __init__(self, path: str, pattern: str, frequent: dict[str, str]):
         self.ranks = Ranks(path, pattern)
-        self.frequent = {c: self._form(list(map(int, ids.split(",")))) for c, ids in frequent.items()}
+        self.names = {i: str(i) for i in self.ranks.tokens}
+        self.frequent = self._formed({c: list(map(int, ids.split(","))) for c, ids in frequent.items()})
         self.known = self.frequent.copy()
 
-    def _form(self, ids: list[int]) -> tuple[str, bytes]:
-        return ",".join(map(str, ids)), self.ranks.decode(ids)
+    def _formed(self, ids: dict[str, list[int]]) -> dict[str, tuple[str, bytes]]:
+        names, tokens = self.names, self.ranks.tokens
+        return {c: (",".join([names[i] for i in own]), b"".join([tokens[i] for i in own])) for c, own in ids.items()}
 
     def forms(self, texts: list[str]) -> Iterator[list[tuple[str, bytes]]]:
         """Each text as the ids and the decoded bytes of its chunks."""
         chunks = [cut(t) for t in texts]
         unknown = set().union(*chunks).difference(self.known)
-        self.known.update((c, self._form(ids)) for c, ids in self.ranks.encode_all(unknown).items())
+        self.known |= self._formed(self.ranks.encode_all(unknown))
         for own in chunks:
             yield list(map(self.known.__getitem__, own))
         if len(self.known) > FREQUENT + MEMORY:

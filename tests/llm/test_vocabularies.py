@@ -69,3 +69,11 @@ def test_few_frequent_chunks_change_nothing(spark, monkeypatch):
     monkeypatch.setattr(byte_bpe, "FREQUENT", 5)
     assert len(byte_bpe.frequent_chunks(table, RANKS, PATTERN)) <= 5
     assert byte_bpe.encode(table, RANKS, PATTERN).collect() == before
+
+
+def test_short_words_are_not_merged_by_the_index_of_places(monkeypatch):
+    own, other, rng, seen = byte_bpe.Ranks(RANKS, PATTERN), library(), random.Random(5), []
+    monkeypatch.setattr(own, "_replay_long", lambda words, f=own._replay_long: (seen.extend(words), f(words))[1])
+    words = ["".join(rng.choices("abcdestrinéЖ一", k=rng.randint(1, 40))) for _ in range(2000)]
+    assert own.replay([w.encode() for w in words]) == [other.encode_ordinary(w) for w in words]
+    assert seen and min(map(len, seen)) > byte_bpe.SHORT
