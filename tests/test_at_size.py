@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 import pytest
 
 from lingualake.plans import catalogue
+from lingualake.sources import batches, xml_walk
 
 SF = "/root/testdata/sf0.001"
 
@@ -14,3 +16,12 @@ def test_android_units_are_read_without_joins(spark, name):
     plan = catalogue.QUERIES[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
     assert "Join" not in plan
     assert plan.count("mapInArrow") + plan.count("MapInArrow") == 1
+
+
+@pytest.mark.parametrize("files", [1, 700])
+def test_node_rows_leave_in_bounded_batches(files):
+    text = "<resources>" + '<string name="a">b</string>' * (70_000 // files) + "</resources>"
+    source = pa.RecordBatch.from_pydict({"doc_id": list(range(files)), "content": [text] * files})
+    found = list(xml_walk._walk(frozenset())(iter([source])))
+    assert max(b.num_rows for b in found) <= batches.ROWS
+    assert sum(b.num_rows for b in found) == files * (70_000 // files + 1)
