@@ -6,7 +6,7 @@ import pyarrow as pa
 import pytest
 
 from lingualake.plans import catalogue
-from lingualake.sources import batches, xml_walk
+from lingualake.sources import batches, json_files, xml_walk
 
 SF = "/root/testdata/sf0.001"
 
@@ -25,3 +25,26 @@ def test_node_rows_leave_in_bounded_batches(files):
     found = list(xml_walk._walk(frozenset())(iter([source])))
     assert max(b.num_rows for b in found) <= batches.ROWS
     assert sum(b.num_rows for b in found) == files * (70_000 // files + 1)
+
+
+def test_json_objects_are_found_in_one_walk_and_never_broadcast(spark):
+    plan = catalogue.QUERIES["q115_json_structures_by_key"](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" not in plan
+    assert plan.count("MapInArrow") == 1
+
+
+def test_overwritten_members_and_lists_hold_no_keys(spark):
+    text = '{"a": {"b": {"string": "x"}}, "a": {"c": 1, "b": {"string": "1", "string": "\\u0032", "context": {"d": 3}}}, "l": [{"a": 1}], "a.b": {"string": "y"}}'
+    files = spark.createDataFrame([(1, text)], "doc_id int, content string")
+    keys = spark.createDataFrame([(1, k) for k in ("a", "a.c", "a.b", "a.b.context.d", "a\\.b", "l.0", "l")], "doc_id int, key string")
+    found = {r["key"]: (r["kind"], r["value"]) for r in json_files.at_keys(files, keys).collect()}
+    assert found == {"a": ("dict", "{"), "a.c": ("scalar", "1"), "a.b": ("dict", "{"), "a.b.context.d": ("scalar", "3"), "a\\.b": ("dict", "{"), "l.0": (None, None), "l": ("list", "[")}
+    objects = {r["key"]: (r["string"], r["context"]) for r in json_files.structure_of(files, keys).collect()}
+    assert objects == {"a": ("", ""), "a.b": ("2", "{"), "a\\.b": ("y", "")}
+
+
+def test_json_rows_leave_in_bounded_batches():
+    source = pa.RecordBatch.from_pydict({"doc_id": [7], "content": ["[" + "1, " * 70_000 + "1]"]})
+    found = list(json_files._walk(iter([source])))
+    assert max(b.num_rows for b in found) <= batches.ROWS
+    assert sum(b.num_rows for b in found) == 70_002
