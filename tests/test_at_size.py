@@ -4,14 +4,15 @@ from __future__ import annotations
 
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
-from lingualake.plans import catalogue
+from lingualake.plans import building, catalogue
 from lingualake.sources import batches, json_files, xml_walk
 
 SF = "/root/testdata/sf0.001"
 
 
-@pytest.mark.parametrize("name", ["q109_beta_android_comments", "q29_beta_android_units"])
+@pytest.mark.parametrize("name", ["q109_beta_android_comments", "q29_beta_android_units", "q26_android_plurals", "q24_android_strings"])
 def test_android_units_are_read_without_joins(spark, name):
     plan = catalogue.QUERIES[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
     assert "Join" not in plan
@@ -48,3 +49,26 @@ def test_json_rows_leave_in_bounded_batches():
     found = list(json_files._walk(iter([source])))
     assert max(b.num_rows for b in found) <= batches.ROWS
     assert sum(b.num_rows for b in found) == 70_002
+
+
+def test_a_file_is_made_where_its_parts_are(spark):
+    rows = spark.range(100_000).select(F.col("id").alias("k"), F.when(F.col("id") % 3 > 0, F.col("id").cast("string")).alias("p"))
+    found = building.file_rows(rows, F.col("k") % 2, "k", F.col("p"), ",", "<", ">")
+    above = found._jdf.queryExecution().executedPlan().toString().partition("Exchange")[0]
+    assert above.count("collect_list") == 4 and "partial" in above
+    held = {r["doc_id"]: r["content"] for r in found.collect()}
+    assert held == {d: "<" + ",".join(str(k) for k in range(d, 100_000, 2) if k % 3) + ">" for d in (0, 1)}
+    none = building.file_rows(rows.filter("p is null"), F.col("k") % 2, "k", F.col("p"), ",", "<", ">")
+    assert {r["content"] for r in none.collect()} == {"<>"}
+
+
+@pytest.mark.parametrize("name", ["q30_stringsdict_units"])
+def test_stringsdict_files_are_walked_once_and_never_broadcast(spark, name):
+    plan = catalogue.QUERIES[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" not in plan and "MapInArrow" not in plan
+
+
+@pytest.mark.parametrize("name", ["q27_android_compile_semi", "q110_beta_android_compile", "q55_stringsdict_compile"])
+def test_edits_are_never_broadcast(spark, name):
+    plan = catalogue.QUERIES[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan
