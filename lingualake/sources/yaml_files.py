@@ -12,12 +12,14 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import cache
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from .batches import walked
 
 LEAVES = "seq int, kind string, path string, parent string, name string, tag string, style string, value string, comment string, key_start int, start int, end int, line int"
 _TYPES = (pa.int32(), *[pa.string()] * 8, *[pa.int32()] * 4)
@@ -40,17 +42,39 @@ def _above(text: str) -> str:
     return " ".join(x[1:].strip() for x in lines[first:])
 
 
-def _leaves_of(text: str) -> list[tuple]:
-    """The leaves of a document by start, or its error."""
+#: What the C parser reads otherwise: tabs, byte order marks, and explicit keys.
+_SLOW = re.compile("[\t\ufeff]|(?:^|[^\\w])\\?(?:\\s|$)")
+
+
+@cache
+def _loader(fast: bool):
+    """The loader that composes aliases as nodes of their own; `fast` parses in C."""
     import yaml
+    from yaml import composer, constructor, resolver
+
+    bases = (composer.Composer, yaml.cyaml.CParser, constructor.SafeConstructor, resolver.Resolver) if fast else (yaml.SafeLoader,)
+
+    class Parsing(*bases):
+        def __init__(self, stream):
+            if not fast:
+                return super().__init__(stream)
+            yaml.cyaml.CParser.__init__(self, stream)
+            for part in (composer.Composer, constructor.SafeConstructor, resolver.Resolver):
+                part.__init__(self)
 
-    class Loader(yaml.SafeLoader):
         def compose_node(self, parent, index):
             if self.check_event(yaml.AliasEvent):
                 event = self.get_event()
                 return yaml.ScalarNode(_ALIAS, "", event.start_mark, event.end_mark)
             return super().compose_node(parent, index)
 
+    return Parsing
+
+
+def _leaves_of(text: str, fast: bool = False) -> list[tuple]:
+    """The leaves of a document by start, or its error."""
+    import yaml
+
     out: list[tuple] = []
 
     def walk(node, path: str, parent: str, name: str, style: str, key) -> None:
@@ -81,7 +105,7 @@ def _leaves_of(text: str) -> list[tuple]:
             walk(value, f"{path}.{step}" if path else step, path, own, f"{style}:{_style(value)}" if style is not None else _style(value), at)
 
     try:
-        root = yaml.compose(text, Loader=Loader)
+        root = yaml.compose(text, Loader=_loader(fast))
         if root is not None:
             walk(root, "", "", "", None, None)
     except (yaml.YAMLError, ValueError, RecursionError) as e:
@@ -97,15 +121,19 @@ def _leaves_of(text: str) -> list[tuple]:
 
 
 def rows_of(text: str | None) -> list[tuple]:
-    """The leaf rows of one file, or its error row."""
-    return _leaves_of(text or "")
+    """The leaf rows of one file, or its error row; what the C parser finds no leaves or empty ones in is parsed again."""
+    import yaml
+
+    text = text or ""
+    if yaml.__with_libyaml__ and not _SLOW.search(text):
+        rows = _leaves_of(text, True)
+        if all(r[1] == "text" or (r[1] == "other" and r[10] < r[11]) for r in rows):
+            return rows
+    return _leaves_of(text)
 
 
 def _walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        rows = [(i, *leaf) for i, text in enumerate(batch.column("content").to_pylist()) for leaf in rows_of(text)]
-        columns = list(zip(*rows, strict=True)) or [()] * (len(_TYPES) + 1)
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(pa.array(columns[0], pa.int64())), *(pa.array(c, t) for c, t in zip(columns[1:], _TYPES, strict=True))], ["doc_id", *(x.split()[0] for x in LEAVES.split(", "))])
+    return walked(batches, rows_of, [x.split()[0] for x in LEAVES.split(", ")], _TYPES)
 
 
 def leaves(files: DataFrame) -> DataFrame:

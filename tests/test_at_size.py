@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lingualake.plans import building, catalogue
-from lingualake.sources import batches, json_files, xml_walk
+from lingualake.sources import batches, json_files, xml_walk, yaml_files
 
 SF = "/root/testdata/sf0.001"
 
@@ -72,3 +72,22 @@ def test_stringsdict_files_are_walked_once_and_never_broadcast(spark, name):
 def test_edits_are_never_broadcast(spark, name):
     plan = catalogue.QUERIES[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
     assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan
+
+
+def test_yaml_is_parsed_in_c_with_the_same_leaves(monkeypatch):
+    texts = ["t:\n  a: 'x\n\n    y'\n  b: |\n    z\n  c: >+\n    w\n\n  d: \"\\u00e9\\\n    \\ x\" # c\n  e: [1, &a q, *a]\n", "a: 😀 é\nb: !t 'x'\n", "a: x\na: y", "a: [", "", "? a\n: b", "a:\tb", "\ufeffa: b", "---\n  ", "{!t a:ba: \n  \n}"]
+    expected = [yaml_files._leaves_of(t) for t in texts]
+    assert [yaml_files.rows_of(t) for t in texts] == expected
+
+    def refuse(*_):
+        raise AssertionError("parsed in Python")
+
+    monkeypatch.setattr("yaml.reader.Reader.__init__", refuse)
+    assert [yaml_files.rows_of(t) for t in texts[:2]] == expected[:2]
+
+
+@pytest.mark.parametrize("name", ["q13_json_compile_prune", "q92_docx_right_to_left"])
+def test_compiled_files_are_never_broadcast(spark, name):
+    plan = catalogue.QUERIES[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" not in plan
+    assert "SortMergeJoin" in plan or name.startswith("q92")
