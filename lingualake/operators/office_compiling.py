@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions import spans
 from ..functions import text as T
+from ..functions.joins import dealt
 from ..sources import office
 from ..storing import stored
 from .compiling import apply_edits
@@ -46,20 +47,20 @@ def _rewritten(files: DataFrame, edits: DataFrame) -> DataFrame:
     every = office.all_parts(files).filter("part is not null")
     keyed = every.filter("xml is not null").select(F.struct("doc_id", "place").alias("doc_id"), F.col("xml").alias("content"))
     done = apply_edits(keyed, edits.select(F.struct("doc_id", "place").alias("doc_id"), F.col("start").cast("int").alias("start"), F.col("end").cast("int").alias("end"), "text")).select("doc_id.doc_id", "doc_id.place", F.col("content").alias("new"))
-    rows = every.join(done, ["doc_id", "place"], "left")
+    rows = every.join(dealt(done), ["doc_id", "place"], "left")
     return office.packages(rows.select("doc_id", "place", "part", F.coalesce("new", "xml").alias("xml"), "raw"))
 
 
 def _spread(texts: DataFrame, found: DataFrame, translations: DataFrame) -> DataFrame:
     """The filled texts of translated paragraphs with `said` and `href`, null for those beyond the translation, and `gone`, the blank text before that the translation has no room for."""
-    told = found.withColumn("string_hash", T.string_hash(F.col("text"))).join(_last_told(translations), ["doc_id", "string_hash"]).select("doc_id", "place", "p", translation_parts(F.col("told")).alias("parts"))
+    told = found.withColumn("string_hash", T.string_hash(F.col("text"))).join(dealt(_last_told(translations)), ["doc_id", "string_hash"]).select("doc_id", "place", "p", translation_parts(F.col("told")).alias("parts"))
     key = Window.partitionBy("doc_id", "place", "p")
     filled = T.strip(F.col("text")) != ""
     last = F.last(F.when(~filled, F.struct("index", F.length("text").alias("n"), "start", "end")), ignorenulls=True).over(key.orderBy("index").rowsBetween(Window.unboundedPreceding, -1))
     before = F.max(F.when(filled, F.col("index"))).over(key.orderBy("index").rowsBetween(Window.unboundedPreceding, -1))
     rows = texts.withColumns({"blank": last, "previous": before}).filter(filled & F.col("run").isNotNull())
     rows = rows.withColumn("blank", F.when(F.col("blank.index") > F.coalesce("previous", F.lit(-1)), F.col("blank")))
-    rows = rows.withColumns({"i": F.row_number().over(key.orderBy("index")), "m": F.count("*").over(key)}).join(told, ["doc_id", "place", "p"])
+    rows = rows.withColumns({"i": F.row_number().over(key.orderBy("index")), "m": F.count("*").over(key)}).join(dealt(told), ["doc_id", "place", "p"])
     own = F.get("parts", F.col("i") - 1)
     rest = F.array_join(F.transform(F.slice("parts", F.col("m"), F.greatest(F.size("parts"), F.lit(1))), lambda x: x["text"]), "")
     said = F.when(F.col("i") > F.size("parts"), None).when((F.col("i") == F.col("m")) & (F.size("parts") > F.col("m")), rest).otherwise(own["text"])
@@ -87,13 +88,13 @@ def _opening(rows: DataFrame, found: DataFrame) -> DataFrame:
 def _relation_edits(rows: DataFrame, every: DataFrame, found: DataFrame, added: DataFrame) -> DataFrame:
     """Edits of relationships: new targets of links that stay links, and `added` (doc_id, rels, id, href) at the end."""
     moved = rows.filter("url is not null and href is not null and url <> href").groupBy("doc_id", F.col("rels").alias("part"), "rid").agg(F.max("href").alias("href"))
-    tags = every.filter("tag = 'Relationship'").withColumn("rid", F.col("attrs")["Id"]).join(moved, ["doc_id", "part", "rid"])
+    tags = every.filter("tag = 'Relationship'").withColumn("rid", F.col("attrs")["Id"]).join(dealt(moved), ["doc_id", "part", "rid"])
     tags, tag = _opening(tags, found), F.col("_opening")
     before, after = F.regexp_extract(tag, r'(?s)^(.*?\sTarget=")', 1), F.regexp_extract(tag, r'(?s)^.*?\sTarget="[^"]*(".*)$', 1)
     changed = _edit(tags, F.col("start"), F.col("open_end"), F.concat(before, T.escape_xml(F.col("href")), after))
     new = F.concat(F.lit('<Relationship Id="'), "id", F.lit(f'" Type="{_LINK}" Target="'), T.escape_xml(F.col("href")), F.lit('" TargetMode="External"/>'))
     listed = added.groupBy("doc_id", F.col("rels").alias("part")).agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("n", new.alias("x")))), lambda x: x["x"]), "").alias("new"))
-    ends = every.filter("tag = 'Relationships'").join(listed, ["doc_id", "part"])
+    ends = every.filter("tag = 'Relationships'").join(dealt(listed), ["doc_id", "part"])
     return changed.unionByName(_edit(ends, F.col("close_start"), F.col("close_start"), F.col("new")))
 
 
@@ -102,7 +103,7 @@ def _added(rows: DataFrame, found: DataFrame) -> DataFrame:
     number = F.expr("try_cast(regexp_extract(id, '[0-9]+', 0) as int)")
     most = office.relations(found).groupBy("doc_id", "rels").agg(F.max(number).alias("most"))
     order = F.row_number().over(Window.partitionBy("doc_id", "rels").orderBy("place", "seq"))
-    new = rows.filter("url is null and href is not null").join(most, ["doc_id", "rels"]).withColumn("n", F.col("most") + order)
+    new = rows.filter("url is null and href is not null").join(dealt(most), ["doc_id", "rels"]).withColumn("n", F.col("most") + order)
     return new.withColumn("id", F.concat(F.lit("rId"), "n"))
 
 
@@ -132,11 +133,11 @@ def _swapped(rows: DataFrame, every: DataFrame, found: DataFrame, tag: str) -> D
         return each.withColumns({"g": F.row_number().over(own.orderBy("_first")), f"{name}_n": F.count("*").over(own)}).drop("_first")
 
     gained, lost = side("url is null and href is not null", "href", "a"), side("url is not null and href is null", "url", "d")
-    both = gained.join(lost, ["doc_id", "place", "p", "g"]).filter("a_n = d_n")
+    both = gained.join(dealt(lost), ["doc_id", "place", "p", "g"]).filter("a_n = d_n")
     pair = lambda x, y, added: F.struct(x["run"].alias("run"), x["at"].alias("t_start"), y["run"].alias("other"), F.lit(added).alias("added"), (y if added else x)["rels"].alias("rels"), (y if added else x)["rid"].alias("rid"))
     ends = lambda mine, theirs, added: F.transform(mine, lambda x, i: pair(x, F.get(theirs, F.least(i, F.size(theirs) - 1)), added))
     each = both.select("doc_id", "place", F.col("a_to").alias("to"), F.explode(F.concat(ends("a", "d", True), ends("d", "a", False))).alias("x")).select("doc_id", "place", "to", "x.*")
-    own = stored(each.join(_properties(every, tag, "run"), ["doc_id", "place", "run"], "left").join(_properties(every, tag, "other"), ["doc_id", "place", "other"], "left"))
+    own = stored(each.join(dealt(_properties(every, tag, "run")), ["doc_id", "place", "run"], "left").join(dealt(_properties(every, tag, "other")), ["doc_id", "place", "other"], "left"))
     key = F.struct("doc_id", "place").alias("_key")
     return spans.with_text(own.select("*", key), found.select(key, "xml"), F.col("other_start"), F.col("other_end"), "taken", "_key", "xml").drop("_key")
 
@@ -158,12 +159,12 @@ def compile_docx(files: DataFrame, translations: DataFrame, rtl: bool = False) -
     every = stored(office.nodes(found))
     texts = office.runs(found, office.docx_links(found), office._DOCX)
     rows = stored(_spread(texts, office.paragraphs(texts), translations))
-    linked = rows.join(_elements(every, "link"), ["doc_id", "place", "link"])
+    linked = rows.join(dealt(_elements(every, "link")), ["doc_id", "place", "link"])
     dropped = rows.filter("said is null")
     cut = _edit(dropped.filter("link is null"), F.col("start"), F.col("end")).unionByName(_edit(linked.filter("said is null"), F.col("link_start"), F.col("link_end")))
     bare = linked.filter("said is not null and url is not null and href is null").groupBy("doc_id", "place", "link_start", "link_open_end", "link_close_start", "link_end").count()
     bare = _edit(bare, F.col("link_start"), F.col("link_open_end")).unionByName(_edit(bare, F.col("link_close_start"), F.col("link_end")))
-    new = _added(rows.filter("said is not null"), found).join(_elements(every, "run"), ["doc_id", "place", "run"])
+    new = _added(rows.filter("said is not null"), found).join(dealt(_elements(every, "run")), ["doc_id", "place", "run"])
     wrap = _edit(new, F.col("run_start"), F.col("run_start"), F.concat(F.lit('<w:hyperlink r:id="'), "id", F.lit('">'))).unionByName(_edit(new, F.col("run_end"), F.col("run_end"), F.lit("</w:hyperlink>")))
     swapped = _swapped(rows, every, found, "w:rPr")
     if rtl:
@@ -181,13 +182,13 @@ def _rtl_edits(every: DataFrame, swapped: DataFrame) -> DataFrame:
 
     def marked(owner: str, inside: str, mark: str) -> DataFrame:
         """`mark` at the end of each `inside` that has none."""
-        own = every.filter((F.col("tag") == inside) & (F.col("close_start") < F.col("end"))).join(held(mark.strip("</>").split()[0]), ["doc_id", "place", "seq"], "left_anti")
-        own = own.join(replaced, ["doc_id", "place", "start"], "left_anti")
+        own = every.filter((F.col("tag") == inside) & (F.col("close_start") < F.col("end"))).join(dealt(held(mark.strip("</>").split()[0])), ["doc_id", "place", "seq"], "left_anti")
+        own = own.join(dealt(replaced), ["doc_id", "place", "start"], "left_anti")
         return _edit(own, F.col("close_start"), F.col("close_start"), F.lit(mark))
 
     bidi, rtl, mirrored = '<w:bidi w:val="1"/>', '<w:rtl w:val="1"/>', "<w:bidiVisual/>"
-    plain = every.filter("tag = 'w:p' and close_start < end").join(held("w:pPr"), ["doc_id", "place", "seq"], "left_anti")
-    tables = every.filter("tag = 'w:tbl' and close_start < end").join(held("w:tblPr"), ["doc_id", "place", "seq"], "left_anti")
+    plain = every.filter("tag = 'w:p' and close_start < end").join(dealt(held("w:pPr")), ["doc_id", "place", "seq"], "left_anti")
+    tables = every.filter("tag = 'w:tbl' and close_start < end").join(dealt(held("w:tblPr")), ["doc_id", "place", "seq"], "left_anti")
     out = marked("w:p", "w:pPr", bidi).unionByName(marked("w:r", "w:rPr", rtl)).unionByName(marked("w:tbl", "w:tblPr", mirrored))
     out = out.unionByName(_edit(plain, F.col("close_start"), F.col("close_start"), F.lit(f"<w:pPr>{bidi}</w:pPr>")))
     return out.unionByName(_edit(tables, F.col("open_end"), F.col("open_end"), F.lit(f"<w:tblPr>{mirrored}</w:tblPr>")))
@@ -205,10 +206,10 @@ def compile_pptx(files: DataFrame, translations: DataFrame, blank_texts: bool =
     rows = stored(_spread(texts, office.with_blanks(texts) if blank_texts else office.paragraphs(texts), translations))
     cut = _edit(rows.filter("said is null"), F.col("start"), F.col("end"))
     swapped = _swapped(rows, every, found, "a:rPr")
-    alone = rows.filter("said is not null").join(swapped.select("doc_id", "place", "run"), ["doc_id", "place", "run"], "left_anti")
-    linked = alone.filter("url is not null and href is null").join(_elements(every, "link"), ["doc_id", "place", "link"])
+    alone = rows.filter("said is not null").join(dealt(swapped.select("doc_id", "place", "run")), ["doc_id", "place", "run"], "left_anti")
+    linked = alone.filter("url is not null and href is null").join(dealt(_elements(every, "link")), ["doc_id", "place", "link"])
     bare = _edit(linked, F.col("link_start"), F.col("link_end"))
-    new = _opening_of(_added(alone, found).join(_properties(every, "a:rPr", "run"), ["doc_id", "place", "run"], "left"), found)
+    new = _opening_of(_added(alone, found).join(dealt(_properties(every, "a:rPr", "run")), ["doc_id", "place", "run"], "left"), found)
     click = F.concat(F.lit('<a:hlinkClick r:id="'), "id", F.lit('"/>'))
     empty = F.col("run_close_start") == F.col("run_end")
     filled = F.when(F.col("run_start").isNull(), F.concat(F.lit("<a:rPr>"), click, F.lit("</a:rPr>"))).when(empty, F.concat(F.regexp_replace("_opening", r"\s*/>$", ">"), click, F.lit("</a:rPr>"))).otherwise(click)
@@ -237,14 +238,14 @@ def compile_xlsx(files: DataFrame, translations: DataFrame) -> DataFrame:
     places = found.select("doc_id", F.col("part").alias("at"), F.col("place").alias("at_place"))
     every = office.xlsx_nodes(found)
     told = _last_told(translations)
-    hashed = stored(office.xlsx_texts(found, every)).withColumn("string_hash", T.string_hash(F.col("text"))).join(told, ["doc_id", "string_hash"]).withColumn("parts", translation_parts(F.col("told")))
+    hashed = stored(office.xlsx_texts(found, every)).withColumn("string_hash", T.string_hash(F.col("text"))).join(dealt(told), ["doc_id", "string_hash"]).withColumn("parts", translation_parts(F.col("told")))
     direct = hashed.filter("not (kind = 's' and url is not null)").groupBy("doc_id", "at", "owner").agg(F.first("parts").alias("parts"), F.first("kind").alias("kind"))
     ts = every.filter("tag = 't' and close_start < end").withColumn("owner", F.coalesce(office._around("si"), office._around("c"))).select("doc_id", F.col("part").alias("at"), "place", "owner", "seq", "open_end", "close_start")
     order = Window.partitionBy("doc_id", "at", "owner")
-    ts = ts.withColumns({"i": F.row_number().over(order.orderBy("seq")), "n": F.count("*").over(order)}).join(direct, ["doc_id", "at", "owner"])
+    ts = ts.withColumns({"i": F.row_number().over(order.orderBy("seq")), "n": F.count("*").over(order)}).join(dealt(direct), ["doc_id", "at", "owner"])
     texts = _edit(ts, F.col("open_end"), F.col("close_start"), T.escape_xml(F.get(spread_parts(F.col("parts"), F.col("n")), F.col("i") - 1)))
     cells = every.filter("tag = 'c'").select("doc_id", F.col("part"), "place", F.col("seq"), "start", "open_end", "end")
-    own = _opening(hashed.filter("kind = 's' and url is not null").join(cells, ["doc_id", "part", "seq"]), found)
+    own = _opening(hashed.filter("kind = 's' and url is not null").join(dealt(cells), ["doc_id", "part", "seq"]), found)
     tag = F.regexp_replace("_opening", r'\st="s"', ' t="inlineStr"')
     alone = F.array_join(F.transform("parts", lambda x: x["text"]), "")
     inline = _edit(own, F.col("start"), F.col("end"), F.concat(tag, F.lit("<is><t>"), T.escape_xml(alone), F.lit("</t></is></c>")))
@@ -252,9 +253,9 @@ def compile_xlsx(files: DataFrame, translations: DataFrame) -> DataFrame:
     quoted = lambda x: F.replace(T.escape_xml(x), F.lit('"'), F.lit("&quot;"))
     link = F.concat(F.lit("HYPERLINK(&quot;"), quoted(F.coalesce(first["href"], F.lit(""))), F.lit("&quot;,&quot;"), quoted(alone), F.lit("&quot;)"))
     values = every.filter("tag in ('f', 'v')").select("doc_id", "part", "place", F.col("parent").alias("seq"), "tag", "open_end", "close_start")
-    shown = hashed.filter("kind = 'str' and at = part").join(values, ["doc_id", "part", "seq"]).filter(first["href"].isNotNull())
+    shown = hashed.filter("kind = 'str' and at = part").join(dealt(values), ["doc_id", "part", "seq"]).filter(first["href"].isNotNull())
     formulas = _edit(shown, F.col("open_end"), F.col("close_start"), F.when(F.col("tag") == "f", link).otherwise(T.escape_xml(alone)))
-    named = every.filter("part = 'xl/workbook.xml' and tag = 'sheet'").withColumn("string_hash", T.string_hash(T.unescape_xml(F.col("attrs")["name"]))).join(told, ["doc_id", "string_hash"])
+    named = every.filter("part = 'xl/workbook.xml' and tag = 'sheet'").withColumn("string_hash", T.string_hash(T.unescape_xml(F.col("attrs")["name"]))).join(dealt(told), ["doc_id", "string_hash"])
     named, opening = _opening(named, found), F.col("_opening")
     names = _edit(named, F.col("start"), F.col("open_end"), F.concat(F.regexp_extract(opening, r'(?s)^(.*?\sname=")', 1), quoted(F.col("told")), F.regexp_extract(opening, r'(?s)^.*?\sname="[^"]*(".*)$', 1)))
     return _rewritten(files, texts.unionByName(inline).unionByName(formulas).unionByName(names))
@@ -277,5 +278,5 @@ def compile_idml(templates: DataFrame, translations: DataFrame) -> DataFrame:
     pieces = stories.select("doc_id", "place", F.posexplode(F.regexp_extract_all("xml", F.lit(rf"(?s){mark}|(?:(?!{mark}).)+"), F.lit(0))).alias("seq", "piece"))
     at = F.coalesce(F.sum(F.length("piece")).over(Window.partitionBy("doc_id", "place").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     slots = pieces.withColumn("start", at).filter(F.col("piece").rlike(f"^{mark}$")).withColumnRenamed("piece", "placeholder")
-    told = slots.join(translations.groupBy("doc_id", "placeholder").agg(F.first("text").alias("told")), ["doc_id", "placeholder"], "left")
+    told = slots.join(dealt(translations.groupBy("doc_id", "placeholder").agg(F.first("text").alias("told"))), ["doc_id", "placeholder"], "left")
     return _rewritten(templates, _edit(told, F.col("start"), F.col("start") + F.length("placeholder"), F.coalesce(escape_idml(F.col("told")), F.lit(""))))

@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..functions.joins import dealt
 from ..storing import stored
 from . import xml_walk
 
@@ -116,7 +117,7 @@ def runs(found: DataFrame, links: DataFrame, names: dict[str, str]) -> DataFrame
     order = Window.partitionBy("doc_id", "place", "p")
     texts = texts.withColumns({"index": F.row_number().over(order.orderBy("seq")) - 1, "count": F.count("*").over(order)})
     outside = relations(found).filter("external").select("doc_id", "rels", F.col("id").alias("rid"), F.col("target").alias("url"))
-    rows = texts.withColumn("rels", rels_path(F.col("part"))).join(links, ["doc_id", "place", "run"], "left").join(outside, ["doc_id", "rels", "rid"], "left")
+    rows = texts.withColumn("rels", rels_path(F.col("part"))).join(dealt(links), ["doc_id", "place", "run"], "left").join(dealt(outside), ["doc_id", "rels", "rid"], "left")
     return rows.select("doc_id", "place", "part", "rels", "p", "index", "count", "text", "url", "rid", "run", "link", "seq", "start", "open_end", "close_start", "end", "up", "above")
 
 
@@ -124,7 +125,7 @@ def docx_links(found: DataFrame) -> DataFrame:
     """Runs right inside of a hyperlink, with its seq and relationship."""
     every = nodes(found)
     inside = every.filter("tag = 'w:r'").select("doc_id", "place", F.col("seq").alias("run"), F.col("parent").alias("link"))
-    return inside.join(every.filter("tag = 'w:hyperlink'").select("doc_id", "place", F.col("seq").alias("link"), F.col("attrs")["r:id"].alias("rid")), ["doc_id", "place", "link"])
+    return inside.join(dealt(every.filter("tag = 'w:hyperlink'").select("doc_id", "place", F.col("seq").alias("link"), F.col("attrs")["r:id"].alias("rid"))), ["doc_id", "place", "link"])
 
 
 def pptx_links(found: DataFrame) -> DataFrame:
@@ -167,7 +168,7 @@ def renamed(found: DataFrame, names: DataFrame) -> DataFrame:
     In packages that `names` has rows of, other parts get names that nothing looks for; packages without keep theirs.
     """
     told = names.groupBy("doc_id", "part").agg(F.min("name").alias("_name"))
-    rows = found.join(told, ["doc_id", "part"], "left").join(names.select("doc_id", F.lit(True).alias("_told")).distinct(), "doc_id", "left")
+    rows = found.join(dealt(told), ["doc_id", "part"], "left").join(dealt(names.select("doc_id", F.lit(True).alias("_told")).distinct()), "doc_id", "left")
     return rows.withColumn("part", F.coalesce("_name", F.when(F.col("_told"), F.concat(F.lit("-/"), "part")), "part")).select("doc_id", "place", "part", "xml")
 
 
@@ -218,7 +219,7 @@ def slide_order(found: DataFrame) -> DataFrame:
     slides = found.filter(number != "").select("doc_id", "part", number.cast("int").alias("slide"))
     notes = relations(found).filter(F.col("type").endswith("/notesSlide")).select("doc_id", "rels", "id", F.concat(F.lit("ppt/notesSlides/"), _base(F.col("target"))).alias("to"))
     first = notes.groupBy("doc_id", "rels").agg(F.min_by("to", F.expr("try_cast(regexp_extract(id, '[0-9]+', 0) as int)")).alias("to"))
-    noted = slides.withColumn("rels", rels_path(F.col("part"))).join(first, ["doc_id", "rels"]).select("doc_id", F.col("to").alias("part"), "slide")
+    noted = slides.withColumn("rels", rels_path(F.col("part"))).join(dealt(first), ["doc_id", "rels"]).select("doc_id", F.col("to").alias("part"), "slide")
     return slides.withColumn("notes", F.lit(False)).unionByName(noted.withColumn("notes", F.lit(True)))
 
 
@@ -235,7 +236,7 @@ def pptx_units(files: DataFrame, blank_texts: bool = False) -> DataFrame:
     """
     texts = pptx_texts(files)
     texts = texts.withColumn("text", F.when(T.strip(F.col("text")) == "", F.concat(F.lit(""), "text")).otherwise(F.col("text"))) if blank_texts else texts
-    rows = (with_blanks(texts) if blank_texts else paragraphs(texts)).join(slide_order(pptx_parts(files)), ["doc_id", "part"])
+    rows = (with_blanks(texts) if blank_texts else paragraphs(texts)).join(dealt(slide_order(pptx_parts(files))), ["doc_id", "part"])
     return _units(rows.withColumn("tags", F.when(F.col("notes"), F.array(F.lit("notes")))), ("slide", "notes", "p"), "tags")
 
 
@@ -277,7 +278,7 @@ def xlsx_sheets(found: DataFrame, every: DataFrame) -> DataFrame:
     sheets = sheets.withColumn("sheet", F.row_number().over(Window.partitionBy("doc_id").orderBy(F.col("_n").asc_nulls_last(), "part"))).drop("_n")
     named = every.filter("part = 'xl/workbook.xml' and tag = 'sheet'")
     named = named.select("doc_id", F.row_number().over(Window.partitionBy("doc_id").orderBy("seq")).alias("sheet"), T.unescape_xml(F.col("attrs")["name"]).alias("name"))
-    return sheets.join(named, ["doc_id", "sheet"], "left").withColumn("name", F.coalesce("name", F.col("sheet").cast("string")))
+    return sheets.join(dealt(named), ["doc_id", "sheet"], "left").withColumn("name", F.coalesce("name", F.col("sheet").cast("string")))
 
 
 def xlsx_texts(found: DataFrame, every: DataFrame) -> DataFrame:
@@ -293,13 +294,13 @@ def xlsx_texts(found: DataFrame, every: DataFrame) -> DataFrame:
     shared = every.filter("part = 'xl/sharedStrings.xml' and tag = 'si'").select("doc_id", F.col("seq").alias("owner"), (F.row_number().over(Window.partitionBy("doc_id").orderBy("seq")) - 1).alias("idx"))
     cells = every.filter("tag = 'c'").filter(F.col("attrs")["t"].isin("s", "inlineStr", "str")).select("doc_id", "part", F.col("seq").alias("cell"), F.col("attrs")["r"].alias("ref"), F.col("attrs")["t"].alias("kind"))
     held = every.filter("tag in ('v', 'f')").groupBy("doc_id", "part", F.col("parent").alias("cell")).agg(F.max(F.when(F.col("tag") == "v", F.col("inner"))).alias("v"), F.max(F.when(F.col("tag") == "f", F.col("inner"))).alias("f"))
-    cells = cells.join(held, ["doc_id", "part", "cell"], "left")
+    cells = cells.join(dealt(held), ["doc_id", "part", "cell"], "left")
     links = every.filter("tag = 'hyperlink'").select("doc_id", "part", F.col("attrs")["ref"].alias("ref"), F.col("attrs")["r:id"].alias("id"), rels_path(F.col("part")).alias("rels"))
-    links = links.join(relations(found).filter("external"), ["doc_id", "rels", "id"]).select("doc_id", "part", "ref", F.col("target").alias("url"))
-    cells = cells.join(links, ["doc_id", "part", "ref"], "left").join(xlsx_sheets(found, every), ["doc_id", "part"])
-    by_index = cells.filter("kind = 's'").withColumn("idx", F.expr("try_cast(v as int)")).join(shared, ["doc_id", "idx"]).withColumn("at", F.lit("xl/sharedStrings.xml")).drop("idx")
+    links = links.join(dealt(relations(found).filter("external")), ["doc_id", "rels", "id"]).select("doc_id", "part", "ref", F.col("target").alias("url"))
+    cells = cells.join(dealt(links), ["doc_id", "part", "ref"], "left").join(dealt(xlsx_sheets(found, every)), ["doc_id", "part"])
+    by_index = cells.filter("kind = 's'").withColumn("idx", F.expr("try_cast(v as int)")).join(dealt(shared), ["doc_id", "idx"]).withColumn("at", F.lit("xl/sharedStrings.xml")).drop("idx")
     own = cells.filter("kind = 'inlineStr' or (kind = 'str' and f is null)").withColumns({"owner": F.col("cell"), "at": F.col("part")})
-    plain = by_index.unionByName(own).join(texts, ["doc_id", "at", "owner"]).withColumn("text", F.when(F.col("url").isNotNull(), wrapped(F.col("text"), F.col("url"))).otherwise(F.col("text")))
+    plain = by_index.unionByName(own).join(dealt(texts), ["doc_id", "at", "owner"]).withColumn("text", F.when(F.col("url").isNotNull(), wrapped(F.col("text"), F.col("url"))).otherwise(F.col("text")))
     formula = r'HYPERLINK\("(.*?)","(.*?)"\)'
     shown = cells.filter("kind = 'str' and f is not null").withColumns({"f": T.unescape_xml(F.replace("f", F.lit("&quot;"), F.lit('"'))), "owner": F.col("cell"), "at": F.col("part")})
     shown = shown.filter(F.regexp_extract("f", formula, 2) != "").withColumn("text", wrapped(F.regexp_extract("f", formula, 2), F.regexp_extract("f", formula, 1)))
@@ -323,7 +324,7 @@ def idml_texts(files: DataFrame) -> DataFrame:
     found = parts(files)
     listed = found.filter("part = 'designmap.xml'").select("doc_id", F.posexplode(F.split(F.regexp_extract("xml", r'StoryList="([^"]*)"', 1), r"\s+")).alias("rank", "story"))
     stories = found.withColumn("story", F.regexp_extract("part", r"^Stories/Story_(.*)\.xml$", 1)).filter("story <> ''")
-    ranked = stories.join(listed, ["doc_id", "story"], "left").withColumn("rank", F.coalesce("rank", F.lit(1 << 30)))
+    ranked = stories.join(dealt(listed), ["doc_id", "story"], "left").withColumn("rank", F.coalesce("rank", F.lit(1 << 30)))
     whole = F.regexp_extract_all("xml", F.lit(r"(?s)(?:(?!<Content>).)*(?:<Content>(?:(?!</Content>).)*</Content>)?"), F.lit(0))
     pieces = ranked.select("doc_id", "place", "part", "rank", F.posexplode(F.filter(whole, lambda x: x != "")).alias("seq", "piece"))
     before = Window.partitionBy("doc_id", "place").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
